@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pacewright.llm.jaccard import jaccard_components
 from pacewright.llm.packing import packed
 from pacewright.llm.shared import table
 from pacewright.llm.token_counts import token_counts
@@ -19,10 +20,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_packing": op7_packing,
         "op9_token_counts": op9_token_counts,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
