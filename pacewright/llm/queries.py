@@ -8,8 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pacewright.llm.jaccard import jaccard_components
 from pacewright.llm.packing import packed
+from pacewright.llm.quality_model import quality_model, quality_scores
+from pacewright.llm.quality_rules import quality_report
 from pacewright.llm.shared import table
 from pacewright.llm.token_counts import token_counts
+from pacewright.llm.url_rules import judged_urls
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judged_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality_scores(documents, quality_model(documents, table(spark, sf_dir, "labels")))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +45,27 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_url_filters": op2_url_filters,
+        "op3_quality_classifier": op3_quality_classifier,
+        "op5_quality_rules": op5_quality_rules,
         "op7_packing": op7_packing,
         "op9_token_counts": op9_token_counts,
         "op10_jaccard_join": op10_jaccard_join,
     }
 
 
+OP2_SQL = r"""
+WITH r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+a AS (SELECT page_id, CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN '' ELSE substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
+p AS (SELECT row_number() OVER () AS k, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b)
+SELECT any_value(p.page_id) AS page_id, any_value(p.host) AS host, any_value(p.path) AS path,
+       arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+       coalesce(arg_max(r.verdict, length(r.host || r.path)), 'allow') AS verdict
+FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+GROUP BY k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filters": OP2_SQL}
