@@ -59,7 +59,7 @@ class MergeRules:
         key = (left, right)
         known = self._fits.get(key)
         if known is None:
-            known = True
+            known = all(len(t) == 1 or self.parts(t) for t in key)
             for x, x_made, x_used in self.spine(left, True):
                 for y, y_made, y_used in self.spine(right, False):
                     if x_made <= y_used and y_made < x_used:
@@ -81,16 +81,17 @@ class MergeRules:
             token = word[begin:end]
             if token in tokens:
                 if begin:
-                    left = last[begin]
-                    fits = known.get((left, token))
+                    fits = known.get((last[begin], token))
                     if fits is None:
-                        fits = left is not None and self.fits(left, token)
+                        fits = self.fits(last[begin], token)
                     if not fits:
                         continue
+                elif end > 1 and not self.parts(token):  # listed, but merging never makes it
+                    continue
                 last.append(token)
                 count.append(count[begin] + 1)
                 return
-        last.append(None)
+        last.append(word[end - 1])  # a symbol outside the vocabulary stands alone
         count.append(count[end - 1] + 1)
 
     def prefixes(self, word: str) -> tuple[list, list[int]]:

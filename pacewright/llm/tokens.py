@@ -148,12 +148,13 @@ class WordValues:
     """``slices(column)``: the words of a text column with ``of_word``'s value for each different word.
 
     ``of_words`` takes a list of words and gives a list of values, each an array of ids or a number.
-    ``kind`` names how words are cut: ``pattern`` by the byte-level vocabularies' pattern, ``spaces``
-    before every run of spaces.
+    Words are cut by the byte-level vocabularies' pattern, or, if ``apart`` is given, before every run
+    of spaces (or of the marks they are written as) and wherever ``apart`` says, by their code points,
+    that two characters never share a token.
     """
 
-    def __init__(self, of_words: Callable, special: tuple[str, ...] = (), kind: str = "pattern", most: int = CACHE_WORDS):
-        self._of_words, self._special, self._kind, self._most = of_words, special, kind, most
+    def __init__(self, of_words: Callable, special: tuple[str, ...] = (), apart: np.ndarray | None = None, most: int = CACHE_WORDS):
+        self._of_words, self._special, self._apart, self._most = of_words, special, apart, most
         self._known: dict[int, int] = {}
         self._store = _Store()
 
@@ -167,10 +168,12 @@ class WordValues:
                 char_at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[byte_at]
             breaks = np.zeros(len(points) + 1, dtype=bool)
             breaks[char_at] = True
-            if self._kind == "spaces":
-                space = points == 0x20
+            if self._apart is not None:
+                space = (points == 0x20) | (points == 0x2581)
                 start = breaks[:-1] | space
                 start[1:] &= ~(space[1:] & space[:-1]) | breaks[1:-1]
+                known = np.minimum(points, len(self._apart) - 1)
+                start[1:] |= self._apart[known[:-1], known[1:]]
                 starts = np.flatnonzero(start)
             else:
                 starts = _word_starts(points, breaks, self._kinds(raw, points, breaks))
