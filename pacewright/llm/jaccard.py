@@ -29,16 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pacewright.llm.components import components
+from pacewright.llm.components import components, joined_components
 from pacewright.llm.shared import only, written
 from pacewright.llm.textgrid import mixed, set_hash, shingle_sets
 
 FLUSH, SEEN = 1 << 21, 200_000
 REPEATED_BITS, COMMON_BITS, COMMON_FROM, WANTED_BITS = 27, 22, 64, 24
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 
 def _frequencies(given: DataFrame, bucket_bits: int) -> DataFrame:
@@ -115,9 +116,8 @@ def _first_keys(s: np.ndarray, repeated: np.ndarray, common: np.ndarray, boundar
     return found if len(found) else None
 
 
-def _documents(given: DataFrame, repeated: bytes, common: bytes, boundary: int) -> DataFrame:
+def _documents(given: DataFrame, send: Broadcast, boundary: int) -> DataFrame:
     """(id, class, n, keys): keys only for the first member of a class that a task meets, if it can have links."""
-    send = given.sparkSession.sparkContext.broadcast((repeated, common))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.frombuffer(b, dtype=np.uint8) for b in send.value]
@@ -152,9 +152,8 @@ def _documents(given: DataFrame, repeated: bytes, common: bytes, boundary: int)
     return given.mapInArrow(described, "id long, class long, n long, keys array<long>")
 
 
-def _sets(given: DataFrame, wanted: np.ndarray) -> DataFrame:
+def _sets(given: DataFrame, send: Broadcast) -> DataFrame:
     """(id, elements) of the documents whose slot is wanted."""
-    send = given.sparkSession.sparkContext.broadcast(wanted)
     slots = given.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(1 << WANTED_BITS)))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +202,10 @@ def jaccard_components(df: DataFrame, id_column: str = "doc_id", text_column: st
         total, squares = total + row["total"], squares + row["squares"]
     scanned = squares / total if total else 0.0
     boundary = 4 * int(1 + 2 * scanned) - 1  # subsets p(p+1)/2 against p lists of this length, p = n/4+1
-    documents = written(_documents(given, repeated.tobytes(), common.tobytes(), boundary), "documents")
+    tables = spark.sparkContext.broadcast((repeated.tobytes(), common.tobytes()))
+    del repeated, common
+    documents = written(_documents(given, tables, boundary), "documents")
+    tables.destroy()
 
     keyed = documents.filter("keys is not null and id is not null")
     members = keyed.groupBy("class").agg(F.min("id").alias("id"))
@@ -220,7 +222,9 @@ def jaccard_components(df: DataFrame, id_column: str = "doc_id", text_column: st
     bits = slots.selectExpr("cast(slot div 32 as int) w", "shiftleft(1L, cast(slot % 32 as int)) bit")
     for row in bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         wanted[row["w"]] = row["bits"]
-    sets = written(_sets(given, wanted).join(lists.select("id").distinct(), "id", "left_semi"), "sets")
+    chosen = spark.sparkContext.broadcast(wanted)
+    sets = written(_sets(given, chosen).join(lists.select("id").distinct(), "id", "left_semi"), "sets")
+    chosen.destroy()
 
     compared = written(_compared(candidates, sets), "compared")
     linked = components(compared.filter(_LINKED))
@@ -250,7 +254,7 @@ def jaccard_components(df: DataFrame, id_column: str = "doc_id", text_column: st
         pairs = pairs.selectExpr(*_PAIR).distinct().join(known, ["a", "b"], "left_anti")
         more = written(_compared(pairs, sets), "compared")
         compared = compared.unionByName(more)
-        linked = components(compared.filter(_LINKED))
+        linked = joined_components(linked, more.filter(_LINKED).select("a", "b"))
         open_lists = rest.select("id", "n", "key")
 
     rows = documents.select("id", "class", "n")
