@@ -6,17 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pacewright.llm.chat import conversation_digests, formatted_conversations
 from pacewright.llm.jaccard import jaccard_components
+from pacewright.llm.ordering import training_order
 from pacewright.llm.packing import packed
+from pacewright.llm.pieces import piece_round_trip
 from pacewright.llm.quality_model import quality_model, quality_scores
 from pacewright.llm.quality_rules import quality_report
 from pacewright.llm.shared import table
 from pacewright.llm.token_counts import token_counts
 from pacewright.llm.url_rules import judged_urls
+from pacewright.llm.vectors import linked_vectors
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return conversation_digests(formatted_conversations(rows))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judged_urls(table(spark, sf_dir, "pages"), rules)
@@ -27,14 +38,26 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents, quality_model(documents, table(spark, sf_dir, "labels")))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -43,14 +66,25 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_formatting": op1_chat_formatting,
         "op2_url_filters": op2_url_filters,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_quality_rules": op5_quality_rules,
+        "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_packing": op7_packing,
+        "op8_training_order": op8_training_order,
         "op9_token_counts": op9_token_counts,
         "op10_jaccard_join": op10_jaccard_join,
+        "pipeline": pipeline,
     }
 
 
