@@ -26,7 +26,7 @@ def components(links: DataFrame) -> DataFrame:
     edge = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     links = written(links.filter("a <> b").select(*edge).distinct(), "links")
     gone: list[DataFrame] = []
-    while not links.isEmpty():
+    while not gone or not links.isEmpty():
         salt = F.lit(len(gone))
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         own = F.struct(F.xxhash64("a", salt).alias("h"), F.col("a").alias("p"))
@@ -42,8 +42,6 @@ def components(links: DataFrame) -> DataFrame:
             .distinct()
         )
         links = written(redrawn, "links")
-    if not gone:
-        return links.select(F.col("a").alias("node"), F.col("a").alias("root"))
 
     def onward(reached: DataFrame, step: DataFrame) -> DataFrame:
         step = step.select(F.col("a").alias("p"), F.col("p").alias("q"))
@@ -57,7 +55,7 @@ def components(links: DataFrame) -> DataFrame:
 def joined_components(linked: DataFrame, links: DataFrame) -> DataFrame:
     """The components ``linked`` (node, root) after further links (a, b)."""
     at = linked.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    links = written(links.join(at, "a", "left").join(at.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left"), "links")
+    links = links.join(at, "a", "left").join(at.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left")
     between = components(links.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     new = links.filter("ra is null").select("a").union(links.filter("rb is null").select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("root"))
     moved = between.select(F.col("node").alias("root"), F.col("root").alias("to"))

@@ -14,6 +14,10 @@ are sent to the tasks. Those tables only steer the order and save work; a wrong
 one slot) costs time, never a result. Elements of one document only have no partner and are left out,
 and a set with under 3/4 of its elements elsewhere can have no link and gives no key.
 
+Of a pair's shared keys the first one bounds what it can share: nothing before it, and no more than what
+either set has from there on. A pair that this bound rules out at one key is left out there; its first
+shared key decides.
+
 Lists are not expanded into pairs. Each member is compared with one leader of its list; lists whose
 members are then all in one component are done. Others get a leader out of their smallest component,
 some times over; pairs still open then are listed, without those that the distances to the list's
@@ -38,8 +42,8 @@ from pacewright.llm.shared import only, written
 from pacewright.llm.textgrid import mixed, set_hash, shingle_sets
 
 FLUSH, SEEN = 1 << 21, 200_000
-REPEATED_BITS, COMMON_BITS, COMMON_FROM, WANTED_BITS = 27, 22, 64, 24
-STAR_ROUNDS = 2
+REPEATED_BITS, COMMON_BITS, COMMON_FROM, WANTED_BITS = 26, 21, 64, 24
+STAR_ROUNDS = 1
 
 
 def _frequencies(given: DataFrame, bucket_bits: int) -> DataFrame:
@@ -94,8 +98,9 @@ def _frequencies(given: DataFrame, bucket_bits: int) -> DataFrame:
     return given.mapInArrow(counted, "bucket int, hashes binary, counts binary").groupBy("bucket").applyInArrow(summed, "bucket int, repeated binary, common binary, total double, squares double")
 
 
-def _first_keys(s: np.ndarray, repeated: np.ndarray, common: np.ndarray, boundary: int) -> np.ndarray | None:
-    """The keys of a set (its distinct elements in rising order); None if it can have no link."""
+def _first_keys(s: np.ndarray, repeated: np.ndarray, common: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The keys of a set (its distinct elements in rising order), each with the place of its first element in
+    the order of rareness; None if it can have no link."""
     n = len(s)
     slot = s >> np.uint64(64 - REPEATED_BITS)
     elsewhere = (repeated[slot >> np.uint64(3)] >> (7 - (slot & np.uint64(7))).astype(np.uint8)) & 1
@@ -104,30 +109,32 @@ def _first_keys(s: np.ndarray, repeated: np.ndarray, common: np.ndarray, boundar
     level = np.where(elsewhere, 1 + common[s >> np.uint64(64 - COMMON_BITS)].astype(np.int64), 0)
     s = s[np.argsort(level, kind="stable")]
     rare = n - int(elsewhere.sum())  # these come first and have no partner
-    keys = []
+    keys, places = [], []
     if n > boundary or 4 * n > 3 * boundary:
         keys.append(s[rare : n // 4 + 1])
+        places.append(np.arange(rare, rare + len(keys[0])))
     if n <= boundary:
         light = s[rare : min(n, n // 4 + 2)]
         i, j = np.triu_indices(len(light), 1)
         a, b = np.minimum(light[i], light[j]), np.maximum(light[i], light[j])
         keys.append(mixed(a * np.uint64(0x9E3779B97F4A7C15) + mixed(b)))
+        places.append(rare + i)
     found = np.concatenate(keys)
-    return found if len(found) else None
+    return (found, np.concatenate(places)) if len(found) else None
 
 
 def _documents(given: DataFrame, send: Broadcast, boundary: int) -> DataFrame:
-    """(id, class, n, keys): keys only for the first member of a class that a task meets, if it can have links."""
+    """(id, class, n, keys, places): keys only for the first member of a class that a task meets, if it can have links."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.frombuffer(b, dtype=np.uint8) for b in send.value]
         seen: set[int] = set()
         for batch in batches:
-            kinds, sizes, keys, row = [], [], [], 0
+            kinds, sizes, keys, places, row = [], [], [], [], 0
 
             def flushed(batch=batch) -> pa.RecordBatch:
                 ids = batch.column(0).slice(row, len(sizes))
-                return pa.RecordBatch.from_arrays([ids, pa.array(kinds, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "class", "n", "keys"])
+                return pa.RecordBatch.from_arrays([ids, pa.array(kinds, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["id", "class", "n", "keys", "places"])
 
             held = 0
             for s in shingle_sets(batch.column(1)):
@@ -136,20 +143,22 @@ def _documents(given: DataFrame, send: Broadcast, boundary: int) -> DataFrame:
                 sizes.append(len(s))
                 if len(s) < 3 or kind in seen:
                     keys.append(None)
+                    places.append(None)
                 else:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(kind)
                     found = _first_keys(s, *tables, boundary)
-                    keys.append(None if found is None else found.view(np.int64))
-                    held += 0 if found is None else len(found)
+                    keys.append(None if found is None else found[0].view(np.int64))
+                    places.append(None if found is None else found[1].astype(np.int32))
+                    held += 0 if found is None else len(found[0])
                 if held > FLUSH:
                     yield flushed()
                     row += len(sizes)
-                    kinds, sizes, keys, held = [], [], [], 0
+                    kinds, sizes, keys, places, held = [], [], [], [], 0
             yield flushed()
 
-    return given.mapInArrow(described, "id long, class long, n long, keys array<long>")
+    return given.mapInArrow(described, "id long, class long, n long, keys array<long>, places array<int>")
 
 
 def _sets(given: DataFrame, send: Broadcast) -> DataFrame:
@@ -183,7 +192,8 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", shared, F.size("x").cast("long").alias("na"), F.size("y").cast("long").alias("nb"))
 
 
-_SIMILAR_SIZES = "4 * least(na, nb) >= 3 * greatest(na, nb)"
+# Sizes a link allows; and, where the key is the first element that the two share, enough elements from there on
+_POSSIBLE = "4 * least(na, nb) >= 3 * greatest(na, nb) and 7 * least(na - pa, nb - pb) >= 3 * (na + nb)"
 _LINKED = "7 * shared >= 3 * (na + nb)"  # shared / (na + nb - shared) >= 3/4
 _PAIR = ("least(id, other) a", "greatest(id, other) b")
 
@@ -209,12 +219,12 @@ def jaccard_components(df: DataFrame, id_column: str = "doc_id", text_column: st
 
     keyed = documents.filter("keys is not null and id is not null")
     members = keyed.groupBy("class").agg(F.min("id").alias("id"))
-    lists = keyed.join(members, ["class", "id"], "left_semi").dropDuplicates(["id"]).select("id", "n", F.explode("keys").alias("key"))
+    lists = keyed.join(members, ["class", "id"], "left_semi").dropDuplicates(["id"]).select("id", "n", F.inline(F.arrays_zip("keys", "places"))).withColumnsRenamed({"keys": "key", "places": "p"})
     lists = written(lists, "lists")
 
-    leaders = lists.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m"), F.max("id").alias("last")).filter("m.id <> last")
-    leaders = leaders.select("key", F.col("m.id").alias("other"), F.col("m.n").alias("nb"))
-    candidates = lists.join(leaders, "key").filter("id <> other").withColumnRenamed("n", "na").filter(_SIMILAR_SIZES)
+    leaders = lists.groupBy("key").agg(F.min(F.struct("id", "n", "p")).alias("m"), F.max("id").alias("last")).filter("m.id <> last")
+    leaders = leaders.select("key", F.col("m.id").alias("other"), F.col("m.n").alias("nb"), F.col("m.p").alias("pb"))
+    candidates = lists.join(leaders, "key").filter("id <> other").withColumnsRenamed({"n": "na", "p": "pa"}).filter(_POSSIBLE)
     candidates = written(candidates.selectExpr(*_PAIR).distinct(), "candidates")
 
     wanted = np.zeros(1 << (WANTED_BITS - 5), dtype=np.int64)
@@ -240,22 +250,22 @@ def jaccard_components(df: DataFrame, id_column: str = "doc_id", text_column: st
             break
         known = compared.select("a", "b")
         if turn < STAR_ROUNDS:
-            smallest = rest.groupBy("key", "root").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("of"))
+            smallest = rest.groupBy("key", "root").agg(F.count("*").alias("m"), F.min(F.struct("id", "n", "p")).alias("of"))
             smallest = smallest.groupBy("key").agg(F.min(F.struct("m", "of", "root")).alias("s"), F.count("*").alias("roots")).filter("roots > 1")
-            leaders = smallest.select("key", F.col("s.of.id").alias("other"), F.col("s.of.n").alias("nb"), F.col("s.root").alias("other_root"))
-            pairs = rest.join(leaders, "key").filter("root <> other_root").withColumnRenamed("n", "na").filter(_SIMILAR_SIZES)
+            leaders = smallest.select("key", F.col("s.of.id").alias("other"), F.col("s.of.n").alias("nb"), F.col("s.of.p").alias("pb"), F.col("s.root").alias("other_root"))
+            pairs = rest.join(leaders, "key").filter("root <> other_root").withColumnsRenamed({"n": "na", "p": "pa"}).filter(_POSSIBLE)
             leaders = written(leaders, "leaders")
         else:
             to_first = compared.withColumn("d", 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
-            near = rest.join(first, "key").selectExpr("key", "id", "n", "root", *_PAIR).join(to_first.select("a", "b", "d"), ["a", "b"], "left")
-            one = near.select("key", "id", F.col("n").alias("na"), F.col("root").alias("ra"), F.col("d").alias("da"))
-            two = near.select("key", F.col("id").alias("other"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("d").alias("db"))
-            pairs = one.join(two, "key").filter("id < other and ra <> rb and (da is null or db is null or abs(da - db) <= 0.2500001)").filter(_SIMILAR_SIZES)
+            near = rest.join(first, "key").selectExpr("key", "id", "n", "p", "root", *_PAIR).join(to_first.select("a", "b", "d"), ["a", "b"], "left")
+            one = near.select("key", "id", F.col("n").alias("na"), F.col("p").alias("pa"), F.col("root").alias("ra"), F.col("d").alias("da"))
+            two = near.select("key", F.col("id").alias("other"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("root").alias("rb"), F.col("d").alias("db"))
+            pairs = one.join(two, "key").filter("id < other and ra <> rb and (da is null or db is null or abs(da - db) <= 0.2500001)").filter(_POSSIBLE)
         pairs = pairs.selectExpr(*_PAIR).distinct().join(known, ["a", "b"], "left_anti")
         more = written(_compared(pairs, sets), "compared")
         compared = compared.unionByName(more)
         linked = joined_components(linked, more.filter(_LINKED).select("a", "b"))
-        open_lists = rest.select("id", "n", "key")
+        open_lists = rest.select("id", "n", "key", "p")
 
     rows = documents.select("id", "class", "n")
     classes = rows.filter("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("first"))
