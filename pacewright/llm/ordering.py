@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pacewright.llm.shared import only, shared_folder
 from pacewright.llm.textgrid import mixed
-from pacewright.llm.tokens import TextEncoder
+from pacewright.llm.tokens import text_encoder
 
 STRIDE, PER_SHARD, ROUNDS = 1024, 2048, 6
 
@@ -72,7 +72,7 @@ def _streams(given: DataFrame, model: str, end_id: int, kind: str, stride: int,
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, end, total, made = TextEncoder(model), np.array([end_id], dtype=kind), 0, 0
+        encoder, end, total, made = text_encoder(model), np.array([end_id], dtype=kind), 0, 0
         held: list[np.ndarray] = []
 
         def cut(ids: np.ndarray) -> pa.RecordBatch:
@@ -84,15 +84,17 @@ def _streams(given: DataFrame, model: str, end_id: int, kind: str, stride: int,
             return pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), raw.cast(pa.binary())], names=["shard", "slot", "ids"])
 
         for batch in batches:
+            if first is None:
+                total += sum(int(n.sum()) + len(n) for n in encoder.lengths(batch.column(0)))
+                continue
             for ids in encoder.texts(batch.column(0)):
                 total += len(ids) + 1
-                if first is not None:
-                    held += [ids.astype(kind), end]
-                    if total >= 256 * stride:
-                        stream = np.concatenate(held)
-                        whole = len(stream) // stride * stride
-                        yield cut(stream[:whole])
-                        held, total = [stream[whole:]], len(stream) - whole
+                held += [ids.astype(kind), end]
+                if total >= 256 * stride:
+                    stream = np.concatenate(held)
+                    whole = len(stream) // stride * stride
+                    yield cut(stream[:whole])
+                    held, total = [stream[whole:]], len(stream) - whole
         if total and first is None:
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([-(-total // stride)])], names=["part", "sequences"])
         elif total:
@@ -106,7 +108,8 @@ def materialised(df: DataFrame, folder: str, key: int, text_column: str = "text"
     """Writes the shards of all texts of ``df`` to ``folder`` when the returned table of (shard, first_slot, sequences)
     is evaluated; also returns the number of sequences."""
     given = only(df, text=text_column)
-    counts = {r["part"]: r["sequences"] for r in _streams(given, model, end_id, kind, stride, None, None, per_shard).toLocalIterator()}
+    # one row for each input partition
+    counts = {r["part"]: r["sequences"] for r in _streams(given, model, end_id, kind, stride, None, None, per_shard).collect()}
     parts = sorted(counts)
     first = dict(zip(parts, accumulate([0, *(counts[p] for p in parts)]), strict=False))
     n = sum(counts.values())

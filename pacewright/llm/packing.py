@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from pacewright.llm.shared import only, written
-from pacewright.llm.tokens import TextEncoder
+from pacewright.llm.tokens import text_encoder
 
 WINDOW, OPEN_WINDOWS, MERGED_PARTITIONS = 1024, 64, 32
 _PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -93,7 +93,7 @@ def packed(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, packer, schema = TextEncoder(model), Packer(window, open_windows, part << 32), None
+        encoder, packer, schema = text_encoder(model), Packer(window, open_windows, part << 32), None
         done: list = []
         for batch in batches:
             schema = schema or _arrow_schema(batch.schema.field(0).type)

@@ -16,6 +16,7 @@ Null and empty texts have no ids. Rows are independent of each other.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -103,13 +104,19 @@ class PieceRules(MergeRules):
         return text[1:] if text[:1] == " " else text
 
 
+@functools.cache
+def piece_values(name: str) -> tuple[PieceRules, WordValues]:
+    """The rules and words of a worker process; words stay known from task to task."""
+    rules = PieceRules(name)
+    return rules, WordValues(rules.ids, apart=rules.apart())
+
+
 def piece_ids(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
     """(id, ids) per row of ``df``: the text's ids as an array."""
     given = only(df, id=id_column, text=text_column).withColumn("text", F.expr("if(text = '', text, concat(' ', text))"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = PieceRules(model)
-        values = WordValues(rules.ids, apart=rules.apart())
+        _, values = piece_values(model)
         for batch in batches:
             for s in values.slices(batch.column(1)):
                 ids, at = gathered(s)
@@ -125,7 +132,7 @@ def decoded_pieces(encoded: DataFrame, id_column: str = "doc_id", ids_column: st
     given = only(encoded, id=id_column, ids=ids_column)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = PieceRules(model)
+        rules, _ = piece_values(model)
         for batch in batches:
             texts = [None if ids.as_py() is None else rules.decoded(ids.values.to_pylist()) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
@@ -142,8 +149,7 @@ def piece_round_trip(df: DataFrame, id_column: str = "doc_id", text_column: str
     given = only(df, id=id_column, text=text_column).withColumn("text", F.expr("if(text = '', text, concat(' ', text))"))
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = PieceRules(model)
-        values = WordValues(rules.ids, apart=rules.apart())
+        rules, values = piece_values(model)
         for batch in batches:
             for s in values.slices(batch.column(1)):
                 ids, at = gathered(s)

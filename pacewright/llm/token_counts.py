@@ -10,6 +10,7 @@ null ids and further columns change nothing.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,12 @@ class PrefixCounter:
         return 0
 
 
+@functools.cache
+def prefix_counter(name: str) -> PrefixCounter:
+    """The counter of a worker process: its words stay known from task to task."""
+    return PrefixCounter(name)
+
+
 def token_counts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: str = "byte_bpe_50k.json", limit: int = 1024) -> DataFrame:
     """One row per row of ``df``: its id, n_bytes, n_tokens, over_limit and fit_chars.
 
@@ -75,7 +82,7 @@ def token_counts(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     given = only(df, id=id_column, text=text_column)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(model)
+        counter = prefix_counter(model)
         for batch in batches:
             for s in counter.values.slices(batch.column(1)):
                 running = np.concatenate(([0], np.cumsum(s.store.amount[s.place])))
@@ -95,7 +102,7 @@ def prefix_table(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     given = only(df, id=id_column, text=text_column)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(model)
+        counter = prefix_counter(model)
         for batch in batches:
             for s in counter.values.slices(batch.column(1)):
                 amounts, ends, tokens = s.store.amount[s.place], [], []

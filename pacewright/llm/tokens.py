@@ -96,7 +96,7 @@ def _word_starts(points: np.ndarray, breaks: np.ndarray, kinds: np.ndarray) -> n
     return np.flatnonzero(start)
 
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 
 class _Store:
@@ -254,6 +254,19 @@ class TextEncoder:
                 yield ids[a:b]
 
 
+    def lengths(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The numbers of ids of the texts, slice by slice."""
+        for s in self._words.slices(column):
+            running = np.concatenate(([0], np.cumsum(s.store.amount[s.place])))
+            yield running[s.word_at[1:]] - running[s.word_at[:-1]]
+
+
+@functools.cache
+def text_encoder(name: str) -> TextEncoder:
+    """The encoder of a worker process: its words stay known from task to task."""
+    return TextEncoder(name)
+
+
 def letters_of_bytes() -> dict[int, str]:
     """The letter by which a byte-level vocabulary writes each byte: itself if printable, else one from 256 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
