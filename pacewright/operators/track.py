@@ -18,11 +18,15 @@ def running(keys: tuple[str, ...] = BY_TRACK, by: str = "seq") -> WindowSpec:
     return ordered(keys, by).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def cum_distance(points: DataFrame) -> DataFrame:
-    """Adds ``seg_m`` (metres from the point before) and ``cum_dist``."""
+def cum_distance(points: DataFrame, digits: int | None = None) -> DataFrame:
+    """Adds ``seg_m`` (metres from the point before) and ``cum_dist``.
+
+    With ``digits`` both are rounded, so that they do not depend on the order in which an engine adds.
+    """
     w = ordered()
     seg = haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
-    return points.withColumn("seg_m", F.coalesce(seg, F.lit(0.0))).withColumn("cum_dist", F.sum("seg_m").over(running()))
+    cut = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
+    return points.withColumn("seg_m", cut(F.coalesce(seg, F.lit(0.0)))).withColumn("cum_dist", cut(F.sum("seg_m").over(running())))
 
 
 def with_next(points: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pacewright.operators.dual import PARTNERS
 from pacewright.operators.landmarks import NATURAL
 from pacewright.plans.fixtures import TRACK_POINTS_SQL, ZONE_BOUNDS
+from pacewright.plans.queries import DIGITS, places
 
 W = "(PARTITION BY track_id ORDER BY seq)"
 RUN = "(PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING)"
@@ -85,7 +86,8 @@ GRADES = """list_reduce(list_prepend({'h': CAST(0 AS DOUBLE), 'e': e0, 'v': CAST
 
 CHAIN = {
     "tp": TRACK_POINTS_SQL.format(lineitem="lineitem"),
-    "p": f"SELECT *, sum(seg_m) OVER {RUN} AS cum_dist FROM (SELECT *, coalesce(CASE WHEN lag(lat) OVER {W} IS NOT NULL THEN {hav(f'lag(lat) OVER {W}', f'lag(lon) OVER {W}', 'lat', 'lon')} END, 0.0) AS seg_m FROM tp)",
+    "p0": f"SELECT *, round(coalesce(CASE WHEN lag(lat) OVER {W} IS NOT NULL THEN {hav(f'lag(lat) OVER {W}', f'lag(lon) OVER {W}', 'lat', 'lon')} END, 0.0), 6) AS seg_m FROM tp",
+    "p": f"SELECT *, round(sum(seg_m) OVER {RUN}, 6) AS cum_dist FROM p0",
     "pn": f"SELECT *, lead(seg_m) OVER w AS dd, (lead(time_ms) OVER w - time_ms) / 1000.0 AS dt, lead(ele) OVER w - ele AS dz, max(coalesce(speed >= 0, false)) OVER (PARTITION BY track_id) AS recorded, lead(cum_dist) OVER w AS next_cum, lead(lat) OVER w AS next_lat, lead(lon) OVER w AS next_lon, lead(ele) OVER w AS next_ele, lead(time_ms) OVER w AS next_ms, lead(hr) OVER w AS next_hr FROM p WINDOW w AS {W}",
     "tr": "SELECT track_id, count(*) AS point_count, max(cum_dist) AS total_distance, min(lat) AS min_lat, min(lon) AS min_lon, max(lat) AS max_lat, max(lon) AS max_lon, bool_and(ele IS NOT NULL) AS has_elevation, bool_and(time_ms IS NOT NULL) AS has_time, bool_or(hr IS NOT NULL) AS has_hr, bool_or(cad IS NOT NULL) AS has_cad, bool_or(temp IS NOT NULL) AS has_temp, bool_or(power IS NOT NULL) AS has_power, bool_or(coalesce(speed >= 0, false)) AS has_recorded_speed, min(ele) AS ele_min, max(ele) AS ele_max FROM p GROUP BY 1",
     "sec": f"{SPLIT} UNION ALL SELECT track_id, k, total_distance * a, total_distance * b FROM tr, (VALUES (1001, 0.10, 0.37), (1002, 0.37, 0.81), (1003, 0.50, 0.502)) v(k, a, b)",
@@ -168,99 +170,99 @@ PAIRS = ", ".join(f"('{x}', '{y}')" for x, ys in PARTNERS.items() for y in ys)
 SHARES = ", ".join(f"CASE WHEN moving_s - below_s > 0 THEN CAST(round(z{k}_s / (moving_s - below_s) * 100) AS BIGINT) ELSE 0 END AS z{k}_pct" for k in range(1, 6))
 QUANT = ["hr", "power", "cad", "temp", "grade", "ele", "speed", "pace", "gap"]
 
-#: name: (last SELECT, digits of doubles)
-FINAL: dict[str, tuple[str, int]] = {
-    "haversine": (f"SELECT track_id, seq, {hav('lat', 'lon', 'lat + 0.01', 'lon - 0.02')} AS d FROM pn WHERE dd IS NOT NULL", 3),
-    "segment_3d": ("SELECT track_id, seq, sqrt(dd * dd + dz * dz) AS d3 FROM pn WHERE dd IS NOT NULL", 3),
-    "minetti_factor": (f"SELECT track_id, seq, {minetti('(dz / dd)')} AS factor FROM pn WHERE dd > 0", 3),
-    "speed_to_pace": ("SELECT track_id, seq, CASE WHEN speed > 0 THEN 1000 / speed END AS pace FROM p", 3),
-    "speed_implausible": ("SELECT track_id, seq, coalesce(dt > 0 AND dd >= 0 AND speed > 1.5 * dd / dt, false) AS implausible FROM pn", 3),
-    "unit_convert": ("SELECT track_id, seq, ele / 0.3048 AS feet, cum_dist / 1609.344 AS miles, speed * 3.6 AS kmh, speed * 2.2369362920544 AS mph, CASE WHEN speed > 0 THEN 1000 / speed END * 1.609344 AS pace_mile, temp * 9 / 5 + 32 AS fahrenheit FROM p", 3),
-    "cadence_display": ("SELECT track_id, seq, cad * (track_id % 2 + 1) AS cad FROM p", 3),
-    "tile_fraction": (f"SELECT track_id, seq, {X12.replace('lon', '(lon + seq * 3)')} AS x, CASE WHEN lat + seq % 50 <= 85.0511287 THEN {Y12.replace('lat', '(lat + seq % 50)')} END AS y FROM p", 3),
-    "terrarium_decode": ("SELECT track_id, seq, CASE WHEN e BETWEEN -12000 AND 9000 THEN e END AS e FROM (SELECT *, (cad + seq % 150) * 256 + seq % 256 + (track_id % 256) / 256.0 - 32768 AS e FROM (SELECT track_id, seq, cad FROM p))", 3),
-    "parse_iso_time": ("SELECT track_id, seq, CASE WHEN seq % 9 <> 4 THEN time_ms END AS ms FROM p", 3),
-    "parse_number": ("SELECT track_id, seq, CASE WHEN seq % 9 NOT IN (4, 5) THEN ele END AS v FROM p", 3),
-    "format_duration": ("SELECT track_id, seq, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS duration FROM (SELECT track_id, seq, CAST(floor((time_ms - 1704067200000) / 1000 * 3 + 0.25) AS BIGINT) AS s FROM p)", 3),
-    "format_bpm_range": ("SELECT track_id, seq, CASE WHEN hr IS NULL THEN NULL WHEN seq % 3 > 0 THEN CAST(hr AS INT) || '–' || CAST(hr + 9 AS INT) || ' bpm' ELSE CAST(hr AS INT) || '+ bpm' END AS range, CAST(cad AS INT) || '%' AS percent FROM p", 3),
-    "zone_bounds": ("SELECT track_id, zone, lo, hi FROM hz", 3),
-    "zone_display_range": ("SELECT track_id, zone, CAST(ceil(lo + 0.5) AS BIGINT) AS shown_lo, CAST(ceil(hi) - 1 AS BIGINT) AS shown_hi FROM hz", 3),
-    "zone_boundary_pct": ("SELECT track_id, zone, 100 * CASE md WHEN 0 THEN lo / max_hr WHEN 1 THEN (lo - rest_hr) / (max_hr - rest_hr) ELSE lo / lthr END AS pct FROM hz", 3),
-    "validate_hr_settings": ("SELECT track_id, CASE WHEN max_hr NOT BETWEEN 100 AND 260 THEN 'max_range' WHEN rest_hr NOT BETWEEN 20 AND 150 THEN 'rest_range' WHEN lthr >= max_hr OR lthr <= rest_hr THEN 'lthr_order' WHEN track_id % 11 = 5 THEN 'max_bounds_rising' WHEN 153 >= lthr THEN 'lthr_top' END AS error FROM hs", 3),
-    "normalize_sector": ("SELECT track_id, sector_id, CASE WHEN b - a < 5 THEN greatest(0, least(a, least(a + 5, t) - 5)) ELSE a END AS start_m, CASE WHEN b - a < 5 THEN least(a + 5, t) ELSE b END AS end_m FROM (SELECT track_id, sector_id, total_distance AS t, greatest(0, least(least(end_m * 1.3 - 400, start_m), total_distance)) AS a, greatest(0, least(greatest(end_m * 1.3 - 400, start_m), total_distance)) AS b FROM sec JOIN tr USING (track_id))", 3),
-    "is_entire_track": ("SELECT track_id, sector_id, start_m <= 0.5 AND end_m >= total_distance - 0.5 AS entire FROM (SELECT * FROM sec UNION ALL SELECT track_id, 5000, 0.25, total_distance FROM tr) JOIN tr USING (track_id)", 3),
-    "sector_context_window": ("SELECT track_id, sector_id, CASE WHEN w < t THEN s END AS win_start, CASE WHEN w < t THEN s + w END AS win_end FROM (SELECT *, least(greatest((start_m + end_m) / 2 - w / 2, 0), t - w) AS s FROM (SELECT *, total_distance AS t, least(greatest((end_m - start_m) / 0.82, 100), total_distance) AS w FROM sec JOIN tr USING (track_id)))", 3),
-    "parse_elevation_tag": ("SELECT response_id, pos, coalesce(CAST(e_m AS DOUBLE), e_ft * 0.3048) AS metres FROM el", 3),
-    "localized_name": ("SELECT response_id, pos, coalesce(name_en, nullif(name, '')) AS name FROM el", 3),
-    "landmark_gate": ("SELECT response_id, pos, g AS gate, z AS icon_zoom, z + 1 AS text_zoom FROM (SELECT *, CASE WHEN g LIKE '%-major' THEN 9 WHEN g IN ('peak', 'volcano') THEN 11 WHEN g IN ('saddle', 'waterfall') THEN 12 ELSE 13 END AS z FROM (SELECT *, CASE WHEN class IN ('peak', 'volcano') AND rank <= 2 THEN class || '-major' ELSE class END AS g FROM marks))", 3),
-    "scan_landmarks": ("SELECT response_id, pos, class, lat, lon FROM marks", 3),
-    "track_points": ("SELECT track_id, seq, lat, lon, ele, time_ms, hr, cad, power, temp, speed FROM p", 3),
-    "cum_distance": ("SELECT track_id, seq, seg_m, cum_dist FROM p", 3),
-    "track_summary": ("SELECT * FROM tr", 3),
-    "fill_ele_gaps": (f"SELECT track_id, seq, fixed AS ele FROM ({interpolated('gappy', 'PARTITION BY track_id', 'seq', 'ele')})", 3),
-    "cadence_convention": ("SELECT track_id, CASE WHEN n < 30 OR greatest(s, d) < 0.55 THEN 'unknown' WHEN s >= d THEN 'single' ELSE 'double' END AS convention, CASE WHEN n >= 30 AND greatest(s, d) >= 0.55 AND s >= d THEN 2 ELSE 1 END AS factor FROM (SELECT track_id, count(*) AS n, avg(CASE WHEN k BETWEEN 1.6 AND 2.4 THEN 1.0 ELSE 0 END) AS s, avg(CASE WHEN k BETWEEN 0.7 AND 1.4 THEN 1.0 ELSE 0 END) AS d FROM (SELECT track_id, CAST(1.25 + seq % 3 * 0.1 AS DOUBLE) * 60 / ([500, 1000, 2000][track_id % 3 + 1] / 1000.0) / cad AS k FROM p WHERE cad > 0) GROUP BY 1)", 3),
-    "speed_series": ("SELECT track_id, seq, raw_speed, clean_speed FROM sp", 3),
-    "smooth5": (f"SELECT track_id, seq, avg(hr) OVER (PARTITION BY track_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS hr5 FROM p", 3),
-    "sigma_filter": ("SELECT track_id, seq FROM (SELECT *, power * power AS v, avg(power * power) OVER (PARTITION BY track_id) AS mu, stddev_pop(power * power) OVER (PARTITION BY track_id) AS sg FROM p) WHERE abs(v - mu) <= 3 * sg", 3),
-    "gap_speed_series": (f"SELECT track_id, seq, CASE WHEN dd > 0 AND dz IS NOT NULL THEN clean_speed / {minetti('(dz / dd)')} END AS gap_speed FROM sp", 3),
-    "elapsed_axis": (f"SELECT track_id, seq, greatest(0, time_ms - first_value(time_ms) OVER {W}) AS elapsed_ms FROM p", 3),
-    "series_extremes": (f"SELECT track_id, series, min(v) AS lo, max(v) AS hi FROM (SELECT track_id, unnest(['ele', 'hr', 'cad', 'power', 'temp', 'clean_speed', 'gap_speed']) AS series, unnest([ele, hr, cad, power, temp, clean_speed, CASE WHEN dd > 0 AND dz IS NOT NULL THEN clean_speed / {minetti('(dz / dd)')} END]) AS v FROM sp) GROUP BY 1, 2", 3),
-    "series_range": ("SELECT track_id, series, CASE WHEN series = 'ele' THEN lo - greatest(0.08 * (hi - lo), 4) ELSE greatest(0, lo - pad) END AS y_min, CASE WHEN series = 'ele' THEN hi + greatest(0.08 * (hi - lo), 4) WHEN series = 'clean_speed' THEN hi ELSE hi + pad END AS y_max FROM (SELECT *, CASE WHEN greatest(0.08 * (hi - lo), 0.04 * (hi + lo) / 2) > 0 THEN greatest(0.08 * (hi - lo), 0.04 * (hi + lo) / 2) ELSE 1 END AS pad FROM (SELECT track_id, series, min(v) AS lo, max(v) AS hi FROM (SELECT track_id, unnest(['ele', 'hr', 'cad', 'clean_speed']) AS series, unnest([ele, hr, cad, clean_speed]) AS v FROM sp) GROUP BY 1, 2))", 3),
-    "overlay_availability": ("SELECT track_id, has_hr AS hr, has_cad AS cad, has_power AS power, has_temp AS temp, has_time OR has_recorded_speed AS speed, (has_time OR has_recorded_speed) AND has_elevation AS gap, has_elevation AS grade FROM tr", 3),
-    "thin_stride": ("SELECT track_id, seq FROM (SELECT track_id, seq, count(*) OVER (PARTITION BY track_id) AS n FROM p) WHERE seq % CAST(ceil(n / 100.0) AS BIGINT) = 0 OR seq = n - 1", 3),
-    "concat_segments": ("SELECT CAST(track_id AS VARCHAR) AS doc, 3 - seq // 200 AS part, seq AS place, row_number() OVER (PARTITION BY track_id ORDER BY 3 - seq // 200, seq) - 1 AS seq, ele FROM p", 3),
-    "point_at_distance": ("SELECT track_id, k, d, i, t, lat, lon, ele, time_ms, dist FROM reqs", 3),
-    "probe_reading": ("SELECT q.track_id, k, q.ele, n.hr, n.cad, n.power, n.temp FROM reqs q JOIN p n ON n.track_id = q.track_id AND n.seq = q.i + CASE WHEN q.t < 0.5 THEN 0 ELSE 1 END", 3),
-    "dist_to_time": ("SELECT track_id, k, time_ms FROM reqs", 3),
-    "classify_hr_zone": ("SELECT track_id, seq, CASE WHEN hr IS NOT NULL THEN (SELECT coalesce(max(zone), 0) FROM zn WHERE lo <= hr) END AS zone FROM p", 3),
-    "pair_filter": (f"SELECT track_id, x_name, y_name FROM (SELECT track_id, {QUANT}[seq // 9 + 1] AS x_name, {QUANT}[seq % 9 + 1] AS y_name FROM p WHERE seq < 81) WHERE (x_name, y_name) IN ({PAIRS})", 3),
-    "dem_sample": ("SELECT track_id, seq, dem_ele FROM ds", 3),
-    "dem_tiles_needed": ("SELECT DISTINCT CAST((floor(fx) + i) // 512 AS BIGINT) AS tx, CAST((floor(fy) + j) // 512 AS BIGINT) AS ty FROM px, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j)", 3),
-    "ele_fill": ("SELECT track_id, seq, coalesce(ele, dem_ele) AS ele, ele AS ele_original FROM ds", 3),
-    "ele_replace": ("SELECT track_id, seq, coalesce(dem_ele, ele) AS ele, ele AS ele_original FROM ds", 3),
-    "ele_restore": ("SELECT track_id, seq, ele FROM ds", 3),
-    "ele_apply": ("SELECT *, CASE WHEN candidates = 0 THEN 'nothing-to-fill' WHEN applied = 0 THEN 'failed-all' ELSE 'applied' END AS status FROM (SELECT track_id, sum(CASE WHEN ele IS NULL THEN 1 ELSE 0 END) AS candidates, sum(CASE WHEN ele IS NULL AND dem_ele IS NOT NULL THEN 1 ELSE 0 END) AS applied, sum(CASE WHEN ele IS NULL AND dem_ele IS NULL THEN 1 ELSE 0 END) AS failed FROM ds GROUP BY 1)", 3),
-    "sector_walk": ("SELECT track_id, sector_id, step, to_dist, to_ele, to_ms, seg_h, d_ele, dt FROM wk WHERE step > 0", 3),
-    "pause_spans": ("SELECT track_id, sector_id, min(from_ms) AS t0, max(to_ms) AS t1 FROM wk WHERE paused GROUP BY track_id, sector_id, island", 3),
-    "pause_mask": ("SELECT track_id, sector_id, vseq, paused FROM wk WHERE kind = 'point'", 3),
-    "pause_overlap": ("SELECT track_id, sector_id, vseq FROM wk WHERE kind <> 'end' AND NOT (kind = 'point' AND paused)", 3),
-    "sector_distance": ("SELECT * FROM dist", 3),
-    "sector_gain_loss": ("SELECT track_id, sector_id, gain, loss FROM fold", 3),
-    "sector_elevation": ("SELECT * FROM elev", 3),
-    "sector_grades": ("SELECT track_id, sector_id, max_grade, min_grade FROM fold", 3),
-    "moving_time": ("SELECT * FROM mov", 3),
-    "avg_speed": ("SELECT * FROM spd", 3),
-    "avg_gap": ("SELECT * FROM gapm", 3),
-    "max_speed": ("SELECT * FROM mx", 3),
-    "vertical_rates": (f"SELECT track_id, sector_id, {RATE.format(s='climb_s', m='gain', n='vam')}, {RATE.format(s='descend_s', m='loss', n='vdm')} FROM fold", 3),
-    "fitness_stats": ("SELECT * FROM fits", 3),
-    "temp_stats": ("SELECT * FROM temps", 3),
-    "fastest_slowest_km": ("SELECT * FROM kms", 3),
-    "effort_distance": ("SELECT track_id, sector_id, horizontal_m + gain * 10 AS effort_distance, CASE WHEN horizontal_m > 0 AND NOT (gain = 0 AND loss > 0) THEN gain / horizontal_m END AS avg_grade FROM dist JOIN fold USING (track_id, sector_id)", 3),
-    "segment_type": ("SELECT track_id, sector_id, segment_type AS kind FROM typed", 3),
-    "sector_metrics": (METRICS, 3),
-    "sector_leaderboard": (f"SELECT segment_type, place, track_id, sector_id, avg_pace FROM (SELECT *, row_number() OVER (PARTITION BY segment_type ORDER BY avg_pace, track_id, sector_id) AS place FROM spd JOIN typed USING (track_id, sector_id) WHERE avg_pace IS NOT NULL) WHERE place <= 3", 3),
-    "hr_zone_time": ("SELECT * FROM ztime", 3),
-    "zone_share_pct": (f"SELECT track_id, sector_id, {SHARES} FROM ztime", 3),
-    "split_by_length": (SPLIT, 3),
-    "grade_class": ("SELECT track_id, seq, cls FROM cls", 3),
-    "grade_runs": ("SELECT * FROM runs", 3),
-    "sector_grade_windows": ("SELECT * FROM gw", 3),
-    "analysis_samples": ("SELECT * FROM samples", 3),
-    "metric_availability": ("SELECT track_id, sector_id, " + ", ".join(f"count({q}) > 0 AS has_{q}" for q in QUANT) + " FROM samples GROUP BY 1, 2", 3),
-    "extract_pair": ("SELECT * FROM pairs", 3),
-    "robust_domain": ("SELECT * FROM dom", 3),
-    "density_2d": ("SELECT * FROM dens", 3),
-    "relative_density": (f"SELECT *, n / CAST(max(n) OVER ({SEC}) AS DOUBLE) AS share FROM dens", 3),
-    "scan_gpx": ("SELECT CAST(track_id AS VARCHAR) AS doc, seq, lat, lon, ele, time_ms, hr, cad, power, temp, speed FROM p", 3),
-    "scan_gpx_route": ("SELECT CAST(track_id AS VARCHAR) AS doc, seq, lat, lon, ele FROM p", 3),
-    "scan_gpx_waypoints": ("SELECT CAST(track_id AS VARCHAR) AS doc, k AS wp_seq, lat, lon, CAST(ele AS DOUBLE) AS ele, name FROM (SELECT DISTINCT track_id FROM p), (VALUES (0, 45.5, 7.5, 900, 'Hut'), (2, 45.6, 7.6, NULL, NULL)) v(k, lat, lon, ele, name)", 3),
-    "scan_kml": ("SELECT CAST(track_id AS VARCHAR) AS doc, seq, lat, lon, ele FROM p", 3),
-    "scan_kmz": ("SELECT CAST(track_id AS VARCHAR) AS doc, seq, lat, lon, ele FROM p", 3),
-    "scan_kml_waypoints": ("SELECT CAST(track_id AS VARCHAR) AS doc, k AS wp_seq, lat, lon, CAST(ele AS DOUBLE) AS ele, name FROM (SELECT DISTINCT track_id FROM p), (VALUES (0, 45.5, 7.5, 1000, 'Summit'), (1, 45.25, 7.25, NULL, 'a place')) v(k, lat, lon, ele, name)", 3),
-    "scan_tcx": (f"SELECT CAST(track_id AS VARCHAR) AS doc, k AS seq, lat, lon, fixed AS ele, time_ms, hr, cad, power, CAST(NULL AS DOUBLE) AS temp, speed FROM ({interpolated('(SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS k, lat, lon, CASE WHEN seq % 7 <> 3 THEN ele END AS ele, time_ms, hr, cad, power, speed FROM p WHERE seq % 31 <> 4)', 'PARTITION BY track_id', 'k', 'ele')})", 3),
-    "sink_parquet": ("SELECT track_id, point_count, total_distance FROM tr", 3),
-    "ingest_errors": ("SELECT CAST(track_id AS VARCHAR) AS doc, CASE track_id % 5 WHEN 1 THEN 'unsupported' WHEN 2 THEN 'invalid' ELSE 'noTrack' END AS error FROM tr WHERE track_id % 5 IN (1, 2, 3)", 3),
+#: name: last SELECT
+FINAL: dict[str, str] = {
+    "haversine": f"SELECT track_id, seq, {hav('lat', 'lon', 'lat + 0.01', 'lon - 0.02')} AS d FROM pn WHERE dd IS NOT NULL",
+    "segment_3d": "SELECT track_id, seq, sqrt(dd * dd + dz * dz) AS d3 FROM pn WHERE dd IS NOT NULL",
+    "minetti_factor": f"SELECT track_id, seq, {minetti('(dz / dd)')} AS factor FROM pn WHERE dd > 0",
+    "speed_to_pace": "SELECT track_id, seq, CASE WHEN speed > 0 THEN 1000 / speed END AS pace FROM p",
+    "speed_implausible": "SELECT track_id, seq, coalesce(dt > 0 AND dd >= 0 AND speed > 1.5 * dd / dt, false) AS implausible FROM pn",
+    "unit_convert": "SELECT track_id, seq, ele / 0.3048 AS feet, cum_dist / 1609.344 AS miles, speed * 3.6 AS kmh, speed * 2.2369362920544 AS mph, CASE WHEN speed > 0 THEN 1000 / speed END * 1.609344 AS pace_mile, temp * 9 / 5 + 32 AS fahrenheit FROM p",
+    "cadence_display": "SELECT track_id, seq, cad * (track_id % 2 + 1) AS cad FROM p",
+    "tile_fraction": f"SELECT track_id, seq, {X12.replace('lon', '(lon + seq * 3)')} AS x, CASE WHEN lat + seq % 50 <= 85.0511287 THEN {Y12.replace('lat', '(lat + seq % 50)')} END AS y FROM p",
+    "terrarium_decode": "SELECT track_id, seq, CASE WHEN e BETWEEN -12000 AND 9000 THEN e END AS e FROM (SELECT *, (cad + seq % 150) * 256 + seq % 256 + (track_id % 256) / 256.0 - 32768 AS e FROM (SELECT track_id, seq, cad FROM p))",
+    "parse_iso_time": "SELECT track_id, seq, CASE WHEN seq % 9 <> 4 THEN time_ms END AS ms FROM p",
+    "parse_number": "SELECT track_id, seq, CASE WHEN seq % 9 NOT IN (4, 5) THEN ele END AS v FROM p",
+    "format_duration": "SELECT track_id, seq, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS duration FROM (SELECT track_id, seq, CAST(floor((time_ms - 1704067200000) / 1000 * 3 + 0.25) AS BIGINT) AS s FROM p)",
+    "format_bpm_range": "SELECT track_id, seq, CASE WHEN hr IS NULL THEN NULL WHEN seq % 3 > 0 THEN CAST(hr AS INT) || '–' || CAST(hr + 9 AS INT) || ' bpm' ELSE CAST(hr AS INT) || '+ bpm' END AS range, CAST(cad AS INT) || '%' AS percent FROM p",
+    "zone_bounds": "SELECT track_id, zone, lo, hi FROM hz",
+    "zone_display_range": "SELECT track_id, zone, CAST(ceil(lo + 0.5) AS BIGINT) AS shown_lo, CAST(ceil(hi) - 1 AS BIGINT) AS shown_hi FROM hz",
+    "zone_boundary_pct": "SELECT track_id, zone, 100 * CASE md WHEN 0 THEN lo / max_hr WHEN 1 THEN (lo - rest_hr) / (max_hr - rest_hr) ELSE lo / lthr END AS pct FROM hz",
+    "validate_hr_settings": "SELECT track_id, CASE WHEN max_hr NOT BETWEEN 100 AND 260 THEN 'max_range' WHEN rest_hr NOT BETWEEN 20 AND 150 THEN 'rest_range' WHEN lthr >= max_hr OR lthr <= rest_hr THEN 'lthr_order' WHEN track_id % 11 = 5 THEN 'max_bounds_rising' WHEN 153 >= lthr THEN 'lthr_top' END AS error FROM hs",
+    "normalize_sector": "SELECT track_id, sector_id, CASE WHEN b - a < 5 THEN greatest(0, least(a, least(a + 5, t) - 5)) ELSE a END AS start_m, CASE WHEN b - a < 5 THEN least(a + 5, t) ELSE b END AS end_m FROM (SELECT track_id, sector_id, total_distance AS t, greatest(0, least(least(end_m * 1.3 - 400, start_m), total_distance)) AS a, greatest(0, least(greatest(end_m * 1.3 - 400, start_m), total_distance)) AS b FROM sec JOIN tr USING (track_id))",
+    "is_entire_track": "SELECT track_id, sector_id, start_m <= 0.5 AND end_m >= total_distance - 0.5 AS entire FROM (SELECT * FROM sec UNION ALL SELECT track_id, 5000, 0.25, total_distance FROM tr) JOIN tr USING (track_id)",
+    "sector_context_window": "SELECT track_id, sector_id, CASE WHEN w < t THEN s END AS win_start, CASE WHEN w < t THEN s + w END AS win_end FROM (SELECT *, least(greatest((start_m + end_m) / 2 - w / 2, 0), t - w) AS s FROM (SELECT *, total_distance AS t, least(greatest((end_m - start_m) / 0.82, 100), total_distance) AS w FROM sec JOIN tr USING (track_id)))",
+    "parse_elevation_tag": "SELECT response_id, pos, coalesce(CAST(e_m AS DOUBLE), e_ft * 0.3048) AS metres FROM el",
+    "localized_name": "SELECT response_id, pos, coalesce(name_en, nullif(name, '')) AS name FROM el",
+    "landmark_gate": "SELECT response_id, pos, g AS gate, z AS icon_zoom, z + 1 AS text_zoom FROM (SELECT *, CASE WHEN g LIKE '%-major' THEN 9 WHEN g IN ('peak', 'volcano') THEN 11 WHEN g IN ('saddle', 'waterfall') THEN 12 ELSE 13 END AS z FROM (SELECT *, CASE WHEN class IN ('peak', 'volcano') AND rank <= 2 THEN class || '-major' ELSE class END AS g FROM marks))",
+    "scan_landmarks": "SELECT response_id, pos, class, lat, lon FROM marks",
+    "track_points": "SELECT track_id, seq, lat, lon, ele, time_ms, hr, cad, power, temp, speed FROM p",
+    "cum_distance": "SELECT track_id, seq, seg_m, cum_dist FROM p",
+    "track_summary": "SELECT * FROM tr",
+    "fill_ele_gaps": f"SELECT track_id, seq, fixed AS ele FROM ({interpolated('gappy', 'PARTITION BY track_id', 'seq', 'ele')})",
+    "cadence_convention": "SELECT track_id, CASE WHEN n < 30 OR greatest(s, d) < 0.55 THEN 'unknown' WHEN s >= d THEN 'single' ELSE 'double' END AS convention, CASE WHEN n >= 30 AND greatest(s, d) >= 0.55 AND s >= d THEN 2 ELSE 1 END AS factor FROM (SELECT track_id, count(*) AS n, avg(CASE WHEN k BETWEEN 1.6 AND 2.4 THEN 1.0 ELSE 0 END) AS s, avg(CASE WHEN k BETWEEN 0.7 AND 1.4 THEN 1.0 ELSE 0 END) AS d FROM (SELECT track_id, CAST(1.25 + seq % 3 * 0.1 AS DOUBLE) * 60 / ([500, 1000, 2000][track_id % 3 + 1] / 1000.0) / cad AS k FROM p WHERE cad > 0) GROUP BY 1)",
+    "speed_series": "SELECT track_id, seq, raw_speed, clean_speed FROM sp",
+    "smooth5": f"SELECT track_id, seq, avg(hr) OVER (PARTITION BY track_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS hr5 FROM p",
+    "sigma_filter": "SELECT track_id, seq FROM (SELECT *, power * power AS v, avg(power * power) OVER (PARTITION BY track_id) AS mu, stddev_pop(power * power) OVER (PARTITION BY track_id) AS sg FROM p) WHERE abs(v - mu) <= 3 * sg",
+    "gap_speed_series": f"SELECT track_id, seq, CASE WHEN dd > 0 AND dz IS NOT NULL THEN clean_speed / {minetti('(dz / dd)')} END AS gap_speed FROM sp",
+    "elapsed_axis": f"SELECT track_id, seq, greatest(0, time_ms - first_value(time_ms) OVER {W}) AS elapsed_ms FROM p",
+    "series_extremes": f"SELECT track_id, series, min(v) AS lo, max(v) AS hi FROM (SELECT track_id, unnest(['ele', 'hr', 'cad', 'power', 'temp', 'clean_speed', 'gap_speed']) AS series, unnest([ele, hr, cad, power, temp, clean_speed, CASE WHEN dd > 0 AND dz IS NOT NULL THEN clean_speed / {minetti('(dz / dd)')} END]) AS v FROM sp) GROUP BY 1, 2",
+    "series_range": "SELECT track_id, series, CASE WHEN series = 'ele' THEN lo - greatest(0.08 * (hi - lo), 4) ELSE greatest(0, lo - pad) END AS y_min, CASE WHEN series = 'ele' THEN hi + greatest(0.08 * (hi - lo), 4) WHEN series = 'clean_speed' THEN hi ELSE hi + pad END AS y_max FROM (SELECT *, CASE WHEN greatest(0.08 * (hi - lo), 0.04 * (hi + lo) / 2) > 0 THEN greatest(0.08 * (hi - lo), 0.04 * (hi + lo) / 2) ELSE 1 END AS pad FROM (SELECT track_id, series, min(v) AS lo, max(v) AS hi FROM (SELECT track_id, unnest(['ele', 'hr', 'cad', 'clean_speed']) AS series, unnest([ele, hr, cad, clean_speed]) AS v FROM sp) GROUP BY 1, 2))",
+    "overlay_availability": "SELECT track_id, has_hr AS hr, has_cad AS cad, has_power AS power, has_temp AS temp, has_time OR has_recorded_speed AS speed, (has_time OR has_recorded_speed) AND has_elevation AS gap, has_elevation AS grade FROM tr",
+    "thin_stride": "SELECT track_id, seq FROM (SELECT track_id, seq, count(*) OVER (PARTITION BY track_id) AS n FROM p) WHERE seq % CAST(ceil(n / 100.0) AS BIGINT) = 0 OR seq = n - 1",
+    "concat_segments": "SELECT CAST(track_id AS VARCHAR) AS doc, 3 - seq // 200 AS part, seq AS place, row_number() OVER (PARTITION BY track_id ORDER BY 3 - seq // 200, seq) - 1 AS seq, ele FROM p",
+    "point_at_distance": "SELECT track_id, k, d, i, t, lat, lon, ele, time_ms, dist FROM reqs",
+    "probe_reading": "SELECT q.track_id, k, q.ele, n.hr, n.cad, n.power, n.temp FROM reqs q JOIN p n ON n.track_id = q.track_id AND n.seq = q.i + CASE WHEN q.t < 0.5 THEN 0 ELSE 1 END",
+    "dist_to_time": "SELECT track_id, k, time_ms FROM reqs",
+    "classify_hr_zone": "SELECT track_id, seq, CASE WHEN hr IS NOT NULL THEN (SELECT coalesce(max(zone), 0) FROM zn WHERE lo <= hr) END AS zone FROM p",
+    "pair_filter": f"SELECT track_id, x_name, y_name FROM (SELECT track_id, {QUANT}[seq // 9 + 1] AS x_name, {QUANT}[seq % 9 + 1] AS y_name FROM p WHERE seq < 81) WHERE (x_name, y_name) IN ({PAIRS})",
+    "dem_sample": "SELECT track_id, seq, dem_ele FROM ds",
+    "dem_tiles_needed": "SELECT DISTINCT (CAST(floor(fx) AS BIGINT) + i) // 512 AS tx, (CAST(floor(fy) AS BIGINT) + j) // 512 AS ty FROM px, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j)",
+    "ele_fill": "SELECT track_id, seq, coalesce(ele, dem_ele) AS ele, ele AS ele_original FROM ds",
+    "ele_replace": "SELECT track_id, seq, coalesce(dem_ele, ele) AS ele, ele AS ele_original FROM ds",
+    "ele_restore": "SELECT track_id, seq, ele FROM ds",
+    "ele_apply": "SELECT *, CASE WHEN candidates = 0 THEN 'nothing-to-fill' WHEN applied = 0 THEN 'failed-all' ELSE 'applied' END AS status FROM (SELECT track_id, sum(CASE WHEN ele IS NULL THEN 1 ELSE 0 END) AS candidates, sum(CASE WHEN ele IS NULL AND dem_ele IS NOT NULL THEN 1 ELSE 0 END) AS applied, sum(CASE WHEN ele IS NULL AND dem_ele IS NULL THEN 1 ELSE 0 END) AS failed FROM ds GROUP BY 1)",
+    "sector_walk": "SELECT track_id, sector_id, step, to_dist, to_ele, to_ms, seg_h, d_ele, dt FROM wk WHERE step > 0",
+    "pause_spans": "SELECT track_id, sector_id, min(from_ms) AS t0, max(to_ms) AS t1 FROM wk WHERE paused GROUP BY track_id, sector_id, island",
+    "pause_mask": "SELECT track_id, sector_id, vseq, paused FROM wk WHERE kind = 'point'",
+    "pause_overlap": "SELECT track_id, sector_id, vseq FROM wk WHERE kind <> 'end' AND NOT (kind = 'point' AND paused)",
+    "sector_distance": "SELECT * FROM dist",
+    "sector_gain_loss": "SELECT track_id, sector_id, gain, loss FROM fold",
+    "sector_elevation": "SELECT * FROM elev",
+    "sector_grades": "SELECT track_id, sector_id, max_grade, min_grade FROM fold",
+    "moving_time": "SELECT * FROM mov",
+    "avg_speed": "SELECT * FROM spd",
+    "avg_gap": "SELECT * FROM gapm",
+    "max_speed": "SELECT * FROM mx",
+    "vertical_rates": f"SELECT track_id, sector_id, {RATE.format(s='climb_s', m='gain', n='vam')}, {RATE.format(s='descend_s', m='loss', n='vdm')} FROM fold",
+    "fitness_stats": "SELECT * FROM fits",
+    "temp_stats": "SELECT * FROM temps",
+    "fastest_slowest_km": "SELECT * FROM kms",
+    "effort_distance": "SELECT track_id, sector_id, horizontal_m + gain * 10 AS effort_distance, CASE WHEN horizontal_m > 0 AND NOT (gain = 0 AND loss > 0) THEN gain / horizontal_m END AS avg_grade FROM dist JOIN fold USING (track_id, sector_id)",
+    "segment_type": "SELECT track_id, sector_id, segment_type AS kind FROM typed",
+    "sector_metrics": METRICS,
+    "sector_leaderboard": f"SELECT segment_type, place, track_id, sector_id, avg_pace FROM (SELECT *, row_number() OVER (PARTITION BY segment_type ORDER BY avg_pace, track_id, sector_id) AS place FROM spd JOIN typed USING (track_id, sector_id) WHERE avg_pace IS NOT NULL) WHERE place <= 3",
+    "hr_zone_time": "SELECT * FROM ztime",
+    "zone_share_pct": f"SELECT track_id, sector_id, {SHARES} FROM ztime",
+    "split_by_length": SPLIT,
+    "grade_class": "SELECT track_id, seq, cls FROM cls",
+    "grade_runs": "SELECT * FROM runs",
+    "sector_grade_windows": "SELECT * FROM gw",
+    "analysis_samples": "SELECT * FROM samples",
+    "metric_availability": "SELECT track_id, sector_id, " + ", ".join(f"count({q}) > 0 AS has_{q}" for q in QUANT) + " FROM samples GROUP BY 1, 2",
+    "extract_pair": "SELECT * FROM pairs",
+    "robust_domain": "SELECT * FROM dom",
+    "density_2d": "SELECT * FROM dens",
+    "relative_density": f"SELECT *, n / CAST(max(n) OVER ({SEC}) AS DOUBLE) AS share FROM dens",
+    "scan_gpx": "SELECT CAST(track_id AS VARCHAR) AS doc, seq, lat, lon, ele, time_ms, hr, cad, power, temp, speed FROM p",
+    "scan_gpx_route": "SELECT CAST(track_id AS VARCHAR) AS doc, seq, lat, lon, ele FROM p",
+    "scan_gpx_waypoints": "SELECT CAST(track_id AS VARCHAR) AS doc, k AS wp_seq, lat, lon, CAST(ele AS DOUBLE) AS ele, name FROM (SELECT DISTINCT track_id FROM p), (VALUES (0, 45.5, 7.5, 900, 'Hut'), (2, 45.6, 7.6, NULL, NULL)) v(k, lat, lon, ele, name)",
+    "scan_kml": "SELECT CAST(track_id AS VARCHAR) AS doc, seq, lat, lon, ele FROM p",
+    "scan_kmz": "SELECT CAST(track_id AS VARCHAR) AS doc, seq, lat, lon, ele FROM p",
+    "scan_kml_waypoints": "SELECT CAST(track_id AS VARCHAR) AS doc, k AS wp_seq, lat, lon, CAST(ele AS DOUBLE) AS ele, name FROM (SELECT DISTINCT track_id FROM p), (VALUES (0, 45.5, 7.5, 1000, 'Summit'), (1, 45.25, 7.25, NULL, 'a place')) v(k, lat, lon, ele, name)",
+    "scan_tcx": f"SELECT CAST(track_id AS VARCHAR) AS doc, k AS seq, lat, lon, fixed AS ele, time_ms, hr, cad, power, CAST(NULL AS DOUBLE) AS temp, speed FROM ({interpolated('(SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS k, lat, lon, CASE WHEN seq % 7 <> 3 THEN ele END AS ele, time_ms, hr, cad, power, speed FROM p WHERE seq % 31 <> 4)', 'PARTITION BY track_id', 'k', 'ele')})",
+    "sink_parquet": "SELECT track_id, point_count, total_distance FROM tr",
+    "ingest_errors": "SELECT CAST(track_id AS VARCHAR) AS doc, CASE track_id % 5 WHEN 1 THEN 'unsupported' WHEN 2 THEN 'invalid' ELSE 'noTrack' END AS error FROM tr WHERE track_id % 5 IN (1, 2, 3)",
 }
 
 
@@ -271,10 +273,11 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     con = duckdb.connect()
     con.execute("CREATE TABLE lineitem (l_orderkey BIGINT, l_linenumber BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_extendedprice DOUBLE, l_quantity DOUBLE, l_shipdate DATE)")
-    for name, (query, digits) in FINAL.items():
+    for name, query in FINAL.items():
+        digits = DIGITS.get(name, 3)
         sql = f"WITH {chain}\n{query}"
         kinds = con.execute(f"DESCRIBE {sql}").fetchall()
         real = lambda t: t in ("DOUBLE", "FLOAT") or t.startswith("DECIMAL")
-        shown = [f'round(CAST("{c}" AS DOUBLE) + 1e-7, {digits}) + CAST(0 AS DOUBLE) AS "{c}"' if real(t) else f'CAST("{c}" AS BIGINT) AS "{c}"' if "INT" in t else f'"{c}"' for c, t, *_ in kinds]
+        shown = [f'round(CAST("{c}" AS DOUBLE) + 1e-7, {places(c, digits)}) + CAST(0 AS DOUBLE) AS "{c}"' if real(t) else f'CAST("{c}" AS BIGINT) AS "{c}"' if "INT" in t else f'"{c}"' for c, t, *_ in kinds]
         out[name] = f"SELECT {', '.join(shown)} FROM (WITH {chain}\n{query})"
     return out

@@ -23,8 +23,13 @@ def r(c: Column | str, digits: int = 3) -> Column:
     return F.round(c + 1e-7, digits) + F.lit(0.0)
 
 
+def places(column: str, digits: int) -> int:
+    """Times in milliseconds are too large for decimals."""
+    return 0 if column.endswith("_ms") or column in ("t0", "t1") else digits
+
+
 def rounded(df: DataFrame, digits: int = 3) -> DataFrame:
-    return df.select(*[r(c, digits).alias(c) if t in ("double", "float") else F.col(c).cast("long").alias(c) if t in ("int", "bigint", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes])
+    return df.select(*[r(c, places(c, digits)).alias(c) if t in ("double", "float") else F.col(c).cast("long").alias(c) if t in ("int", "bigint", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes])
 
 
 class Base:
@@ -35,7 +40,7 @@ class Base:
 
     @cached_property
     def points(self) -> DataFrame:
-        return track.cum_distance(fixtures.track_points(self.spark, self.sf_dir))
+        return track.cum_distance(fixtures.track_points(self.spark, self.sf_dir), 6)
 
     @cached_property
     def next(self) -> DataFrame:
@@ -122,8 +127,9 @@ class Base:
         return f"{shared}/{name}-{uuid.uuid4().hex}"
 
     def lines(self, documents: DataFrame, name: str) -> str:
+        """The folder of documents (key, text), one file each."""
         path = self.folder(name)
-        documents.write.text(path)
+        documents.toDF("file_key", "value").repartition("file_key").write.partitionBy("file_key").text(path)
         return path
 
     def files(self, documents: DataFrame) -> DataFrame:
@@ -132,9 +138,10 @@ class Base:
 
     @cached_property
     def readings(self) -> DataFrame:
-        """A stream of readings from the events: devices are users."""
-        schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-        stream = self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/events.parquet")
+        """The events replayed as a stream of readings from a folder of files: devices are users."""
+        events, path = self.spark.read.parquet(f"{self.sf_dir}/events.parquet"), self.folder("events")
+        events.write.parquet(path)
+        stream = self.spark.readStream.schema(events.schema).parquet(path)
         return stream.selectExpr("user_id as track_id", "cast(ts as timestamp) ts", "value as x", "value % 50 as ele", "90 + value % 100 as hr")
 
 
@@ -353,12 +360,12 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
     stream = lambda f: live.run_available(f(b.readings), b.folder("stream"))
     return {
         "scan_detect_format": lambda: activity.detect_format(mixed_files()).select("path", "format"),
-        "scan_gpx": lambda: activity.scan_gpx(b.spark, b.lines(gpx().select("gpx"), "gpx")).select(*scan),
-        "scan_gpx_route": lambda: activity.scan_gpx_route(b.spark, b.lines(route_documents(b.points).select("x"), "gpx")).select("doc", "seq", "lat", "lon", "ele"),
-        "scan_gpx_waypoints": lambda: activity.scan_gpx_waypoints(b.spark, b.lines(route_documents(b.points).select("x"), "gpx")).select("doc", "wp_seq", "lat", "lon", "ele", "name"),
-        "scan_tcx": lambda: activity.scan_tcx(b.spark, b.lines(tcx_documents(b.points).select("x"), "tcx")).select(*scan),
-        "scan_kml": lambda: activity.scan_kml(b.spark, b.lines(kml_documents(b.points).select("x"), "kml")).select("doc", "seq", "lat", "lon", "ele"),
-        "scan_kml_waypoints": lambda: activity.scan_kml_waypoints(b.spark, b.lines(kml_documents(b.points).select("x"), "kml")),
+        "scan_gpx": lambda: activity.scan_gpx(b.spark, b.lines(gpx().select("track_id", "gpx"), "gpx")).select(*scan),
+        "scan_gpx_route": lambda: activity.scan_gpx_route(b.spark, b.lines(route_documents(b.points), "gpx")).select("doc", "seq", "lat", "lon", "ele"),
+        "scan_gpx_waypoints": lambda: activity.scan_gpx_waypoints(b.spark, b.lines(route_documents(b.points), "gpx")).select("doc", "wp_seq", "lat", "lon", "ele", "name"),
+        "scan_tcx": lambda: activity.scan_tcx(b.spark, b.lines(tcx_documents(b.points), "tcx")).select(*scan),
+        "scan_kml": lambda: activity.scan_kml(b.spark, b.lines(kml_documents(b.points), "kml")).select("doc", "seq", "lat", "lon", "ele"),
+        "scan_kml_waypoints": lambda: activity.scan_kml_waypoints(b.spark, b.lines(kml_documents(b.points), "kml")),
         "scan_kmz": lambda: activity.scan_kmz(zipped(kml_documents(b.points))).select("doc", "seq", "lat", "lon", "ele"),
         "scan_device_records": lambda: activity.scan_device_records(b.device).select("doc", "seq", "lat", "lon", "ele", "hr", "cad", "speed"),
         "ingest_errors": errors,
@@ -412,11 +419,15 @@ NAMES = {
 }
 
 
+#: Decimals compared where it is not three: terrain is steep against the rounding of pixel places.
+DIGITS = {name: 1 for name in ("dem_sample", "ele_fill", "ele_replace", "ele_restore", "landmarks_near_track")}
+
+
 def build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     b = Base(spark, sf_dir)
     for group in (_scalars, _tracks, _sectors, _elevation, _files):
         if name in NAMES[group.__name__]:
-            return rounded(group(b)[name]())
+            return rounded(group(b)[name](), DIGITS.get(name, 3))
     raise KeyError(name)
 
 
