@@ -37,7 +37,7 @@ def pause_step(state: tuple, rows) -> tuple[tuple, list[tuple]]:
     """A stop of ten seconds or more is one pause, reported when movement goes on."""
     last_ts, last_x, since, stopped = state
     found = []
-    for ts, x in zip(rows["ts"].astype("int64").to_numpy() // 1000, rows["x"].to_numpy(), strict=True):
+    for ts, x in zip(rows["ts"].astype("datetime64[us]").astype("int64").to_numpy(), rows["x"].to_numpy(), strict=True):
         ts, x = int(ts), float(x)
         if last_ts >= 0 and ts > last_ts:
             dt = (ts - last_ts) / 1e6
