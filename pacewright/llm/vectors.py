@@ -4,10 +4,11 @@ Vectors are scaled to unit length in double precision; equal vectors are one cla
 its members. Each of several tables hashes a vector by some rotations: signs are flipped at random and a
 fast Hadamard transform applied, three times, and the vertex of the cross-polytope nearest to the result
 is the hash; a second bucket is probed for every rotation with the second-nearest vertex in its place.
-The number of rotations grows with the logarithm of the number of classes. Within each bucket all pairs are
-verified by their cosine (large buckets in pairs of blocks of bounded size), which gives links; the
-components of these are compared once more in full, block against block, so each link inside a component
-is counted exactly once.
+The number of rotations grows with the logarithm of the number of classes. The members of a bucket are
+verified by their cosine against its first member; in buckets that are not in one component then, those
+outside the largest one are verified against all members, in blocks of bounded size. The components of
+these links are compared once more in full, block against block, so each link inside a component is
+counted exactly once.
 
 Vectors that are null, zero, or hold null or non-finite numbers link with nothing, as do rows without id and
 vectors of other lengths. Rows that repeat a vector are linked with each other. An empty table gives no rows.
@@ -138,6 +139,37 @@ def _by_group(rows: DataFrame, of_group, schema: str) -> DataFrame:
     return rows.select("g", "side", "cid", "m", "v").repartition("g").sortWithinPartitions("g", "cid").mapInArrow(grouped, schema)
 
 
+def _near(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose cosine is ``least`` or more."""
+    ends = [vectors.select(F.col("cid").alias(c), F.col("v").alias(f"v{c}")) for c in "ab"]
+    rows = pairs.join(ends[0], "a").join(ends[1], "b").filter("size(va) = size(vb)").select("a", "b", "va", "vb")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _matrix(batch.column(2)), _matrix(batch.column(3))
+            for (rows_, u), (_, v) in zip(x, y, strict=True):
+                keep = rows_[np.einsum("ij,ij->i", u, v) >= least]
+                yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(near, "a long, b long")
+
+
+def _unsettled(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """(g, side, cid) of buckets (bucket, size, cid) that are not in one component yet, dealt to groups.
+
+    Only members outside a bucket's largest component are new to anyone: blocks of these meet blocks of
+    all members, so a bucket's work is its size times the number of those outside, not its square.
+    """
+    d = members.join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    roots = d.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket")
+    largest = roots.agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots"), F.sum("k").alias("all")).filter("roots > 1 and all > 2")
+    largest = largest.selectExpr("bucket", "top.root as top", "cast(ceil(all / %d) as int) as parts" % BLOCK, "cast(ceil((all - top.k) / %d) as int) as rest_parts" % BLOCK)
+    d = d.select("bucket", "cid", "root").join(largest, "bucket").withColumn("h", F.xxhash64("cid"))
+    every = d.select("bucket", "cid", F.pmod("h", F.col("parts")).alias("j"), F.explode(F.expr("sequence(0, rest_parts - 1)")).alias("i"))
+    rest = d.filter("root <> top").select("bucket", "cid", F.explode(F.expr("sequence(0, parts - 1)")).alias("j"), F.pmod("h", F.col("rest_parts")).alias("i"))
+    return every.unionByName(rest).select(F.xxhash64("bucket", F.col("i").cast("int"), F.col("j").cast("int")).alias("g"), F.lit(2).alias("side"), "cid").distinct()
+
+
 def linked_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", least: float = 0.95, tables: int = TABLES) -> DataFrame:
     """One row per row of ``df``: its id, n_links, component_id and kept."""
     given = only(df, id=id_column, v=vector_column).withColumn("v", F.col("v").cast("array<double>"))
@@ -169,10 +201,13 @@ def linked_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str
 
     rotations = max(1, ceil(log(max(n, 2)) / log(2 * 64)))
     entries = _hashed(classes, tables, rotations)
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cid").alias("lead")).filter("size > 1")
+    members = written(entries.join(shared, "bucket"), "entries")
     vectors = classes.select("cid", "m", "v")
-    edges = _by_group(_in_blocks(entries.join(shared, "bucket"), "bucket").join(vectors, "cid"), links_of, "a long, b long")
-    linked = components(edges)
+    stars = members.filter("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
+    edges = written(_near(stars, vectors, least), "edges")
+    open_members = _unsettled(members, components(edges))
+    linked = components(edges.unionByName(_by_group(open_members.join(vectors, "cid"), links_of, "a long, b long")))
 
     sizes = linked.groupBy("root").agg(F.count("*").alias("size"))
     members = linked.withColumnRenamed("node", "cid").join(sizes, "root")
