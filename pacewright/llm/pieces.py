@@ -16,7 +16,6 @@ Null and empty texts have no ids. Rows are independent of each other.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -104,9 +103,8 @@ class PieceRules(MergeRules):
         return text[1:] if text[:1] == " " else text
 
 
-@functools.cache
 def piece_values(name: str) -> tuple[PieceRules, WordValues]:
-    """The rules and words of a worker process; words stay known from task to task."""
+    """The rules of a vocabulary and a cache of words for them."""
     rules = PieceRules(name)
     return rules, WordValues(rules.ids, apart=rules.apart())
 

@@ -143,15 +143,19 @@ def quality_scores(df: DataFrame, model: QualityModel, id_column: str = "doc_id"
 
 
 def good_documents(df: DataFrame, model: QualityModel, text_column: str = "text", least: float = 0.5) -> DataFrame:
-    """``df`` without the rows whose text scores under ``least``; columns as they were."""
+    """``df`` without the rows whose text scores under ``least``; columns as they were.
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only the text goes to Python, and only its score comes back.
+    """
+
+    @F.arrow_udf("double")
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compressors = model.compressors()
-        for batch in batches:
-            column, terms = batch.column(batch.schema.get_field_index(text_column)), []
+        for column in columns:
+            terms = []
             for _, data, bounds in text_slices(column):
                 raw, at = memoryview(np.ascontiguousarray(data)), bounds.tolist()
                 terms += [measured(raw[a:b], compressors) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield batch.filter(pa.array(model.scores(np.array(terms).reshape(-1, 3)) >= least))
+            yield pa.array(model.scores(np.array(terms).reshape(-1, 3)))
 
-    return df.mapInArrow(chosen, df.schema)
+    return df.filter(score(F.col(f"`{text_column}`")) >= least)
