@@ -231,7 +231,7 @@ def gathered(s: Slice) -> tuple[np.ndarray, np.ndarray]:
 class TextEncoder:
     """``texts(column)``: for each text, in order, the library's ids of the whole text (a null text has none)."""
 
-    def __init__(self, name: str = "byte_bpe_50k.json"):
+    def __init__(self, name: str = "byte_bpe_50k.json", most: int = CACHE_WORDS):
         tok = tokenizer(name)
         special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
         letters = letters_of_bytes()
@@ -244,7 +244,7 @@ class TextEncoder:
                 else:
                     yield [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]
 
-        self._words = WordValues(of_words, tuple(special))
+        self._words = WordValues(of_words, tuple(special), most=most)
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         for s in self._words.slices(column):
@@ -263,8 +263,8 @@ class TextEncoder:
 
 @functools.cache
 def text_encoder(name: str) -> TextEncoder:
-    """The encoder of a worker process: its words stay known from task to task."""
-    return TextEncoder(name)
+    """The encoder of a worker process: its words stay known from task to task, so it keeps fewer of them."""
+    return TextEncoder(name, CACHE_WORDS // 3)
 
 
 def letters_of_bytes() -> dict[int, str]:
