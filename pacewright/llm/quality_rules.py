@@ -6,8 +6,8 @@ distinct documents that hold a line are counted. A line in more documents than t
 except from the document of smallest id that holds it; a document that loses more than half of its words
 so is depleted and rejected.
 
-Copies must not make each other's lines frequent: documents are told apart by the smallest line hash
-they hold besides the line counted, so exact copies count as one document and near copies mostly do.
+Copies must not make each other's lines frequent: documents are told apart by the hash of their whole
+text, so exact copies count as one document and different texts never do.
 
 A null text has no words and fails the base rules; a null host is a host of its own. Repeated rows get
 the same verdict each. Rows without id keep no line for being first. An empty table gives no rows.
@@ -46,19 +46,16 @@ _NORMAL = f"lower(trim(regexp_replace(l, '[{_SPACE}]+', ' ')))"
 
 
 def _lines(given: DataFrame) -> DataFrame:
-    """(host, id, body, pos, line, n, apart): the normalised lines of each document; n: the words of the line,
-    apart: what tells the document apart."""
+    """(host, id, body, pos, line, n): the normalised lines of each document; n: the words of the line."""
     d = given.withColumn("normal", F.expr(f"filter(transform(split(coalesce(text, ''), '\\n', -1), l -> {_NORMAL}), l -> l <> '')"))
     d = d.withColumn("each", F.expr("transform(normal, l -> named_struct('line', xxhash64(l), 'n', cast(size(split(l, ' ')) as long)))")).drop("normal")
-    d = d.withColumn("few", F.expr("slice(array_sort(array_distinct(each.line)), 1, 2)"))
-    d = d.select("host", "id", "body", "few", F.posexplode("each").alias("pos", "l")).select("host", "id", "body", "few", "pos", "l.line", "l.n")
-    return d.withColumn("apart", F.expr("if(few[0] <> line, few[0], get(few, 1))")).drop("few")
+    return d.select("host", "id", "body", F.posexplode("each").alias("pos", "l")).select("host", "id", "body", "pos", "l.line", "l.n")
 
 
 def _gone(given: DataFrame, documents: int, share: float) -> DataFrame:
     """(g_host, g_id, g_body, lost, gone): words and lines that each document loses; documents that lose none are left out."""
     lines = _lines(given)
-    different = lines.groupBy("host", "line", "apart").agg(F.min("id").alias("first"))
+    different = lines.groupBy("host", "line", "body").agg(F.min("id").alias("first"))
     counted = different.groupBy("host", "line").agg(F.count("*").alias("documents"), F.min("first").alias("first")).filter(F.col("documents") > documents)
     hosts = given.groupBy("host").agg(F.count("*").alias("total"))
     frequent = counted.join(hosts, "host").filter(F.col("documents") > share * F.col("total")).select("host", "line", "first")

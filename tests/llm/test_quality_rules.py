@@ -48,3 +48,31 @@ def test_frequent_lines(spark):
     assert kept[0] == rows[0][1] and kept[5] == own(5) + "\n" and 100 not in kept
     assert quality_filtered(df, line_documents=20).columns == df.columns
     assert quality_report(df.limit(0)).count() == 0
+
+
+def brute_removed(rows, limit):
+    """{(id, text): words of frequent lines} of rows (id, text, host) with ids and hosts."""
+    normal = {t: [n for n in (" ".join(WORD.findall(x)).lower() for x in (t or "").split("\n")) if n] for _, t, _ in rows}
+    held, first = {}, {}
+    for k, t, h in rows:
+        for n in normal[t]:
+            held.setdefault((h, n), set()).add(t)
+            first[h, n] = min(k, first.get((h, n), k))
+    return {(k, h): sum(len(n.split()) for n in normal[t] if len(held[h, n]) > limit and first[h, n] != k) for k, t, h in rows}
+
+
+def test_documents_that_share_several_lines(spark):
+    rng = random.Random(6)
+    shared = {h: [" ".join(f"{h}{j}s{i}" for i in range(rng.randint(1, 9))) for j in range(12)] for h in "ab"}
+    rows = []
+    for k in range(160):
+        h = rng.choice("aab")
+        lines = [x.upper() if rng.random() < 0.3 else x for x in rng.sample(shared[h], rng.choice([3, 8, 12]))]
+        rows.append((k, "\n".join([*lines, " ".join(f"w{k}x{j}" for j in range(55))]), h))
+    rows += [(200 + j, t, h) for j, (_, t, h) in enumerate(rng.choices(rows, k=60))]  # exact copies count once
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for limit in (20, 50):
+        removed = brute_removed(rows, limit)
+        found = {r["doc_id"]: (r["n_removed_words"], r["kept"]) for r in quality_report(df, line_documents=limit).collect()}
+        assert found == {k: (removed[k, h], not base(t)[5] and 2 * removed[k, h] <= base(t)[0]) for k, t, h in rows}
+        assert any(removed.values())
