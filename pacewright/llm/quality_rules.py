@@ -4,7 +4,7 @@ Base rules look at one document: too few words, or too many of them in three-wor
 again. Then lines are normalised (lower case, white space squeezed) and hashed, and for each host the
 distinct documents that hold a line are counted. A line in more documents than the limit is removed,
 except from the document of smallest id that holds it; a document that loses more than half of its words
-so is depleted and rejected.
+so is depleted and rejected. The limit is a number of documents, the same on hosts of every size.
 
 Copies must not make each other's lines frequent: documents are told apart by the hash of their whole
 text, so exact copies count as one document and different texts never do.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pacewright.llm.shared import only, written
 
-LEAST_WORDS, LINE_DOCUMENTS, LINE_SHARE = 50, 100, 0.01
+LEAST_WORDS, LINE_DOCUMENTS = 50, 100
 _SPACE = r"\\x20\\x09-\\x0D"
 
 
@@ -52,38 +52,37 @@ def _lines(given: DataFrame) -> DataFrame:
     return d.select("host", "id", "body", F.posexplode("each").alias("pos", "l")).select("host", "id", "body", "pos", "l.line", "l.n")
 
 
-def _gone(given: DataFrame, documents: int, share: float) -> DataFrame:
+def _gone(given: DataFrame, documents: int) -> DataFrame:
     """(g_host, g_id, g_body, lost, gone): words and lines that each document loses; documents that lose none are left out."""
     lines = _lines(given)
     different = lines.groupBy("host", "line", "body").agg(F.min("id").alias("first"))
-    counted = different.groupBy("host", "line").agg(F.count("*").alias("documents"), F.min("first").alias("first")).filter(F.col("documents") > documents)
-    hosts = given.groupBy("host").agg(F.count("*").alias("total"))
-    frequent = counted.join(hosts, "host").filter(F.col("documents") > share * F.col("total")).select("host", "line", "first")
+    counted = different.groupBy("host", "line").agg(F.count("*").alias("documents"), F.min("first").alias("first"))
+    frequent = counted.filter(F.col("documents") > documents).select("host", "line", "first")
     gone = lines.join(frequent, ["host", "line"]).filter("first is null or id is null or id <> first")
     # rows that come twice have each line twice at the same place
     gone = gone.select("host", "id", "body", "pos", "line", "n").distinct().groupBy("host", "id", "body")
     return gone.agg(F.sum("n").alias("lost"), F.collect_set("line").alias("gone")).select(*[F.col(c).alias(f"g_{c}") for c in ("host", "id", "body")], "lost", "gone")
 
 
-def _judged(df: DataFrame, id_column: str, text_column: str, host_column: str, documents: int, share: float) -> DataFrame:
+def _judged(df: DataFrame, id_column: str, text_column: str, host_column: str, documents: int) -> DataFrame:
     """(id, host, body, measures, n_removed_words, kept, gone) of each document."""
     given = only(df, id=id_column, text=text_column, host=host_column)
     given = given.withColumn("host", F.coalesce("host", F.lit(""))).withColumn("body", F.xxhash64("text"))
     told = _measured(given).drop("text")
-    found = told.join(_gone(given, documents, share), F.expr("id <=> g_id and body = g_body and host = g_host"), "left")
+    found = told.join(_gone(given, documents), F.expr("id <=> g_id and body = g_body and host = g_host"), "left")
     found = found.withColumn("n_removed_words", F.coalesce("lost", F.lit(0).cast("long")))
     return found.withColumn("kept", F.expr("not base_failed and 2 * n_removed_words <= n_words"))
 
 
-def quality_report(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE) -> DataFrame:
+def quality_report(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", line_documents: int = LINE_DOCUMENTS) -> DataFrame:
     """One row per row of ``df``: its id, the measures of the base rules, base_failed, n_removed_words and kept."""
-    found = _judged(df, id_column, text_column, host_column, line_documents, line_share)
+    found = _judged(df, id_column, text_column, host_column, line_documents)
     return found.select(F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
 
 
-def quality_filtered(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE) -> DataFrame:
+def quality_filtered(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", line_documents: int = LINE_DOCUMENTS) -> DataFrame:
     """The rows of ``df`` that the rules keep, their texts without frequent lines; other columns as they were."""
-    verdicts = _judged(df, id_column, text_column, host_column, line_documents, line_share).groupBy("id", "host", "body")
+    verdicts = _judged(df, id_column, text_column, host_column, line_documents).groupBy("id", "host", "body")
     # written first: a filter on what the rules measure would otherwise be pushed into the measuring and repeat it
     verdicts = written(verdicts.agg(F.first("kept").alias("kept"), F.first("gone").alias("gone")), "verdicts").filter("kept")
     verdicts = verdicts.select(*[F.col(c).alias(f"_{c}") for c in ("id", "host", "body", "gone")])

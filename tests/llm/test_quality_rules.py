@@ -76,3 +76,14 @@ def test_documents_that_share_several_lines(spark):
         found = {r["doc_id"]: (r["n_removed_words"], r["kept"]) for r in quality_report(df, line_documents=limit).collect()}
         assert found == {k: (removed[k, h], not base(t)[5] and 2 * removed[k, h] <= base(t)[0]) for k, t, h in rows}
         assert any(removed.values())
+
+
+def test_limit_is_the_same_on_large_hosts(spark):
+    def own(k):
+        return " ".join(f"w{k}x{j}" for j in range(50))
+
+    rows = [(k, f"{own(k)}\nshared line here" if k < 25 else own(k), h) for h, n in (("small", 100), ("large", 3000)) for k in range(n)]
+    rows += [(5000 + k, own(9), "small") for k in range(3000)]  # exact copies do not raise the limit
+    df = spark.createDataFrame([(k + 10000 * (h == "large"), t, h) for k, t, h in rows], "doc_id long, text string, source string")
+    found = {r["doc_id"]: r["n_removed_words"] for r in quality_report(df, line_documents=20).filter("n_removed_words > 0").collect()}
+    assert found == {k + at: 3 for at in (0, 10000) for k in range(1, 25)}
