@@ -124,7 +124,7 @@ def _first_keys(s: np.ndarray, repeated: np.ndarray, common: np.ndarray, boundar
 
 
 def _documents(given: DataFrame, send: Broadcast, boundary: int) -> DataFrame:
-    """(id, class, n, keys, places): keys only for the first member of a class that a task meets, if it can have links."""
+    """(id, class, n, keys, places): keys only for the first member with an id of a class that a task meets, if it can have links."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.frombuffer(b, dtype=np.uint8) for b in send.value]
@@ -137,11 +137,11 @@ def _documents(given: DataFrame, send: Broadcast, boundary: int) -> DataFrame:
                 return pa.RecordBatch.from_arrays([ids, pa.array(kinds, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["id", "class", "n", "keys", "places"])
 
             held = 0
-            for s in shingle_sets(batch.column(1)):
+            for s, absent in zip(shingle_sets(batch.column(1)), batch.column(0).is_null().to_pylist(), strict=True):
                 kind = set_hash(s)
                 kinds.append(kind)
                 sizes.append(len(s))
-                if len(s) < 3 or kind in seen:
+                if absent or len(s) < 3 or kind in seen:
                     keys.append(None)
                     places.append(None)
                 else:

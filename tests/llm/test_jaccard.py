@@ -95,3 +95,12 @@ def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(1, k) for k in range(2, 50)] + [(7, 7), (200, 199)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**{k: 100 for k in range(100, 161)}, **{k: 1 for k in range(1, 50)}, 199: 199, 200: 199}
+
+
+def test_copies_without_id_come_first(spark):
+    text = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(text)), (None, " ".join(text)), (1, " ".join(text)), (2, " ".join([*text[:-1], "other"])), (3, " ".join(text))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = sorted(((r[0], r[1], r[2]) for r in jaccard_components(df).collect()), key=str)
+    assert found == sorted([(None, 56, None), (None, 56, None), (1, 56, 1), (2, 56, 1), (3, 56, 1)], key=str)
+    assert sorted((r[0] for r in one_of_each_group(df).collect()), key=str) == [1, None, None]
