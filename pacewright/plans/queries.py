@@ -377,7 +377,7 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "sink_parquet": parquet,
         "stream_pauses": lambda: stream(live.stream_pauses),
         "stream_gain": lambda: stream(live.stream_gain),
-        "stream_zone_time": lambda: stream(lambda s: live.stream_zone_time(s, fixtures.ZONE_BOUNDS, "1 hour")),
+        "stream_zone_time": lambda: live.zone_totals(stream(lambda s: live.stream_zone_time(s, fixtures.ZONE_BOUNDS, "1 hour"))),
     }
 
 

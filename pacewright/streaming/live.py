@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pacewright.functions.geo import MOVING_MPS, PAUSE_MIN_S
 
 LATE = "10 minutes"
+NEVER = -(1 << 62)
 
 
 def _stateful(readings: DataFrame, step, empty: tuple, fields: str, out: str) -> DataFrame:
@@ -77,11 +78,36 @@ def stream_gain(readings: DataFrame) -> DataFrame:
     return _stateful(readings.withWatermark("ts", LATE), gain_step, (0.0, 0.0, 0.0, 0.0, 0), "last double, residual double, gain double, loss double, n long", "track_id long, n long, gain double, loss double")
 
 
+def zone_step(state: tuple, rows) -> tuple[tuple, list[tuple]]:
+    """Time since the last reading, added up by the window and zone of the reading that ends it."""
+    (last,) = state
+    sums: dict[tuple, list[int]] = {}
+    rows = rows.sort_values("us", kind="stable")
+    for us, start, zone in zip(rows["us"].to_numpy().tolist(), rows["start_us"].to_numpy().tolist(), rows["zone"].to_numpy().tolist(), strict=True):
+        found = sums.setdefault((start, zone), [0, 0])
+        found[0] += us - last if NEVER < last < us else 0
+        found[1] += 1
+        last = max(last, us)
+    return (last,), [(*k, *v) for k, v in sums.items()]
+
+
 def stream_zone_time(readings: DataFrame, bounds: list[float], width: str = "1 minute") -> DataFrame:
-    """(track_id, start, zone, readings) of each tumbling window, once it is past the watermark."""
+    """(track_id, start, zone, micros, readings): what each batch adds to a device's tumbling windows; ``zone_totals``
+    adds the batches up. A step counts by its end point, as in ``hr_zone_time``; zone is null without heart rate.
+
+    All time is out with its batch, so no window waits for the watermark. A reading that comes after later ones
+    adds no time: the step over it has been counted.
+    """
     zone = sum(((F.col("hr") >= b).cast("int") for b in bounds), F.lit(0))
-    w = readings.withWatermark("ts", LATE).filter("hr is not null").withColumn("zone", zone)
-    return w.groupBy("track_id", F.window("ts", width).alias("w"), "zone").agg(F.count("*").alias("readings")).select("track_id", F.col("w.start").alias("start"), "zone", "readings")
+    w = readings.withWatermark("ts", LATE).filter("ts is not null").withColumn("zone", F.coalesce(zone, F.lit(-1)))
+    w = w.withColumn("us", F.unix_micros("ts")).withColumn("start_us", F.unix_micros(F.window("ts", width)["start"]))
+    added = _stateful(w, zone_step, (NEVER,), "last long", "track_id long, start_us long, zone int, micros long, readings long")
+    return added.select("track_id", F.timestamp_micros("start_us").alias("start"), F.when(F.col("zone") >= 0, F.col("zone")).alias("zone"), "micros", "readings")
+
+
+def zone_totals(added: DataFrame) -> DataFrame:
+    """(track_id, start, zone, seconds, readings) of each window, those still open too."""
+    return added.groupBy("track_id", "start", "zone").agg((F.sum("micros") / 1e6).alias("seconds"), F.sum("readings").alias("readings"))
 
 
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:

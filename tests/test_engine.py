@@ -106,3 +106,28 @@ def test_live_pauses_do_not_depend_on_batches():
         state, more = pause_step(state, rows.iloc[k : k + 7])
         found += more
     assert found == once[1] and state == once[0] and len(found) == 1
+
+
+def test_live_zone_time_is_whole(spark, tmp_path):
+    from pacewright.streaming.live import run_available, stream_zone_time, zone_totals
+
+    at = [0, 7, 20, 59, 61, 100, 300, 301, 4000]
+    hr = [100.0, 100.0, 120.0, None, 120.0, 90.0, 120.0, 120.0, 160.0]
+    rows = [(d, t + d, float(t), 0.0, h) for d in (1, 2) for t, h in zip(at, hr, strict=True)]
+    want = {}
+    for d in (1, 2):
+        last = None
+        for t, h in zip(at, hr, strict=True):
+            k = (d, (t + d) // 60 * 60, None if h is None else sum(h >= b for b in (95, 114)))
+            seconds, n = want.get(k, (0, 0))
+            want[k] = (seconds + (0 if last is None else t - last), n + 1)
+            last = t
+    for name, cuts in (("once", [0, 9]), ("parts", [0, 3, 4, 9])):
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = [r for d in (0, 1) for r in rows[9 * d + a : 9 * d + b]]
+            df = spark.createDataFrame(part, "track_id long, s long, x double, ele double, hr double").selectExpr("track_id", "timestamp_seconds(s) ts", "x", "ele", "hr")
+            df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+        found = zone_totals(run_available(stream_zone_time(stream, [95.0, 114.0]), f"{tmp_path}/{name}-out"))
+        found = found.selectExpr("track_id", "unix_seconds(start)", "zone", "seconds", "readings").collect()
+        assert {tuple(r)[:3]: tuple(r)[3:] for r in found} == want and len(found) == len(want)
