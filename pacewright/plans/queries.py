@@ -99,12 +99,17 @@ class Base:
 
     @cached_property
     def elements(self) -> DataFrame:
-        """Tagged map elements made from every tenth point; places repeat."""
+        """Tagged map elements, one of each point; places repeat."""
         kinds = "element_at(array('peak', 'volcano', 'saddle', 'spring', 'tree', 'cave_entrance'), cast(seq % 6 + 1 as int))"
-        d = self.points.filter("seq % 10 = 0").selectExpr("track_id as response_id", "seq as pos", "if(seq % 70 = 0, 'way', 'node') as type", "45 + (seq % 40) / 1000 as lat", "7 + track_id % 7 / 1000 as lon", f"{kinds} as natural", "seq", "ele")
+        d = self.points.selectExpr("track_id as response_id", "seq as pos", "if(seq % 70 = 0, 'way', 'node') as type", "45 + (seq % 40) / 1000 as lat", "7 + track_id % 7 / 1000 as lon", f"{kinds} as natural", "seq", "ele")
         tags = "map_filter(map('natural', natural, 'waterway', if(seq % 110 = 0, 'waterfall', null), 'name', if(seq % 30 = 0, '', concat('Hill ', seq)), 'name:en', if(seq % 50 = 0, concat('HILL ', seq), null), 'ele', if(seq % 20 = 0, concat(cast(round(ele) as int), ' m'), null), 'ele:ft', if(seq % 40 = 10, cast(cast(round(ele * 3) as int) as string), null)), (k, v) -> v is not null)"
         return d.withColumn("tags", F.expr(tags)).select("response_id", "pos", "type", "lat", "lon", "tags", F.expr("cast(seq % 5 as int)").alias("rank"))
 
+    @cached_property
+    def tenth(self) -> DataFrame:
+        """The elements that the SQL of ``parse_elevation_tag``, ``localized_name``, ``landmark_gate`` and ``scan_landmarks`` has."""
+        return self.elements.filter("pos % 10 = 0")
+
     @cached_property
     def marks(self) -> DataFrame:
         return landmarks.scan_landmarks(self.elements)
@@ -220,10 +225,10 @@ def _scalars(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "cadence_display": lambda: b.points.select("track_id", "seq", text.cadence_display(m("cad"), m("track_id") % 2 + 1).alias("cad")),
         "tile_fraction": lambda: b.points.select("track_id", "seq", (geo.tile_x(m("lon") + m("seq") * 3)).alias("x"), (geo.tile_y(m("lat") + m("seq") % 50)).alias("y")),
         "terrarium_decode": lambda: b.points.select("track_id", "seq", (geo.terrarium(m("cad") + m("seq") % 150, m("seq") % 256, m("track_id") % 256)).alias("e")),
-        "parse_elevation_tag": lambda: b.elements.select("response_id", "pos", (landmarks.parse_elevation_tag(m("tags"))).alias("metres")),
-        "localized_name": lambda: b.elements.select("response_id", "pos", landmarks.localized_name(m("tags")).alias("name")),
+        "parse_elevation_tag": lambda: b.tenth.select("response_id", "pos", (landmarks.parse_elevation_tag(m("tags"))).alias("metres")),
+        "localized_name": lambda: b.tenth.select("response_id", "pos", landmarks.localized_name(m("tags")).alias("name")),
         "landmark_label": lambda: b.elements.select("response_id", "pos", landmarks.landmark_label(m("tags")).alias("label")),
-        "landmark_gate": lambda: b.marks.withColumns(landmarks.landmark_gate()).select("response_id", "pos", "gate", "icon_zoom", "text_zoom"),
+        "landmark_gate": lambda: landmarks.scan_landmarks(b.tenth).withColumns(landmarks.landmark_gate()).select("response_id", "pos", "gate", "icon_zoom", "text_zoom"),
         "zone_bounds": lambda: zones.zone_bounds(zones.active_bounds(hr_rows()).select("track_id", "bounds")),
         "zone_display_range": lambda: zones.zone_display_range(zones.zone_bounds(zones.active_bounds(hr_rows()).select("track_id", "bounds")).withColumn("lo", m("lo") + 0.5)).select("track_id", "zone", "shown_lo", "shown_hi"),
         "zone_boundary_pct": lambda: zones.zone_boundary_pct(zones.zone_bounds(zones.active_bounds(hr_rows()).select("track_id", "mode", "max_hr", "rest_hr", "lthr", "bounds"))).select("track_id", "zone", "pct"),
@@ -326,7 +331,7 @@ def _elevation(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "ele_replace": lambda: elevation.ele_replace(b.dem).select("track_id", "seq", "ele", "ele_original"),
         "ele_restore": lambda: elevation.ele_restore(elevation.ele_replace(elevation.ele_fill(b.dem))).select("track_id", "seq", "ele"),
         "ele_apply": lambda: elevation.ele_apply(b.dem),
-        "scan_landmarks": lambda: b.marks.select("response_id", "pos", "class", "lat", "lon"),
+        "scan_landmarks": lambda: landmarks.scan_landmarks(b.tenth).select("response_id", "pos", "class", "lat", "lon"),
         "dedup_landmarks": lambda: landmarks.dedup_landmarks(b.marks.withColumn("pos", F.col("response_id") * 10000 + F.col("pos"))).select("key", "pos"),
         "merge_landmarks": lambda: landmarks.merge_landmarks(*[landmarks.dedup_landmarks(b.marks.withColumn("pos", F.col("response_id") * 10000 + F.col("pos")).filter(f"response_id % 2 = {k}")).select("key", "class", "pos") for k in (0, 1)]),
         "landmark_features": lambda: landmarks.landmark_features(landmarks.dedup_landmarks(b.marks.withColumn("pos", F.col("response_id") * 10000 + F.col("pos")))),
@@ -341,7 +346,7 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
 
     def mixed_files() -> DataFrame:
         x = F.expr("case seq % 6 when 0 then '<?xml?><GPX>' when 1 then 'PKzip' when 2 then '<kml>' when 3 then '<TrainingCenterDatabase>' when 4 then '12345678.FIT' else 'what' end")
-        return b.points.filter("seq < 60").select(F.concat(F.lit("f"), "track_id", F.lit("-"), "seq", F.when(F.col("seq") >= 30, ".TCX").otherwise("")).alias("path"), x.cast("binary").alias("content"))
+        return b.points.select(F.concat(F.lit("f"), "track_id", F.lit("-"), "seq", F.when(F.col("seq") % 60 >= 30, ".TCX").otherwise("")).alias("path"), x.cast("binary").alias("content"))
 
     def csv() -> DataFrame:
         path = b.folder("csv")

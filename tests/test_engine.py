@@ -131,3 +131,12 @@ def test_live_zone_time_is_whole(spark, tmp_path):
         found = zone_totals(run_available(stream_zone_time(stream, [95.0, 114.0]), f"{tmp_path}/{name}-out"))
         found = found.selectExpr("track_id", "unix_seconds(start)", "zone", "seconds", "readings").collect()
         assert {tuple(r)[:3]: tuple(r)[3:] for r in found} == want and len(found) == len(want)
+
+
+def test_queries_take_every_point(spark):
+    from pacewright.plans.queries import Base, build
+
+    folder = "/root/testdata/sf0.001"
+    n = Base(spark, folder).points.count()
+    assert build(spark, folder, "scan_detect_format").count() == n
+    assert build(spark, folder, "landmark_label").count() == n
