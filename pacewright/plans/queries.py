@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import cached_property
@@ -14,6 +13,7 @@ from pacewright.functions import geo, text
 from pacewright.operators import dual, elevation, export, landmarks, lookup, sector, splits, track, zones
 from pacewright.plans import fixtures
 from pacewright.sources import activity
+from pacewright.sources.scratch import shared_folder
 from pacewright.streaming import live
 
 
@@ -125,11 +125,7 @@ class Base:
         return self.tracks.select("track_id", F.lit(0).alias("sector_id"), F.lit(0.0).alias("start_m"), F.col("total_distance").alias("end_m"))
 
     def folder(self, name: str) -> str:
-        shared = self.spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            shared = tempfile.mkdtemp(prefix="pacewright-")
-            self.spark.conf.set("spark.checkpoint.dir", shared)
-        return f"{shared}/{name}-{uuid.uuid4().hex}"
+        return f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
 
     def lines(self, documents: DataFrame, name: str) -> str:
         """The folder of documents (key, text), one file each."""
