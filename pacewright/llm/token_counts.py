@@ -40,30 +40,41 @@ class PrefixCounter:
     def fitting(self, s: Slice, k: int, running: np.ndarray, limit: int) -> int:
         """The code points of the longest prefix of text ``k`` of the slice with at most ``limit`` tokens.
 
-        ``running`` holds the tokens before each of the slice's words. Cutting can change how the
-        last white space or contraction is split, so the prefixes around the word at which the
-        budget ends are split again, from two words before it to two words after it.
+        ``running`` holds the tokens before each of the slice's words. The budget ends inside one word, and
+        the word's own prefixes have their counts. A cut can also change how the text near it is split: a
+        space falls to the white space before it, a contraction or a special string falls apart. So cuts
+        at the word's beginning, within special strings, and after the first character that follows white
+        space are counted from three words before on; those words lie within the budget, so they are short.
         """
         a, b = int(s.word_at[k]), int(s.word_at[k + 1])
         over = a + int(np.searchsorted(running[a + 1 : b + 1] - running[a], limit, side="right"))
+        first, last = int(s.char_at[k]), int(s.char_at[k + 1])
         if over >= b:
-            return int(s.char_at[k + 1] - s.char_at[k])
-        first, end_word = max(a, over - 2), min(b, over + 3)
-        begin = int(s.starts[first])
-        end = int(s.starts[end_word]) if end_word < b else int(s.char_at[k + 1])
-        left = limit - int(running[first] - running[a])
-        start = int(s.starts[over])
-        stop = int(s.starts[over + 1]) if over + 1 < b else int(s.char_at[k + 1])
-        if end - begin > 200:  # a very long word: its own program has the count at each of its prefixes
-            counts = self.rules.counts_by_character(s.text(start, stop))
+            return last - first
+        begin = [int(x) for x in s.starts[over : min(b, over + 3)]] + [last] * 2
+        start, stop, after = begin[0], begin[1], begin[2]
+
+        def tokens(cut: int) -> int:
+            j = max(a, a + int(np.searchsorted(s.starts[a:b], cut, side="right")) - 4)
+            return int(running[j] - running[a]) + self.tail(s.text(int(s.starts[j]), cut))
+
+        word, following = s.text(start, stop), s.text(stop, after)
+        near, best = {*range(start, min(start + 4, last + 1))}, -1
+        if word[-1].isspace():
+            near.add(min(stop + 1, last))
+        if following in self.rules.special:
+            near |= {*range(stop + 1, after)}
+        if word in self.rules.special:
+            near |= {*range(start, stop)}
+        elif stop - start > 4:
             left = limit - int(running[over] - running[a])
-            inside = max(i for i, c in enumerate(counts) if c <= left)
-            return start + inside - int(s.char_at[k])
-        text = s.text(begin, end)
-        for cut in range(end - begin, -1, -1):
-            if self.tail(text[:cut]) <= left:
-                return begin + cut - int(s.char_at[k])
-        return 0
+            best = max((start + i for i, c in enumerate(self.rules.counts_by_character(word)[:-1]) if i > 3 and c <= left), default=-1)
+        best = next((cut for cut in sorted(near, reverse=True) if cut > best and tokens(cut) <= limit), best)
+        while best < 0:  # even the cut before this word makes the white space there one longer word
+            start -= 1
+            if tokens(start) <= limit:
+                best = start
+        return best - first
 
 
 def token_counts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: str = "byte_bpe_50k.json", limit: int = 1024) -> DataFrame:

@@ -48,6 +48,19 @@ def test_token_counts(spark, library):
         assert (r["ends"] or [0])[-1] == len(t) and (r["tokens"] or [0])[-1] == found[r["doc_id"]]["n_tokens"]
 
 
+def test_longest_prefix(spark, library):
+    rng = random.Random(11)
+    runs = ["x", "'l", " ", "\n", "!", "'", "ab", "9", "é", "the", " 's", "\t ", "ing"]
+    rows = [(0, " 'l's\n\n'" + "l" * 220), (1, " " * 300 + "x"), (2, "x" + " \n" * 200 + " y"), (3, "a" * 300 + "<|endoftext|>" + "!" * 300)]
+    for k in range(4, 120):
+        rows.append((k, "".join(rng.choice([*PARTS, rng.choice(runs) * rng.randint(1, 260)]) for _ in range(rng.randint(1, 5)))[:420]))
+    df = frame(spark, rows)
+    for limit in (1, 4, 12):
+        found = {r["doc_id"]: r["fit_chars"] for r in token_counts(df, limit=limit).collect()}
+        for k, t in rows:
+            assert found[k] == max(i for i in range(len(t) + 1) if len(library.encode(t[:i], add_special_tokens=False).ids) <= limit), (k, limit)
+
+
 def test_pieces(spark):
     import sentencepiece
 
