@@ -1,17 +1,20 @@
 """Training-order materialisation: token sequences written in a keyed random order as fixed-stride shards.
 
-Sequences of ``stride`` ids are numbered through (first a count for each partition, then the partition's
-first number). A keyed Feistel permutation of the numbers, with cycle-walking onto 0..n-1, gives every
-sequence its slot in training order; it needs no table and can be undone. A shard is a range of slots, is
-written by one task, and holds its sequences one after another at ``stride`` ids each, so slot s lies in
-shard s // per_shard at a known byte, and reading can go on from any slot.
+Texts are encoded once: each input partition's sequences of ``stride`` ids are written in compressed blocks,
+whose numbers of sequences number all of them through (the partitions' totals are summed on the driver, one
+number a partition). A keyed Feistel permutation of the numbers, with cycle-walking onto 0..n-1, gives every
+sequence its slot in training order; it needs no table and can be undone. Blocks are then dealt to ranges of
+slots, without sorting: a shard is a range of slots and holds its sequences at ``stride`` ids each, so slot s
+lies in shard s // per_shard at a known byte, a task puts each sequence where it belongs, and reading can
+go on from any slot. The blocks are deleted once the shards are written.
 
 Ids are little-endian unsigned 16-bit numbers if the vocabulary allows, else 32-bit. A shard is written
-under a temporary name and then moved, so a task that is run again only writes the same file again.
+under a temporary name and then moved, so a task that is run again only writes the same file again; a shard
+that lacks a sequence is an error.
 
 All texts of a partition are laid end to end, each closed by the end id, and cut at ``stride``; a
-partition's last sequence is filled up with the end id. A null text is empty (its end id only). An empty
-table gives no sequences and no shards.
+partition's last sequence is filled up with the end id. A null text is empty (its end id only). Repeated rows
+are written as often as they come; other columns are ignored. An empty table gives no sequences and no shards.
 """
 
 from __future__ import annotations
@@ -23,14 +26,17 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacewright.llm.shared import only, shared_folder
+from pacewright.llm.shared import only, released, shared_folder, written
 from pacewright.llm.textgrid import mixed
-from pacewright.llm.tokens import text_encoder
+from pacewright.llm.tokens import TextEncoder
 
-STRIDE, PER_SHARD, ROUNDS = 1024, 2048, 6
+STRIDE, PER_SHARD, ROUNDS = 1024, 8192, 6
+#: Sequences of a stored block and of a dealt buffer, and the level at which both are compressed.
+BLOCK, HELD, LEVEL = 256, 8192, 3
 
 
 class Permutation:
@@ -65,82 +71,118 @@ class Permutation:
         return self._walked(slots, self.keys[::-1], True)
 
 
-def _streams(given: DataFrame, model: str, end_id: int, kind: str, stride: int, first: dict[int, int] | None, order: Permutation | None, per_shard: int) -> DataFrame:
-    """Without ``first``: (part, sequences) for each partition; with it: (shard, slot, ids) for each sequence."""
+def _encoded(given: DataFrame, model: str, end_id: int, kind: str, stride: int) -> DataFrame:
+    """(part, at, count, ids): the sequences of each input partition in blocks, compressed; ``at`` numbers a block's first one."""
 
-    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        encoder, end, total, made = text_encoder(model), np.array([end_id], dtype=kind), 0, 0
+        part, compress = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=LEVEL).compress
+        encoder, end, total, made = TextEncoder(model), np.array([end_id], dtype=kind), 0, 0
         held: list[np.ndarray] = []
 
-        def cut(ids: np.ndarray) -> pa.RecordBatch:
+        def block(ids: np.ndarray) -> pa.RecordBatch:
             nonlocal made
             count = len(ids) // stride
-            slots = order.slots(first[part] + made + np.arange(count))
             made += count
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(stride * ids.itemsize), count, [None, pa.py_buffer(np.ascontiguousarray(ids))])
-            return pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), raw.cast(pa.binary())], names=["shard", "slot", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([made - count]), pa.array([count]), pa.array([compress(ids.tobytes())])], names=["part", "at", "count", "ids"])
 
         for batch in batches:
-            if first is None:
-                total += sum(int(n.sum()) + len(n) for n in encoder.lengths(batch.column(0)))
-                continue
             for ids in encoder.texts(batch.column(0)):
-                total += len(ids) + 1
                 held += [ids.astype(kind), end]
-                if total >= 256 * stride:
+                total += len(ids) + 1
+                if total >= BLOCK * stride:
                     stream = np.concatenate(held)
                     whole = len(stream) // stride * stride
-                    yield cut(stream[:whole])
+                    yield block(stream[:whole])
                     held, total = [stream[whole:]], len(stream) - whole
-        if total and first is None:
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([-(-total // stride)])], names=["part", "sequences"])
-        elif total:
+        if total:
             stream = np.concatenate(held)
-            yield cut(np.append(stream, np.full(-len(stream) % stride, end_id, dtype=kind)))
+            yield block(np.append(stream, np.full(-len(stream) % stride, end_id, dtype=kind)))
+
+    return given.mapInArrow(encoded, "part long, at long, count long, ids binary")
+
+
+def _dealt(encoded: DataFrame, first: dict[int, int], order: Permutation, kind: str, stride: int, per_shard: int) -> DataFrame:
+    """(shard, slots, ids): what some blocks hold for one shard, compressed; slots are little-endian 64-bit numbers."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand, compress = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=LEVEL).compress
+        slots: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+
+        def flushed() -> pa.RecordBatch:
+            at, rows = np.concatenate(slots), np.concatenate(ids)
+            by_slot = np.argsort(at)
+            at = at[by_slot]
+            cuts = [0, *(np.flatnonzero(np.diff(at // per_shard)) + 1).tolist(), len(at)]
+            found = [(int(at[a]) // per_shard, at[a:b].astype("<i8").tobytes(), compress(rows[by_slot[a:b]].tobytes())) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            slots.clear()
+            ids.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["shard", "slots", "ids"])
+
+        for batch in batches:
+            for part, at, count, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                slots.append(order.slots(first[part] + at + np.arange(count)))
+                ids.append(np.frombuffer(expand(raw, count * stride * np.dtype(kind).itemsize), dtype=kind).reshape(count, stride))
+                if sum(map(len, slots)) >= HELD:
+                    yield flushed()
+        if slots:
+            yield flushed()
 
-    return given.mapInArrow(streamed, "part long, sequences long" if first is None else "shard long, slot long, ids binary")
+    return encoded.mapInArrow(dealt, "shard long, slots binary, ids binary")
 
 
 def materialised(df: DataFrame, folder: str, key: int, text_column: str = "text", model: str = "byte_bpe_50k.json", end_id: int = 0, stride: int = STRIDE, per_shard: int = PER_SHARD, kind: str = "<u2") -> tuple[DataFrame, int]:
-    """Writes the shards of all texts of ``df`` to ``folder`` when the returned table of (shard, first_slot, sequences)
-    is evaluated; also returns the number of sequences."""
-    given = only(df, text=text_column)
+    """Writes the shards of all texts of ``df`` to ``folder``; returns a table of (shard, first_slot, sequences) and the
+    number of sequences."""
+    spark = df.sparkSession
+    encoded = written(_encoded(only(df, text=text_column), model, end_id, kind, stride), "encoded")
     # one row for each input partition
-    counts = {r["part"]: r["sequences"] for r in _streams(given, model, end_id, kind, stride, None, None, per_shard).collect()}
+    counts = {r["part"]: r["n"] for r in encoded.groupBy("part").agg(F.sum("count").alias("n")).collect()}
     parts = sorted(counts)
     first = dict(zip(parts, accumulate([0, *(counts[p] for p in parts)]), strict=False))
     n = sum(counts.values())
-    rows = _streams(given, model, end_id, kind, stride, first, Permutation(n, key), per_shard)
+    shards = -(-n // per_shard)
+    if not n:
+        return spark.createDataFrame([], "shard long, first_slot long, sequences long"), 0
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         store.create_dir(root, recursive=True)
-        now, out, temporary, done = -1, None, "", 0
+        expand, now, held, done = zstandard.ZstdDecompressor().decompress, -1, None, 0
 
         def close() -> pa.RecordBatch:
-            out.close()
+            if done != len(held):
+                raise ValueError(f"shard {now} has {done} of {len(held)} sequences")
+            temporary = f"{root}/.{now}-{uuid.uuid4().hex}"
+            with store.open_output_stream(temporary) as out:
+                out.write(memoryview(held).cast("B"))
             store.move(temporary, f"{root}/{now:010d}.ids")
             return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([now * per_shard]), pa.array([done])], names=["shard", "first_slot", "sequences"])
 
         for batch in batches:
-            for shard, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for shard, slots, raw in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if shard != now:
-                    if out:
+                    if held is not None:
                         yield close()
-                    now, done, temporary = shard, 0, f"{root}/.{shard}-{uuid.uuid4().hex}"
-                    out = store.open_output_stream(temporary)
-                out.write(ids)
-                done += 1
-        if out:
+                    now, done = shard, 0
+                    held = np.empty((min(per_shard, n - shard * per_shard), stride), dtype=kind)
+                at = np.frombuffer(slots.as_buffer(), dtype="<i8") - shard * per_shard
+                held[at] = np.frombuffer(expand(raw.as_buffer(), len(at) * stride * held.itemsize), dtype=kind).reshape(-1, stride)
+                done += len(at)
+        if held is not None:
             yield close()
 
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "slot")
-    return dealt.mapInArrow(shards, "shard long, first_slot long, sequences long"), n
+    # each task writes one range of slots: some neighbouring shards
+    ranges = min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = _dealt(encoded, first, Permutation(n, key), kind, stride, per_shard)
+    dealt = dealt.repartitionById(ranges, F.expr(f"cast(shard * {ranges} div {shards} as int)")).sortWithinPartitions("shard")
+    made = written(dealt.mapInArrow(filled, "shard long, first_slot long, sequences long"), "shards")
+    released(encoded)
+    return made, n
 
 
 def read_in_order(spark: SparkSession, folder: str, stride: int = STRIDE, per_shard: int = PER_SHARD, kind: str = "<u2", from_slot: int = 0) -> DataFrame:
@@ -165,7 +207,7 @@ def training_order(df: DataFrame, key: int = 20240601, text_column: str = "text"
     of every sequence, where ``sequence`` is its number before the permutation."""
     folder = f"{shared_folder(df.sparkSession)}/order-{uuid.uuid4().hex}"
     shards, n = materialised(df, folder, key, text_column, model)
-    if not shards.agg(F.sum("sequences").alias("n")).first()["n"]:
+    if not n:
         return df.sparkSession.createDataFrame([], "slot long, shard long, sequence long, ids_crc32 long")
     order = Permutation(n, key)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SHINGLE_WORDS = 5
 
 _U = np.uint64
@@ -35,7 +35,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` or more powers of the base and of its inverse; one table serves a whole worker."""
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, _BASE_INVERSE)):
             a = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
@@ -62,7 +63,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     starts = np.flatnonzero(inside & after)
     # a word ends where the next byte is white space or begins another text
     ends = np.flatnonzero(inside[:n] & (~inside[1:] | first[1:])) + 1
-    power, inverse = _powers_to(n + 1)
+    power, inverse = powers_to(n + 1)
     running = np.empty(n + 1, dtype=np.uint64)
     running[0] = 0
     np.cumsum(_BYTE[data] * power[:n], out=running[1:])

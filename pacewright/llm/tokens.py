@@ -12,15 +12,17 @@ import functools
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 
-from pacewright.llm.textgrid import _BASE, _BASE_INVERSE, mixed, text_slices
+from pacewright.llm.textgrid import SLICE_BYTES, mixed, powers_to, text_slices
 
-CACHE_WORDS = 600_000
+#: Words that one encoder keeps: with their ids about 100 MB, whatever the corpus.
+CACHE_WORDS = 300_000
 LETTER, NUMBER, SPACE, OTHER, SPECIAL = range(5)
 
 
@@ -47,19 +49,6 @@ def _point_values() -> np.ndarray:
     return np.random.default_rng(20240317).integers(1, 1 << 64, 0x110000, dtype=np.uint64) | np.uint64(1)
 
 
-_powers = [np.ones(1, dtype=np.uint64)] * 2
-
-
-def _powers_to(n: int) -> list[np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        full = [np.full(max(n, 1 << 20), b, dtype=np.uint64) for b in (_BASE, _BASE_INVERSE)]
-        for a in full:
-            a[0] = 1
-        _powers = [np.cumprod(a, dtype=np.uint64) for a in full]
-    return _powers
-
-
 def _word_starts(points: np.ndarray, breaks: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """Where words of the pattern begin.
 
@@ -96,31 +85,30 @@ def _word_starts(points: np.ndarray, breaks: np.ndarray, kinds: np.ndarray) -> n
     return np.flatnonzero(start)
 
 
-SLICE_BYTES = 2 << 20
-
-
 class _Store:
-    """Values of words by number: an amount each, and the ids that make it up where a value is an array."""
+    """Values of words by number: an amount each, and the ids that make it up where values are arrays."""
 
     def __init__(self):
         self.n, self.used = 0, 0
-        self.amount, self.begin, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
-
-    def add(self, value) -> int:
-        k = self.n
-        if k == len(self.amount):
-            self.amount, self.begin = np.resize(self.amount, 2 * k), np.resize(self.begin, 2 * k)
-        if isinstance(value, int):
-            self.amount[k] = value
-        else:
-            m = len(value)
-            while self.used + m > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.amount[k], self.begin[k] = m, self.used
-            self.flat[self.used : self.used + m] = value
-            self.used += m
-        self.n += 1
-        return k
+        self.amount, self.begin, self.flat = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 16, np.uint32)
+
+    def add(self, values: list) -> int:
+        """Adds values, all numbers or all lists of ids; returns the first one's number."""
+        first, self.n = self.n, self.n + len(values)
+        while self.n > len(self.amount):
+            self.amount, self.begin = np.resize(self.amount, 2 * len(self.amount)), np.resize(self.begin, 2 * len(self.begin))
+        if isinstance(values[0], int):
+            self.amount[first : self.n] = values
+            return first
+        sizes = np.fromiter(map(len, values), np.int64, len(values))
+        ends = self.used + np.cumsum(sizes)
+        self.amount[first : self.n], self.begin[first : self.n] = sizes, ends - sizes
+        total = int(ends[-1])
+        while total > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : total] = np.fromiter(chain.from_iterable(values), np.uint32, total - self.used)
+        self.used = total
+        return first
 
 
 @dataclass
@@ -161,7 +149,8 @@ class WordValues:
     def slices(self, column: pa.Array) -> Iterator[Slice]:
         for row, data, byte_at in text_slices(column, SLICE_BYTES):
             raw = data.tobytes()
-            points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+            text = raw.decode("utf-8")
+            points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
             if len(points) == len(data):
                 char_at = byte_at
             else:
@@ -176,17 +165,14 @@ class WordValues:
                 start[1:] |= self._apart[known[:-1], known[1:]]
                 starts = np.flatnonzero(start)
             else:
-                starts = _word_starts(points, breaks, self._kinds(raw, points, breaks))
-            place = self._places(points, starts)
+                starts = _word_starts(points, breaks, self._kinds(text, points, breaks))
+            place = self._places(text, points, starts)
             yield Slice(row, place, self._store, np.searchsorted(starts, char_at), char_at, byte_at, starts, points)
 
-    def _kinds(self, raw: bytes, points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
+    def _kinds(self, text: str, points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
         """Classes of the code points; special strings are a class of their own, with breaks around them."""
         kinds = _classes()[points]
         for s in self._special:
-            if s.encode() not in raw:
-                continue
-            text = raw.decode("utf-8")
             at = text.find(s)
             while at >= 0:
                 if breaks[at + 1 : at + len(s)].any():  # it runs over the end of a text
@@ -197,11 +183,11 @@ class WordValues:
                 at = text.find(s, at + len(s))
         return kinds
 
-    def _places(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def _places(self, text: str, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
         n = len(points)
         if not len(starts):
             return starts
-        power, inverse = _powers_to(n + 1)
+        power, inverse = powers_to(n + 1)
         running = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_point_values()[points] * power[:n], out=running[1:])
         ends = np.append(starts[1:], n)
@@ -209,15 +195,16 @@ class WordValues:
         del running
         if len(self._known) + len(different) > max(self._most, len(different)):
             self._known, self._store = {}, _Store()
-        known, add = self._known, self._store.add
+        known = self._known
         hashes = different.tolist()
         place = np.array([known.get(h, -1) for h in hashes], dtype=np.int64)
         new = np.flatnonzero(place < 0)
         if len(new):
             first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))[new]
-            words = [points[a:b].tobytes().decode("utf-32-le") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-            for k, value in zip(new.tolist(), self._of_words(words), strict=True):
-                known[hashes[k]] = place[k] = add(value)
+            words = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            begin = self._store.add(list(self._of_words(words)))
+            place[new] = np.arange(begin, begin + len(new))
+            known.update(zip((hashes[k] for k in new.tolist()), range(begin, begin + len(new)), strict=True))
         return place[codes]
 
 
@@ -254,19 +241,6 @@ class TextEncoder:
                 yield ids[a:b]
 
 
-    def lengths(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """The numbers of ids of the texts, slice by slice."""
-        for s in self._words.slices(column):
-            running = np.concatenate(([0], np.cumsum(s.store.amount[s.place])))
-            yield running[s.word_at[1:]] - running[s.word_at[:-1]]
-
-
-@functools.cache
-def text_encoder(name: str) -> TextEncoder:
-    """The encoder of a worker process: its words stay known from task to task, so it keeps fewer of them."""
-    return TextEncoder(name, CACHE_WORDS // 3)
-
-
 def letters_of_bytes() -> dict[int, str]:
     """The letter by which a byte-level vocabulary writes each byte: itself if printable, else one from 256 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
