@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -36,7 +36,7 @@ from pacewright.llm.tokens import TextEncoder
 
 STRIDE, PER_SHARD, ROUNDS = 1024, 8192, 6
 #: Sequences of a stored block and of a dealt buffer, and the level at which both are compressed.
-BLOCK, HELD, LEVEL = 256, 8192, 3
+BLOCK, HELD, LEVEL = 256, 8192, 6
 
 
 class Permutation:
@@ -71,6 +71,14 @@ class Permutation:
         return self._walked(slots, self.keys[::-1], True)
 
 
+def _store(path: str) -> tuple:
+    """The file system of a path, and the path there."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.rpartition("file:")  # Spark writes local names with any number of slashes
+    return (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "" and "://" not in rest else fs.FileSystem.from_uri(path)
+
+
 def _encoded(given: DataFrame, model: str, end_id: int, kind: str, stride: int) -> DataFrame:
     """(part, at, count, ids): the sequences of each input partition in blocks, compressed; ``at`` numbers a block's first one."""
 
@@ -148,9 +156,7 @@ def materialised(df: DataFrame, folder: str, key: int, text_column: str = "text"
         return spark.createDataFrame([], "shard long, first_slot long, sequences long"), 0
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store, root = _store(folder)
         store.create_dir(root, recursive=True)
         expand, now, held, done = zstandard.ZstdDecompressor().decompress, -1, None, 0
 
@@ -185,35 +191,47 @@ def materialised(df: DataFrame, folder: str, key: int, text_column: str = "text"
     return made, n
 
 
-def read_in_order(spark: SparkSession, folder: str, stride: int = STRIDE, per_shard: int = PER_SHARD, kind: str = "<u2", from_slot: int = 0) -> DataFrame:
-    """(slot, shard, ids) of the shards in ``folder`` from a slot on; ids as they are in the files."""
+def _read(spark: SparkSession, folder: str, stride: int, per_shard: int, kind: str, from_slot: int, made_of: Callable, schema: str) -> DataFrame:
+    """``made_of(slots, shard, ids)`` -> batch, over the shards in ``folder`` from a slot on, read through in runs of sequences."""
     size = stride * np.dtype(kind).itemsize
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder)
-    files = files.select(F.regexp_extract("path", r"(\d+)\.ids$", 1).cast("long").alias("shard"), "content").filter(F.col("shard") >= from_slot // per_shard)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder)  # names only, no content
+    files = files.select("path", F.regexp_extract("path", r"(\d+)\.ids$", 1).cast("long").alias("shard")).filter(F.col("shard") >= from_slot // per_shard)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = content.as_py()
-                slots = [s for s in range(shard * per_shard, shard * per_shard + len(raw) // size) if s >= from_slot]
-                pieces = [raw[(s - shard * per_shard) * size : (s - shard * per_shard + 1) * size] for s in slots]
-                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array([shard] * len(slots), pa.int64()), pa.array(pieces, pa.binary())], names=["slot", "shard", "ids"])
+            for path, shard in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, name = _store(path)
+                at = max(from_slot, shard * per_shard)
+                with store.open_input_file(name) as file:
+                    file.seek((at - shard * per_shard) * size)
+                    while raw := file.read(BLOCK * size):
+                        ids = np.frombuffer(raw, dtype=kind).reshape(-1, stride)
+                        yield made_of(np.arange(at, at + len(ids)), shard, ids)
+                        at += len(ids)
 
-    return files.mapInArrow(cut, "slot long, shard long, ids binary")
+    return files.mapInArrow(read, schema)
+
+
+def read_in_order(spark: SparkSession, folder: str, stride: int = STRIDE, per_shard: int = PER_SHARD, kind: str = "<u2", from_slot: int = 0) -> DataFrame:
+    """(slot, shard, ids) of the shards in ``folder`` from a slot on; ids as they are in the files."""
+
+    def rows(slots: np.ndarray, shard: int, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.full(len(slots), shard)), pa.array([x.tobytes() for x in ids])], names=["slot", "shard", "ids"])
+
+    return _read(spark, folder, stride, per_shard, kind, from_slot, rows, "slot long, shard long, ids binary")
 
 
 def training_order(df: DataFrame, key: int = 20240601, text_column: str = "text", model: str = "byte_bpe_50k.json") -> DataFrame:
     """Writes all texts of ``df`` in training order and reads the shards back: (slot, shard, sequence, ids_crc32)
     of every sequence, where ``sequence`` is its number before the permutation."""
-    folder = f"{shared_folder(df.sparkSession)}/order-{uuid.uuid4().hex}"
-    shards, n = materialised(df, folder, key, text_column, model)
+    spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/order-{uuid.uuid4().hex}"
+    schema = "slot long, shard long, sequence long, ids_crc32 long"
+    n = materialised(df, folder, key, text_column, model)[1]
     if not n:
-        return df.sparkSession.createDataFrame([], "slot long, shard long, sequence long, ids_crc32 long")
+        return spark.createDataFrame([], schema)
     order = Permutation(n, key)
 
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sequence = order.numbers(batch.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sequence), pa.array([zlib.crc32(x) for x in batch.column(2).to_pylist()], pa.int64())], names=["slot", "shard", "sequence", "ids_crc32"])
+    def described(slots: np.ndarray, shard: int, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.full(len(slots), shard)), pa.array(order.numbers(slots)), pa.array([zlib.crc32(x) for x in ids], pa.int64())], names=["slot", "shard", "sequence", "ids_crc32"])
 
-    return read_in_order(df.sparkSession, folder).mapInArrow(described, "slot long, shard long, sequence long, ids_crc32 long")
+    return _read(spark, folder, STRIDE, PER_SHARD, "<u2", 0, described, schema)
