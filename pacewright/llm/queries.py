@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacewright.llm.chat import conversation_digests, formatted_conversations
+from pacewright.llm.chat import formatted_digests
 from pacewright.llm.jaccard import jaccard_components
 from pacewright.llm.ordering import training_order
 from pacewright.llm.packing import packed
@@ -25,7 +25,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return conversation_digests(formatted_conversations(rows))
+    return formatted_digests(rows)
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

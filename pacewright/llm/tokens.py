@@ -216,10 +216,15 @@ def gathered(s: Slice) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TextEncoder:
-    """``texts(column)``: for each text, in order, the library's ids of the whole text (a null text has none)."""
+    """``texts(column)``: for each text, in order, the library's ids of the whole text (a null text has none).
 
-    def __init__(self, name: str = "byte_bpe_50k.json", most: int = CACHE_WORDS):
+    ``control`` names further strings that are tokens of their own, like the vocabulary's special ones.
+    """
+
+    def __init__(self, name: str = "byte_bpe_50k.json", most: int = CACHE_WORDS, control: tuple[str, ...] = ()):
         tok = tokenizer(name)
+        if control:
+            tok.add_special_tokens(list(control))
         special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
         letters = letters_of_bytes()
         tokenize = tok.model.tokenize
@@ -231,7 +236,10 @@ class TextEncoder:
                 else:
                     yield [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]
 
-        self._words = WordValues(of_words, tuple(special), most=most)
+        self._words, self._tok = WordValues(of_words, tuple(special), most=most), tok
+
+    def slices(self, column: pa.Array) -> Iterator[Slice]:
+        return self._words.slices(column)
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         for s in self._words.slices(column):
@@ -240,6 +248,28 @@ class TextEncoder:
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 yield ids[a:b]
 
+    @functools.cached_property
+    def _bytes(self) -> np.ndarray:
+        """The bytes of each id: a letter of a token stands for one byte, special strings for themselves."""
+        special = self._tok.get_added_tokens_decoder()
+        vocabulary = self._tok.get_vocab()
+        sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            sizes[i] = len(token.encode()) if i in special else len(token)
+        return sizes
+
+    def offsets(self, s: Slice, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's first code point in the slice and the one after its last; a token that holds a part of a
+        character reaches over all of it."""
+        sizes = self._bytes[ids]
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        if len(s.points) == s.byte_at[-1]:
+            return begins, ends
+        p = s.points
+        of_byte = np.repeat(np.arange(len(p)), 1 + (p > 0x7F).astype(np.int64) + (p > 0x7FF) + (p > 0xFFFF))
+        return of_byte[begins], of_byte[ends - 1] + 1
+
 
 def letters_of_bytes() -> dict[int, str]:
     """The letter by which a byte-level vocabulary writes each byte: itself if printable, else one from 256 on."""

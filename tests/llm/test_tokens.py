@@ -9,7 +9,7 @@ import pytest
 
 import public_tokenizers
 
-from pacewright.llm.chat import conversation_digests, escaped, formatted_conversations, unescaped
+from pacewright.llm.chat import END, START, TEXT, conversation_digests, escaped, formatted_conversations, formatted_digests, unescaped
 from pacewright.llm.ordering import Permutation, materialised, read_in_order, training_order
 from pacewright.llm.packing import packed
 from pacewright.llm.pieces import decoded_pieces, piece_ids, piece_round_trip
@@ -102,15 +102,23 @@ def test_packing(spark, library):
 
 
 def test_chat(spark):
+    library = tokenizer("byte_bpe_50k.json")
     rng = random.Random(5)
     parts = ["a", " b", "\n", "<|", "<|end|>", "<\\|", "<|start|>assistant<|text|>", "\\", "é日", "</s>", "[INST]", "\U0001f600", "|>", "<|endoftext|>"]
     rows = []
     for c in range(60):
         for turn in range(rng.randint(1, 6)):
             rows.append((c, turn, rng.choice(["user", "assistant", "assistant", "system", None, "x<|y"]), rng.choice([None, "", "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))])))
-    rows += [(None, 0, "assistant", "no id"), (5, 1, "assistant", "tie"), (5, 1, "assistant", "tie"), (6, None, "user", "first")]
+    rows += [(70, 0, "user", "\n" * 9), (70, 1, "assistant", "long é" * 60_000), (None, 0, "assistant", "no id"), (5, 1, "assistant", "tie"), (5, 1, "assistant", "tie"), (6, None, "user", "first")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 ids", "2 formatted").repartition(4)
-    found = {r["conv_id"]: r for r in conversation_digests(formatted_conversations(df)).collect()}
+    found = {r["conv_id"]: r for r in formatted_digests(df).collect()}
+    formatted = formatted_conversations(df).persist()
+    assert {r["conv_id"]: r for r in conversation_digests(formatted).collect()} == found
+    library.add_special_tokens([START, TEXT, END])
+    for r in formatted.collect():
+        code = library.encode(r["formatted"], add_special_tokens=False)
+        assert r["ids"] == code.ids and list(zip(r["begins"], r["ends"], strict=True)) == code.offsets
+    assert formatted_digests(df.limit(0)).count() == 0
     by: dict = {}
     for c, turn, role, text in rows:
         by.setdefault(c, []).append((-1 if turn is None else turn, role or "", text or ""))
