@@ -2,21 +2,46 @@
 
 from __future__ import annotations
 
-import uuid
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pacewright.sources.scratch import removed, shared_folder
+from pacewright.sources.scratch import stored as written
 
-__all__ = ["only", "released", "shared_folder", "table", "written"]
+__all__ = ["bounded_batches", "in_python", "lean", "only", "released", "shared_folder", "table", "written"]
 
+#: Bytes of a batch of rows on its way to Python, in the executor's JVM and in its worker.
+BATCH_BYTES = 4 << 20
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its lineage ends there."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def lean(step: Callable) -> Callable:
+    """A step over batches whose worker hands freed memory back when it ends: workers are used again for other steps,
+    and what one of them once held would stay with it."""
+
+    @functools.wraps(step)
+    def run(batches: Iterator) -> Iterator:
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
+def bounded_batches(df: DataFrame) -> None:
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def in_python(df: DataFrame, step: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded bytes, however long the texts are, by workers that keep nothing."""
+    bounded_batches(df)
+    return df.mapInArrow(lean(step), schema)
 
 
 def released(*tables: DataFrame) -> None:

@@ -1,8 +1,11 @@
 """The compression classifier on held-out rows."""
 
+import math
 import random
 import zlib
 
+import pytest
+
 from pacewright.llm.quality_model import good_documents, quality_model, quality_scores
 
 
@@ -24,6 +27,16 @@ def test_held_out_accuracy(spark):
     held = [r for r in found if r["held_out"]]
     assert {r["doc_id"] for r in held} == {k for k in [*range(600), 7000] if zlib.crc32(str(k).encode()) % 3 == 1}
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held if r["doc_id"] < 600) >= 0.97 * (len(held) - 1)
+    # by hand: blocks of 512 bytes under either dictionary, one difference per byte, one curve
+    packers = model.compressors()
+    texts = {k: (t or "").encode() for k, t in [*rows, (None, None), (7000, "")]}
+    for r in found:
+        raw = texts[r["doc_id"]]
+        good, bad = (sum(len(c.compress(raw[k : k + 512])) for k in range(0, len(raw), 512)) for c in packers)
+        d = (bad - good) / len(raw) if raw else 0.0
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, model.base + model.slope * d)))), abs=1e-9)
+    long = spark.createDataFrame([(1, rows[1][1] * 3000), (2, rows[3][1] * 3000)], "doc_id long, text string")
+    assert {r["doc_id"]: r["predicted"] for r in quality_scores(long, model).collect()} == {1: 1, 2: 0}
     kept = good_documents(df, model)
     assert kept.columns == df.columns and 150 < kept.count() < 450
     none = quality_model(df, marks.limit(0))
