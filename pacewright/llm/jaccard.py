@@ -38,10 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacewright.llm.components import components, joined_components
-from pacewright.llm.shared import only, written
+from pacewright.llm.shared import in_python, only, written
 from pacewright.llm.textgrid import mixed, set_hash, shingle_sets
 
-FLUSH, SEEN = 1 << 21, 200_000
+FLUSH, SEEN = 1 << 20, 200_000
 REPEATED_BITS, COMMON_BITS, COMMON_FROM, WANTED_BITS = 26, 21, 64, 24
 STAR_ROUNDS = 1
 
@@ -95,7 +95,7 @@ def _frequencies(given: DataFrame, bucket_bits: int) -> DataFrame:
         one = [rows.column("bucket")[0].as_py(), np.packbits(repeated).tobytes(), common.tobytes(), float(few.sum()), float((few * few).sum())]
         return pa.Table.from_arrays([pa.array([x], pa.int32() if k == 0 else None) for k, x in enumerate(one)], names=["bucket", "repeated", "common", "total", "squares"])
 
-    return given.mapInArrow(counted, "bucket int, hashes binary, counts binary").groupBy("bucket").applyInArrow(summed, "bucket int, repeated binary, common binary, total double, squares double")
+    return in_python(given, counted, "bucket int, hashes binary, counts binary").groupBy("bucket").applyInArrow(summed, "bucket int, repeated binary, common binary, total double, squares double")
 
 
 def _first_keys(s: np.ndarray, repeated: np.ndarray, common: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray] | None:
@@ -158,7 +158,7 @@ def _documents(given: DataFrame, send: Broadcast, boundary: int) -> DataFrame:
                     kinds, sizes, keys, places, held = [], [], [], [], 0
             yield flushed()
 
-    return given.mapInArrow(described, "id long, class long, n long, keys array<long>, places array<int>")
+    return in_python(given, described, "id long, class long, n long, keys array<long>, places array<int>")
 
 
 def _sets(given: DataFrame, send: Broadcast) -> DataFrame:
@@ -180,7 +180,7 @@ def _sets(given: DataFrame, send: Broadcast) -> DataFrame:
                     held, elements = 0, []
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(elements)), pa.array(elements, pa.list_(pa.int64()))], names=["id", "elements"])
 
-    return slots.mapInArrow(chosen, "id long, elements array<long>")
+    return in_python(slots, chosen, "id long, elements array<long>")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:

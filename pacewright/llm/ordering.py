@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacewright.llm.shared import only, released, shared_folder, written
+from pacewright.llm.shared import in_python, only, released, shared_folder, written
 from pacewright.llm.textgrid import mixed
 from pacewright.llm.tokens import TextEncoder
 
@@ -108,7 +108,7 @@ def _encoded(given: DataFrame, model: str, end_id: int, kind: str, stride: int)
             stream = np.concatenate(held)
             yield block(np.append(stream, np.full(-len(stream) % stride, end_id, dtype=kind)))
 
-    return given.mapInArrow(encoded, "part long, at long, count long, ids binary")
+    return in_python(given, encoded, "part long, at long, count long, ids binary")
 
 
 def _dealt(encoded: DataFrame, first: dict[int, int], order: Permutation, kind: str, stride: int, per_shard: int) -> DataFrame:
@@ -138,7 +138,7 @@ def _dealt(encoded: DataFrame, first: dict[int, int], order: Permutation, kind:
         if slots:
             yield flushed()
 
-    return encoded.mapInArrow(dealt, "shard long, slots binary, ids binary")
+    return in_python(encoded, dealt, "shard long, slots binary, ids binary")
 
 
 def materialised(df: DataFrame, folder: str, key: int, text_column: str = "text", model: str = "byte_bpe_50k.json", end_id: int = 0, stride: int = STRIDE, per_shard: int = PER_SHARD, kind: str = "<u2") -> tuple[DataFrame, int]:
@@ -186,7 +186,7 @@ def materialised(df: DataFrame, folder: str, key: int, text_column: str = "text"
     ranges = min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = _dealt(encoded, first, Permutation(n, key), kind, stride, per_shard)
     dealt = dealt.repartitionById(ranges, F.expr(f"cast(shard * {ranges} div {shards} as int)")).sortWithinPartitions("shard")
-    made = written(dealt.mapInArrow(filled, "shard long, first_slot long, sequences long"), "shards")
+    made = written(in_python(dealt, filled, "shard long, first_slot long, sequences long"), "shards")
     released(encoded)
     return made, n
 
@@ -209,7 +209,7 @@ def _read(spark: SparkSession, folder: str, stride: int, per_shard: int, kind: s
                         yield made_of(np.arange(at, at + len(ids)), shard, ids)
                         at += len(ids)
 
-    return files.mapInArrow(read, schema)
+    return in_python(files, read, schema)
 
 
 def read_in_order(spark: SparkSession, folder: str, stride: int = STRIDE, per_shard: int = PER_SHARD, kind: str = "<u2", from_slot: int = 0) -> DataFrame:

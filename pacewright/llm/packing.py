@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from pacewright.llm.shared import only, written
+from pacewright.llm.shared import in_python, only, written
 from pacewright.llm.tokens import TextEncoder
 
 WINDOW, OPEN_WINDOWS, MERGED_PARTITIONS = 1024, 64, 32
@@ -106,7 +106,7 @@ def packed(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             yield _batch(schema, done, keep_ids, None)
             yield _batch(schema, list(packer.rest()), True, part)
 
-    first = written(given.mapInArrow(first_pass, f"id {id_type}, {_PIECE}, part long"), "packed")
+    first = written(in_python(given, first_pass, f"id {id_type}, {_PIECE}, part long"), "packed")
 
     def merge(pieces: pa.Table) -> pa.Table:
         pieces = pieces.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])

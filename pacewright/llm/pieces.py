@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacewright.llm.merges import MergeRules
-from pacewright.llm.shared import only
+from pacewright.llm.shared import in_python, only
 from pacewright.llm.tokens import WordValues, gathered
 
 MARK = "▁"
@@ -121,7 +121,7 @@ def piece_ids(df: DataFrame, id_column: str = "doc_id", text_column: str = "text
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.row, len(lists)), lists], names=["id", "ids"])
 
-    out = given.mapInArrow(encoded, f"id {given.schema['id'].dataType.simpleString()}, ids array<int>")
+    out = in_python(given, encoded, f"id {given.schema['id'].dataType.simpleString()}, ids array<int>")
     return out.withColumnRenamed("id", id_column)
 
 
@@ -135,7 +135,7 @@ def decoded_pieces(encoded: DataFrame, id_column: str = "doc_id", ids_column: st
             texts = [None if ids.as_py() is None else rules.decoded(ids.values.to_pylist()) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    out = given.mapInArrow(decoded, f"id {given.schema['id'].dataType.simpleString()}, text string")
+    out = in_python(given, decoded, f"id {given.schema['id'].dataType.simpleString()}, text string")
     return out.withColumnRenamed("id", id_column)
 
 
@@ -159,5 +159,5 @@ def piece_round_trip(df: DataFrame, id_column: str = "doc_id", text_column: str
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.row, len(rows)), *columns], names=["id", "n_tokens", "ids_crc32", "decoded_chars", "round_trip"])
 
-    out = given.mapInArrow(tried, f"id {given.schema['id'].dataType.simpleString()}, n_tokens long, ids_crc32 long, decoded_chars long, round_trip boolean")
+    out = in_python(given, tried, f"id {given.schema['id'].dataType.simpleString()}, n_tokens long, ids_crc32 long, decoded_chars long, round_trip boolean")
     return out.withColumnRenamed("id", id_column)

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from pacewright.llm.merges import ByteMerges
-from pacewright.llm.shared import only
+from pacewright.llm.shared import in_python, only
 from pacewright.llm.tokens import Slice, WordValues
 
 
@@ -97,7 +97,7 @@ def token_counts(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 ids = batch.column(0).slice(s.row, len(tokens))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(s.byte_at)), pa.array(tokens), pa.array(tokens > limit), pa.array(fit)], names=["id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
-    out = given.mapInArrow(counted, f"id {given.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    out = in_python(given, counted, f"id {given.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
     return out.withColumnRenamed("id", id_column)
 
 
@@ -117,5 +117,5 @@ def prefix_table(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 kind = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.row, len(ends)), pa.array(ends, kind), pa.array(tokens, kind)], names=["id", "ends", "tokens"])
 
-    out = given.mapInArrow(counted, f"id {given.schema['id'].dataType.simpleString()}, ends array<long>, tokens array<long>")
+    out = in_python(given, counted, f"id {given.schema['id'].dataType.simpleString()}, ends array<long>, tokens array<long>")
     return out.withColumnRenamed("id", id_column)

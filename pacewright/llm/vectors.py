@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacewright.llm.components import components
-from pacewright.llm.shared import only, written
+from pacewright.llm.shared import in_python, only, written
 from pacewright.llm.textgrid import mixed
 
 TABLES, BLOCK, ROWS = 16, 1024, 4096
@@ -93,7 +93,7 @@ def _hashed(classes: DataFrame, tables: int, rotations: int) -> DataFrame:
                     own = np.repeat(ids[rows[a : a + ROWS]], codes.shape[1])
                     yield pa.RecordBatch.from_arrays([pa.array(codes.ravel().view(np.int64)), pa.array(own)], names=["bucket", "cid"])
 
-    return classes.select("cid", "v").mapInArrow(hashed, "bucket long, cid long").distinct()
+    return in_python(classes.select("cid", "v"), hashed, "bucket long, cid long").distinct()
 
 
 def _in_blocks(members: DataFrame, group: str) -> DataFrame:
@@ -136,7 +136,7 @@ def _by_group(rows: DataFrame, of_group, schema: str) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return rows.select("g", "side", "cid", "m", "v").repartition("g").sortWithinPartitions("g", "cid").mapInArrow(grouped, schema)
+    return in_python(rows.select("g", "side", "cid", "m", "v").repartition("g").sortWithinPartitions("g", "cid"), grouped, schema)
 
 
 def _near(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
@@ -151,7 +151,7 @@ def _near(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
                 keep = rows_[np.einsum("ij,ij->i", u, v) >= least]
                 yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(near, "a long, b long")
+    return in_python(rows, near, "a long, b long")
 
 
 def _unsettled(members: DataFrame, linked: DataFrame) -> DataFrame:
