@@ -54,11 +54,16 @@ def track_summary(points: DataFrame) -> DataFrame:
     return found.withColumns({c: F.when(F.col("has_elevation"), F.col(c)) for c in ("ele_min", "ele_max")})
 
 
+def from_end(keys: tuple[str, ...] = BY_TRACK, by: str = "seq") -> WindowSpec:
+    """All rows from the last down to this one. Looking ahead this way costs a sort; a frame that reaches to the end
+    of its partition would be gone through again for every row."""
+    return Window.partitionBy(*keys).orderBy(F.col(by).desc()).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def _around(value: str, keys: tuple[str, ...], by: str) -> tuple[Column, Column, Column, Column]:
     """The last value before or at a row and the next after or at it, with their places."""
-    back, ahead = running(keys, by), ordered(keys, by).rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col(value).isNotNull(), F.col(by))
-    return (F.last(value, True).over(back), F.last(at, True).over(back), F.first(value, True).over(ahead), F.first(at, True).over(ahead))
+    return tuple(F.last(c, True).over(w) for w in (running(keys, by), from_end(keys, by)) for c in (F.col(value), at))
 
 
 def interpolated_gaps(df: DataFrame, value: str, out: str, keys: tuple[str, ...] = BY_TRACK, by: str = "seq") -> DataFrame:
@@ -167,7 +172,7 @@ def series_extremes(points: DataFrame, series: list[str]) -> DataFrame:
 def series_range(extremes: DataFrame) -> DataFrame:
     """Adds a padded ``y_min`` and ``y_max``; the speed family keeps its top, elevation is padded by 4 m at least."""
     span, mean = F.col("hi") - F.col("lo"), (F.col("hi") + F.col("lo")) / 2
-    pad = F.greatest(0.08 * span, 0.04 * mean)
+    pad = F.greatest(0.08 * span, 0.04 * F.abs(mean))
     pad = F.when(F.col("series") == "ele", F.greatest(0.08 * span, F.lit(4.0))).otherwise(F.when(pad > 0, pad).otherwise(F.lit(1.0)))
     low = F.when(F.col("series") == "ele", F.col("lo") - pad).otherwise(F.greatest(F.lit(0.0), F.col("lo") - pad))
     high = F.when(F.col("series").isin("clean_speed", "gap_speed"), F.col("hi")).otherwise(F.col("hi") + pad)
@@ -213,7 +218,7 @@ def simplify_dp(points: DataFrame, tolerance: float = 1.5, most: int = 12000) ->
         track = track.sort_values("seq")
         lat, lon = track["lat"].to_numpy(), track["lon"].to_numpy()
         metre = np.pi / 180 * 6371008.8
-        x, y = lon * metre * np.cos(np.radians((lat.min() + lat.max()) / 2)), lat * metre
+        x, y = lon * metre * np.cos(np.radians(lat.mean())), lat * metre
         keep, limit = kept(x, y, tolerance), tolerance
         for _ in range(8):
             if keep.sum() <= most:
