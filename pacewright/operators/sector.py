@@ -1,23 +1,26 @@
 """Sectors of tracks: places along a track, the walk over a sector, pauses, and all metrics of a sector.
 
-Everything is partitioned by track: one exchange of the points by ``track_id`` serves the as-of lookups, the
-walk, its windows and the folds, since windows over (track_id, sector_id) are satisfied by it.
+As-of lookups are partitioned by track. A sector's points are found through blocks of neighbouring points, so a
+sector meets only the blocks it reaches into; from there on everything is partitioned by (track_id, sector_id), and
+the sectors of one long track are worked by many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pacewright.functions.geo import MOVING_MPS, PAUSE_MIN_S, lerp, minetti_factor, segment_3d, segment_type
-from pacewright.operators.track import ordered, raw_speed, running, sigma_filter, sigma_repair, smooth5, speed_series, with_next
+from pacewright.functions.geo import MOVING_MPS, PAUSE_MIN_S, lerp, minetti_factor, segment_3d, segment_type, speed_implausible
+from pacewright.operators.track import ordered, running, speed_series, with_next
+from pacewright.sources.scratch import stored
 
 SECTOR = ("track_id", "sector_id")
+BLOCK = 128  # points that a sector meets together
 _PLACE = ("lat", "lon", "ele", "time_ms")
 
 
-def split_by_length(tracks: DataFrame, length: float = 1000.0, tail: str = "fold") -> DataFrame:
-    """Sectors of a fixed length; a rest of up to 200 m is folded into the last one or dropped (``tail``)."""
+def split_by_length(tracks: DataFrame, length: float = 1000.0, tail: str = "drop") -> DataFrame:
+    """Sectors of a fixed length; a rest of up to 200 m is left out or folded into the last one (``tail``)."""
     n = F.greatest(F.lit(1), F.ceil((F.col("total_distance") - 200) / length)).cast("int")
     d = tracks.select("track_id", "total_distance", n.alias("n")).withColumn("sector_id", F.explode(F.expr("sequence(0, n - 1)")))
     start = F.col("sector_id") * length
@@ -95,14 +98,14 @@ def sector_walk(points: DataFrame, sectors: DataFrame) -> DataFrame:
     p = with_next(points)
     cols = ["hr", "cad", "power", "temp", "speed", "recorded", "dd", "dt", "dz"]
     p = p.select("track_id", F.col("seq").alias("vseq"), "cum_dist", F.col("ele").alias("v_ele"), F.col("time_ms").cast("double").alias("v_ms"), *[F.col(c).alias(f"v_{c}") for c in cols])
-    s = located(points, sectors)
-    d = s.join(p, "track_id").filter("vseq between a.i and b.i")
+    s = located(points, sectors).withColumn("block", F.explode(F.expr(f"sequence(a.i div {BLOCK}, b.i div {BLOCK})")))
+    d = s.join(p.withColumn("block", F.expr(f"vseq div {BLOCK}")), ["track_id", "block"]).filter("vseq between a.i and b.i")
     row = lambda kind, step, dist, ele, ms: F.struct(F.lit(kind).alias("kind"), step.cast("int").alias("step"), dist.alias("to_dist"), ele.alias("to_ele"), ms.alias("to_ms"))
     first = F.when(F.col("vseq") == F.col("a.i"), row("start", F.lit(0), F.col("a.dist"), F.col("a.ele"), F.col("a.time_ms")))
     inner = F.when(F.col("vseq") > F.col("a.i"), row("point", F.col("vseq") - F.col("a.i"), F.col("cum_dist"), F.col("v_ele"), F.col("v_ms")))
     last = F.when(F.col("vseq") == F.col("b.i"), row("end", F.col("vseq") - F.col("a.i") + 1, F.col("b.dist"), F.col("b.ele"), F.col("b.time_ms")))
     d = d.withColumns({"_1": first, "_2": inner, "_3": last}).withColumn("_r", F.explode(F.expr("filter(array(_1, _2, _3), r -> r is not null)")))
-    d = d.select(*SECTOR, "vseq", "v_ele", *[f"v_{c}" for c in cols], F.col("b.t").alias("end_t"), "_r.*")
+    d = d.select(*SECTOR, "vseq", "v_ele", *[f"v_{c}" for c in cols], F.col("b.t").alias("end_t"), (F.col("vseq") == F.col("b.i")).alias("last"), "_r.*")
     w = ordered(SECTOR, "step")
     d = d.withColumn("seg_h", F.greatest(F.lit(0.0), F.col("to_dist") - F.lag("to_dist").over(w)))
     d = d.withColumn("d_ele", F.col("to_ele") - F.lag("to_ele").over(w)).withColumn("from_ms", F.lag("to_ms").over(w)).withColumn("from_dist", F.lag("to_dist").over(w))
@@ -120,18 +123,42 @@ def pause_spans(walk: DataFrame) -> DataFrame:
     return spans.drop("island")
 
 
+class Part:
+    """Some measures of a sector: aggregates over its walk, columns made of them, and the names given out."""
+
+    def __init__(self, names: list[str], sums: list[Column], *steps: dict[str, Column]):
+        self.names, self.sums, self.steps = names, sums, steps
+
+
+def aggregated(walk: DataFrame, *parts: Part) -> DataFrame:
+    """The measures of some parts in one pass over the walk."""
+    d = walk.groupBy(*SECTOR).agg(*[c for p in parts for c in p.sums])
+    for p in parts:
+        for columns in p.steps:
+            d = d.withColumns(columns)
+    return d.select(*SECTOR, *[n for p in parts for n in p.names])
+
+
+def _at(kind: str, column: str) -> Column:
+    return F.max(F.when(F.col("kind") == kind, F.col(column)))
+
+
+def _distance() -> Part:
+    return Part(["horizontal_m", "distance_3d"], [(F.max("to_dist") - F.min("to_dist")).alias("horizontal_m"), F.sum(segment_3d(F.col("seg_h"), F.col("d_ele"))).alias("distance_3d")])
+
+
 def sector_distance(walk: DataFrame) -> DataFrame:
-    return walk.groupBy(*SECTOR).agg((F.max("to_dist") - F.min("to_dist")).alias("horizontal_m"), F.sum(segment_3d(F.col("seg_h"), F.col("d_ele"))).alias("distance_3d"))
+    return aggregated(walk, _distance())
 
 
-def folded(walk: DataFrame) -> DataFrame:
+def _fold() -> Part:
     """What depends on all steps before: filtered gain and loss, seconds of rising and falling trend, and grade windows.
 
     One fold per sector over its ordered steps, inside the JVM: the residual is credited past 3 m; a grade
     window closes at 50 m; the last open one counts from 20 m.
     """
     step = F.struct("step", "d_ele", "seg_h", F.col("to_ele").alias("e"), F.when(F.col("timed") & ~F.col("paused"), F.col("dt")).otherwise(F.lit(0.0)).alias("dt"))
-    whole = walk.groupBy(*SECTOR).agg(F.array_sort(F.collect_list(F.when(F.col("step") > 0, step))).alias("steps"), F.max(F.when(F.col("step") == 0, F.col("to_ele"))).alias("e0"))
+    sums = [F.array_sort(F.collect_list(F.when(F.col("step") > 0, step))).alias("steps"), F.max(F.when(F.col("step") == 0, F.col("to_ele"))).alias("e0")]
     zero = "named_struct('r', 0D, 'g', 0D, 'l', 0D, 'up', 0D, 'down', 0D, 'acc', 0D, 'we', e0, 'hi', cast(null as double), 'lo', cast(null as double))"
     # the new residual, then what is credited, then the trend and the window
     merge = """(s, x) -> if(x.d_ele is null, s, named_struct(
@@ -144,18 +171,21 @@ def folded(walk: DataFrame) -> DataFrame:
         'we', if(s.acc + x.seg_h >= 50, x.e, s.we),
         'hi', if(s.acc + x.seg_h >= 50, greatest(s.hi, (x.e - s.we) / (s.acc + x.seg_h)), s.hi),
         'lo', if(s.acc + x.seg_h >= 50, least(s.lo, (x.e - s.we) / (s.acc + x.seg_h)), s.lo)))"""
-    d = whole.withColumn("f", F.expr(f"aggregate(steps, {zero}, {merge})")).withColumn("e1", F.expr("element_at(steps, -1).e"))
-    tail = "if(f.acc >= 20, (e1 - f.we) / f.acc, null)"
+    tail = "if(f.acc >= 20, (element_at(steps, -1).e - f.we) / f.acc, null)"
     known = F.col("e0").isNotNull()
-    return d.select(
-        *SECTOR,
-        F.when(known, F.col("f.g")).alias("gain"),
-        F.when(known, F.col("f.l")).alias("loss"),
-        F.col("f.up").alias("climb_s"),
-        F.col("f.down").alias("descend_s"),
-        F.expr(f"greatest(f.hi, {tail})").alias("max_grade"),
-        F.expr(f"least(f.lo, {tail})").alias("min_grade"),
-    )
+    out = {
+        "gain": F.when(known, F.col("f.g")),
+        "loss": F.when(known, F.col("f.l")),
+        "climb_s": F.col("f.up"),
+        "descend_s": F.col("f.down"),
+        "max_grade": F.expr(f"greatest(f.hi, {tail})"),
+        "min_grade": F.expr(f"least(f.lo, {tail})"),
+    }
+    return Part(list(out), sums, {"f": F.expr(f"aggregate(steps, {zero}, {merge})")}, out)
+
+
+def folded(walk: DataFrame) -> DataFrame:
+    return aggregated(walk, _fold())
 
 
 def sector_gain_loss(walk: DataFrame) -> DataFrame:
@@ -166,78 +196,122 @@ def sector_grades(walk: DataFrame) -> DataFrame:
     return folded(walk).select(*SECTOR, "max_grade", "min_grade")
 
 
+def _rates() -> dict[str, Column]:
+    rate = lambda m, s: F.when((F.col(s) > 0) & (F.col(m) > 0), F.col(m) / (F.col(s) / 3600))
+    return {"vam": rate("gain", "climb_s"), "vdm": rate("loss", "descend_s")}
+
+
 def vertical_rates(walk: DataFrame) -> DataFrame:
     """Metres an hour while the filtered trend rises (vam) or falls (vdm)."""
-    rate = lambda m, s: F.when((F.col(s) > 0) & (F.col(m) > 0), F.col(m) / (F.col(s) / 3600))
-    return folded(walk).select(*SECTOR, rate("gain", "climb_s").alias("vam"), rate("loss", "descend_s").alias("vdm"))
+    return folded(walk).withColumns(_rates()).select(*SECTOR, "vam", "vdm")
+
+
+def _elevation() -> Part:
+    own = F.when(F.col("kind") != "end", F.col("v_ele"))
+    sums = [_at("start", "to_ele").alias("ele_start"), _at("end", "to_ele").alias("ele_end"), F.min(F.least("to_ele", own)).alias("ele_min"), F.max(F.greatest("to_ele", own)).alias("ele_max")]
+    return Part(["ele_start", "ele_end", "ele_min", "ele_max", "net"], sums, {"net": F.col("ele_end") - F.col("ele_start")})
 
 
 def sector_elevation(walk: DataFrame) -> DataFrame:
-    ends = walk.groupBy(*SECTOR).agg(
-        F.max(F.when(F.col("kind") == "start", F.col("to_ele"))).alias("ele_start"),
-        F.max(F.when(F.col("kind") == "end", F.col("to_ele"))).alias("ele_end"),
-        F.min(F.least("to_ele", F.when(F.col("kind") != "end", F.col("v_ele")))).alias("ele_min"),
-        F.max(F.greatest("to_ele", F.when(F.col("kind") != "end", F.col("v_ele")))).alias("ele_max"),
-    )
-    return ends.withColumn("net", F.col("ele_end") - F.col("ele_start"))
+    return aggregated(walk, _elevation())
+
+
+def _times() -> Part:
+    return Part(["start_ms", "end_ms"], [_at("start", "to_ms").alias("start_ms"), _at("end", "to_ms").alias("end_ms")])
+
+
+def _moving() -> Part:
+    elapsed = (F.col("t_b") - F.col("t_a")) / 1000
+    sums = [F.sum(F.when(F.col("timed") & ~F.col("paused"), F.col("dt"))).alias("moving"), _at("start", "to_ms").alias("t_a"), _at("end", "to_ms").alias("t_b")]
+    return Part(["moving_s", "elapsed_s"], sums, {"moving_s": F.when(F.col("moving") > 0, F.col("moving")), "elapsed_s": F.when(elapsed > 0, elapsed)})
 
 
 def moving_time(walk: DataFrame) -> DataFrame:
     """Seconds outside confirmed pauses, and between the ends; null if not positive."""
-    d = walk.groupBy(*SECTOR).agg(F.sum(F.when(F.col("timed") & ~F.col("paused"), F.col("dt"))).alias("moving_s"), F.max(F.when(F.col("kind") == "start", F.col("to_ms"))).alias("_a"), F.max(F.when(F.col("kind") == "end", F.col("to_ms"))).alias("_b"))
-    elapsed = (F.col("_b") - F.col("_a")) / 1000
-    return d.select(*SECTOR, F.when(F.col("moving_s") > 0, F.col("moving_s")).alias("moving_s"), F.when(elapsed > 0, elapsed).alias("elapsed_s"))
+    return aggregated(walk, _moving())
 
 
-def _with_source(walk: DataFrame) -> DataFrame:
-    return walk.withColumn("recorded", F.max("v_recorded").over(Window.partitionBy(*SECTOR)))
+def _temperature() -> Part:
+    t = F.when(F.col("kind") != "end", F.col("v_temp"))
+    return Part(["avg_temp", "min_temp", "max_temp"], [F.avg(t).alias("avg_temp"), F.min(t).alias("min_temp"), F.max(t).alias("max_temp")])
 
 
-def _cleaned_mean(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """Mean of the values cleaned by source: smoothed over the rows left if any speed is recorded, else without outliers."""
-    smooth = smooth5(rows.filter("recorded"), value, "_v", SECTOR, "step").select(*SECTOR, "_v")
-    kept = sigma_filter(rows.filter("not recorded"), value, SECTOR).select(*SECTOR, F.col(value).alias("_v"))
-    return smooth.unionByName(kept).groupBy(*SECTOR).agg(F.avg("_v").alias(out))
+def temp_stats(walk: DataFrame) -> DataFrame:
+    return aggregated(walk, _temperature())
 
 
-def avg_speed(walk: DataFrame) -> DataFrame:
-    rows = _with_source(walk).filter("moving").withColumn("v", F.col("seg_h") / F.col("dt"))
-    mean = _cleaned_mean(rows, "v", "avg_speed")
-    return mean.withColumn("avg_pace", F.when(F.col("avg_speed") > 0, 1000 / F.col("avg_speed")))
+def _series() -> dict[str, Column]:
+    """What is cleaned within a sector: its values at the rows of the walk that have any."""
+    own = F.when(F.col("v_speed") >= 0, F.col("v_speed"))
+    derived = F.when((F.col("v_dt") > 0) & (F.col("v_dd") >= 0), F.try_divide("v_dd", "v_dt"))
+    ruled_out = own.isNotNull() & ~F.col("last") & speed_implausible(own, F.col("v_dd"), F.col("v_dt"))
+    step = F.col("moving") & (F.col("seg_h") > 0) & F.col("d_ele").isNotNull()
+    reading = (F.col("kind") != "end") & ~((F.col("kind") == "point") & F.col("paused"))
+    return {
+        "speed": F.when(F.col("moving"), F.try_divide("seg_h", "dt")),
+        "gap": F.when(step, F.col("dt") / F.col("seg_h") * 1000 / minetti_factor(F.try_divide("d_ele", "seg_h"))),
+        "top": F.when(~ruled_out, F.coalesce(own, derived)),
+        **{c: F.when(reading, F.col(f"v_{c}")) for c in ("hr", "cad", "power")},
+    }
 
 
-def avg_gap(walk: DataFrame) -> DataFrame:
-    rows = _with_source(walk).filter("moving and seg_h > 0 and d_ele is not null")
-    pace = F.col("dt") / F.col("seg_h") * 1000 / minetti_factor(F.col("d_ele") / F.col("seg_h"))
-    return _cleaned_mean(rows.withColumn("v", pace), "v", "avg_gap")
+def cleaned(walk: DataFrame, *names: str) -> DataFrame:
+    """(track_id, sector_id, vseq, metric, recorded, smooth, kept) of the named series, all cleaned in one pass.
 
+    ``smooth`` is the mean of five values, ``kept`` the value if it lies within three standard deviations of the
+    sector's mean. Rows without a value are left out, but for ``top``, whose places count for the mean of five.
+    """
+    series = _series()
+    each = F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), series[n].alias("v"), (F.col("kind") != "end" if n == "top" else series[n].isNotNull()).alias("use")) for n in names]))
+    d = walk.select(*SECTOR, "step", "vseq", F.col("v_recorded").alias("recorded"), each).filter("use")
+    keys = (*SECTOR, "metric")
+    w = Window.partitionBy(*keys)
+    d = d.withColumns({"smooth": F.avg("v").over(ordered(keys, "step").rowsBetween(-2, 2)), "_m": F.avg("v").over(w), "_s": F.stddev_pop("v").over(w), "_n": F.count("v").over(w)})
+    off = F.abs(F.col("v") - F.col("_m")) > 3 * F.col("_s")
+    few = (F.col("metric") == "top") & ((F.col("_n") < 3) | (F.col("_s") == 0))
+    return d.select(*SECTOR, "vseq", "metric", "recorded", "smooth", F.when(few | ~off, F.col("v")).alias("kept"))
+
+
+def _clean_stats(walk: DataFrame, *names: str) -> DataFrame:
+    """One row per sector with means and tops of the named series; speeds are smoothed where any speed is recorded, else
+    without outliers. A repaired outlier lies between its neighbours, so the top of the kept values is the top of all."""
+    best = F.when(F.col("recorded"), F.col("smooth")).otherwise(F.col("kept"))
+    of = lambda n, c: F.when(F.col("metric") == n, c)
+    sums = {"speed": [F.avg(of("speed", best)).alias("avg_speed")], "gap": [F.avg(of("gap", best)).alias("avg_gap")], "top": [F.max(of("top", best)).alias("max_speed")]}
+    sums |= {c: [f(of(c, F.col("smooth"))).alias(f"{k}_{c}") for k, f in (("avg", F.avg), ("max", F.max))] for c in ("hr", "cad", "power")}
+    d = cleaned(walk, *names).groupBy(*SECTOR).agg(*[c for n in names for c in sums[n]])
+    if "speed" in names:
+        d = d.withColumn("avg_pace", F.when(F.col("avg_speed") > 0, 1000 / F.col("avg_speed")))
+    if "top" in names:
+        d = d.withColumn("max_speed", F.when(F.col("max_speed") > 0, F.col("max_speed")))
+    return d
+
+
+def avg_speed(walk: DataFrame) -> DataFrame:
+    return _clean_stats(walk, "speed")
 
-def sector_speed_series(walk: DataFrame) -> DataFrame:
-    """(track_id, sector_id, vseq, clean_speed, v_dd, v_dz) of the sector's points, cleaned within the sector."""
-    rows = walk.filter("kind <> 'end'").select(*SECTOR, "vseq", F.col("v_speed").alias("speed"), F.col("v_recorded").alias("recorded"), F.col("v_dd").alias("dd"), F.col("v_dt").alias("dt"), "v_dd", "v_dz")
-    return speed_series(rows, SECTOR, "vseq").select(*SECTOR, "vseq", "clean_speed", "v_dd", "v_dz")
+
+def avg_gap(walk: DataFrame) -> DataFrame:
+    return _clean_stats(walk, "gap")
 
 
 def max_speed(walk: DataFrame) -> DataFrame:
-    top = sector_speed_series(walk).groupBy(*SECTOR).agg(F.max("clean_speed").alias("m"))
-    return top.select(*SECTOR, F.when(F.col("m") > 0, F.col("m")).alias("max_speed"))
+    return _clean_stats(walk, "top")
 
 
-def fitness_series(walk: DataFrame, factor: float = 1.0) -> DataFrame:
+def fitness_series(walk: DataFrame) -> DataFrame:
     """(track_id, sector_id, vseq, metric, value): readings outside pauses, smoothed over those left."""
-    rows = walk.filter("kind <> 'end' and not (kind = 'point' and paused)").select(*SECTOR, "vseq", F.col("v_hr").alias("hr"), (F.col("v_cad") * factor).alias("cad"), F.col("v_power").alias("power"))
-    long = rows.unpivot([*SECTOR, "vseq"], ["hr", "cad", "power"], "metric", "raw").filter("raw is not null")
-    return smooth5(long, "raw", "value", (*SECTOR, "metric"), "vseq").drop("raw")
+    return cleaned(walk, "hr", "cad", "power").select(*SECTOR, "vseq", "metric", F.col("smooth").alias("value"))
 
 
 def fitness_stats(walk: DataFrame) -> DataFrame:
-    stats = fitness_series(walk).groupBy(*SECTOR).pivot("metric", ["hr", "cad", "power"]).agg(F.avg("value").alias("a"), F.max("value").alias("m"))
-    return stats.select(*SECTOR, *[F.col(f"{c}_{k}").alias(f"{n}_{c}") for c in ("hr", "cad", "power") for k, n in (("a", "avg"), ("m", "max"))])
+    return _clean_stats(walk, "hr", "cad", "power")
 
 
-def temp_stats(walk: DataFrame) -> DataFrame:
-    t = F.when(F.col("kind") != "end", F.col("v_temp"))
-    return walk.groupBy(*SECTOR).agg(F.avg(t).alias("avg_temp"), F.min(t).alias("min_temp"), F.max(t).alias("max_temp"))
+def sector_speed_series(walk: DataFrame) -> DataFrame:
+    """(track_id, sector_id, vseq, clean_speed, v_dd, v_dz) of the sector's points, cleaned within the sector."""
+    rows = walk.filter("kind <> 'end'").select(*SECTOR, "vseq", F.col("v_speed").alias("speed"), F.col("v_recorded").alias("recorded"), F.col("v_dd").alias("dd"), F.col("v_dt").alias("dt"), "v_dd", "v_dz")
+    return speed_series(rows, SECTOR, "vseq").select(*SECTOR, "vseq", "clean_speed", "v_dd", "v_dz")
 
 
 def fastest_slowest_km(walk: DataFrame, window: float = 1000.0) -> DataFrame:
@@ -252,8 +326,9 @@ def fastest_slowest_km(walk: DataFrame, window: float = 1000.0) -> DataFrame:
     here = d.select(*SECTOR, F.col("to_dist").alias("x"), F.col("step").alias("k"), F.struct(F.col("to_dist").alias("d"), F.col("to_ms").alias("t"), F.col("_p").alias("p"), "paused").alias("at"))
     starts = d.select(*SECTOR, (F.col("to_dist") + window).alias("x"), F.lit(-1).alias("k"), F.struct(F.col("to_dist").alias("d"), F.col("to_ms").alias("t"), F.col("_p").alias("p"), "step").alias("begin"))
     both = here.unionByName(starts, allowMissingColumns=True)
-    order = Window.partitionBy(*SECTOR).orderBy("x", "k")
-    both = both.withColumn("lo", F.last("at", True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("hi", F.first("at", True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    before = Window.partitionBy(*SECTOR).orderBy("x", "k").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*SECTOR).orderBy(F.col("x").desc(), F.col("k").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("lo", F.last("at", True).over(before)).withColumn("hi", F.last("at", True).over(after))
     both = both.filter("begin is not null and hi is not null and lo is not null")
     span = F.col("hi.d") - F.col("lo.d")
     t = F.when(span > 0, F.col("lo.t") + (F.col("hi.t") - F.col("lo.t")) * (F.col("x") - F.col("lo.d")) / span).otherwise(F.col("lo.t"))
@@ -272,14 +347,16 @@ def effort_and_grade(horizontal: str = "horizontal_m") -> dict:
 
 
 def sector_metrics(points: DataFrame, sectors: DataFrame) -> DataFrame:
-    """All metrics of each sector, one row each."""
-    walk = sector_walk(points, sectors)
-    found = sector_distance(walk)
-    for part in (folded, sector_elevation, moving_time, avg_speed, avg_gap, max_speed, fitness_stats, temp_stats, fastest_slowest_km):
-        found = found.join(part(walk), list(SECTOR), "left")
-    found = found.withColumns(effort_and_grade())
-    for out, m, s in (("vam", "gain", "climb_s"), ("vdm", "loss", "descend_s")):
-        found = found.withColumn(out, F.when((F.col(s) > 0) & (F.col(m) > 0), F.col(m) / (F.col(s) / 3600)))
+    """All metrics of each sector, one row each.
+
+    The walk is written to the shared folder once; aggregates and folds, cleaned series, and kilometres then each
+    read it in one pass.
+    """
+    walk = stored(sector_walk(points, sectors), "walk")
+    found = aggregated(walk, _distance(), _fold(), _elevation(), _moving(), _times(), _temperature())
+    for part in (_clean_stats(walk, "speed", "gap", "top", "hr", "cad", "power"), fastest_slowest_km(walk)):
+        found = found.join(part, list(SECTOR), "left")
+    found = found.withColumns(effort_and_grade() | _rates())
     return found.withColumn("segment_type", segment_type(F.col("gain"), F.col("loss"), F.col("net"))).drop("climb_s", "descend_s")
 
 
@@ -292,3 +369,9 @@ def sector_leaderboard(metrics: DataFrame, best: int = 3) -> DataFrame:
     """The fastest sectors of each type, by average pace."""
     w = Window.partitionBy("segment_type").orderBy("avg_pace", *SECTOR)
     return metrics.filter("avg_pace is not null").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= best).select("segment_type", "place", *SECTOR, "avg_pace")
+
+
+def sector_totals(metrics: DataFrame, *keys: str) -> DataFrame:
+    """Totals over all sectors, per leading key, and per all keys: sectors, metres, gain, loss, moving seconds, mean pace."""
+    d = metrics.rollup(*keys).agg(F.count("*").alias("sectors"), F.sum("horizontal_m").alias("horizontal_m"), F.sum("gain").alias("gain"), F.sum("loss").alias("loss"), F.sum("moving_s").alias("moving_s"), F.grouping_id().alias("level"))
+    return d.withColumn("pace", F.when(F.col("horizontal_m") > 0, F.col("moving_s") / F.col("horizontal_m") * 1000))
