@@ -1,8 +1,10 @@
 """Reading activity files into points: GPX, TCX, KML, KMZ and decoded device records.
 
-Every reader gives (doc, seq, lat, lon, ele, time_ms, hr, cad, power, temp, speed), where ``doc`` is the
-document's name or, without one, its file; rows without a place are dropped. XML is read by Spark's own
-source with fixed schemas; values that are no numbers become null.
+Every reader gives (doc, seq, lat, lon, ele, time_ms, hr, cad, power, temp, speed), where ``doc`` is the file's full
+path, so files of one name or title stay apart; ``document_titles`` has the titles. Rows without a place are
+dropped. Spark's XML source is given the element that stands for one point (or line), wherever it is nested, so a
+file of any length is read through point by point; a file is never split, so row numbers keep its order. Values that
+are no numbers become null.
 """
 
 from __future__ import annotations
@@ -16,12 +18,11 @@ from pacewright.functions.text import parse_iso_time, parse_number
 from pacewright.operators.track import interpolated_gaps
 
 POINT = ["lat", "lon", "ele", "time_ms", "hr", "cad", "power", "temp", "speed"]
-_SENSORS = ", ".join(f"{c}: string" for c in ("hr", "cad", "atemp", "power", "speed", "PowerInWatts", "Watts"))
-_PT = f"struct<_lat: string, _lon: string, ele: string, time: string, speed: string, name: string, extensions: struct<{_SENSORS}, TrackPointExtension: struct<{_SENSORS}>>>"
-GPX_SCHEMA = f"metadata struct<name: string>, trk array<struct<trkseg: array<struct<trkpt: array<{_PT}>>>>>, rte array<struct<rtept: array<{_PT}>>>, wpt array<{_PT}>"
-TCX_SCHEMA = "Activities struct<Activity: array<struct<Id: string, Lap: array<struct<Track: array<struct<Trackpoint: array<struct<Time: string, Position: struct<LatitudeDegrees: string, LongitudeDegrees: string>, AltitudeMeters: string, HeartRateBpm: struct<Value: string>, Cadence: string, Extensions: struct<TPX: struct<Speed: string, Watts: string, RunCadence: string>>>>>>>>>>>"
-_MARK = "struct<name: string, description: string, LineString: struct<coordinates: string>, Point: struct<coordinates: string>, Track: struct<when: array<string>, coord: array<string>>>"
-KML_SCHEMA = f"Placemark array<{_MARK}>, Document struct<name: string, Placemark: array<{_MARK}>, Folder: array<struct<Placemark: array<{_MARK}>>>>"
+GPX_POINT = "_lat string, _lon string, ele string, time string, speed string, name string, extensions string"
+TCX_POINT = "Time string, Position struct<LatitudeDegrees: string, LongitudeDegrees: string>, AltitudeMeters string, HeartRateBpm struct<Value: string>, Cadence string, Extensions string"
+KML_LINE, KML_TRACK = "coordinates string", "when array<string>, coord array<string>"
+KML_MARK = "name string, description string, Point string, MultiGeometry string"
+TITLES = {"gpx": ("metadata", "name string"), "tcx": ("Activity", "Id string"), "kml": ("Document", "name string")}
 
 
 def detect_format(files: DataFrame) -> DataFrame:
@@ -41,7 +42,14 @@ def detect_format(files: DataFrame) -> DataFrame:
 
 def _read(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
     d = spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", True).option("mode", "PERMISSIVE").schema(schema).load(path)
-    return d.withColumn("file", F.col("_metadata.file_name")).withColumn("_at", F.monotonically_increasing_id())
+    return d.withColumn("doc", F.col("_metadata.file_path")).withColumn("_at", F.monotonically_increasing_id())
+
+
+def document_titles(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(doc, title): what each file calls itself; files may share a title."""
+    tag, schema = TITLES[kind]
+    d = _read(spark, path, tag, schema)
+    return d.groupBy("doc").agg(F.min_by(schema.split()[0], "_at").alias("title")).filter("title is not null")
 
 
 def _numbered(rows: DataFrame, *order: str) -> DataFrame:
@@ -50,73 +58,61 @@ def _numbered(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy("doc").orderBy(*order)) - 1).select("doc", "seq", *POINT)
 
 
-def _gpx_point(p: str) -> list[Column]:
-    sensor = lambda *names: F.coalesce(*[F.col(f"{p}.extensions.{at}{n}") for n in names for at in ("TrackPointExtension.", "")])
-    columns = {"lat": F.col(f"{p}._lat"), "lon": F.col(f"{p}._lon"), "ele": F.col(f"{p}.ele"), "hr": sensor("hr"), "cad": sensor("cad"), "power": sensor("power", "PowerInWatts", "Watts"), "temp": sensor("atemp"), "speed": F.coalesce(sensor("speed"), F.col(f"{p}.speed"))}
-    return [parse_number(c).alias(n) for n, c in columns.items()] + [parse_iso_time(F.col(f"{p}.time")).alias("time_ms")]
-
+def _inside(xml: Column, *names: str) -> Column:
+    """The text of the first element of that local name, at any depth; of several names the first that occurs."""
+    found = [F.regexp_extract(xml, rf"<(?:[\w.-]+:)?{n}(?:\s[^>]*)?>([^<]*)</", 1) for n in names]
+    held = [F.regexp_like(xml, F.lit(rf"<(?:[\w.-]+:)?{n}[\s/>]")) for n in names]
+    return F.coalesce(*[F.when(h, f) for h, f in zip(held, found, strict=True)])
 
-def _gpx(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, "gpx", GPX_SCHEMA).withColumn("doc", F.coalesce("metadata.name", "file"))
 
-
-def _track_points(d: DataFrame) -> DataFrame:
-    d = d.select("doc", "_at", F.posexplode("trk").alias("a", "t")).select("doc", "_at", "a", F.posexplode("t.trkseg").alias("b", "s")).select("doc", "_at", "a", "b", F.posexplode("s.trkpt").alias("c", "p"))
-    return _numbered(d.select("doc", "_at", "a", "b", "c", *_gpx_point("p")), "_at", "a", "b", "c")
+def _gpx_points(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    x = F.col("extensions")
+    columns = {"lat": F.col("_lat"), "lon": F.col("_lon"), "ele": F.col("ele"), "hr": _inside(x, "hr"), "cad": _inside(x, "cad"), "power": _inside(x, "power", "PowerInWatts", "Watts"), "temp": _inside(x, "atemp"), "speed": F.coalesce(_inside(x, "speed"), F.col("speed"))}
+    d = _read(spark, path, tag, GPX_POINT)
+    return d.select("doc", "_at", *[parse_number(c).alias(n) for n, c in columns.items()], parse_iso_time(F.col("time")).alias("time_ms"), F.nullif(F.trim("name"), F.lit("")).alias("name"))
 
 
 def scan_gpx(spark: SparkSession, path: str) -> DataFrame:
     """All track points in document order, segments one after another."""
-    return _track_points(_gpx(spark, path))
+    return _numbered(_gpx_points(spark, path, "trkpt"), "_at")
 
 
 def scan_gpx_route(spark: SparkSession, path: str) -> DataFrame:
     """Route points of documents without any usable track point."""
-    d = _gpx(spark, path)
-    r = d.select("doc", "_at", F.posexplode("rte").alias("a", "t")).select("doc", "_at", "a", F.posexplode("t.rtept").alias("c", "p"))
-    routes = _numbered(r.select("doc", "_at", "a", "c", *_gpx_point("p")), "_at", "a", "c")
-    return routes.join(_track_points(d).select("doc").distinct(), "doc", "left_anti")
+    return _numbered(_gpx_points(spark, path, "rtept"), "_at").join(scan_gpx(spark, path).select("doc").distinct(), "doc", "left_anti")
 
 
 def scan_gpx_waypoints(spark: SparkSession, path: str) -> DataFrame:
     """(doc, wp_seq, lat, lon, ele, time_ms, name)."""
-    d = _gpx(spark, path).select("doc", "_at", F.posexplode("wpt").alias("c", "p"))
-    d = d.select("doc", F.col("c").alias("wp_seq"), *_gpx_point("p"), F.nullif(F.trim("p.name"), F.lit("")).alias("name"))
+    d = _gpx_points(spark, path, "wpt").withColumn("wp_seq", F.row_number().over(Window.partitionBy("doc").orderBy("_at")) - 1)
     return d.filter("lat is not null and lon is not null").select("doc", "wp_seq", "lat", "lon", "ele", "time_ms", "name")
 
 
 def scan_tcx(spark: SparkSession, path: str) -> DataFrame:
     """Track points of all laps in document order; gaps of elevation filled."""
-    d = _read(spark, path, "TrainingCenterDatabase", TCX_SCHEMA)
-    d = d.select("file", "_at", F.posexplode("Activities.Activity").alias("a", "x")).select(F.coalesce("x.Id", "file").alias("doc"), "_at", "a", F.posexplode("x.Lap").alias("b", "l"))
-    d = d.select("doc", "_at", "a", "b", F.posexplode("l.Track").alias("c", "t")).select("doc", "_at", "a", "b", "c", F.posexplode("t.Trackpoint").alias("e", "p"))
-    tpx = "p.Extensions.TPX"
-    columns = {"lat": "p.Position.LatitudeDegrees", "lon": "p.Position.LongitudeDegrees", "ele": "p.AltitudeMeters", "hr": "p.HeartRateBpm.Value", "power": f"{tpx}.Watts", "speed": f"{tpx}.Speed"}
-    values = [parse_number(F.col(c)).alias(n) for n, c in columns.items()] + [parse_number(F.coalesce("p.Cadence", f"{tpx}.RunCadence")).alias("cad"), F.lit(None).cast("double").alias("temp"), parse_iso_time(F.col("p.Time")).alias("time_ms")]
-    return interpolated_gaps(_numbered(d.select("doc", "_at", "a", "b", "c", "e", *values), "_at", "a", "b", "c", "e"), "ele", "ele", ("doc",))
+    d, x = _read(spark, path, "Trackpoint", TCX_POINT), F.col("Extensions")
+    columns = {"lat": F.col("Position.LatitudeDegrees"), "lon": F.col("Position.LongitudeDegrees"), "ele": F.col("AltitudeMeters"), "hr": F.col("HeartRateBpm.Value"), "cad": F.coalesce("Cadence", _inside(x, "RunCadence")), "power": _inside(x, "Watts"), "temp": F.lit(None).cast("string"), "speed": _inside(x, "Speed")}
+    points = d.select("doc", "_at", *[parse_number(c).alias(n) for n, c in columns.items()], parse_iso_time(F.col("Time")).alias("time_ms"))
+    return interpolated_gaps(_numbered(points, "_at"), "ele", "ele", ("doc",))
 
 
-def _placemarks(d: DataFrame) -> DataFrame:
-    inner = F.flatten(F.transform(F.coalesce("Document.Folder", F.array()), lambda f: F.coalesce(f["Placemark"], F.array())))
-    marks = F.concat(*[F.coalesce(c, F.array()) for c in ("Placemark", "Document.Placemark")], inner)
-    return d.withColumn("doc", F.coalesce("Document.name", "file")).select("doc", "_at", F.posexplode(marks).alias("a", "m"))
+def _kml_points(lines: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Points of lines (doc, _at, coordinates), then of timed tracks (doc, _at, when, coord)."""
+    blank = [F.lit(None).cast("double").alias(c) for c in ("hr", "cad", "power", "temp", "speed")]
 
+    def placed(d: DataFrame, k: int, part: Column, time: Column) -> DataFrame:
+        lon, lat, ele = (parse_number(F.get(part, F.lit(j))) for j in range(3))
+        return d.select("doc", F.lit(k).alias("k"), "_at", "c", lat.alias("lat"), lon.alias("lon"), ele.alias("ele"), time.alias("time_ms"), *blank)
 
-def _kml_points(marks: DataFrame) -> DataFrame:
-    number = lambda c: parse_number(c)
-    blank = [F.lit(None).cast("double").alias(c) for c in ("hr", "cad", "power", "temp", "speed")]
-    lines = marks.select("doc", "_at", "a", F.lit(0).alias("k"), F.posexplode(F.split(F.trim("m.LineString.coordinates"), r"\s+")).alias("c", "t"))
-    part = F.split("t", ",")
-    lines = lines.select("doc", "_at", "a", "k", "c", number(F.get(part, F.lit(1))).alias("lat"), number(F.get(part, F.lit(0))).alias("lon"), number(F.get(part, F.lit(2))).alias("ele"), F.lit(None).cast("long").alias("time_ms"), *blank)
-    tracks = marks.select("doc", "_at", "a", F.lit(1).alias("k"), F.posexplode(F.arrays_zip(F.col("m.Track.coord").alias("coord"), F.col("m.Track.when").alias("when"))).alias("c", "z"))
-    part = F.split(F.trim("z.coord"), r"\s+")
-    tracks = tracks.select("doc", "_at", "a", "k", "c", number(F.get(part, F.lit(1))).alias("lat"), number(F.get(part, F.lit(0))).alias("lon"), number(F.get(part, F.lit(2))).alias("ele"), parse_iso_time(F.col("z.when")).alias("time_ms"), *blank)
-    return _numbered(lines.unionByName(tracks), "_at", "k", "a", "c")
+    lines = lines.select("doc", "_at", F.posexplode(F.split(F.trim("coordinates"), r"\s+")).alias("c", "t"))
+    tracks = tracks.select("doc", "_at", F.posexplode(F.arrays_zip("coord", "when")).alias("c", "z")).filter("z.coord is not null")
+    lines = placed(lines, 0, F.split("t", ","), F.lit(None).cast("long"))
+    return _numbered(lines.unionByName(placed(tracks, 1, F.split(F.trim("z.coord"), r"\s+"), parse_iso_time(F.col("z.when")))), "k", "_at", "c")
 
 
 def scan_kml(spark: SparkSession, path: str) -> DataFrame:
-    """Points of all lines, then of all timed tracks."""
-    return _kml_points(_placemarks(_read(spark, path, "kml", KML_SCHEMA)))
+    """Points of all lines, then of all timed tracks, however they are nested."""
+    return _kml_points(_read(spark, path, "LineString", KML_LINE), _read(spark, path, "Track", KML_TRACK))
 
 
 def plain_description(c: Column) -> Column:
@@ -128,9 +124,10 @@ def plain_description(c: Column) -> Column:
 
 def scan_kml_waypoints(spark: SparkSession, path: str) -> DataFrame:
     """(doc, wp_seq, lat, lon, ele, name) of placemarks with a point; without a name the description serves."""
-    d = _placemarks(_read(spark, path, "kml", KML_SCHEMA)).filter("m.Point.coordinates is not null")
-    part = F.split(F.element_at(F.split(F.trim("m.Point.coordinates"), r"\s+"), 1), ",")
-    d = d.select("doc", F.col("a").alias("wp_seq"), parse_number(F.get(part, F.lit(1))).alias("lat"), parse_number(F.get(part, F.lit(0))).alias("lon"), parse_number(F.get(part, F.lit(2))).alias("ele"), F.coalesce(F.nullif(F.trim("m.name"), F.lit("")), plain_description(F.col("m.description"))).alias("name"))
+    d = _read(spark, path, "Placemark", KML_MARK).withColumn("wp_seq", F.row_number().over(Window.partitionBy("doc").orderBy("_at")) - 1)
+    point = F.coalesce("Point", F.nullif(F.regexp_extract("MultiGeometry", r"(?s)<(?:[\w.-]+:)?Point[\s>].*", 0), F.lit("")))
+    part = F.split(F.get(F.split(F.trim(_inside(point, "coordinates")), r"\s+"), F.lit(0)), ",")
+    d = d.select("doc", "wp_seq", parse_number(F.get(part, F.lit(1))).alias("lat"), parse_number(F.get(part, F.lit(0))).alias("lon"), parse_number(F.get(part, F.lit(2))).alias("ele"), F.coalesce(F.nullif(F.trim("name"), F.lit("")), plain_description(F.col("description"))).alias("name"))
     return d.filter("lat is not null and lon is not null")
 
 
@@ -159,8 +156,15 @@ def unpacked_kmz(files: DataFrame) -> DataFrame:
 
 def scan_kmz(files: DataFrame) -> DataFrame:
     """Points of the KML inside each archive of (path, content)."""
-    d = unpacked_kmz(files).filter("kml is not null").withColumn("x", F.from_xml("kml", KML_SCHEMA, {"ignoreNamespace": "true"}))
-    return _kml_points(_placemarks(d.select("x.*", F.col("path").alias("file"), F.lit(0).alias("_at"))))
+    d = unpacked_kmz(files).filter("kml is not null")
+
+    def elements(tag: str, schema: str) -> DataFrame:
+        found = F.regexp_extract_all("kml", F.lit(rf"(?s)<(?:[\w.-]+:)?{tag}(?:\s[^>]*)?>.*?</(?:[\w.-]+:)?{tag}>"), F.lit(0))
+        each = d.select(F.col("path").alias("doc"), F.posexplode(found).alias("_at", "x"))
+        plain = F.regexp_replace("x", r"(</?)[\w.-]+:", "$1")  # prefixes are declared outside the piece
+        return each.select("doc", "_at", F.from_xml(plain, schema).alias("x")).select("doc", "_at", "x.*")
+
+    return _kml_points(elements("LineString", KML_LINE), elements("Track", KML_TRACK))
 
 
 def scan_device_records(records: DataFrame) -> DataFrame:
@@ -170,12 +174,21 @@ def scan_device_records(records: DataFrame) -> DataFrame:
     return interpolated_gaps(d, "ele", "ele", ("doc",))
 
 
+ROOTS = {"gpx": "gpx", "tcx": "TrainingCenterDatabase", "kml": "kml"}
+
+
 def ingest_errors(files: DataFrame, points: DataFrame) -> DataFrame:
-    """(doc, error) of files (doc, format, readable): why a file gives no track. A track needs two points."""
-    counts = points.groupBy("doc").agg(F.count("*").alias("n"))
-    d = files.join(counts, "doc", "left")
-    error = F.when(F.col("format") == "unsupported", "unsupported").when(~F.col("readable"), "invalid").when(F.coalesce("n", F.lit(0)) < 2, "noTrack")
-    return d.select("doc", error.alias("error")).filter("error is not null")
+    """(doc, error) of files (path, content) that give no track of two points (doc, ...) or more: unsupported, invalid
+    (broken XML or archive), kmzNoKml, or noTrack."""
+    d = detect_format(files)
+    xml = F.decode("content", "UTF-8")
+    broken = F.from_xml(xml, "_corrupt_record string, _n string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})["_corrupt_record"].isNotNull()
+    rooted = F.coalesce(*[F.when(F.col("format") == f, F.regexp_like(xml, F.lit(rf"(?i)<(?:[\w.-]+:)?{r}[\s>]"))) for f, r in ROOTS.items()])
+    d = d.withColumn("error", F.when(F.col("format") == "unsupported", "unsupported").when(F.col("format").isin(*ROOTS), F.when(broken, "invalid").when(~rooted, "unsupported")))
+    archives = unpacked_kmz(d.filter("format = 'kmz'")).select("path", F.col("error").alias("kmz_error"))
+    d = d.select("path", "error").join(archives, "path", "left").join(points.groupBy(F.col("doc").alias("path")).agg(F.count("*").alias("n")), "path", "left")
+    error = F.coalesce("error", "kmz_error", F.when(F.coalesce("n", F.lit(0)) < 2, "noTrack"))
+    return d.select(F.col("path").alias("doc"), error.alias("error")).filter("error is not null")
 
 
 def concat_segments(segments: DataFrame) -> DataFrame:
