@@ -1,7 +1,9 @@
 """Live telemetry: pauses, climb and zone time per device over streams of readings.
 
-Readings are (track_id, ts, x, ele, hr): metres gone, elevation and heart rate. Within a batch they are put
-in order of time; what comes later than the watermark is dropped by Spark.
+Readings are (track_id, ts, x, ele, hr): metres gone, elevation and heart rate. Within a batch they are put in order
+of time; what comes later than the watermark is dropped by Spark. A device's clock never goes back: a reading that
+comes after later ones adds nothing, since the step over it has been counted. Every batch gives out what is known so
+far, what is still open too; ``*_totals`` put the batches together.
 """
 
 from __future__ import annotations
@@ -24,65 +26,83 @@ def _stateful(readings: DataFrame, step, empty: tuple, fields: str, out: str) ->
     names = [f.split()[0] for f in out.split(", ")]
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "x"])
+        rows = pd.concat(list(batches)).sort_values(["us", "x"], kind="stable")
         now, found = step(state.get if state.exists else empty, rows)
         state.update(now)
         yield pd.DataFrame([(key[0], *r) for r in found], columns=names)
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    readings = readings.withWatermark("ts", LATE).filter("ts is not null").withColumn("us", F.unix_micros("ts"))
     return readings.groupBy("track_id").applyInPandasWithState(run, out, fields, "append", GroupStateTimeout.NoTimeout)
 
 
 def pause_step(state: tuple, rows) -> tuple[tuple, list[tuple]]:
-    """A stop of ten seconds or more is one pause, reported when movement goes on."""
-    last_ts, last_x, since, stopped = state
+    """A stop of ten seconds or more is one pause; it is given out when movement goes on, and at the end of a batch
+    as far as it has come. Readings without ``x`` say nothing."""
+    last, last_x, since, stopped = state
     found = []
-    for ts, x in zip(rows["ts"].astype("datetime64[us]").astype("int64").to_numpy(), rows["x"].to_numpy(), strict=True):
-        ts, x = int(ts), float(x)
-        if last_ts >= 0 and ts > last_ts:
-            dt = (ts - last_ts) / 1e6
+    for us, x in zip(rows["us"].tolist(), rows["x"].tolist(), strict=True):
+        if us <= last or x is None or x != x:
+            continue
+        if last > NEVER:
+            dt = (us - last) / 1e6
             if abs(x - last_x) / dt >= MOVING_MPS:
                 if stopped >= PAUSE_MIN_S:
-                    found.append((since, last_ts, stopped))
-                since, stopped = -1, 0.0
+                    found.append((since, last, stopped, False))
+                since, stopped = NEVER, 0.0
             else:
-                since, stopped = (last_ts if since < 0 else since), stopped + dt
-        last_ts, last_x = ts, x
-    return (last_ts, last_x, since, stopped), found
+                since, stopped = (last if since == NEVER else since), stopped + dt
+        last, last_x = us, x
+    if stopped >= PAUSE_MIN_S:
+        found.append((since, last, stopped, True))
+    return (last, last_x, since, stopped), found
 
 
 def gain_step(state: tuple, rows) -> tuple[tuple, list[tuple]]:
-    """Gain and loss past a residual of 3 m; one row per batch with the totals so far."""
-    last, residual, gain, loss, n = state
-    for ele in rows["ele"].to_numpy():
-        if ele != ele:
+    """Gain and loss past a residual of 3 m, and the seconds of rising and falling trend (the residual's sign); one row
+    per batch with the totals so far."""
+    last, last_ele, residual, gain, loss, up, down, n = state
+    for us, ele in zip(rows["us"].tolist(), rows["ele"].tolist(), strict=True):
+        if us <= last or ele is None or ele != ele:
             continue
         if n:
-            residual += float(ele) - last
+            residual += ele - last_ele
+            up, down = (up + us - last, down) if residual > 0 else (up, down + us - last) if residual < 0 else (up, down)
             if residual > 3:
                 gain, residual = gain + residual, 0.0
             elif residual < -3:
                 loss, residual = loss - residual, 0.0
-        last, n = float(ele), n + 1
-    return (last, residual, gain, loss, n), [(n, gain, loss)]
+        last, last_ele, n = us, ele, n + 1
+    return (last, last_ele, residual, gain, loss, up, down, n), [(n, gain, loss, up / 1e6, down / 1e6)]
 
 
 def stream_pauses(readings: DataFrame) -> DataFrame:
-    """(track_id, t0_us, t1_us, seconds) of every pause that has ended."""
-    return _stateful(readings.withWatermark("ts", LATE), pause_step, (-1, 0.0, -1, 0.0), "last_ts long, last_x double, since long, stopped double", "track_id long, t0_us long, t1_us long, seconds double")
+    """(track_id, t0_us, t1_us, seconds, open) of pauses; one that goes on over batches comes again with each."""
+    return _stateful(readings, pause_step, (NEVER, 0.0, NEVER, 0.0), "last long, last_x double, since long, stopped double", "track_id long, t0_us long, t1_us long, seconds double, open boolean")
+
+
+def pause_totals(added: DataFrame) -> DataFrame:
+    """(track_id, t0_us, t1_us, seconds) of each pause at its greatest extent."""
+    return added.groupBy("track_id", "t0_us").agg(F.max("t1_us").alias("t1_us"), F.max("seconds").alias("seconds"))
 
 
 def stream_gain(readings: DataFrame) -> DataFrame:
-    """(track_id, n, gain, loss): the totals of each device after each batch."""
-    return _stateful(readings.withWatermark("ts", LATE), gain_step, (0.0, 0.0, 0.0, 0.0, 0), "last double, residual double, gain double, loss double, n long", "track_id long, n long, gain double, loss double")
+    """(track_id, n, gain, loss, climb_s, descend_s): the totals of each device after each batch."""
+    return _stateful(readings, gain_step, (NEVER, 0.0, 0.0, 0.0, 0.0, 0, 0, 0), "last long, last_ele double, residual double, gain double, loss double, up long, down long, n long", "track_id long, n long, gain double, loss double, climb_s double, descend_s double")
+
+
+def gain_totals(added: DataFrame) -> DataFrame:
+    """(track_id, n, gain, loss, vam, vdm) of each device's last totals; rates in metres an hour of rising and falling trend."""
+    last = added.groupBy("track_id").agg(F.max(F.struct("n", "gain", "loss", "climb_s", "descend_s")).alias("t")).select("track_id", "t.*")
+    rate = lambda m, s: F.when((F.col(s) > 0) & (F.col(m) > 0), F.col(m) / (F.col(s) / 3600))
+    return last.select("track_id", "n", "gain", "loss", rate("gain", "climb_s").alias("vam"), rate("loss", "descend_s").alias("vdm"))
 
 
 def zone_step(state: tuple, rows) -> tuple[tuple, list[tuple]]:
     """Time since the last reading, added up by the window and zone of the reading that ends it."""
     (last,) = state
     sums: dict[tuple, list[int]] = {}
-    rows = rows.sort_values("us", kind="stable")
     for us, start, zone in zip(rows["us"].to_numpy().tolist(), rows["start_us"].to_numpy().tolist(), rows["zone"].to_numpy().tolist(), strict=True):
         found = sums.setdefault((start, zone), [0, 0])
         found[0] += us - last if NEVER < last < us else 0
@@ -99,8 +119,8 @@ def stream_zone_time(readings: DataFrame, bounds: list[float], width: str = "1 m
     adds no time: the step over it has been counted.
     """
     zone = sum(((F.col("hr") >= b).cast("int") for b in bounds), F.lit(0))
-    w = readings.withWatermark("ts", LATE).filter("ts is not null").withColumn("zone", F.coalesce(zone, F.lit(-1)))
-    w = w.withColumn("us", F.unix_micros("ts")).withColumn("start_us", F.unix_micros(F.window("ts", width)["start"]))
+    w = readings.filter("ts is not null").withColumn("zone", F.coalesce(zone, F.lit(-1)))
+    w = w.withColumn("start_us", F.unix_micros(F.window("ts", width)["start"]))
     added = _stateful(w, zone_step, (NEVER,), "last long", "track_id long, start_us long, zone int, micros long, readings long")
     return added.select("track_id", F.timestamp_micros("start_us").alias("start"), F.when(F.col("zone") >= 0, F.col("zone")).alias("zone"), "micros", "readings")
 
