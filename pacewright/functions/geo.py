@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6371008.8
+METRES_PER_FOOT = 0.3048
 MOVING_MPS = 0.5 / 3.6
 PAUSE_MIN_S = 10
 TILE_ZOOM, TILE_PIXELS, MAX_MERCATOR_LAT = 12, 512, 85.0511287

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FOOT, MILE, MPH = 0.3048, 1609.344, 2.2369362920544
+from pacewright.functions.geo import METRES_PER_FOOT
+
+MILE, MPH = 1609.344, 2.2369362920544
 
 
 def parse_number(c: Column) -> Column:
@@ -20,7 +22,7 @@ def parse_iso_time(c: Column) -> Column:
 
 
 def to_feet(c: Column) -> Column:
-    return c / FOOT
+    return c / METRES_PER_FOOT
 
 
 def to_miles(c: Column) -> Column:
@@ -49,31 +51,31 @@ def _places(c: Column, digits: int) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+$", "$1"), r"\.$", "") if digits else t
 
 
-def format_distance(c: Column) -> Column:
-    long = F.when(c < 100_000, _places(c / 1000, 2)).otherwise(_places(c / 1000, 1))
-    return F.when(c >= 0, F.when(c < 1000, F.concat(_places(c, 0), F.lit(" m"))).otherwise(F.concat(long, F.lit(" km"))))
+def _unit(c: Column, digits: int, unit: str) -> Column:
+    return F.concat(_places(c, digits), F.lit(f" {unit}"))
 
 
-def format_distance_imperial(c: Column) -> Column:
-    long = F.when(c < 160_934.4, _places(to_miles(c), 2)).otherwise(_places(to_miles(c), 1))
-    return F.when(c >= 0, F.when(c < MILE, F.concat(_places(to_feet(c), 0), F.lit(" ft"))).otherwise(F.concat(long, F.lit(" mi"))))
+def format_distance(c: Column, imperial: bool = False) -> Column:
+    """Metres or feet, from a kilometre or mile on those, with two decimals up to a hundred of them and one beyond."""
+    turn, long, short, names = (MILE, to_miles(c), to_feet(c), ("ft", "mi")) if imperial else (1000.0, c / 1000, c, ("m", "km"))
+    far = F.when(c < 100 * turn, _unit(long, 2, names[1])).otherwise(_unit(long, 1, names[1]))
+    return F.when(c >= 0, F.when(c < turn, _unit(short, 0, names[0])).otherwise(far))
 
 
-def format_signed_elevation(c: Column) -> Column:
-    sign = F.when(c > 0, "+").when(c < 0, "−").otherwise("")
-    return F.concat(sign, _places(F.abs(c), 0), F.lit(" m"))
+def format_elevation(c: Column, imperial: bool = False) -> Column:
+    return _unit(to_feet(c), 0, "ft") if imperial else _unit(c, 0, "m")
 
 
-def format_elevation(c: Column) -> Column:
-    return F.concat(_places(c, 0), F.lit(" m"))
+def format_signed_elevation(c: Column, imperial: bool = False) -> Column:
+    return F.concat(F.when(c > 0, "+").when(c < 0, "−").otherwise(""), format_elevation(F.abs(c), imperial))
 
 
 def format_grade(c: Column) -> Column:
     return F.concat(_places(c * 100, 1), F.lit("%"))
 
 
-def format_speed(c: Column) -> Column:
-    return F.concat(_places(c * 3.6, 1), F.lit(" km/h"))
+def format_speed(c: Column, imperial: bool = False) -> Column:
+    return _unit(to_mph(c), 1, "mph") if imperial else _unit(to_kmh(c), 1, "km/h")
 
 
 def format_duration(c: Column) -> Column:
@@ -84,34 +86,48 @@ def format_duration(c: Column) -> Column:
     return F.when(c >= 0, F.when(h > 0, long).otherwise(F.format_string("%d:%02d", m, r)))
 
 
-def format_pace(c: Column) -> Column:
-    return F.when(c > 0, F.concat(format_duration(c), F.lit(" /km")))
+def format_pace(c: Column, imperial: bool = False) -> Column:
+    shown = format_duration(to_pace_per_mile(c) if imperial else c)
+    return F.when(c > 0, F.concat(shown, F.lit(" /mi" if imperial else " /km")))
 
 
-def format_vam(c: Column) -> Column:
-    return F.concat(_places(c, 0), F.lit(" m/h"))
+def format_vam(c: Column, imperial: bool = False) -> Column:
+    return _unit(to_feet(c), 0, "ft/h") if imperial else _unit(c, 0, "m/h")
 
 
 def format_bpm(c: Column) -> Column:
-    return F.concat(_places(c, 0), F.lit(" bpm"))
+    return _unit(c, 0, "bpm")
+
+
+def format_power(c: Column) -> Column:
+    return _unit(c, 0, "W")
+
 
+def format_cadence(c: Column, factor: Column | None = None) -> Column:
+    """Steps a minute where a track counts one leg (factor 2), else turns a minute."""
+    return F.concat(_places(c, 0), F.lit(" rpm") if factor is None else F.when(factor == 2, " spm").otherwise(" rpm"))
 
-def format_temp(c: Column) -> Column:
-    return F.concat(_places(c, 1), F.lit(" °C"))
+
+def format_temp(c: Column, imperial: bool = False) -> Column:
+    return _unit(to_fahrenheit(c), 0, "°F") if imperial else _unit(c, 1, "°C")
 
 
 def format_percent(c: Column) -> Column:
     return F.concat(_places(c, 0), F.lit("%"))
 
 
+def format_date_time(ms: Column) -> Column:
+    return F.date_format(F.timestamp_millis(ms.cast("long")), "yyyy-MM-dd HH:mm")
+
+
 def format_bpm_range(lo: Column, hi: Column) -> Column:
     return F.when(hi.isNull(), F.concat(_places(lo, 0), F.lit("+ bpm"))).otherwise(F.concat(_places(lo, 0), F.lit("–"), _places(hi, 0), F.lit(" bpm")))
 
 
-def format_sector_range(start: Column, end: Column) -> Column:
+def format_sector_range(start: Column, end: Column, imperial: bool = False) -> Column:
     """Both ends in the unit that the length calls for."""
-    short = end - start < 1000
-    one = lambda c: F.when(short, F.concat(_places(c, 0), F.lit(" m"))).otherwise(F.concat(_places(c / 1000, 2), F.lit(" km")))
+    turn, long, short, names = (MILE, to_miles, to_feet, ("ft", "mi")) if imperial else (1000.0, lambda c: c / 1000, lambda c: c, ("m", "km"))
+    one = lambda c: F.when(end - start < turn, _unit(short(c), 0, names[0])).otherwise(_unit(long(c), 2, names[1]))
     return F.when((start >= 0) & (end >= 0), F.concat(one(start), F.lit(" – "), one(end)))
 
 
