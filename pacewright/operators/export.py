@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pacewright.functions import text as T
 from pacewright.operators.sector import SECTOR
+from pacewright.operators.zones import zone_display_range, zone_share_pct
 
 UNAVAILABLE = "Unavailable"
 
@@ -31,7 +32,9 @@ def sector_gpx(points: DataFrame, sectors: DataFrame, factor: int = 1) -> DataFr
     more = F.concat(_tag("power", F.col("power")), F.when(sensors != "", F.concat(F.lit("<gpxtpx:TrackPointExtension>"), sensors, F.lit("</gpxtpx:TrackPointExtension>"))).otherwise(""))
     point = F.concat(F.format_string('<trkpt lat="%s" lon="%s">', F.col("lat").cast("string"), F.col("lon").cast("string")), _tag("ele", F.col("ele")), _tag("time", iso_time(F.col("time_ms"))), F.when(more != "", F.concat(F.lit("<extensions>"), more, F.lit("</extensions>"))).otherwise(""), F.lit("</trkpt>"))
     p = points.select("track_id", "seq", "cum_dist", point.alias("xml"))
-    d = sectors.select(*SECTOR, "start_m", "end_m").join(p, "track_id").filter("cum_dist between start_m - 1e-6 and end_m + 1e-6")
+    block = "cast(floor({} / 1000) as int)"  # sectors meet only the points of the kilometres they reach into
+    s = sectors.select(*SECTOR, "start_m", "end_m", F.explode(F.expr(f"sequence({block.format('(start_m - 1e-6)')}, {block.format('(end_m + 1e-6)')})")).alias("block"))
+    d = s.join(p.withColumn("block", F.expr(block.format("cum_dist"))), ["track_id", "block"]).filter("cum_dist between start_m - 1e-6 and end_m + 1e-6")
     d = d.groupBy(*SECTOR, "start_m", "end_m").agg(F.array_sort(F.collect_list(F.struct("seq", "xml"))).alias("ps"))
     head = '<gpx version="1.1" creator="pacewright" xmlns="http://www.topografix.com/GPX/1/1" xmlns:gpxtpx="http://www.garmin.com/xmlschemas/TrackPointExtension/v2">'
     name = F.concat(F.lit("<metadata><name>"), xml_escape(F.col("track_id").cast("string")), F.lit("</name><desc>"), xml_escape(T.format_sector_range(F.col("start_m"), F.col("end_m"))), F.lit("</desc></metadata>"))
@@ -42,44 +45,80 @@ def write_gpx(documents: DataFrame, path: str) -> None:
     documents.select("gpx").write.text(path)
 
 
-#: The rows of a report: (group, place, label, metric, kind).
+#: The rows of a report: (group, label, metric, kind).
 CATALOGUE = [
-    ("Summary", 1, "Distance", "horizontal_m", "distance"),
-    ("Summary", 2, "Distance 3D", "distance_3d", "distance"),
-    ("Summary", 3, "Effort distance", "effort_distance", "distance"),
-    ("Elevation", 4, "Gain", "gain", "elevation"),
-    ("Elevation", 5, "Loss", "loss", "elevation"),
-    ("Elevation", 6, "Minimum", "ele_min", "elevation"),
-    ("Elevation", 7, "Maximum", "ele_max", "elevation"),
-    ("Gradient", 8, "Average grade", "avg_grade", "grade"),
-    ("Gradient", 9, "Maximum grade", "max_grade", "grade"),
-    ("Gradient", 10, "Minimum grade", "min_grade", "grade"),
-    ("Time", 11, "Moving time", "moving_s", "duration"),
-    ("Time", 12, "Elapsed time", "elapsed_s", "duration"),
-    ("Speed", 13, "Average speed", "avg_speed", "speed"),
-    ("Speed", 14, "Average pace", "avg_pace", "pace"),
-    ("Speed", 15, "Average GAP", "avg_gap", "pace"),
-    ("Speed", 16, "Maximum speed", "max_speed", "speed"),
-    ("Speed", 17, "VAM", "vam", "vam"),
-    ("Fitness", 18, "Average heart rate", "avg_hr", "bpm"),
-    ("Fitness", 19, "Maximum heart rate", "max_hr", "bpm"),
-    ("Fitness", 20, "Average temperature", "avg_temp", "temp"),
+    ("Summary", "Distance", "horizontal_m", "distance"),
+    ("Summary", "Distance 3D", "distance_3d", "distance"),
+    ("Summary", "Effort distance", "effort_distance", "distance"),
+    ("Summary", "Gain", "gain", "elevation"),
+    ("Summary", "Loss", "loss", "elevation"),
+    ("Summary", "Average grade", "avg_grade", "grade"),
+    ("Summary", "Average pace", "avg_pace", "pace"),
+    ("Summary", "Average GAP", "avg_gap", "pace"),
+    ("Summary", "Average speed", "avg_speed", "speed"),
+    ("Elevation", "Start", "ele_start", "elevation"),
+    ("Elevation", "End", "ele_end", "elevation"),
+    ("Elevation", "Minimum", "ele_min", "elevation"),
+    ("Elevation", "Maximum", "ele_max", "elevation"),
+    ("Elevation", "Net change", "net", "signed"),
+    ("Gradient", "Maximum grade", "max_grade", "grade"),
+    ("Gradient", "Minimum grade", "min_grade", "grade"),
+    ("Speed", "Average speed", "avg_speed", "speed"),
+    ("Speed", "Maximum speed", "max_speed", "speed"),
+    ("Speed", "Fastest km", "fastest_pace", "pace"),
+    ("Speed", "Slowest km", "slowest_pace", "pace"),
+    ("Speed", "VAM", "vam", "vam"),
+    ("Speed", "VDM", "vdm", "vam"),
+    ("Time", "Elapsed time", "elapsed_s", "duration"),
+    ("Time", "Moving time", "moving_s", "duration"),
+    ("Time", "Start", "start_ms", "date"),
+    ("Time", "End", "end_ms", "date"),
+    ("Fitness", "Average heart rate", "avg_hr", "bpm"),
+    ("Fitness", "Maximum heart rate", "max_hr", "bpm"),
+    ("Fitness", "Average cadence", "avg_cad", "cadence"),
+    ("Fitness", "Maximum cadence", "max_cad", "cadence"),
+    ("Fitness", "Average power", "avg_power", "power"),
+    ("Fitness", "Maximum power", "max_power", "power"),
+    ("Fitness", "Average temperature", "avg_temp", "temp"),
+    ("Fitness", "Minimum temperature", "min_temp", "temp"),
+    ("Fitness", "Maximum temperature", "max_temp", "temp"),
 ]
-
-
-def catalogue(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CATALOGUE, "group string, place int, label string, metric string, kind string")
-
-
-def metrics_long(metrics: DataFrame) -> DataFrame:
-    """(track_id, sector_id, place, group, label, value): the rows of a report, null metrics as unavailable."""
-    names = [m for *_, m, _ in CATALOGUE]
-    long = metrics.select(*SECTOR, *names).unpivot(list(SECTOR), names, "metric", "v")
-    d = long.join(F.broadcast(catalogue(metrics.sparkSession)), "metric")
-    v = F.col("v")
-    kinds = {"distance": T.format_distance(v), "elevation": T.format_elevation(v), "grade": T.format_grade(v), "duration": T.format_duration(v), "speed": T.format_speed(v), "pace": T.format_pace(v), "vam": T.format_vam(v), "bpm": T.format_bpm(v), "temp": T.format_temp(v)}
-    shown = F.coalesce(*[F.when(F.col("kind") == k, f) for k, f in kinds.items()])
-    return d.select(*SECTOR, "place", "group", "label", F.coalesce(shown, F.lit(UNAVAILABLE)).alias("value"))
+ZONES = "Heart rate zones"
+
+
+def _shown(v: Column, imperial: bool) -> dict[str, Column]:
+    return {
+        "distance": T.format_distance(v, imperial),
+        "elevation": T.format_elevation(v, imperial),
+        "signed": T.format_signed_elevation(v, imperial),
+        "grade": T.format_grade(v),
+        "pace": T.format_pace(v, imperial),
+        "speed": T.format_speed(v, imperial),
+        "vam": T.format_vam(v, imperial),
+        "duration": T.format_duration(v),
+        "date": T.format_date_time(v),
+        "bpm": T.format_bpm(v),
+        "cadence": T.format_cadence(v),
+        "power": T.format_power(v),
+        "temp": T.format_temp(v, imperial),
+    }
+
+
+def metrics_long(metrics: DataFrame, zone_times: DataFrame | None = None, zones: DataFrame | None = None, imperial: bool = False) -> DataFrame:
+    """(track_id, sector_id, place, group, label, value): the rows of a report, null metrics as unavailable; with the
+    times in zones (see zones.py) also a row for each zone: range, share and duration."""
+    rows = [F.struct(F.lit(k + 1).alias("place"), F.lit(g).alias("group"), F.lit(n).alias("label"), F.coalesce(_shown(F.col(m).cast("double"), imperial)[kind], F.lit(UNAVAILABLE)).alias("value")) for k, (g, n, m, kind) in enumerate(CATALOGUE)]
+    long = metrics.select(*SECTOR, F.inline(F.array(*rows)))
+    if zone_times is None:
+        return long
+    shown = zone_display_range(zones).collect()  # five rows
+    d = zone_share_pct(metrics.select(*SECTOR).join(zone_times, list(SECTOR), "left"))
+    rows = []
+    for z in shown:
+        k = z["zone"]
+        parts = F.concat_ws(", ", T.format_bpm_range(F.lit(z["shown_lo"]), F.lit(z["shown_hi"]).cast("double")), T.format_percent(F.col(f"z{k}_pct")), T.format_duration(F.col(f"z{k}_s")))
+        rows.append(F.struct(F.lit(len(CATALOGUE) + k).alias("place"), F.lit(ZONES).alias("group"), F.lit(f"Zone {k}").alias("label"), F.when(F.col("moving_s").isNull(), UNAVAILABLE).otherwise(parts).alias("value")))
+    return long.unionByName(d.select(*SECTOR, F.inline(F.array(*rows))))
 
 
 def metrics_text(long: DataFrame) -> DataFrame:
@@ -107,5 +146,3 @@ def write_parquet(df: DataFrame, path: str, buckets: int = 64) -> None:
     """A table for reading by track: one folder per bucket of tracks, sorted inside."""
     d = df.withColumn("track_bucket", F.pmod(F.xxhash64("track_id"), F.lit(buckets)).cast("int"))
     d.repartition("track_bucket").sortWithinPartitions("track_bucket", "track_id").write.partitionBy("track_bucket").parquet(path)
-
-

@@ -2,29 +2,58 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pacewright.functions.geo import EARTH_RADIUS_M, TILE_PIXELS, haversine, terrarium, tile_x, tile_y
+from pacewright.functions.geo import EARTH_RADIUS_M, TILE_PIXELS, haversine, speed_to_pace, terrarium, tile_x, tile_y
 from pacewright.operators.sector import point_at_distance
 from pacewright.operators.track import ordered
+from pacewright.operators.zones import classify_hr_zone
+from pacewright.sources.scratch import stored
+
 
+def _nearest(q: DataFrame, p: DataFrame, cell: float | None) -> DataFrame:
+    """Each probe (track_id, q, qx, qy) with ``v``, its nearest vertex, and ``d2``: among those of the nine cells around it
+    (null if there are none), or of its whole track without a cell size."""
+    keys = ["track_id"]
+    if cell:
+        at = lambda c, by: F.floor(F.col(c) / cell) + by
+        around = F.array(*[F.struct(at("qx", i).alias("gx"), at("qy", j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        q, p, keys = q.select("*", F.inline(around)), p.withColumns({"gx": at("x", 0), "gy": at("y", 0)}), ["track_id", "gx", "gy"]
+    dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
+    d = q.join(p, keys, "left").withColumn("d2", dx * dx + dy * dy)
+    best = F.min_by(F.struct("p", "before", "after", "sx"), F.when(F.col("d2").isNotNull(), F.struct("d2", "seq")))
+    return d.groupBy("track_id", "q", "qx", "qy").agg(best.alias("v"), F.min("d2").alias("d2"))
 
-def nearest_on_track(probes: DataFrame, points: DataFrame) -> DataFrame:
+
+def nearest_on_track(probes: DataFrame, points: DataFrame, cells: tuple[float, ...] = (256.0, 8192.0)) -> DataFrame:
     """Adds to each probe (track_id, wp_seq, lat, lon, ...) its nearest vertex's best adjoining place:
-    ``dist`` along the track and ``off_track`` metres. Vertices first, so not always the nearest segment."""
+    ``dist`` along the track and ``off_track`` metres. Vertices first, so not always the nearest segment.
+
+    Probes look into the cells around them. A vertex found within one cell's width is the nearest of all; probes
+    without one go on to larger cells, and those still without one are compared with their whole track.
+    """
     w = ordered()
     metre = EARTH_RADIUS_M * 3.141592653589793 / 180
-    everywhere = Window.partitionBy("track_id")
-    p = points.withColumn("sx", metre * F.cos(F.radians((F.min("lat").over(everywhere) + F.max("lat").over(everywhere)) / 2)))
+    scale = points.groupBy("track_id").agg((metre * F.cos(F.radians((F.min("lat") + F.max("lat")) / 2))).alias("sx"))
     place = F.struct(F.col("lon").alias("lon"), F.col("lat").alias("lat"), F.col("cum_dist").alias("d"))
-    p = p.select("track_id", "seq", "sx", place.alias("p"), F.lag(place).over(w).alias("before"), F.lead(place).over(w).alias("after"))
+    p = points.select("track_id", "seq", place.alias("p"), F.lag(place).over(w).alias("before"), F.lead(place).over(w).alias("after"))
+    p = p.join(scale, "track_id").withColumns({"x": F.col("p.lon") * F.col("sx"), "y": F.col("p.lat") * metre})
     names = [c for c in probes.columns if c != "track_id"]
-    q = probes.select("track_id", F.struct(*names).alias("q"))
-    d = q.join(p, "track_id")
-    dx, dy = (F.col("p.lon") - F.col("q.lon")) * F.col("sx"), (F.col("p.lat") - F.col("q.lat")) * metre
-    best = F.min_by(F.struct("p", "before", "after", "sx"), F.struct((dx * dx + dy * dy).alias("d2"), F.col("seq")))
-    d = d.groupBy("track_id", "q").agg(best.alias("v"))
+    rest = probes.select("track_id", F.struct(*names).alias("q")).join(scale, "track_id").select("track_id", "q", (F.col("q.lon") * F.col("sx")).alias("qx"), (F.col("q.lat") * metre).alias("qy"))
+    found = []
+    for cell in cells:
+        near = stored(_nearest(rest, p, cell), "nearest")
+        done = F.coalesce(F.col("d2") <= cell * cell, F.lit(False))
+        found.append(near.filter(done))
+        rest = near.filter(~done).select("track_id", "q", "qx", "qy")
+        if rest.isEmpty():
+            break
+    else:
+        found.append(_nearest(rest, p, None))
+    d = reduce(DataFrame.unionByName, found)
 
     def onto(a: str, b: str):
         ax, ay = F.col(f"{a}.lon") * F.col("v.sx"), F.col(f"{a}.lat") * metre
@@ -74,22 +103,27 @@ def dem_tiles_needed(points: DataFrame) -> DataFrame:
     return d.select(tiles).distinct()
 
 
-def probe_reading(points: DataFrame, requests: DataFrame) -> DataFrame:
-    """What a track shows at a distance: interpolated elevation; other readings from the nearer end."""
-    here = point_at_distance(points, requests)
+def probe_reading(series: DataFrame, requests: DataFrame, zones: DataFrame) -> DataFrame:
+    """What a track shows at a distance: interpolated elevation; from the nearer end heart rate and its zone, cadence,
+    power, temperature, clean speed, pace and grade-adjusted pace, and the grade reading.
+
+    ``series`` are points with ``clean_speed``, ``gap_speed`` and ``reading`` (see track.py).
+    """
+    here = point_at_distance(series, requests)
     near = here.withColumn("seq", F.col("i") + F.when(F.col("t") < 0.5, 0).otherwise(1))
-    readings = points.select("track_id", "seq", "hr", "cad", "power", "temp", *[c for c in ("clean_speed", "gap_speed", "reading") if c in points.columns])
-    return near.join(readings, ["track_id", "seq"], "left")
+    readings = series.select("track_id", "seq", "hr", "cad", "power", "temp", F.col("clean_speed").alias("speed"), speed_to_pace(F.col("clean_speed")).alias("pace"), speed_to_pace(F.col("gap_speed")).alias("gap"), F.col("reading").alias("grade"))
+    return classify_hr_zone(near.join(readings, ["track_id", "seq"], "left"), zones)
 
 
 def bridge_interpolate(points: DataFrame, requests: DataFrame, value: str = "hr", at: str = "d") -> DataFrame:
     """Adds ``value`` at each request's distance on the line between the last reading before and the next after, over gaps."""
-    p = points.filter(F.col(value).isNotNull()).select("track_id", F.col("cum_dist").alias("_x"), F.lit(0).alias("_k"), F.struct(F.col("cum_dist").alias("x"), F.col(value).alias("v")).alias("_p"))
+    p = points.filter(F.col(value).isNotNull()).select("track_id", F.col("cum_dist").alias("_x"), F.col("seq").alias("_k"), F.struct(F.col("cum_dist").alias("x"), F.col(value).alias("v")).alias("_p"))
     names = [c for c in requests.columns if c != "track_id"]
-    r = requests.select("track_id", F.col(at).alias("_x"), F.lit(1).alias("_k"), F.struct(*names).alias("_r"))
-    w = Window.partitionBy("track_id").orderBy("_x", "_k")
+    r = requests.select("track_id", F.col(at).alias("_x"), F.lit(1 << 30).alias("_k"), F.struct(*names).alias("_r"))
+    w = Window.partitionBy("track_id")
+    before, after = w.orderBy("_x", "_k"), w.orderBy(F.col("_x").desc(), F.col("_k").desc())
     both = p.unionByName(r, allowMissingColumns=True)
-    d = both.withColumns({"_a": F.last("_p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first("_p", True).over(w.rowsBetween(1, Window.unboundedFollowing))}).filter("_r is not null")
+    d = both.withColumns({c: F.last("_p", True).over(o.rowsBetween(Window.unboundedPreceding, 0)) for c, o in (("_a", before), ("_b", after))}).filter("_r is not null")
     span = F.col("_b.x") - F.col("_a.x")
     between = F.when(span > 0, F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("_x") - F.col("_a.x")) / span).otherwise(F.col("_a.v"))
     exact = F.col("_a.x") == F.col("_x")

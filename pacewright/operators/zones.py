@@ -36,16 +36,22 @@ def zone_boundary_pct(zones: DataFrame) -> DataFrame:
 
 
 def validate_hr_settings(settings: DataFrame) -> DataFrame:
-    """Adds ``error``: the first rule that the settings break, or null."""
-    rising = lambda c: f"forall(zip_with(slice({c}, 1, size({c}) - 1), slice({c}, 2, size({c}) - 1), (a, b) -> a < b), x -> x)"
-    whole = lambda c: f"forall({c}, x -> x is not null and x = floor(x))"
+    """Adds ``error``: the first rule that the settings break (mode, greatest, resting, both, threshold, bounds), or null."""
+
+    def bounds(c: str, n: int) -> str:
+        """n whole beats above 0 and up to 260, each over the one before."""
+        pairs = f"forall(zip_with({c}, concat(array(0), slice({c}, 1, {n - 1})), (e, before) -> e is not null and e = floor(e) and e > before and e <= 260), x -> x)"
+        return f"not coalesce(size({c}) = {n} and {pairs}, false)"
+
+    whole = lambda c: f"({c} is null or {c} <> floor({c}) or {c} <= 0)"
     rules = [
-        ("max_hr is null or max_hr not between 100 and 260", "max_range"),
-        ("rest_hr is null or rest_hr not between 20 and 150", "rest_range"),
-        ("lthr is null or lthr >= max_hr or lthr <= rest_hr", "lthr_order"),
-        *[(f"not ({whole(c)})", f"{c}_whole") for c in ("max_bounds", "hrr_bounds", "lthr_bounds")],
-        *[(f"not ({rising(c)})", f"{c}_rising") for c in ("max_bounds", "hrr_bounds", "lthr_bounds")],
-        ("element_at(lthr_bounds, -1) >= lthr", "lthr_top"),
+        ("mode is null or mode not in ('max', 'hrr', 'lthr')", "mode"),
+        (f"{whole('max_hr')} or max_hr not between 100 and 260", "max_hr"),
+        (f"{whole('rest_hr')} or rest_hr not between 20 and 150", "rest_hr"),
+        ("max_hr <= rest_hr", "max_rest"),
+        (f"{whole('lthr')} or lthr <= rest_hr or lthr >= max_hr", "lthr"),
+        *[(bounds(f"{c}_bounds", n), "order") for c, n in (("max", 5), ("hrr", 5), ("lthr", 4))],
+        ("lthr_bounds[3] >= lthr", "order"),
     ]
     return settings.withColumn("error", F.expr("case " + " ".join(f"when {c} then '{n}'" for c, n in rules) + " end"))
 
@@ -65,10 +71,15 @@ def migrate_hr_settings(old: DataFrame) -> DataFrame:
 
 
 def classify_hr_zone(readings: DataFrame, zones: DataFrame, hr: str = "hr") -> DataFrame:
-    """Adds ``zone``: 1 to 5, 0 below the first, null without a reading. Zones are five rows, so they are broadcast."""
-    z = F.broadcast(zones.select("zone", "lo", "hi").limit(5))
-    d = readings.join(z, (F.col(hr) >= F.col("lo")) & (F.col("hi").isNull() | (F.col(hr) < F.col("hi"))), "left")
-    return d.withColumn("zone", F.when(F.col(hr).isNotNull(), F.coalesce("zone", F.lit(0)))).drop("lo", "hi")
+    """Adds ``zone``: 1 to 5, 0 below the first, null without a reading.
+
+    A setting has five zones; their bounds become one expression. More than five rows are an error.
+    """
+    rows = zones.select("zone", "lo", "hi").limit(6).collect()
+    if len(rows) > 5:
+        raise ValueError("zones of one setting are five rows at most")
+    found = [F.when((F.col(hr) >= z["lo"]) & (F.lit(z["hi"] is None) | (F.col(hr) < F.lit(z["hi"]))), z["zone"]) for z in rows]
+    return readings.withColumn("zone", F.when(F.col(hr).isNotNull(), F.coalesce(*found, F.lit(0))))
 
 
 def hr_zone_time(walk: DataFrame, zones: DataFrame) -> DataFrame:
