@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pacewright.operators.dual import PARTNERS
-from pacewright.operators.landmarks import NATURAL
+from pacewright.operators.export import CATALOGUE, UNAVAILABLE, ZONES
+from pacewright.operators.landmarks import GATES, POI_CLASSES, TILE_CLASSES
 from pacewright.plans.fixtures import TRACK_POINTS_SQL, ZONE_BOUNDS
 from pacewright.plans.queries import DIGITS, places
 
@@ -58,6 +61,65 @@ def speeds(rows: str, keys: str, by: str) -> str:
     return f"SELECT *, CASE WHEN recorded THEN sm WHEN isoff THEN fixed ELSE raw_speed END AS clean_speed FROM ({interpolated(f'({kept})', keys, by, 'kept')})"
 
 
+def repaired(rows: str, keys: str, by: str, value: str) -> str:
+    """``fixed`` of rows with ``v``: values beyond three standard deviations on the line between their kept neighbours."""
+    off = f"SELECT *, coalesce(count({value}) OVER ({keys}) >= 3 AND stddev_pop({value}) OVER ({keys}) > 0 AND abs({value} - avg({value}) OVER ({keys})) > 3 * stddev_pop({value}) OVER ({keys}), false) AS isoff FROM {rows}"
+    kept = f"SELECT *, CASE WHEN NOT isoff THEN {value} END AS kept FROM ({off})"
+    return f"SELECT * REPLACE (CASE WHEN isoff THEN fixed ELSE {value} END AS fixed) FROM ({interpolated(f'({kept})', keys, by, 'kept')})"
+
+
+METRE = "(CAST(6371008.8 AS DOUBLE) * 3.141592653589793 / 180)"
+
+
+def nearest(probes: str) -> str:
+    """``dist`` and ``off_track`` of probes (track_id, wp_seq, lat, lon, ...): the nearest vertex, then its better segment."""
+    place = lambda c: f"CASE WHEN {c}.cum_dist IS NOT NULL THEN {c} END"
+
+    def onto(a: str, b: str) -> str:
+        vx, vy = f"({b}.lon - {a}.lon) * sx", f"({b}.lat - {a}.lat) * {METRE}"
+        px, py = f"(qlon - {a}.lon) * sx", f"(qlat - {a}.lat) * {METRE}"
+        t = f"CASE WHEN ({vx}) * ({vx}) + ({vy}) * ({vy}) > 0 THEN least(1.0, greatest(0.0, (({px}) * ({vx}) + ({py}) * ({vy})) / (({vx}) * ({vx}) + ({vy}) * ({vy})))) ELSE 0.0 END"
+        return f"{{'d2': pow({px} - {t} * {vx}, 2) + pow({py} - {t} * {vy}, 2), 'dist': {a}.d + {t} * ({b}.d - {a}.d), 'lat': {a}.lat + {t} * ({b}.lat - {a}.lat), 'lon': {a}.lon + {t} * ({b}.lon - {a}.lon)}}"
+
+    pair = f"SELECT q.*, s.sx, n.p, n.b, n.a, pow((n.p.lon - q.lon) * s.sx, 2) + pow((n.p.lat - q.lat) * {METRE}, 2) AS d2, n.seq AS vseq FROM {probes} q JOIN scale s USING (track_id) JOIN vert n USING (track_id)"
+    best = f"SELECT track_id, wp_seq, any_value(lat) AS qlat, any_value(lon) AS qlon, any_value(sx) AS sx, arg_min({{'p': p, 'b': b, 'a': a}}, (d2, vseq)) AS v FROM ({pair}) GROUP BY 1, 2"
+    both = f"SELECT *, CASE WHEN v.b.d IS NOT NULL THEN {onto('v.b', 'v.p')} END AS rb, CASE WHEN v.a.d IS NOT NULL THEN {onto('v.p', 'v.a')} END AS ra FROM ({best})"
+    one = f"SELECT *, CASE WHEN rb.d2 IS NOT NULL AND (ra.d2 IS NULL OR rb.d2 <= ra.d2) THEN rb ELSE ra END AS r FROM ({both})"
+    return f"SELECT track_id, wp_seq, r.dist AS dist, {hav('qlat', 'qlon', 'r.lat', 'r.lon')} AS off_track FROM ({one})"
+
+
+def num(v: str, digits: int = 0) -> str:
+    """A number with grouped thousands and up to so many decimals."""
+    if not digits:
+        return f"format('{{:,}}', CAST(round({v}) AS BIGINT))"
+    return f"regexp_replace(regexp_replace(format('{{:,.{digits}f}}', round(CAST({v} AS DOUBLE), {digits})), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+
+
+def clock(v: str) -> str:
+    s = f"CAST(round({v}) AS BIGINT)"
+    return f"CASE WHEN {s} >= 3600 THEN printf('%d:%02d:%02d', {s} // 3600, {s} % 3600 // 60, {s} % 60) ELSE printf('%d:%02d', {s} // 60, {s} % 60) END"
+
+
+def shown(kind: str, v: str, imperial: bool = False) -> str:
+    """A value as text, by its kind."""
+    feet, mile = f"({v}) / 0.3048", 1609.344
+    if kind == "distance":
+        turn, long, short, a, b = (mile, f"({v}) / {mile}", feet, "ft", "mi") if imperial else (1000, f"({v}) / 1000", v, "m", "km")
+        return f"CASE WHEN {v} < {turn} THEN {num(short)} || ' {a}' WHEN {v} < 100 * {turn} THEN {num(long, 2)} || ' {b}' ELSE {num(long, 1)} || ' {b}' END"
+    if kind == "signed":
+        return f"CASE WHEN {v} > 0 THEN '+' WHEN {v} < 0 THEN '−' ELSE '' END || " + shown("elevation", f"abs({v})", imperial)
+    if kind == "date":
+        return f"strftime(make_timestamp(CAST({v} AS BIGINT) * 1000), '%Y-%m-%d %H:%M')"
+    if kind == "duration":
+        return clock(v)
+    if kind == "pace":
+        return f"CASE WHEN {v} > 0 THEN " + (clock(f"({v}) * 1.609344") + " || ' /mi'" if imperial else clock(v) + " || ' /km'") + " END"
+    metric = {"elevation": (v, 0, " m"), "speed": (f"({v}) * 3.6", 1, " km/h"), "vam": (v, 0, " m/h"), "temp": (v, 1, " °C"), "grade": (f"({v}) * 100", 1, "%"), "bpm": (v, 0, " bpm"), "power": (v, 0, " W"), "cadence": (v, 0, " rpm")}
+    own = {"elevation": (feet, 0, " ft"), "speed": (f"({v}) * 2.2369362920544", 1, " mph"), "vam": (feet, 0, " ft/h"), "temp": (f"({v}) * 9 / 5 + 32", 0, " °F")}
+    value, digits, unit = (own.get(kind) if imperial else None) or metric[kind]
+    return f"{num(value, digits)} || '{unit}'"
+
+
 FOLD = """list_reduce(list_prepend({'d': CAST(0 AS DOUBLE), 'h': CAST(0 AS DOUBLE), 'e': e0, 'dt': CAST(0 AS DOUBLE), 'r': CAST(0 AS DOUBLE), 'g': CAST(0 AS DOUBLE), 'l': CAST(0 AS DOUBLE), 'up': CAST(0 AS DOUBLE), 'down': CAST(0 AS DOUBLE), 'acc': CAST(0 AS DOUBLE), 'we': e0, 'hi': CAST(NULL AS DOUBLE), 'lo': CAST(NULL AS DOUBLE)}, steps), lambda s, x: {
   'd': x.d, 'h': x.h, 'e': x.e, 'dt': x.dt,
   'r': CASE WHEN abs(s.r + x.d) > 3 THEN 0.0 ELSE s.r + x.d END,
@@ -74,6 +136,10 @@ SPLIT = """SELECT track_id, k AS sector_id, k * 1000.0 AS start_m, CASE WHEN k =
   FROM (SELECT track_id, total_distance, n, unnest(range(n)) AS k FROM (SELECT *, greatest(1, CAST(ceil((total_distance - 200) / 1000.0) AS BIGINT)) AS n FROM tr))"""
 
 
+SPLIT_DROP = """SELECT track_id, k AS sector_id, k * 1000.0 AS start_m, least(k * 1000.0 + 1000, total_distance) AS end_m
+  FROM (SELECT track_id, total_distance, unnest(range(greatest(1, CAST(ceil((total_distance - 200) / 1000.0) AS BIGINT)))) AS k FROM tr)"""
+
+
 def _cleaned(value: str, where: str, out: str) -> str:
     rows = f"SELECT *, {value} AS v FROM wk WHERE {where}"
     both = f"SELECT *, avg(v) OVER ({SEC} ORDER BY step ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS sm, avg(v) OVER ({SEC}) AS mu, stddev_pop(v) OVER ({SEC}) AS sg FROM ({rows})"
@@ -90,6 +156,14 @@ CHAIN = {
     "p": f"SELECT *, round(sum(seg_m) OVER {RUN}, 6) AS cum_dist FROM p0",
     "pn": f"SELECT *, lead(seg_m) OVER w AS dd, (lead(time_ms) OVER w - time_ms) / 1000.0 AS dt, lead(ele) OVER w - ele AS dz, max(coalesce(speed >= 0, false)) OVER (PARTITION BY track_id) AS recorded, lead(cum_dist) OVER w AS next_cum, lead(lat) OVER w AS next_lat, lead(lon) OVER w AS next_lon, lead(ele) OVER w AS next_ele, lead(time_ms) OVER w AS next_ms, lead(hr) OVER w AS next_hr FROM p WINDOW w AS {W}",
     "tr": "SELECT track_id, count(*) AS point_count, max(cum_dist) AS total_distance, min(lat) AS min_lat, min(lon) AS min_lon, max(lat) AS max_lat, max(lon) AS max_lon, bool_and(ele IS NOT NULL) AS has_elevation, bool_and(time_ms IS NOT NULL) AS has_time, bool_or(hr IS NOT NULL) AS has_hr, bool_or(cad IS NOT NULL) AS has_cad, bool_or(temp IS NOT NULL) AS has_temp, bool_or(power IS NOT NULL) AS has_power, bool_or(coalesce(speed >= 0, false)) AS has_recorded_speed, min(ele) AS ele_min, max(ele) AS ele_max FROM p GROUP BY 1",
+    "wp": "SELECT track_id, seq AS wp_seq, lat, lon + 1e-4 * ((seq // 75 + track_id) % 9) AS lon, 'CP' || seq AS name FROM p WHERE seq % 75 IN (30, 36)",
+    "scale": f"SELECT track_id, {METRE} * cos(radians((min(lat) + max(lat)) / 2)) AS sx FROM p GROUP BY 1",
+    "vert": f"SELECT track_id, seq, {{'lon': lon, 'lat': lat, 'd': cum_dist}} AS p, {{'lon': lag(lon) OVER {W}, 'lat': lag(lat) OVER {W}, 'd': lag(cum_dist) OVER {W}}} AS b, {{'lon': lead(lon) OVER {W}, 'lat': lead(lat) OVER {W}, 'd': lead(cum_dist) OVER {W}}} AS a FROM p",
+    "wpn": nearest("wp"),
+    "rsv": "SELECT n.track_id, n.wp_seq, w.name, n.dist FROM wpn n JOIN wp w USING (track_id, wp_seq) WHERE n.off_track <= 50",
+    "ws0": "SELECT track_id, total_distance AS total, list({'d': dist, 'n': name, 'o': [{'d': CAST(0 AS DOUBLE), 'n': CAST(NULL AS VARCHAR)}]} ORDER BY dist, wp_seq) AS steps FROM rsv JOIN tr USING (track_id) GROUP BY 1, 2",
+    "ws1": "SELECT track_id, total, (list_reduce(list_prepend({'d': CAST(0 AS DOUBLE), 'n': CAST(NULL AS VARCHAR), 'o': [{'d': CAST(0 AS DOUBLE), 'n': CAST(NULL AS VARCHAR)}]}, steps), lambda s, x: {'d': x.d, 'n': x.n, 'o': CASE WHEN x.d - s.o[-1].d >= 100 AND total - x.d >= 100 THEN list_append(s.o, {'d': x.d, 'n': x.n}) ELSE s.o END})).o AS b FROM ws0",
+    "wsec": "SELECT track_id, k - 1 AS sector_id, b[k].d AS start_m, coalesce(b[k + 1].d, total) AS end_m, b[k].n AS name FROM (SELECT *, unnest(range(1, len(b) + 1)) AS k FROM ws1 WHERE len(b) > 1)",
     "sec": f"{SPLIT} UNION ALL SELECT track_id, k, total_distance * a, total_distance * b FROM tr, (VALUES (1001, 0.10, 0.37), (1002, 0.37, 0.81), (1003, 0.50, 0.502)) v(k, a, b)",
     "ends": "SELECT track_id, sector_id * 2 AS e, start_m AS d FROM sec UNION ALL SELECT track_id, sector_id * 2 + 1, end_m FROM sec",
     "loc": located("ends", "e"),
@@ -143,31 +217,75 @@ CHAIN = {
     "cls0": "SELECT *, min({'c': cum_dist, 's': seq, 'e': ele}) OVER w AS a, max({'c': cum_dist, 's': seq, 'e': ele}) OVER w AS b FROM p WINDOW w AS (PARTITION BY track_id ORDER BY cum_dist RANGE BETWEEN 25 PRECEDING AND 25 FOLLOWING)",
     "cls": "SELECT track_id, seq, cum_dist, CASE WHEN b.c - a.c >= 25 AND (b.e - a.e) / (b.c - a.c) > 0.025 THEN 1 WHEN b.c - a.c >= 25 AND (b.e - a.e) / (b.c - a.c) < -0.025 THEN -1 ELSE 0 END AS cls FROM cls0",
     "runs": f"SELECT track_id, run, any_value(cls) AS cls, min(cum_dist) AS start_m, max(cum_dist) AS end_m FROM (SELECT *, sum(new) OVER {RUN} AS run FROM (SELECT *, CASE WHEN cls <> lag(cls) OVER {W} THEN 1 ELSE 0 END AS new FROM cls)) GROUP BY 1, 2",
-    "wp": "SELECT track_id, seq AS wp_seq, lat, lon + 1e-4 * ((seq // 75 + track_id) % 9) AS lon, 'CP' || seq AS name FROM p WHERE seq % 75 IN (30, 36)",
-    "el": """SELECT track_id AS response_id, seq AS pos, CASE WHEN seq % 70 = 0 THEN 'way' ELSE 'node' END AS type, 45 + (seq % 40) / 1000.0 AS lat, 7 + (track_id % 7) / 1000.0 AS lon, ['peak', 'volcano', 'saddle', 'spring', 'tree', 'cave_entrance'][seq % 6 + 1] AS nat, CASE WHEN seq % 110 = 0 THEN 'waterfall' END AS water,
-        CASE WHEN seq % 30 = 0 THEN '' ELSE 'Hill ' || seq END AS name, CASE WHEN seq % 50 = 0 THEN 'HILL ' || seq END AS name_en, CASE WHEN seq % 20 = 0 THEN CAST(round(ele) AS INT) END AS e_m, CASE WHEN seq % 40 = 10 THEN CAST(round(ele * 3) AS INT) END AS e_ft, seq % 5 AS rank FROM p WHERE seq % 10 = 0""",
-    "marks": f"SELECT *, coalesce(water, CASE WHEN nat IN ({', '.join(repr(n) for n in NATURAL)}) THEN nat END) AS class FROM el WHERE type = 'node' AND coalesce(water, CASE WHEN nat IN ({', '.join(repr(n) for n in NATURAL)}) THEN nat END) IS NOT NULL",
-    "hs": "SELECT track_id, track_id % 3 AS md, 190 + track_id % 90 AS max_hr, 40 + track_id % 20 AS rest_hr, 165 + track_id % 40 AS lthr, [95, CASE WHEN track_id % 11 = 5 THEN 114 ELSE 114 END, CASE WHEN track_id % 11 = 5 THEN 114 ELSE 133 END, CASE WHEN track_id % 11 = 5 THEN 114 ELSE 152 END, CASE WHEN track_id % 11 = 5 THEN 114 ELSE 171 END] AS mb0 FROM tr",
-    "hb": "SELECT *, CASE md WHEN 0 THEN CASE WHEN track_id % 11 = 5 THEN [114, 114, 114, 114, 114] ELSE [95, 114, 133, 152, 171] END WHEN 1 THEN [125, 138, 151, 164, 177] ELSE [102, 119, 136, 153, lthr] END AS bounds FROM hs",
-    "hz": "SELECT track_id, md, max_hr, rest_hr, lthr, k AS zone, CAST(bounds[k] AS DOUBLE) AS lo, CAST(bounds[k + 1] AS DOUBLE) AS hi FROM hb, range(1, 6) t(k)",
+    "tms": "SELECT track_id, sector_id, max(CASE WHEN kind = 'start' THEN to_ms END) AS start_ms, max(CASE WHEN kind = 'end' THEN to_ms END) AS end_ms FROM wk GROUP BY 1, 2",
+    "gs0": "SELECT track_id, list({'s': CAST(seq AS BIGINT), 'h': seg_m, 'e': ele, 'run': CAST(0 AS DOUBLE), 'base': ele, 'o': [{'s': CAST(seq AS BIGINT), 'g': CAST(NULL AS DOUBLE)}]} ORDER BY seq) AS steps FROM p GROUP BY 1",
+    "gs1": """SELECT track_id, (list_reduce(steps, lambda s, x: {'s': x.s, 'h': x.h, 'e': x.e, 'run': CASE WHEN s.run + x.h >= 50 THEN 0.0 ELSE s.run + x.h END, 'base': CASE WHEN s.run + x.h >= 50 THEN x.e ELSE s.base END,
+        'o': list_append(s.o, {'s': x.s, 'g': CASE WHEN s.run + x.h >= 20 THEN (x.e - s.base) / (s.run + x.h) END})})).o AS o FROM gs0""",
+    "gs": "SELECT track_id, g.s AS seq, g.g AS grade FROM (SELECT track_id, unnest(o) AS g FROM gs1)",
+    "gr": """SELECT track_id, seq, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a WHEN seq - i <= j - seq THEN a ELSE b END AS reading FROM (SELECT *, last_value(grade IGNORE NULLS) OVER u AS a, last_value(CASE WHEN grade IS NOT NULL THEN seq END IGNORE NULLS) OVER u AS i, first_value(grade IGNORE NULLS) OVER v AS b, first_value(CASE WHEN grade IS NOT NULL THEN seq END IGNORE NULLS) OVER v AS j FROM gs
+        WINDOW u AS (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY track_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""",
+    "el0": "SELECT track_id AS response_id, seq AS pos, CASE WHEN seq % 70 = 0 THEN 'way' ELSE 'node' END AS type, 45 + CAST(seq % 40 AS DOUBLE) / 1000 AS lat, 7 + CAST(track_id % 7 AS DOUBLE) / 1000 AS lon, ['cave_entrance', 'spring', 'tree', 'rock', 'stone', 'peak'][seq % 6 + 1] AS nat, CASE WHEN seq % 110 = 0 THEN 'waterfall' END AS water, CASE WHEN seq % 30 = 0 THEN '' ELSE 'Hill ' || seq END AS name, CASE WHEN seq % 50 = 0 THEN 'HILL ' || seq END AS name_en, CAST(round(ele) AS INT) AS e FROM p",
+    "el": """SELECT *, coalesce(water, nat) AS class, coalesce(name_en, nullif(name, '')) AS shown_name, coalesce(CASE WHEN pos % 20 IN (0, 1, 13) THEN CAST(e AS DOUBLE) WHEN pos % 20 = 3 THEN (e + 0.5) * 0.3048 WHEN pos % 20 = 6 THEN CAST('0.' || e AS DOUBLE) * 0.3048 END,
+        CASE WHEN pos % 40 = 10 THEN 3 * e * 0.3048 WHEN pos % 40 = 30 THEN NULL WHEN pos % 40 = 13 THEN 7 * 0.3048 WHEN pos % 5 = 0 THEN 2 * e * 0.3048 END) AS metres FROM el0""",
+    "marks": f"SELECT *, class || ':' || printf('%.5f,%.5f', lon, lat) AS key, response_id * 10000 + pos AS place FROM el WHERE type = 'node' AND class IN ({', '.join(repr(n) for n in POI_CLASSES)})",
+    "tiles0": "SELECT track_id * 10000 + seq AS pos, ['peak', 'saddle', 'volcano', 'cliff'][seq % 4 + 1] AS class, seq % 90 AS way, 45 + CAST(seq % 300 AS DOUBLE) / 1000 AS lat, 7 + CAST(track_id % 7 AS DOUBLE) / 1000 AS lon, CASE WHEN seq % 7 IN (0, 6) THEN 5 ELSE seq % 7 END AS rank, 'Top ' || seq % 300 AS name, CAST(seq AS DOUBLE) AS metres FROM p",
+    "tiles": f"SELECT * FROM (SELECT *, class || ':' || printf('%.5f,%.5f', lon, lat) AS key, row_number() OVER (PARTITION BY class || ':' || printf('%.5f,%.5f', lon, lat) ORDER BY pos) AS k FROM tiles0 WHERE way <> 0 AND class IN ({', '.join(repr(n) for n in TILE_CLASSES)})) WHERE k = 1",
+    "dedup": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY place) AS k FROM marks) WHERE k = 1",
+    "shown": f"SELECT *, CASE WHEN class IN ('peak', 'volcano') AND rank <= 2 THEN class || '-major' ELSE class END AS gate, concat_ws(chr(10), name1, CASE WHEN lower(name2) <> lower(name1) THEN name2 END, {shown('elevation', 'metres')}) AS label FROM (SELECT key, class, lat, lon, 5 AS rank, shown_name AS name1, nullif(name, '') AS name2, metres FROM dedup UNION ALL SELECT key, class, lat, lon, rank, name, name, metres FROM tiles)",
+    "hs": "SELECT track_id, track_id % 3 AS md, 190 + track_id % 90 AS max_hr, 40 + track_id % 20 AS rest_hr, 165 + track_id % 40 AS lthr FROM tr",
+    "hb": "SELECT *, CASE md WHEN 0 THEN CASE WHEN track_id % 11 = 5 THEN [114, 114, 114, 114, 114] ELSE [95, 114, 133, 152, 171] END WHEN 1 THEN [125, 138, 151, 164, CASE WHEN track_id % 13 = 3 THEN 261 ELSE 177 END] ELSE CASE WHEN track_id % 17 = 4 THEN [102, 119, 136, lthr] ELSE [102, 119, 136, 153, lthr] END END AS bounds FROM hs",
+    "hz": "SELECT track_id, md, max_hr, rest_hr, lthr, k AS zone, CAST(bounds[k] AS DOUBLE) AS lo, CAST(bounds[k + 1] AS DOUBLE) AS hi FROM hb, range(1, 6) t(k) WHERE k <= len(bounds)",
+    "ev": "SELECT user_id AS track_id, epoch_us(ts) AS us, value AS x, value % 50 AS ele, 90 + value % 100 AS hr, lag(epoch_us(ts)) OVER w AS before, lag(value) OVER w AS last_x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)",
+    "ev1": "SELECT *, coalesce((us - before) / 1e6, 0) AS dt, before IS NOT NULL AND abs(x - last_x) / ((us - before) / 1e6) >= 0.5 / 3.6 AS moving FROM ev",
+    "ev2": "SELECT *, sum(CAST(moving AS INT)) OVER (PARTITION BY track_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS island FROM ev1",
+    "eg0": "SELECT track_id, list({'us': us, 'e': ele, 'r': CAST(0 AS DOUBLE), 'g': CAST(0 AS DOUBLE), 'l': CAST(0 AS DOUBLE), 'up': CAST(0 AS DOUBLE), 'down': CAST(0 AS DOUBLE), 'n': CAST(1 AS BIGINT)} ORDER BY us) AS steps FROM ev GROUP BY 1",
+    "eg": """SELECT track_id, list_reduce(steps, lambda s, x: {'us': x.us, 'e': x.e, 'r': CASE WHEN abs(s.r + x.e - s.e) > 3 THEN 0.0 ELSE s.r + x.e - s.e END, 'g': s.g + CASE WHEN s.r + x.e - s.e > 3 THEN s.r + x.e - s.e ELSE 0.0 END, 'l': s.l - CASE WHEN s.r + x.e - s.e < -3 THEN s.r + x.e - s.e ELSE 0.0 END,
+        'up': s.up + CASE WHEN s.r + x.e - s.e > 0 THEN (x.us - s.us) / 1e6 ELSE 0.0 END, 'down': s.down + CASE WHEN s.r + x.e - s.e < 0 THEN (x.us - s.us) / 1e6 ELSE 0.0 END, 'n': s.n + 1}) AS f FROM eg0""",
 }
 
 X12, Y12 = "((lon + 180) - 360 * floor((lon + 180) / 360)) / 360 * 4096", "(1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / 3.141592653589793) / 2 * 4096"
 CHAIN |= {
-    "px": f"SELECT *, {X12} * 512 AS fx, {Y12} * 512 AS fy FROM p",
-    "dem": "SELECT gx, gy, CAST(1000 + (gx * 7 + gy * 13) % 200 AS DOUBLE) AS e FROM (SELECT DISTINCT CAST(floor(fx) AS BIGINT) + i AS gx, CAST(floor(fy) AS BIGINT) + j AS gy FROM px, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j)) WHERE (gx + gy) % 11 <> 0",
-    "ds": """SELECT x.track_id, x.seq, CASE WHEN x.seq % 5 = 0 THEN NULL ELSE x.ele END AS ele, a.e + (coalesce(b.e, a.e) - a.e) * (fx - floor(fx)) + ((coalesce(c.e, a.e) + (coalesce(d.e, b.e, a.e) - coalesce(c.e, a.e)) * (fx - floor(fx))) - (a.e + (coalesce(b.e, a.e) - a.e) * (fx - floor(fx)))) * (fy - floor(fy)) AS dem_ele
-      FROM px x LEFT JOIN dem a ON a.gx = floor(fx) AND a.gy = floor(fy) LEFT JOIN dem b ON b.gx = floor(fx) + 1 AND b.gy = floor(fy) LEFT JOIN dem c ON c.gx = floor(fx) AND c.gy = floor(fy) + 1 LEFT JOIN dem d ON d.gx = floor(fx) + 1 AND d.gy = floor(fy) + 1""",
+    "px": f"SELECT *, CAST(floor(fx) AS BIGINT) AS gx0, CAST(floor(fy) AS BIGINT) AS gy0 FROM (SELECT *, {X12} * 512 AS fx, {Y12} * 512 AS fy FROM p)",
+    "corner": "SELECT track_id, seq, i, j, gx0 + i AS gx, gy0 + j AS gy FROM px, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j)",
+    "dem": "SELECT gx, gy, CAST(1000 + (gx * 7 + gy * 13) % 200 AS DOUBLE) AS e FROM (SELECT DISTINCT gx, gy FROM corner) WHERE (gx + gy) % 11 <> 0",
+    "four": "SELECT track_id, seq, max(CASE WHEN i = 0 AND j = 0 THEN e END) AS a, max(CASE WHEN i = 1 AND j = 0 THEN e END) AS b, max(CASE WHEN i = 0 AND j = 1 THEN e END) AS c, max(CASE WHEN i = 1 AND j = 1 THEN e END) AS d FROM corner JOIN dem USING (gx, gy) GROUP BY 1, 2",
+    "ds": """SELECT track_id, seq, CASE WHEN seq % 5 = 0 THEN NULL ELSE ele END AS ele, a + (coalesce(b, a) - a) * dx + ((coalesce(c, a) + (coalesce(d, b, a) - coalesce(c, a)) * dx) - (a + (coalesce(b, a) - a) * dx)) * dy AS dem_ele
+      FROM (SELECT x.track_id, x.seq, x.ele, fx - floor(fx) AS dx, fy - floor(fy) AS dy, a, b, c, d FROM px x LEFT JOIN four USING (track_id, seq))""",
 }
 
 KEYS = "track_id, sector_id"
 RATE = "CASE WHEN {s} > 0 AND {m} > 0 THEN {m} / ({s} / 3600) END AS {n}"
-METRICS = f"""SELECT {KEYS}, horizontal_m, distance_3d, gain, loss, max_grade, min_grade, ele_start, ele_end, ele_min, ele_max, net, moving_s, elapsed_s, avg_speed, avg_pace, avg_gap, max_speed, avg_hr, max_hr, avg_cad, max_cad, avg_power, max_power, avg_temp, min_temp, max_temp, fastest_pace, fastest_dist, slowest_pace, slowest_dist,
+METRICS = f"""SELECT {KEYS}, horizontal_m, distance_3d, gain, loss, max_grade, min_grade, ele_start, ele_end, ele_min, ele_max, net, moving_s, elapsed_s, start_ms, end_ms, avg_speed, avg_pace, avg_gap, max_speed, avg_hr, max_hr, avg_cad, max_cad, avg_power, max_power, avg_temp, min_temp, max_temp, fastest_pace, fastest_dist, slowest_pace, slowest_dist,
   horizontal_m + gain * 10 AS effort_distance, CASE WHEN horizontal_m > 0 AND NOT (gain = 0 AND loss > 0) THEN gain / horizontal_m END AS avg_grade, {RATE.format(s='climb_s', m='gain', n='vam')}, {RATE.format(s='descend_s', m='loss', n='vdm')}, segment_type
-  FROM dist LEFT JOIN fold USING ({KEYS}) LEFT JOIN elev USING ({KEYS}) LEFT JOIN mov USING ({KEYS}) LEFT JOIN spd USING ({KEYS}) LEFT JOIN gapm USING ({KEYS}) LEFT JOIN mx USING ({KEYS}) LEFT JOIN fits USING ({KEYS}) LEFT JOIN temps USING ({KEYS}) LEFT JOIN kms USING ({KEYS}) LEFT JOIN typed USING ({KEYS})"""
+  FROM dist LEFT JOIN fold USING ({KEYS}) LEFT JOIN elev USING ({KEYS}) LEFT JOIN mov USING ({KEYS}) LEFT JOIN tms USING ({KEYS}) LEFT JOIN spd USING ({KEYS}) LEFT JOIN gapm USING ({KEYS}) LEFT JOIN mx USING ({KEYS}) LEFT JOIN fits USING ({KEYS}) LEFT JOIN temps USING ({KEYS}) LEFT JOIN kms USING ({KEYS}) LEFT JOIN typed USING ({KEYS})"""
 
 PAIRS = ", ".join(f"('{x}', '{y}')" for x, ys in PARTNERS.items() for y in ys)
 SHARES = ", ".join(f"CASE WHEN moving_s - below_s > 0 THEN CAST(round(z{k}_s / (moving_s - below_s) * 100) AS BIGINT) ELSE 0 END AS z{k}_pct" for k in range(1, 6))
+ZONE_ROWS = ", ".join(f"{{'place': {len(CATALOGUE) + k}, 'group': '{ZONES}', 'label': 'Zone {k}', 'value': CASE WHEN z.moving_s IS NULL THEN '{UNAVAILABLE}' ELSE '{int(lo)}" + (f"–{int(ZONE_BOUNDS[k]) - 1}" if k < 5 else "+") + f" bpm, ' || CASE WHEN z.moving_s - z.below_s > 0 THEN CAST(round(z.z{k}_s / (z.moving_s - z.below_s) * 100) AS BIGINT) ELSE 0 END || '%, ' || {clock(f'z.z{k}_s')} END}}" for k, lo in enumerate(ZONE_BOUNDS, 1))
+METRIC_ROWS = ", ".join(f"{{'place': {k + 1}, 'group': '{g}', 'label': '{n}', 'value': coalesce({shown(kind, 'm.' + c)}, '{UNAVAILABLE}')}}" for k, (g, n, c, kind) in enumerate(CATALOGUE))
+LONG = f"SELECT track_id, sector_id, r.place AS place, r.group AS \"group\", r.label AS label, r.value AS value FROM (SELECT m.track_id, m.sector_id, unnest([{METRIC_ROWS}, {ZONE_ROWS}]) AS r FROM ({METRICS}) m LEFT JOIN ztime z ON z.track_id = m.track_id AND z.sector_id = m.sector_id)"
+FORMATS = {"distance": ("distance", "floor(cum_dist) + 0.26"), "far": ("distance", "(floor(cum_dist) + 0.26) * 40"), "elevation": ("elevation", "floor(ele) + 0.26"), "signed": ("signed", "floor(ele) + 0.26 - 1000"), "speed": ("speed", "CAST(seq AS DOUBLE) / 32 + 0.013"), "pace": ("pace", "floor(cad) * 5.0 + 0.26"), "vam": ("vam", "cad * 11 + 0.26"), "temp": ("temp", "temp + 0.26"), "grade": ("grade", "CAST(seq - 300 AS DOUBLE) / 1000 + 0.00013"), "bpm": ("bpm", "hr"), "power": ("power", "power")}
+
+
+def formats(imperial: bool) -> str:
+    columns = ", ".join(f"{shown(kind, v, imperial)} AS {n}" for n, (kind, v) in FORMATS.items())
+    return f"SELECT track_id, seq, {columns}, CAST(cad AS INT) || CASE WHEN track_id % 2 = 1 THEN ' spm' ELSE ' rpm' END AS cadence FROM p"
+
+
+def sector_ends(imperial: bool) -> str:
+    a, b, turn = "floor(start_m) + 0.26", "floor(end_m) + 0.26", 1609.344 if imperial else 1000
+    short = lambda v: num(f"({v}) / 0.3048") + " || ' ft'" if imperial else num(v) + " || ' m'"
+    long = lambda v: num(f"({v}) / {turn}", 2) + (" || ' mi'" if imperial else " || ' km'")
+    return f"CASE WHEN {b} - ({a}) < {turn} THEN {short(a)} || ' – ' || {short(b)} ELSE {long(a)} || ' – ' || {long(b)} END"
+
+
+WHOLE = {"sec": "SELECT track_id, 0 AS sector_id, CAST(0 AS DOUBLE) AS start_m, total_distance AS end_m FROM tr"}
+#: Tables of the chain that a query has otherwise.
+INSTEAD = {
+    **{n: WHOLE for n in ("track_stats", "sink_metrics_long", "sink_metrics_csv", "sink_metrics_txt", "sink_metrics_md")},
+    "segment_table": {"sec": "SELECT track_id, sector_id, start_m, end_m FROM wsec"},
+}
+
 QUANT = ["hr", "power", "cad", "temp", "grade", "ele", "speed", "pace", "gap"]
 
 #: name: last SELECT
@@ -188,14 +306,47 @@ FINAL: dict[str, str] = {
     "zone_bounds": "SELECT track_id, zone, lo, hi FROM hz",
     "zone_display_range": "SELECT track_id, zone, CAST(ceil(lo + 0.5) AS BIGINT) AS shown_lo, CAST(ceil(hi) - 1 AS BIGINT) AS shown_hi FROM hz",
     "zone_boundary_pct": "SELECT track_id, zone, 100 * CASE md WHEN 0 THEN lo / max_hr WHEN 1 THEN (lo - rest_hr) / (max_hr - rest_hr) ELSE lo / lthr END AS pct FROM hz",
-    "validate_hr_settings": "SELECT track_id, CASE WHEN max_hr NOT BETWEEN 100 AND 260 THEN 'max_range' WHEN rest_hr NOT BETWEEN 20 AND 150 THEN 'rest_range' WHEN lthr >= max_hr OR lthr <= rest_hr THEN 'lthr_order' WHEN track_id % 11 = 5 THEN 'max_bounds_rising' WHEN 153 >= lthr THEN 'lthr_top' END AS error FROM hs",
+    "validate_hr_settings": "SELECT track_id, CASE WHEN max_hr > 260 THEN 'max_hr' WHEN lthr >= max_hr THEN 'lthr' WHEN track_id % 11 = 5 OR track_id % 13 = 3 OR track_id % 17 = 4 THEN 'order' END AS error FROM hs",
     "normalize_sector": "SELECT track_id, sector_id, CASE WHEN b - a < 5 THEN greatest(0, least(a, least(a + 5, t) - 5)) ELSE a END AS start_m, CASE WHEN b - a < 5 THEN least(a + 5, t) ELSE b END AS end_m FROM (SELECT track_id, sector_id, total_distance AS t, greatest(0, least(least(end_m * 1.3 - 400, start_m), total_distance)) AS a, greatest(0, least(greatest(end_m * 1.3 - 400, start_m), total_distance)) AS b FROM sec JOIN tr USING (track_id))",
     "is_entire_track": "SELECT track_id, sector_id, start_m <= 0.5 AND end_m >= total_distance - 0.5 AS entire FROM (SELECT * FROM sec UNION ALL SELECT track_id, 5000, 0.25, total_distance FROM tr) JOIN tr USING (track_id)",
     "sector_context_window": "SELECT track_id, sector_id, CASE WHEN w < t THEN s END AS win_start, CASE WHEN w < t THEN s + w END AS win_end FROM (SELECT *, least(greatest((start_m + end_m) / 2 - w / 2, 0), t - w) AS s FROM (SELECT *, total_distance AS t, least(greatest((end_m - start_m) / 0.82, 100), total_distance) AS w FROM sec JOIN tr USING (track_id)))",
-    "parse_elevation_tag": "SELECT response_id, pos, coalesce(CAST(e_m AS DOUBLE), e_ft * 0.3048) AS metres FROM el",
-    "localized_name": "SELECT response_id, pos, coalesce(name_en, nullif(name, '')) AS name FROM el",
-    "landmark_gate": "SELECT response_id, pos, g AS gate, z AS icon_zoom, z + 1 AS text_zoom FROM (SELECT *, CASE WHEN g LIKE '%-major' THEN 9 WHEN g IN ('peak', 'volcano') THEN 11 WHEN g IN ('saddle', 'waterfall') THEN 12 ELSE 13 END AS z FROM (SELECT *, CASE WHEN class IN ('peak', 'volcano') AND rank <= 2 THEN class || '-major' ELSE class END AS g FROM marks))",
+    "parse_elevation_tag": "SELECT response_id, pos, metres FROM el",
+    "localized_name": "SELECT response_id, pos, shown_name AS name FROM el",
+    "landmark_label": f"SELECT response_id, pos, concat_ws(chr(10), shown_name, CASE WHEN lower(nullif(name, '')) <> lower(shown_name) THEN name END, {shown('elevation', 'metres')}) AS label FROM el",
+    "landmark_gate": "SELECT key, gate, z[1] AS icon_zoom, z[2] AS text_zoom FROM (SELECT *, CASE gate " + " ".join(f"WHEN '{g}' THEN [CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)]" for g, (a, b) in GATES.items()) + " END AS z FROM shown)",
+    "landmark_features": """SELECT key, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || CAST(lon AS VARCHAR) || ',' || CAST(lat AS VARCHAR) || ']},"properties":{"class":"' || class || '","label":"' || replace(label, chr(10), '\\n') || '","gate":"' || gate || '","sort":' || CASE gate """ + " ".join(f"WHEN '{g}' THEN {k + 1}" for k, g in enumerate(GATES)) + " END || '}}' AS feature FROM shown",
     "scan_landmarks": "SELECT response_id, pos, class, lat, lon FROM marks",
+    "scan_tile_peaks": "SELECT key, pos, class, rank FROM tiles",
+    "dedup_landmarks": "SELECT key, place AS pos FROM dedup",
+    "merge_landmarks": "WITH h AS (SELECT key, class, min(place) AS pos FROM marks WHERE response_id % 2 = 0 GROUP BY 1, 2) SELECT key, class, pos FROM h UNION ALL SELECT key, class, min(place) FROM marks WHERE response_id % 2 = 1 AND key NOT IN (SELECT key FROM h) GROUP BY 1, 2",
+    "landmarks_near_track": f"SELECT n.track_id, n.wp_seq, m.class, n.dist, n.off_track FROM ({nearest('(SELECT response_id AS track_id, pos AS wp_seq, lat, lon FROM marks)')}) n JOIN marks m ON m.response_id = n.track_id AND m.pos = n.wp_seq WHERE n.off_track <= 250",
+    "format_metric": formats(False),
+    "format_imperial": formats(True),
+    "format_sector_range": f"SELECT track_id, sector_id, {sector_ends(False)} AS range, {sector_ends(True)} AS imperial FROM sec",
+    "migrate_hr_settings": """SELECT track_id, error, array_to_string(CASE WHEN error IS NULL THEN list_transform([50, 60, 70, 80, 90], lambda p: CAST(round(p * max_hr / 100.0) AS INT)) ELSE [95, 114, 133, 152, 171] END, ',') AS b_max, array_to_string(CASE WHEN error IS NULL THEN list_transform([50, 60, 70, 80, 90], lambda p: CAST(round(rest_hr + p * (max_hr - rest_hr) / 100.0) AS INT)) ELSE [125, 138, 151, 164, 177] END, ',') AS b_hrr, array_to_string(CASE WHEN error IS NULL THEN list_transform([60, 70, 80, 90], lambda p: CAST(round(p * lthr / 100.0) AS INT)) ELSE [102, 119, 136, 153] END, ',') AS b_lthr
+      FROM (SELECT *, CASE WHEN max_hr > 260 THEN 'max_hr' WHEN lthr >= max_hr THEN 'lthr' END AS error FROM hs)""",
+    "sigma_repair": f"SELECT track_id, seq, fixed FROM ({repaired('(SELECT *, dd / dt AS v FROM pn)', 'PARTITION BY track_id', 'seq', 'v')})",
+    "grade_series": "SELECT track_id, seq, grade FROM gs",
+    "grade_reading": "SELECT track_id, seq, reading FROM gr",
+    "nearest_on_track": "SELECT track_id, wp_seq, dist, off_track FROM wpn",
+    "resolve_waypoints": "SELECT track_id, wp_seq, name, dist FROM rsv",
+    "split_by_waypoint": "SELECT * FROM wsec",
+    "track_stats": METRICS,
+    "segment_table": f"SELECT * FROM ({METRICS}) LEFT JOIN (SELECT * EXCLUDE (moving_s) FROM ztime) USING ({KEYS})",
+    "sector_totals": f"SELECT segment_type, count(*) AS sectors, sum(horizontal_m) AS horizontal_m, sum(gain) AS gain, sum(loss) AS loss, sum(moving_s) AS moving_s, GROUPING(segment_type) AS level, sum(moving_s) / sum(horizontal_m) * 1000 AS pace FROM ({METRICS}) GROUP BY ROLLUP (segment_type)",
+    "time_to_dist": "SELECT q.track_id, k, CASE WHEN n.next_ms IS NULL THEN n.cum_dist ELSE n.cum_dist + (n.next_cum - n.cum_dist) * (q.ms - n.time_ms) / (n.next_ms - n.time_ms) END AS dist_m FROM (SELECT *, d * 300 + 1704067200000 AS ms FROM req) q LEFT JOIN pn n ON n.track_id = q.track_id AND n.time_ms <= q.ms AND (n.next_ms > q.ms OR n.next_ms IS NULL)",
+    "bridge_interpolate": "SELECT track_id, k, CASE WHEN a.x = d THEN a.v WHEN b.x IS NOT NULL THEN a.v + (b.v - a.v) * (d - a.x) / (b.x - a.x) END AS hr FROM (SELECT q.track_id, q.k, any_value(q.d) AS d, arg_max({'x': p.cum_dist, 'v': p.hr}, p.seq) FILTER (WHERE p.cum_dist <= q.d) AS a, arg_min({'x': p.cum_dist, 'v': p.hr}, p.seq) FILTER (WHERE p.cum_dist > q.d) AS b FROM req q JOIN p ON p.track_id = q.track_id AND p.hr IS NOT NULL WHERE q.d >= 0 GROUP BY 1, 2)",
+    "split_by_length_drop": SPLIT_DROP,
+    "split_by_length_fold": SPLIT,
+    "scan_detect_format": "SELECT 'f' || track_id || '-' || seq || CASE WHEN seq % 60 >= 30 THEN '.TCX' ELSE '' END AS path, CASE WHEN seq % 60 >= 30 THEN 'tcx' ELSE ['gpx', 'kmz', 'kml', 'tcx', 'fit', 'unsupported'][seq % 6 + 1] END AS format FROM p",
+    "scan_device_records": f"SELECT CAST(track_id AS VARCHAR) AS doc, seq, lat, lon, fixed AS ele, hr, cad, v AS speed FROM ({interpolated('(SELECT * REPLACE (CASE WHEN seq % 8 <> 1 THEN ele END AS ele), coalesce(speed, 1.25 + seq % 3 * 0.1) AS v FROM p WHERE seq % 29 <> 3)', 'PARTITION BY track_id', 'seq', 'ele')})",
+    "sink_metrics_long": LONG,
+    "sink_metrics_csv": f"SELECT label, value, count(*) AS n FROM ({LONG}) GROUP BY 1, 2",
+    "sink_metrics_txt": f"SELECT track_id, sector_id, string_agg(label || chr(9) || value, chr(10) ORDER BY place) AS text FROM ({LONG}) GROUP BY 1, 2",
+    "sink_metrics_md": f"""SELECT track_id, sector_id, string_agg('## ' || g || chr(10) || chr(10) || '| Metric | Value |' || chr(10) || '| --- | --- |' || chr(10) || rows, chr(10) || chr(10) ORDER BY place) AS text FROM (SELECT track_id, sector_id, "group" AS g, min(place) AS place, string_agg('| ' || label || ' | ' || value || ' |', chr(10) ORDER BY place) AS rows FROM ({LONG}) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+    "stream_pauses": "SELECT track_id, min(before) AS t0_us, max(us) AS t1_us, sum(dt) AS seconds FROM ev2 WHERE before IS NOT NULL AND NOT moving GROUP BY track_id, island HAVING sum(dt) >= 10",
+    "stream_gain": f"SELECT track_id, f.n AS n, f.g AS gain, f.l AS loss, {RATE.format(s='f.up', m='f.g', n='vam')}, {RATE.format(s='f.down', m='f.l', n='vdm')} FROM eg",
+    "stream_zone_time": f"SELECT track_id, us // 3600000000 * 3600000000 AS start_us, {' + '.join(f'CAST(hr >= {b} AS INT)' for b in ZONE_BOUNDS)} AS zone, sum(dt) AS seconds, count(*) AS readings FROM ev1 GROUP BY 1, 2, 3",
     "track_points": "SELECT track_id, seq, lat, lon, ele, time_ms, hr, cad, power, temp, speed FROM p",
     "cum_distance": "SELECT track_id, seq, seg_m, cum_dist FROM p",
     "track_summary": "SELECT * FROM tr",
@@ -207,17 +358,17 @@ FINAL: dict[str, str] = {
     "gap_speed_series": f"SELECT track_id, seq, CASE WHEN dd > 0 AND dz IS NOT NULL THEN clean_speed / {minetti('(dz / dd)')} END AS gap_speed FROM sp",
     "elapsed_axis": f"SELECT track_id, seq, greatest(0, time_ms - first_value(time_ms) OVER {W}) AS elapsed_ms FROM p",
     "series_extremes": f"SELECT track_id, series, min(v) AS lo, max(v) AS hi FROM (SELECT track_id, unnest(['ele', 'hr', 'cad', 'power', 'temp', 'clean_speed', 'gap_speed']) AS series, unnest([ele, hr, cad, power, temp, clean_speed, CASE WHEN dd > 0 AND dz IS NOT NULL THEN clean_speed / {minetti('(dz / dd)')} END]) AS v FROM sp) GROUP BY 1, 2",
-    "series_range": "SELECT track_id, series, CASE WHEN series = 'ele' THEN lo - greatest(0.08 * (hi - lo), 4) ELSE greatest(0, lo - pad) END AS y_min, CASE WHEN series = 'ele' THEN hi + greatest(0.08 * (hi - lo), 4) WHEN series = 'clean_speed' THEN hi ELSE hi + pad END AS y_max FROM (SELECT *, CASE WHEN greatest(0.08 * (hi - lo), 0.04 * (hi + lo) / 2) > 0 THEN greatest(0.08 * (hi - lo), 0.04 * (hi + lo) / 2) ELSE 1 END AS pad FROM (SELECT track_id, series, min(v) AS lo, max(v) AS hi FROM (SELECT track_id, unnest(['ele', 'hr', 'cad', 'clean_speed']) AS series, unnest([ele, hr, cad, clean_speed]) AS v FROM sp) GROUP BY 1, 2))",
+    "series_range": "SELECT track_id, series, CASE WHEN series = 'ele' THEN lo - greatest(0.08 * (hi - lo), 4) ELSE greatest(0, lo - pad) END AS y_min, CASE WHEN series = 'ele' THEN hi + greatest(0.08 * (hi - lo), 4) WHEN series = 'clean_speed' THEN hi ELSE hi + pad END AS y_max FROM (SELECT *, CASE WHEN greatest(0.08 * (hi - lo), 0.04 * abs(hi + lo) / 2) > 0 THEN greatest(0.08 * (hi - lo), 0.04 * abs(hi + lo) / 2) ELSE 1 END AS pad FROM (SELECT track_id, series, min(v) AS lo, max(v) AS hi FROM (SELECT track_id, unnest(['ele', 'hr', 'cad', 'clean_speed']) AS series, unnest([ele, hr, cad, clean_speed]) AS v FROM sp) GROUP BY 1, 2))",
     "overlay_availability": "SELECT track_id, has_hr AS hr, has_cad AS cad, has_power AS power, has_temp AS temp, has_time OR has_recorded_speed AS speed, (has_time OR has_recorded_speed) AND has_elevation AS gap, has_elevation AS grade FROM tr",
     "thin_stride": "SELECT track_id, seq FROM (SELECT track_id, seq, count(*) OVER (PARTITION BY track_id) AS n FROM p) WHERE seq % CAST(ceil(n / 100.0) AS BIGINT) = 0 OR seq = n - 1",
     "concat_segments": "SELECT CAST(track_id AS VARCHAR) AS doc, 3 - seq // 200 AS part, seq AS place, row_number() OVER (PARTITION BY track_id ORDER BY 3 - seq // 200, seq) - 1 AS seq, ele FROM p",
     "point_at_distance": "SELECT track_id, k, d, i, t, lat, lon, ele, time_ms, dist FROM reqs",
-    "probe_reading": "SELECT q.track_id, k, q.ele, n.hr, n.cad, n.power, n.temp FROM reqs q JOIN p n ON n.track_id = q.track_id AND n.seq = q.i + CASE WHEN q.t < 0.5 THEN 0 ELSE 1 END",
+    "probe_reading": f"SELECT q.track_id, k, q.ele, n.hr, CASE WHEN n.hr IS NOT NULL THEN (SELECT coalesce(max(zone), 0) FROM zn WHERE lo <= n.hr) END AS zone, n.cad, n.power, n.temp, n.clean_speed AS speed, CASE WHEN n.clean_speed > 0 THEN 1000 / n.clean_speed END AS pace, CASE WHEN n.dd > 0 AND n.clean_speed > 0 THEN 1000 / (n.clean_speed / {minetti('(n.dz / n.dd)')}) END AS gap, g.reading AS grade FROM reqs q LEFT JOIN sp n ON n.track_id = q.track_id AND n.seq = q.i + CASE WHEN q.t < 0.5 THEN 0 ELSE 1 END LEFT JOIN gr g ON g.track_id = n.track_id AND g.seq = n.seq",
     "dist_to_time": "SELECT track_id, k, time_ms FROM reqs",
     "classify_hr_zone": "SELECT track_id, seq, CASE WHEN hr IS NOT NULL THEN (SELECT coalesce(max(zone), 0) FROM zn WHERE lo <= hr) END AS zone FROM p",
-    "pair_filter": f"SELECT track_id, x_name, y_name FROM (SELECT track_id, {QUANT}[seq // 9 + 1] AS x_name, {QUANT}[seq % 9 + 1] AS y_name FROM p WHERE seq < 81) WHERE (x_name, y_name) IN ({PAIRS})",
+    "pair_filter": f"SELECT * FROM (SELECT track_id, seq, {QUANT}[seq // 9 % 9 + 1] AS x_name, {QUANT}[seq % 9 + 1] AS y_name FROM p) WHERE (x_name, y_name) IN ({PAIRS})",
     "dem_sample": "SELECT track_id, seq, dem_ele FROM ds",
-    "dem_tiles_needed": "SELECT DISTINCT (CAST(floor(fx) AS BIGINT) + i) // 512 AS tx, (CAST(floor(fy) AS BIGINT) + j) // 512 AS ty FROM px, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j)",
+    "dem_tiles_needed": "SELECT DISTINCT gx // 512 AS tx, gy // 512 AS ty FROM corner",
     "ele_fill": "SELECT track_id, seq, coalesce(ele, dem_ele) AS ele, ele AS ele_original FROM ds",
     "ele_replace": "SELECT track_id, seq, coalesce(dem_ele, ele) AS ele, ele AS ele_original FROM ds",
     "ele_restore": "SELECT track_id, seq, ele FROM ds",
@@ -244,7 +395,7 @@ FINAL: dict[str, str] = {
     "sector_leaderboard": f"SELECT segment_type, place, track_id, sector_id, avg_pace FROM (SELECT *, row_number() OVER (PARTITION BY segment_type ORDER BY avg_pace, track_id, sector_id) AS place FROM spd JOIN typed USING (track_id, sector_id) WHERE avg_pace IS NOT NULL) WHERE place <= 3",
     "hr_zone_time": "SELECT * FROM ztime",
     "zone_share_pct": f"SELECT track_id, sector_id, {SHARES} FROM ztime",
-    "split_by_length": SPLIT,
+    "split_by_length": SPLIT_DROP,
     "grade_class": "SELECT track_id, seq, cls FROM cls",
     "grade_runs": "SELECT * FROM runs",
     "sector_grade_windows": "SELECT * FROM gw",
@@ -262,22 +413,34 @@ FINAL: dict[str, str] = {
     "scan_kml_waypoints": "SELECT CAST(track_id AS VARCHAR) AS doc, k AS wp_seq, lat, lon, CAST(ele AS DOUBLE) AS ele, name FROM (SELECT DISTINCT track_id FROM p), (VALUES (0, 45.5, 7.5, 1000, 'Summit'), (1, 45.25, 7.25, NULL, 'a place')) v(k, lat, lon, ele, name)",
     "scan_tcx": f"SELECT CAST(track_id AS VARCHAR) AS doc, k AS seq, lat, lon, fixed AS ele, time_ms, hr, cad, power, CAST(NULL AS DOUBLE) AS temp, speed FROM ({interpolated('(SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS k, lat, lon, CASE WHEN seq % 7 <> 3 THEN ele END AS ele, time_ms, hr, cad, power, speed FROM p WHERE seq % 31 <> 4)', 'PARTITION BY track_id', 'k', 'ele')})",
     "sink_parquet": "SELECT track_id, point_count, total_distance FROM tr",
-    "ingest_errors": "SELECT CAST(track_id AS VARCHAR) AS doc, CASE track_id % 5 WHEN 1 THEN 'unsupported' WHEN 2 THEN 'invalid' ELSE 'noTrack' END AS error FROM tr WHERE track_id % 5 IN (1, 2, 3)",
+    "ingest_errors": "SELECT CAST(track_id AS VARCHAR) AS doc, ['unsupported', 'invalid', 'noTrack', 'kmzNoKml', 'invalid'][track_id % 6] AS error FROM tr WHERE track_id % 6 > 0",
 }
 
 
+def _chain(query: str, instead: dict[str, str]) -> str:
+    """The tables that a query reads, directly or over others, in order."""
+    tables, wanted = {**CHAIN, **instead}, set()
+    todo = [query]
+    while todo:
+        words = set(re.findall(r"\w+", todo.pop()))
+        new = [n for n in tables if n in words and n not in wanted]
+        wanted.update(new)
+        todo += [tables[n] for n in new]
+    return ",\n".join(f"{n} AS ({q})" for n, q in tables.items() if n in wanted)
+
+
 def oracle_sql() -> dict[str, str]:
     import duckdb
 
-    chain = ",\n".join(f"{n} AS ({q})" for n, q in CHAIN.items())
     out = {}
     con = duckdb.connect()
     con.execute("CREATE TABLE lineitem (l_orderkey BIGINT, l_linenumber BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_extendedprice DOUBLE, l_quantity DOUBLE, l_shipdate DATE)")
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, value DOUBLE)")
     for name, query in FINAL.items():
         digits = DIGITS.get(name, 3)
-        sql = f"WITH {chain}\n{query}"
+        sql = f"WITH {_chain(query, INSTEAD.get(name, {}))}\n{query}" if not query.startswith("WITH ") else f"WITH {_chain(query, {})},\n{query[5:]}"
         kinds = con.execute(f"DESCRIBE {sql}").fetchall()
         real = lambda t: t in ("DOUBLE", "FLOAT") or t.startswith("DECIMAL")
-        shown = [f'round(CAST("{c}" AS DOUBLE) + 1e-7, {places(c, digits)}) + CAST(0 AS DOUBLE) AS "{c}"' if real(t) else f'CAST("{c}" AS BIGINT) AS "{c}"' if "INT" in t else f'"{c}"' for c, t, *_ in kinds]
-        out[name] = f"SELECT {', '.join(shown)} FROM (WITH {chain}\n{query})"
+        shown_as = [f'round(CAST("{c}" AS DOUBLE) + 1e-7, {places(c, digits)}) + CAST(0 AS DOUBLE) AS "{c}"' if real(t) else f'CAST("{c}" AS BIGINT) AS "{c}"' if "INT" in t else f'"{c}"' for c, t, *_ in kinds]
+        out[name] = f"SELECT {', '.join(shown_as)} FROM ({sql})"
     return out

@@ -13,7 +13,7 @@ from pacewright.functions import geo, text
 from pacewright.operators import dual, elevation, export, landmarks, lookup, sector, splits, track, zones
 from pacewright.plans import fixtures
 from pacewright.sources import activity
-from pacewright.sources.scratch import shared_folder
+from pacewright.sources.scratch import shared_folder, stored
 from pacewright.streaming import live
 
 
@@ -54,7 +54,7 @@ class Base:
     def sectors(self) -> DataFrame:
         parts = [(1001, 0.10, 0.37), (1002, 0.37, 0.81), (1003, 0.50, 0.502)]
         off = [self.tracks.select("track_id", F.lit(k).alias("sector_id"), (F.col("total_distance") * a).alias("start_m"), (F.col("total_distance") * b).alias("end_m")) for k, a, b in parts]
-        return sector.split_by_length(self.tracks).unionByName(off[0]).unionByName(off[1]).unionByName(off[2])
+        return sector.split_by_length(self.tracks, tail="fold").unionByName(off[0]).unionByName(off[1]).unionByName(off[2])
 
     @cached_property
     def walk(self) -> DataFrame:
@@ -99,21 +99,43 @@ class Base:
 
     @cached_property
     def elements(self) -> DataFrame:
-        """Tagged map elements, one of each point; places repeat."""
-        kinds = "element_at(array('peak', 'volcano', 'saddle', 'spring', 'tree', 'cave_entrance'), cast(seq % 6 + 1 as int))"
-        d = self.points.selectExpr("track_id as response_id", "seq as pos", "if(seq % 70 = 0, 'way', 'node') as type", "45 + (seq % 40) / 1000 as lat", "7 + track_id % 7 / 1000 as lon", f"{kinds} as natural", "seq", "ele")
-        tags = "map_filter(map('natural', natural, 'waterway', if(seq % 110 = 0, 'waterfall', null), 'name', if(seq % 30 = 0, '', concat('Hill ', seq)), 'name:en', if(seq % 50 = 0, concat('HILL ', seq), null), 'ele', if(seq % 20 = 0, concat(cast(round(ele) as int), ' m'), null), 'ele:ft', if(seq % 40 = 10, cast(cast(round(ele * 3) as int) as string), null)), (k, v) -> v is not null)"
-        return d.withColumn("tags", F.expr(tags)).select("response_id", "pos", "type", "lat", "lon", "tags", F.expr("cast(seq % 5 as int)").alias("rank"))
+        """Tagged map elements, one of each point; places repeat, and elevations are written in many ways."""
+        kinds = "element_at(array('cave_entrance', 'spring', 'tree', 'rock', 'stone', 'peak'), cast(seq % 6 + 1 as int))"
+        d = self.points.selectExpr("track_id as response_id", "seq as pos", "if(seq % 70 = 0, 'way', 'node') as type", "45 + (seq % 40) / 1000 as lat", "7 + track_id % 7 / 1000 as lon", f"{kinds} as natural", "seq", "cast(round(ele) as int) e")
+        own = "case seq % 20 when 0 then concat(e, ' m') when 1 then concat(e, 'Metres') when 3 then concat('+', e, '.5 foot ') when 6 then concat('.', e, ' ft') when 7 then concat(e, ',5') when 9 then concat(e, ' miles') when 11 then '' when 13 then cast(e as string) end"
+        feet = "case seq % 40 when 10 then cast(3 * e as string) when 30 then concat(e, ' ft') when 13 then '7' end"
+        tags = f"map_filter(map('natural', natural, 'waterway', if(seq % 110 = 0, 'waterfall', null), 'name', if(seq % 30 = 0, '', concat('Hill ', seq)), 'name:en', if(seq % 50 = 0, concat('HILL ', seq), null), 'ele', {own}, 'ele:ft', {feet}, 'ele_ft', if(seq % 5 = 0, cast(2 * e as string), null)), (k, v) -> v is not null)"
+        return d.withColumn("tags", F.expr(tags)).select("response_id", "pos", "type", "lat", "lon", "tags")
 
     @cached_property
-    def tenth(self) -> DataFrame:
-        """The elements that the SQL of ``parse_elevation_tag``, ``localized_name``, ``landmark_gate`` and ``scan_landmarks`` has."""
-        return self.elements.filter("pos % 10 = 0")
+    def responses(self) -> DataFrame:
+        """The elements as JSON texts, one of each track."""
+        each = F.struct("pos", F.struct("type", "lat", "lon", "tags").alias("e"))
+        return self.elements.groupBy("response_id").agg(F.array_sort(F.collect_list(each), lambda a, b: a["pos"] - b["pos"]).alias("es")).select("response_id", F.to_json(F.struct(F.col("es.e").alias("elements"))).alias("json"))
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """Tile features, one of each point: peaks, saddles, volcanoes and cliffs; overlapping tiles repeat some."""
+        kinds = "element_at(array('peak', 'saddle', 'volcano', 'cliff'), cast(seq % 4 + 1 as int))"
+        return self.points.selectExpr("track_id * 10000 + seq as pos", f"{kinds} as class", "if(seq % 90 = 0, 'LineString', 'Point') as geometry", "45 + (seq % 300) / 1000 as lat", "7 + track_id % 7 / 1000 as lon", "cast(if(seq % 7 = 6, null, seq % 7) as int) as rank", "map('name', concat('Top ', seq % 300), 'ele', cast(seq as string)) as tags")
 
     @cached_property
     def marks(self) -> DataFrame:
         return landmarks.scan_landmarks(self.elements)
 
+    @cached_property
+    def shown(self) -> DataFrame:
+        """Landmarks of both sources, each once."""
+        poi = landmarks.dedup_landmarks(self.marks.withColumn("pos", F.col("response_id") * 10000 + F.col("pos")))
+        columns = ["key", "class", "lat", "lon", "tags"]
+        return poi.select(*columns, F.lit(5).alias("rank")).unionByName(landmarks.scan_tile_peaks(self.features).select(*columns, "rank"))
+
+    @cached_property
+    def series(self) -> DataFrame:
+        """Points with clean speed, grade-adjusted speed and grade reading."""
+        grades = track.grade_reading(track.grade_series(self.points)).select("track_id", "seq", "reading")
+        return track.gap_speed_series(track.speed_series(self.next)).join(grades, ["track_id", "seq"])
+
     @cached_property
     def device(self) -> DataFrame:
         """Decoded device records: the walking speed and step length fix the cadence convention of each track."""
@@ -171,8 +193,8 @@ def tcx_documents(points: DataFrame) -> DataFrame:
 
 
 def kml_documents(points: DataFrame) -> DataFrame:
-    head = '<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>{doc}</name><Placemark><name> Summit </name><description><![CDATA[<b>high</b>]]></description><Point><coordinates>7.5,45.5,1000</coordinates></Point></Placemark><Placemark><description>&lt;i&gt;a  place&lt;/i&gt;</description><Point><coordinates>7.25,45.25</coordinates></Point></Placemark><Placemark><LineString><coordinates>'
-    return _documents(points, _joined("{lon}", ",", "{lat}", ",", "{ele}", " "), head, "</coordinates></LineString></Placemark></Document></kml>")
+    head = '<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>{doc}</name><Placemark><name> Summit </name><description><![CDATA[<b>high</b>]]></description><Point><coordinates>7.5,45.5,1000</coordinates></Point></Placemark><Placemark><description>&lt;i&gt;a  place&lt;/i&gt;</description><Point><coordinates>7.25,45.25</coordinates></Point></Placemark><Folder><Folder><Placemark><MultiGeometry><LineString><coordinates>'
+    return _documents(points, _joined("{lon}", ",", "{lat}", ",", "{ele}", " "), head, "</coordinates></LineString></MultiGeometry></Placemark></Folder></Folder></Document></kml>")
 
 
 def route_documents(points: DataFrame) -> DataFrame:
@@ -180,8 +202,8 @@ def route_documents(points: DataFrame) -> DataFrame:
     return _documents(points, F.concat(_joined('<rtept lat="', "{lat}", '" lon="', "{lon}", '">'), _tagged("ele", "ele"), F.lit("</rtept>")), head, "</rte></gpx>")
 
 
-def zipped(documents: DataFrame) -> DataFrame:
-    """(path, content): each document (doc, x) as doc.kml in an archive."""
+def zipped(documents: DataFrame, name: str = "doc.kml") -> DataFrame:
+    """(path, content): each document (doc, x) as one file in an archive."""
     import pandas as pd
 
     def packed(batches):
@@ -193,18 +215,40 @@ def zipped(documents: DataFrame) -> DataFrame:
             for doc, x in zip(batch["doc"], batch["x"], strict=True):
                 out = io.BytesIO()
                 with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("doc.kml", x)
+                    z.writestr(name, x)
                 rows.append((f"{doc}.kmz", out.getvalue()))
             yield pd.DataFrame(rows, columns=["path", "content"])
 
     return documents.mapInPandas(packed, "path string, content binary")
 
 
+def formatted(points: DataFrame, imperial: bool) -> DataFrame:
+    """Every kind of value as text; values lie off the halves, where engines round apart."""
+    m, i = F.col, imperial
+    whole = lambda c: F.floor(c) + 0.26
+    return points.select(
+        "track_id",
+        "seq",
+        text.format_distance(whole("cum_dist"), i).alias("distance"),
+        text.format_distance(whole("cum_dist") * 40, i).alias("far"),
+        text.format_elevation(whole("ele"), i).alias("elevation"),
+        text.format_signed_elevation(whole(m("ele")) - 1000, i).alias("signed"),
+        text.format_speed(m("seq") / 32.0 + 0.013, i).alias("speed"),
+        text.format_pace(F.floor("cad") * 5.0 + 0.26, i).alias("pace"),
+        text.format_vam(m("cad") * 11 + 0.26, i).alias("vam"),
+        text.format_temp(m("temp") + 0.26, i).alias("temp"),
+        text.format_grade((m("seq") - 300) / 1000.0 + 0.00013).alias("grade"),
+        text.format_bpm(m("hr")).alias("bpm"),
+        text.format_power(m("power")).alias("power"),
+        text.format_cadence(m("cad"), m("track_id") % 2 + 1).alias("cadence"),
+    )
+
+
 def _scalars(b: Base) -> dict[str, Callable[[], DataFrame]]:
     n = b.next
     seg = n.filter("dd is not null")
     m = F.col
-    hr_rows = lambda: b.tracks.selectExpr("track_id", "case track_id % 3 when 0 then 'max' when 1 then 'hrr' else 'lthr' end mode", "cast(190 + track_id % 90 as int) max_hr", "cast(40 + track_id % 20 as int) rest_hr", "cast(165 + track_id % 40 as int) lthr", "transform(array(95, 114, 133, 152, 171), x -> if(track_id % 11 = 5, 114, x)) max_bounds", "array(125, 138, 151, 164, 177) hrr_bounds", "array(102, 119, 136, 153) lthr_bounds")
+    hr_rows = lambda: b.tracks.selectExpr("track_id", "case track_id % 3 when 0 then 'max' when 1 then 'hrr' else 'lthr' end mode", "cast(190 + track_id % 90 as int) max_hr", "cast(40 + track_id % 20 as int) rest_hr", "cast(165 + track_id % 40 as int) lthr", "transform(array(95, 114, 133, 152, 171), x -> if(track_id % 11 = 5, 114, x)) max_bounds", "array(125, 138, 151, 164, if(track_id % 13 = 3, 261, 177)) hrr_bounds", "if(track_id % 17 = 4, array(102, 119, 136), array(102, 119, 136, 153)) lthr_bounds")
     return {
         "haversine": lambda: seg.select("track_id", "seq", (geo.haversine(m("lat"), m("lon"), m("lat") + 0.01, m("lon") - 0.02)).alias("d")),
         "segment_3d": lambda: seg.select("track_id", "seq", (geo.segment_3d(m("dd"), m("dz"))).alias("d3")),
@@ -212,24 +256,25 @@ def _scalars(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "speed_to_pace": lambda: b.points.select("track_id", "seq", (geo.speed_to_pace(m("speed"))).alias("pace")),
         "speed_implausible": lambda: n.select("track_id", "seq", geo.speed_implausible(m("speed"), m("dd"), m("dt")).alias("implausible")),
         "unit_convert": lambda: b.points.select("track_id", "seq", (text.to_feet(m("ele"))).alias("feet"), (text.to_miles(m("cum_dist"))).alias("miles"), (text.to_kmh(m("speed"))).alias("kmh"), (text.to_mph(m("speed"))).alias("mph"), (text.to_pace_per_mile(geo.speed_to_pace(m("speed")))).alias("pace_mile"), (text.to_fahrenheit(m("temp"))).alias("fahrenheit")),
-        "format_metric": lambda: b.points.select("track_id", "seq", text.format_distance(F.floor("cum_dist") + 0.25).alias("distance"), text.format_elevation(F.floor("ele") + 0.25).alias("elevation"), text.format_signed_elevation(F.floor(m("ele")) - 1000 + 0.25).alias("signed"), text.format_bpm(m("hr")).alias("bpm"), text.format_temp(m("temp")).alias("temp"), text.format_pace(F.floor("cad") * 5.0).alias("pace"), text.format_vam(m("cad") * 11).alias("vam")),
+        "format_metric": lambda: formatted(b.points, False),
+        "format_imperial": lambda: formatted(b.points, True),
         "format_duration": lambda: b.points.select("track_id", "seq", text.format_duration((m("time_ms") - 1704067200000) / 1000 * 3 + 0.25).alias("duration")),
-        "format_sector_range": lambda: b.sectors.select("track_id", "sector_id", text.format_sector_range(F.floor("start_m") + 0.25, F.floor("end_m") + 0.25).alias("range")).withColumn("sector_id", m("sector_id").cast("long")),
+        "format_sector_range": lambda: b.sectors.select("track_id", m("sector_id").cast("long").alias("sector_id"), *[text.format_sector_range(F.floor("start_m") + 0.26, F.floor("end_m") + 0.26, i).alias(n) for n, i in (("range", False), ("imperial", True))]),
         "format_bpm_range": lambda: b.points.select("track_id", "seq", text.format_bpm_range(m("hr"), F.when(m("seq") % 3 > 0, m("hr") + 9)).alias("range"), text.format_percent(m("cad")).alias("percent")),
         "parse_iso_time": lambda: b.points.select("track_id", "seq", text.parse_iso_time(F.when(m("seq") % 9 == 4, "never").otherwise(export.iso_time(m("time_ms")))).alias("ms")),
         "parse_number": lambda: b.points.select("track_id", "seq", text.parse_number(F.when(m("seq") % 9 == 4, " ").when(m("seq") % 9 == 5, "x1").otherwise(F.concat(F.lit(" "), m("ele").cast("string"), F.lit(" ")))).alias("v")),
         "cadence_display": lambda: b.points.select("track_id", "seq", text.cadence_display(m("cad"), m("track_id") % 2 + 1).alias("cad")),
         "tile_fraction": lambda: b.points.select("track_id", "seq", (geo.tile_x(m("lon") + m("seq") * 3)).alias("x"), (geo.tile_y(m("lat") + m("seq") % 50)).alias("y")),
         "terrarium_decode": lambda: b.points.select("track_id", "seq", (geo.terrarium(m("cad") + m("seq") % 150, m("seq") % 256, m("track_id") % 256)).alias("e")),
-        "parse_elevation_tag": lambda: b.tenth.select("response_id", "pos", (landmarks.parse_elevation_tag(m("tags"))).alias("metres")),
-        "localized_name": lambda: b.tenth.select("response_id", "pos", landmarks.localized_name(m("tags")).alias("name")),
+        "parse_elevation_tag": lambda: b.elements.select("response_id", "pos", (landmarks.parse_elevation_tag(m("tags"))).alias("metres")),
+        "localized_name": lambda: b.elements.select("response_id", "pos", landmarks.localized_name(m("tags")).alias("name")),
         "landmark_label": lambda: b.elements.select("response_id", "pos", landmarks.landmark_label(m("tags")).alias("label")),
-        "landmark_gate": lambda: landmarks.scan_landmarks(b.tenth).withColumns(landmarks.landmark_gate()).select("response_id", "pos", "gate", "icon_zoom", "text_zoom"),
+        "landmark_gate": lambda: b.shown.withColumns(landmarks.landmark_gate()).select("key", "gate", "icon_zoom", "text_zoom"),
         "zone_bounds": lambda: zones.zone_bounds(zones.active_bounds(hr_rows()).select("track_id", "bounds")),
         "zone_display_range": lambda: zones.zone_display_range(zones.zone_bounds(zones.active_bounds(hr_rows()).select("track_id", "bounds")).withColumn("lo", m("lo") + 0.5)).select("track_id", "zone", "shown_lo", "shown_hi"),
         "zone_boundary_pct": lambda: zones.zone_boundary_pct(zones.zone_bounds(zones.active_bounds(hr_rows()).select("track_id", "mode", "max_hr", "rest_hr", "lthr", "bounds"))).select("track_id", "zone", "pct"),
         "validate_hr_settings": lambda: zones.validate_hr_settings(hr_rows()).select("track_id", "error"),
-        "migrate_hr_settings": lambda: zones.migrate_hr_settings(hr_rows().selectExpr("track_id", "max_hr", "rest_hr", "lthr", "array(50, 60, 70, 80, 90) max_pcts", "array(50, 60, 70, 80, 90) hrr_pcts", "array(60, 70, 80, 90) lthr_pcts")).selectExpr("track_id", "error", "array_join(max_bounds, ',') b_max", "array_join(hrr_bounds, ',') b_hrr", "array_join(lthr_bounds, ',') b_lthr"),
+        "migrate_hr_settings": lambda: zones.migrate_hr_settings(hr_rows().selectExpr("track_id", "mode", "max_hr", "rest_hr", "lthr", "array(50, 60, 70, 80, 90) max_pcts", "array(50, 60, 70, 80, 90) hrr_pcts", "array(60, 70, 80, 90) lthr_pcts")).selectExpr("track_id", "error", "array_join(max_bounds, ',') b_max", "array_join(hrr_bounds, ',') b_hrr", "array_join(lthr_bounds, ',') b_lthr"),
         "normalize_sector": lambda: sector.normalize_sector(b.sectors.selectExpr("track_id", "sector_id", "end_m * 1.3 - 400 start_m", "start_m end_m"), b.tracks).select("track_id", "sector_id", "start_m", "end_m"),
         "is_entire_track": lambda: sector.is_entire_track(b.sectors.unionByName(b.whole.withColumn("sector_id", F.lit(5000)).withColumn("start_m", F.lit(0.25))), b.tracks).select("track_id", "sector_id", "entire"),
         "sector_context_window": lambda: sector.sector_context_window(b.sectors, b.tracks).select("track_id", "sector_id", "win_start", "win_end"),
@@ -252,7 +297,7 @@ def _tracks(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "sigma_filter": lambda: track.sigma_filter(b.points.withColumn("v", m("power") * m("power")), "v").select("track_id", "seq"),
         "gap_speed_series": lambda: track.gap_speed_series(speed()).select("track_id", "seq", "gap_speed"),
         "grade_series": lambda: grades().select("track_id", "seq", "grade"),
-        "grade_reading": lambda: track.grade_reading(b.points.select("track_id", "seq", F.expr("if(seq % 7 < 3, ele, null)").alias("grade"))).select("track_id", "seq", "reading"),
+        "grade_reading": lambda: track.grade_reading(grades()).select("track_id", "seq", "reading"),
         "elapsed_axis": lambda: track.elapsed_axis(b.points).select("track_id", "seq", "elapsed_ms"),
         "series_extremes": lambda: track.series_extremes(track.gap_speed_series(speed()), ["ele", "hr", "cad", "power", "temp", "clean_speed", "gap_speed"]),
         "series_range": lambda: track.series_range(track.series_extremes(speed(), ["ele", "hr", "cad", "clean_speed"])).select("track_id", "series", "y_min", "y_max"),
@@ -265,12 +310,12 @@ def _tracks(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "resolve_waypoints": lambda: b.resolved.select("track_id", "wp_seq", "name", "dist"),
         "dem_sample": lambda: b.dem.select("track_id", "seq", "dem_ele"),
         "dem_tiles_needed": lambda: lookup.dem_tiles_needed(b.points),
-        "probe_reading": lambda: lookup.probe_reading(b.points, b.requests).select("track_id", "k", "ele", "hr", "cad", "power", "temp"),
+        "probe_reading": lambda: lookup.probe_reading(b.series, b.requests, b.zones).select("track_id", "k", "ele", "hr", "zone", "cad", "power", "temp", "speed", "pace", "gap", "grade"),
         "bridge_interpolate": lambda: lookup.bridge_interpolate(b.points, b.requests.filter("d >= 0")).select("track_id", "k", "hr"),
         "dist_to_time": lambda: lookup.dist_to_time(b.points, b.requests).select("track_id", "k", "time_ms"),
         "time_to_dist": lambda: lookup.time_to_dist(b.points, b.requests.withColumn("ms", m("d") * 300 + 1704067200000)).select("track_id", "k", "dist_m"),
         "classify_hr_zone": lambda: zones.classify_hr_zone(b.points, b.zones).select("track_id", "seq", "zone"),
-        "pair_filter": lambda: dual.pair_filter(b.points.filter("seq < 81").selectExpr("track_id", "element_at(array('hr','power','cad','temp','grade','ele','speed','pace','gap'), cast(seq div 9 + 1 as int)) x_name", "element_at(array('hr','power','cad','temp','grade','ele','speed','pace','gap'), cast(seq % 9 + 1 as int)) y_name")).select("track_id", "x_name", "y_name"),
+        "pair_filter": lambda: dual.pair_filter(b.points.selectExpr("track_id", "seq", "element_at(array('hr','power','cad','temp','grade','ele','speed','pace','gap'), cast(seq div 9 % 9 + 1 as int)) x_name", "element_at(array('hr','power','cad','temp','grade','ele','speed','pace','gap'), cast(seq % 9 + 1 as int)) y_name")).select("track_id", "seq", "x_name", "y_name"),
     }
 
 
@@ -280,6 +325,12 @@ def _sectors(b: Base) -> dict[str, Callable[[], DataFrame]]:
     metrics = lambda: sector.sector_metrics(b.points, b.sectors)
     hr_walk = lambda: zones.with_next_hr(b.walk, b.points)
     spans = lambda: sector.pause_spans(b.walk)
+
+    def segments() -> DataFrame:
+        parts = stored(splits.split_by_waypoint(b.resolved, b.tracks), "segments")
+        times = zones.hr_zone_time(zones.with_next_hr(sector.sector_walk(b.points, parts), b.points), b.zones)
+        return sector.sector_metrics(b.points, parts).join(times.drop("moving_s"), shared, "left")
+
     return {
         "sector_walk": lambda: b.walk.filter("step > 0").select(*shared, "step", "to_dist", "to_ele", "to_ms", "seg_h", "d_ele", "dt"),
         "pause_spans": spans,
@@ -306,11 +357,13 @@ def _sectors(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "zone_share_pct": lambda: zones.zone_share_pct(zones.hr_zone_time(hr_walk(), b.zones)).select(*shared, *[f"z{k}_pct" for k in range(1, 6)]),
         "split_by_length": lambda: sector.split_by_length(b.tracks),
         "split_by_length_drop": lambda: sector.split_by_length(b.tracks, tail="drop"),
+        "split_by_length_fold": lambda: sector.split_by_length(b.tracks, tail="fold"),
+        "sector_totals": lambda: sector.sector_totals(metrics(), "segment_type"),
         "split_by_waypoint": lambda: splits.split_by_waypoint(b.resolved, b.tracks),
         "grade_class": lambda: splits.grade_class(b.points).select("track_id", "seq", "cls"),
         "grade_runs": lambda: splits.grade_runs(splits.grade_class(b.points)),
         "split_by_grade": lambda: splits.split_by_grade(splits.grade_class(b.points)),
-        "segment_table": lambda: sector.sector_metrics(b.points, splits.split_by_waypoint(b.resolved, b.tracks)).join(zones.hr_zone_time(zones.with_next_hr(sector.sector_walk(b.points, splits.split_by_waypoint(b.resolved, b.tracks)), b.points), b.zones).drop("moving_s"), shared, "left"),
+        "segment_table": segments,
         "sector_grade_windows": lambda: dual.sector_grade_windows(b.walk),
         "analysis_samples": lambda: b.samples,
         "metric_availability": lambda: dual.metric_availability(b.samples),
@@ -327,10 +380,11 @@ def _elevation(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "ele_replace": lambda: elevation.ele_replace(b.dem).select("track_id", "seq", "ele", "ele_original"),
         "ele_restore": lambda: elevation.ele_restore(elevation.ele_replace(elevation.ele_fill(b.dem))).select("track_id", "seq", "ele"),
         "ele_apply": lambda: elevation.ele_apply(b.dem),
-        "scan_landmarks": lambda: landmarks.scan_landmarks(b.tenth).select("response_id", "pos", "class", "lat", "lon"),
+        "scan_landmarks": lambda: landmarks.scan_landmarks(landmarks.parse_elements(b.responses)).select("response_id", "pos", "class", "lat", "lon"),
+        "scan_tile_peaks": lambda: landmarks.scan_tile_peaks(b.features).select("key", "pos", "class", "rank"),
         "dedup_landmarks": lambda: landmarks.dedup_landmarks(b.marks.withColumn("pos", F.col("response_id") * 10000 + F.col("pos"))).select("key", "pos"),
         "merge_landmarks": lambda: landmarks.merge_landmarks(*[landmarks.dedup_landmarks(b.marks.withColumn("pos", F.col("response_id") * 10000 + F.col("pos")).filter(f"response_id % 2 = {k}")).select("key", "class", "pos") for k in (0, 1)]),
-        "landmark_features": lambda: landmarks.landmark_features(landmarks.dedup_landmarks(b.marks.withColumn("pos", F.col("response_id") * 10000 + F.col("pos")))),
+        "landmark_features": lambda: landmarks.landmark_features(b.shown),
         "landmarks_near_track": lambda: lookup.nearest_on_track(b.marks.select(F.col("response_id").alias("track_id"), F.col("pos").alias("wp_seq"), "class", "lat", "lon"), b.points).filter("off_track <= 250").select("track_id", "wp_seq", "class", "dist", "off_track"),
     }
 
@@ -338,7 +392,12 @@ def _elevation(b: Base) -> dict[str, Callable[[], DataFrame]]:
 def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
     scan = ["doc", "seq", *activity.POINT]
     gpx = lambda: export.sector_gpx(b.points, b.whole)
-    long = lambda: export.metrics_long(sector.sector_metrics(b.points, b.whole))
+    own = lambda d: d.withColumn("doc", F.regexp_extract("doc", "file_key=([0-9]+)", 1))
+
+    def long() -> DataFrame:
+        walk = sector.sector_walk(b.points, b.whole)
+        return export.metrics_long(sector.sector_metrics(b.points, b.whole), zones.hr_zone_time(zones.with_next_hr(walk, b.points), b.zones), b.zones)
+
 
     def mixed_files() -> DataFrame:
         x = F.expr("case seq % 6 when 0 then '<?xml?><GPX>' when 1 then 'PKzip' when 2 then '<kml>' when 3 then '<TrainingCenterDatabase>' when 4 then '12345678.FIT' else 'what' end")
@@ -347,7 +406,7 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
     def csv() -> DataFrame:
         path = b.folder("csv")
         export.write_metrics_csv(long(), path)
-        return b.spark.read.option("quote", '"').option("escape", '"').option("lineSep", "\r\n").schema("label string, value string").csv(path).groupBy("label").agg(F.count("*").alias("n"))
+        return b.spark.read.option("quote", '"').option("escape", '"').option("lineSep", "\r\n").schema("label string, value string").csv(path).groupBy("label", "value").agg(F.count("*").alias("n"))
 
     def parquet() -> DataFrame:
         path = b.folder("table")
@@ -355,30 +414,38 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
         return b.spark.read.parquet(path).select("track_id", "point_count", "total_distance")
 
     def errors() -> DataFrame:
-        files = b.tracks.selectExpr("cast(track_id as string) doc", "if(track_id % 5 = 1, 'unsupported', 'gpx') format", "track_id % 5 <> 2 readable")
-        return activity.ingest_errors(files, b.points.filter("track_id % 5 <> 3 or seq = 0").selectExpr("cast(track_id as string) doc"))
+        """Files of six kinds: whole, unsupported, broken XML, one point, an archive without KML, a broken archive."""
+        point = _joined('<trkpt lat="', "{lat}", '" lon="', "{lon}", '"/>')
+        d = _documents(b.points.filter("track_id % 6 <> 3 or seq = 0"), point, '<gpx version="1.1"><metadata><name>{doc}</name></metadata><trk><trkseg>', "</trkseg></trk></gpx>")
+        kind = F.col("doc").cast("int") % 6
+        d = d.withColumn("x", F.when(kind == 1, "what").when(kind == 2, F.replace("x", F.lit("</trk>"), F.lit(""))).otherwise(F.col("x")))
+        path = b.lines(d.filter(kind < 4), "mixed")
+        files = b.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+        archives = zipped(d.filter(kind == 4), "readme.txt").unionByName(d.filter(kind == 5).select(F.concat("doc", F.lit(".kmz")).alias("path"), F.lit("PK no archive").cast("binary").alias("content")))
+        archives = archives.withColumn("path", F.concat(F.lit("file_key="), "path"))
+        return own(activity.ingest_errors(files.unionByName(archives), activity.scan_gpx(b.spark, path)))
 
     stream = lambda f: live.run_available(f(b.readings), b.folder("stream"))
     return {
         "scan_detect_format": lambda: activity.detect_format(mixed_files()).select("path", "format"),
-        "scan_gpx": lambda: activity.scan_gpx(b.spark, b.lines(gpx().select("track_id", "gpx"), "gpx")).select(*scan),
-        "scan_gpx_route": lambda: activity.scan_gpx_route(b.spark, b.lines(route_documents(b.points), "gpx")).select("doc", "seq", "lat", "lon", "ele"),
-        "scan_gpx_waypoints": lambda: activity.scan_gpx_waypoints(b.spark, b.lines(route_documents(b.points), "gpx")).select("doc", "wp_seq", "lat", "lon", "ele", "name"),
-        "scan_tcx": lambda: activity.scan_tcx(b.spark, b.lines(tcx_documents(b.points), "tcx")).select(*scan),
-        "scan_kml": lambda: activity.scan_kml(b.spark, b.lines(kml_documents(b.points), "kml")).select("doc", "seq", "lat", "lon", "ele"),
-        "scan_kml_waypoints": lambda: activity.scan_kml_waypoints(b.spark, b.lines(kml_documents(b.points), "kml")),
-        "scan_kmz": lambda: activity.scan_kmz(zipped(kml_documents(b.points))).select("doc", "seq", "lat", "lon", "ele"),
+        "scan_gpx": lambda: own(activity.scan_gpx(b.spark, b.lines(gpx().select("track_id", "gpx"), "gpx"))).select(*scan),
+        "scan_gpx_route": lambda: own(activity.scan_gpx_route(b.spark, b.lines(route_documents(b.points), "gpx"))).select("doc", "seq", "lat", "lon", "ele"),
+        "scan_gpx_waypoints": lambda: own(activity.scan_gpx_waypoints(b.spark, b.lines(route_documents(b.points), "gpx"))).select("doc", "wp_seq", "lat", "lon", "ele", "name"),
+        "scan_tcx": lambda: own(activity.scan_tcx(b.spark, b.lines(tcx_documents(b.points), "tcx"))).select(*scan),
+        "scan_kml": lambda: own(activity.scan_kml(b.spark, b.lines(kml_documents(b.points), "kml"))).select("doc", "seq", "lat", "lon", "ele"),
+        "scan_kml_waypoints": lambda: own(activity.scan_kml_waypoints(b.spark, b.lines(kml_documents(b.points), "kml"))),
+        "scan_kmz": lambda: activity.scan_kmz(zipped(kml_documents(b.points))).select(F.replace("doc", F.lit(".kmz"), F.lit("")).alias("doc"), "seq", "lat", "lon", "ele"),
         "scan_device_records": lambda: activity.scan_device_records(b.device).select("doc", "seq", "lat", "lon", "ele", "hr", "cad", "speed"),
         "ingest_errors": errors,
-        "sink_sector_gpx": lambda: export.sector_gpx(b.points, b.sectors).select("track_id", "sector_id", F.expr("size(split(gpx, '<trkpt ')) - 1").alias("n_points"), F.regexp_extract("gpx", "<desc>(.*?)</desc>", 1).alias("about")),
+        "sink_sector_gpx": lambda: export.sector_gpx(b.points, b.sectors),
         "sink_metrics_long": long,
         "sink_metrics_csv": csv,
         "sink_metrics_txt": lambda: export.metrics_text(long()),
         "sink_metrics_md": lambda: export.metrics_markdown(long()),
         "sink_parquet": parquet,
-        "stream_pauses": lambda: stream(live.stream_pauses),
-        "stream_gain": lambda: stream(live.stream_gain),
-        "stream_zone_time": lambda: live.zone_totals(stream(lambda s: live.stream_zone_time(s, fixtures.ZONE_BOUNDS, "1 hour"))),
+        "stream_pauses": lambda: live.pause_totals(stream(live.stream_pauses)),
+        "stream_gain": lambda: live.gain_totals(stream(live.stream_gain)),
+        "stream_zone_time": lambda: live.zone_totals(stream(lambda s: live.stream_zone_time(s, fixtures.ZONE_BOUNDS, "1 hour"))).select("track_id", F.unix_micros("start").alias("start_us"), "zone", "seconds", "readings"),
     }
 
 
@@ -386,7 +453,7 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
 NAMES = {
     "_scalars": """
         haversine segment_3d minetti_factor speed_to_pace speed_implausible unit_convert
-        format_metric format_duration format_sector_range format_bpm_range parse_iso_time parse_number
+        format_metric format_imperial format_duration format_sector_range format_bpm_range parse_iso_time parse_number
         cadence_display tile_fraction terrarium_decode parse_elevation_tag localized_name landmark_label
         landmark_gate zone_bounds zone_display_range zone_boundary_pct validate_hr_settings migrate_hr_settings
         normalize_sector is_entire_track sector_context_window
@@ -403,12 +470,12 @@ NAMES = {
         sector_elevation sector_grades moving_time avg_speed avg_gap max_speed
         vertical_rates fitness_stats temp_stats fastest_slowest_km effort_distance segment_type
         sector_metrics track_stats sector_leaderboard hr_zone_time zone_share_pct split_by_length
-        split_by_length_drop split_by_waypoint grade_class grade_runs split_by_grade segment_table
+        split_by_length_drop split_by_length_fold sector_totals split_by_waypoint grade_class grade_runs split_by_grade segment_table
         sector_grade_windows analysis_samples metric_availability extract_pair robust_domain density_2d
         relative_density
     """.split(),
     "_elevation": """
-        ele_fill ele_replace ele_restore ele_apply scan_landmarks dedup_landmarks
+        ele_fill ele_replace ele_restore ele_apply scan_landmarks scan_tile_peaks dedup_landmarks
         merge_landmarks landmark_features landmarks_near_track
     """.split(),
     "_files": """
