@@ -87,3 +87,17 @@ def test_limit_is_the_same_on_large_hosts(spark):
     df = spark.createDataFrame([(k + 10000 * (h == "large"), t, h) for k, t, h in rows], "doc_id long, text string, source string")
     found = {r["doc_id"]: r["n_removed_words"] for r in quality_report(df, line_documents=20).filter("n_removed_words > 0").collect()}
     assert found == {k + at: 3 for at in (0, 10000) for k in range(1, 25)}
+
+
+def test_edges(spark):
+    own = " ".join(f"w{j}" for j in range(60))
+    rows = [(1, own, None, "a", 1), (2, own + " x", "", "b", 2), (3, None, "h", None, 3), (4, "", "h", None, 4), (5, " ".join(f"v{j}" for j in range(200_000)), "h", "c", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _gone string, _id int").selectExpr("*", "1 body", "2 lines", "3 kept", "4 each", "5 host")
+    found = quality_filtered(df)
+    assert found.columns == df.columns and {(r["doc_id"], r["_gone"], r["_id"]) for r in found.collect()} == {(1, "a", 1), (2, "b", 2), (5, "c", 5)}
+    assert quality_filtered(df.limit(0)).count() == 0
+    # a null host is not the empty one: two halves of a frequent line stay under the limit
+    lines = [(k, " ".join(f"u{k}x{j}" for j in range(60)) + "\nshared line", None if k % 2 else "") for k in range(30)]
+    df = spark.createDataFrame(lines, "doc_id long, text string, source string")
+    assert quality_report(df, line_documents=20).filter("n_removed_words > 0").count() == 0
+    assert quality_report(df, line_documents=14).filter("n_removed_words > 0").count() == 28
