@@ -36,3 +36,31 @@ def test_against_brute_force(spark):
     assert np.mean([got[k] == expected[k] for k in expected]) >= 0.98
     assert {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in found if r["vec_id"] is None or r["vec_id"] > 9000} == {(k, 0, k, True) for k, _ in odd}
     assert linked_vectors(df.limit(0)).count() == 0
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    for pairs, others in ((200, 0), (1500, 9000)):
+        x = rng.normal(size=(pairs, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        side = rng.normal(size=(pairs, 64))
+        side -= (side * x).sum(axis=1, keepdims=True) * x
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        cos = rng.uniform(0.9502, 0.97, size=(pairs, 1))
+        every = np.vstack([x, cos * x + np.sqrt(1 - cos**2) * side, rng.normal(size=(others, 64))])
+        df = spark.createDataFrame(list(enumerate(every.tolist())), "vec_id long, embedding array<double>")
+        found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in linked_vectors(df).collect()}
+        assert np.mean([found[k] == found[pairs + k] == (1, k) for k in range(pairs)]) >= 0.98
+        assert all(found[k] == (0, k) for k in range(2 * pairs, len(every)))
+
+
+def test_one_large_group(spark):
+    """More members than a block: links inside it are counted once each."""
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=32)
+    x = centre + rng.normal(size=(9500, 32)) * 0.16
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(unit[k : k + 500] @ unit.T >= 0.95).sum(axis=1) for k in range(0, len(x), 500)]) - 1
+    found = {r["vec_id"]: r["n_links"] for r in linked_vectors(df).collect()}
+    assert sum(found.values()) >= 0.99 * want.sum() and all(found[k] <= n for k, n in enumerate(want.tolist()))
