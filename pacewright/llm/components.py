@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pacewright.llm.shared import written
+from pacewright.llm.shared import released, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def components(links: DataFrame) -> DataFrame:
             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
             .distinct()
         )
-        links = written(redrawn, "links")
+        before, links = links, written(redrawn, "links")
+        released(before)
 
     def onward(reached: DataFrame, step: DataFrame) -> DataFrame:
         step = step.select(F.col("a").alias("p"), F.col("p").alias("q"))
@@ -49,7 +50,9 @@ def components(links: DataFrame) -> DataFrame:
 
     ends = reduce(onward, gone[1:], gone[0])
     roots = ends.groupBy("p").agg(F.min("a").alias("root"))
-    return written(ends.join(roots, "p").select(F.col("a").alias("node"), "root"), "components")
+    found = written(ends.join(roots, "p").select(F.col("a").alias("node"), "root"), "components")
+    released(links, *gone)
+    return found
 
 
 def joined_components(linked: DataFrame, links: DataFrame) -> DataFrame:

@@ -9,10 +9,13 @@ fixed order of all elements they also share one of their first n/4+1, and two of
 
 The boundary is where enumerating subsets begins to cost more than scanning lists, by the mean length
 of lists measured on the input. The order puts rare elements first: elements are counted exactly
-(by a 40-bit part of their hash) over all documents, and tables of fixed size made from the counts
-are sent to the tasks. Those tables only steer the order and save work; a wrong entry (two elements in
+(by a 40-bit part of their hash) over all documents, in as many groups as the input has partitions, and tables of
+fixed size made from the counts are sent to the tasks: one bit for elements that occur in several documents, and a
+level for the most common ones, as many as fill a quarter of their table at every size of the corpus. Those tables
+only steer the order and save work; a wrong entry (two elements in
 one slot) costs time, never a result. Elements of one document only have no partner and are left out,
-and a set with under 3/4 of its elements elsewhere can have no link and gives no key.
+and a set with under 3/4 of its elements elsewhere can have no link and gives no key. Once a corpus has more repeated
+elements than the bit table has slots, it rules out less.
 
 Of a pair's shared keys the first one bounds what it can share: nothing before it, and no more than what
 either set has from there on. A pair that this bound rules out at one key is left out there; its first
@@ -23,26 +26,28 @@ members are then all in one component are done. Others get a leader out of their
 some times over; pairs still open then are listed, without those that the distances to the list's
 first leader rule out (Jaccard distance is a metric). Every comparison counts the shared shingles.
 
-Null ids link with nothing (component null); texts without words have an empty set and link with
-nothing; rows with the same id are taken as one document; further columns are ignored.
+Ids are whole numbers (others fail as Spark's cast does). Null ids link with nothing (component null); texts without
+words have an empty set and link with nothing. Documents are told apart by their sets, not their ids, so rows that
+share an id but not a text each have their own links. Further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pacewright.llm.components import components, joined_components
-from pacewright.llm.shared import in_python, only, written
+from pacewright.llm.shared import in_python, only, released, written
 from pacewright.llm.textgrid import mixed, set_hash, shingle_sets
 
 FLUSH, SEEN = 1 << 20, 200_000
-REPEATED_BITS, COMMON_BITS, COMMON_FROM, WANTED_BITS = 26, 21, 64, 24
+REPEATED_BITS, COMMON_BITS, COMMON_FROM, WANTED_BITS, MOST_GROUP_BITS = 26, 21, 64, 24, 20
 STAR_ROUNDS = 1
 
 
@@ -89,6 +94,9 @@ def _frequencies(given: DataFrame, bucket_bits: int) -> DataFrame:
         repeated[hashes >> np.uint64(40 - REPEATED_BITS + bucket_bits)] = True
         common = np.zeros(1 << (COMMON_BITS - bucket_bits), dtype=np.uint8)
         many = total >= COMMON_FROM
+        most = max(1, len(common) // 4)
+        if many.sum() > most:
+            many &= total > np.partition(total, -most - 1)[-most - 1]
         level = 1 + np.floor(np.log2(total[many] / COMMON_FROM)).astype(np.uint8)
         np.maximum.at(common, hashes[many] >> np.uint64(40 - COMMON_BITS + bucket_bits), level)
         few = total[~many].astype(np.float64)
@@ -124,7 +132,8 @@ def _first_keys(s: np.ndarray, repeated: np.ndarray, common: np.ndarray, boundar
 
 
 def _documents(given: DataFrame, send: Broadcast, boundary: int) -> DataFrame:
-    """(id, class, n, keys, places): keys only for the first member with an id of a class that a task meets, if it can have links."""
+    """(id, body, class, n, keys, places): keys only for the first member with an id of a class that a task meets, if it can
+    have links; ``body`` is a hash of the text."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.frombuffer(b, dtype=np.uint8) for b in send.value]
@@ -134,7 +143,7 @@ def _documents(given: DataFrame, send: Broadcast, boundary: int) -> DataFrame:
 
             def flushed(batch=batch) -> pa.RecordBatch:
                 ids = batch.column(0).slice(row, len(sizes))
-                return pa.RecordBatch.from_arrays([ids, pa.array(kinds, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["id", "class", "n", "keys", "places"])
+                return pa.RecordBatch.from_arrays([ids, batch.column(2).slice(row, len(sizes)), pa.array(kinds, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["id", "body", "class", "n", "keys", "places"])
 
             held = 0
             for s, absent in zip(shingle_sets(batch.column(1)), batch.column(0).is_null().to_pylist(), strict=True):
@@ -158,29 +167,39 @@ def _documents(given: DataFrame, send: Broadcast, boundary: int) -> DataFrame:
                     kinds, sizes, keys, places, held = [], [], [], [], 0
             yield flushed()
 
-    return in_python(given, described, "id long, class long, n long, keys array<long>, places array<int>")
+    return in_python(given, described, "id long, body long, class long, n long, keys array<long>, places array<int>")
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("id", "body"), F.lit(1 << WANTED_BITS))
 
 
 def _sets(given: DataFrame, send: Broadcast) -> DataFrame:
-    """(id, elements) of the documents whose slot is wanted."""
-    slots = given.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(1 << WANTED_BITS)))
+    """(id, body, class, elements) of the documents whose slot is wanted."""
+    slots = given.withColumn("slot", _slot())
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = send.value
         for batch in batches:
-            slot = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            slot = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
             batch = batch.filter(pa.array(((table[slot >> 5] >> (slot & 31)) & 1).astype(bool)))
-            held, elements, row = 0, [], 0
+            held, kinds, elements, row = 0, [], [], 0
+
+            def flushed(batch=batch) -> pa.RecordBatch:
+                own = [batch.column(k).slice(row, len(elements)) for k in (0, 2)]
+                return pa.RecordBatch.from_arrays([*own, pa.array(kinds, pa.int64()), pa.array(elements, pa.list_(pa.int64()))], names=["id", "body", "class", "elements"])
+
             for s in shingle_sets(batch.column(1)):
+                kinds.append(set_hash(s))
                 elements.append(s.view(np.int64))
                 held += len(s)
                 if held > FLUSH:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(elements)), pa.array(elements, pa.list_(pa.int64()))], names=["id", "elements"])
+                    yield flushed()
                     row += len(elements)
-                    held, elements = 0, []
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(elements)), pa.array(elements, pa.list_(pa.int64()))], names=["id", "elements"])
+                    held, kinds, elements = 0, [], []
+            yield flushed()
 
-    return in_python(slots, chosen, "id long, elements array<long>")
+    return in_python(slots, chosen, "id long, body long, class long, elements array<long>")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -198,11 +217,11 @@ _LINKED = "7 * shared >= 3 * (na + nb)"  # shared / (na + nb - shared) >= 3/4
 _PAIR = ("least(id, other) a", "greatest(id, other) b")
 
 
-def jaccard_components(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``df``: its id, n_shingles and component_id (the smallest id reachable by links)."""
+def _grouped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, body, n, root, component_id) per row of ``df``; ``root`` names the component, null for empty sets and null ids."""
     spark = df.sparkSession
-    given = only(df, id=id_column, text=text_column).withColumn("id", F.col("id").cast("long"))
-    bucket_bits = min(16, max(6, (2 * given.rdd.getNumPartitions() - 1).bit_length()))
+    given = only(df, id=id_column, text=text_column).select(F.col("id").cast("long").alias("id"), "text", F.xxhash64("text").alias("body"))
+    bucket_bits = min(MOST_GROUP_BITS, max(6, (2 * given.rdd.getNumPartitions() - 1).bit_length()))
     repeated = np.zeros((1 << bucket_bits, 1 << (REPEATED_BITS - bucket_bits - 3)), dtype=np.uint8)
     common = np.zeros((1 << bucket_bits, 1 << (COMMON_BITS - bucket_bits)), dtype=np.uint8)
     total, squares = 0.0, 0.0
@@ -218,8 +237,9 @@ def jaccard_components(df: DataFrame, id_column: str = "doc_id", text_column: st
     tables.destroy()
 
     keyed = documents.filter("keys is not null and id is not null")
-    members = keyed.groupBy("class").agg(F.min("id").alias("id"))
-    lists = keyed.join(members, ["class", "id"], "left_semi").dropDuplicates(["id"]).select("id", "n", F.inline(F.arrays_zip("keys", "places"))).withColumnsRenamed({"keys": "key", "places": "p"})
+    members = written(keyed.groupBy("class").agg(F.min(F.struct("id", "body")).alias("m")).select("class", "m.id", "m.body"), "members")
+    # from here on a class stands for its members, under the name ``id``
+    lists = keyed.join(members, ["class", "id", "body"], "left_semi").dropDuplicates(["class"]).select(F.col("class").alias("id"), "n", F.inline(F.arrays_zip("keys", "places"))).withColumnsRenamed({"keys": "key", "places": "p"})
     lists = written(lists, "lists")
 
     leaders = lists.groupBy("key").agg(F.min(F.struct("id", "n", "p")).alias("m"), F.max("id").alias("last")).filter("m.id <> last")
@@ -228,24 +248,26 @@ def jaccard_components(df: DataFrame, id_column: str = "doc_id", text_column: st
     candidates = written(candidates.selectExpr(*_PAIR).distinct(), "candidates")
 
     wanted = np.zeros(1 << (WANTED_BITS - 5), dtype=np.int64)
-    slots = lists.select("id").distinct().withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(1 << WANTED_BITS)))
+    slots = members.withColumn("slot", _slot())
     bits = slots.selectExpr("cast(slot div 32 as int) w", "shiftleft(1L, cast(slot % 32 as int)) bit")
     for row in bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         wanted[row["w"]] = row["bits"]
     chosen = spark.sparkContext.broadcast(wanted)
-    sets = written(_sets(given, chosen).join(lists.select("id").distinct(), "id", "left_semi"), "sets")
+    sets = _sets(given, chosen).join(members, ["class", "id", "body"], "left_semi").dropDuplicates(["class"])
+    sets = written(sets.select(F.col("class").alias("id"), "elements"), "sets")
     chosen.destroy()
 
     compared = written(_compared(candidates, sets), "compared")
     linked = components(compared.filter(_LINKED))
     first = leaders.select("key", "other")
-    open_lists = lists
+    open_lists, done = lists, [candidates, compared]
     for turn in range(STAR_ROUNDS + 1):
         # members of lists of at least three that are not all in one component, without the leader they were compared with
         labelled = open_lists.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         undone = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
         rest = labelled.join(undone, "key", "left_semi").join(leaders.select("key", F.col("other").alias("id")), ["key", "id"], "left_anti")
         rest = written(rest, "open")
+        done.append(rest)
         if rest.isEmpty():
             break
         known = compared.select("a", "b")
@@ -255,6 +277,7 @@ def jaccard_components(df: DataFrame, id_column: str = "doc_id", text_column: st
             leaders = smallest.select("key", F.col("s.of.id").alias("other"), F.col("s.of.n").alias("nb"), F.col("s.of.p").alias("pb"), F.col("s.root").alias("other_root"))
             pairs = rest.join(leaders, "key").filter("root <> other_root").withColumnsRenamed({"n": "na", "p": "pa"}).filter(_POSSIBLE)
             leaders = written(leaders, "leaders")
+            done.append(leaders)
         else:
             to_first = compared.withColumn("d", 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
             near = rest.join(first, "key").selectExpr("key", "id", "n", "p", "root", *_PAIR).join(to_first.select("a", "b", "d"), ["a", "b"], "left")
@@ -263,27 +286,37 @@ def jaccard_components(df: DataFrame, id_column: str = "doc_id", text_column: st
             pairs = one.join(two, "key").filter("id < other and ra <> rb and (da is null or db is null or abs(da - db) <= 0.2500001)").filter(_POSSIBLE)
         pairs = pairs.selectExpr(*_PAIR).distinct().join(known, ["a", "b"], "left_anti")
         more = written(_compared(pairs, sets), "compared")
+        done.append(more)
         compared = compared.unionByName(more)
         linked = joined_components(linked, more.filter(_LINKED).select("a", "b"))
         open_lists = rest.select("id", "n", "key", "p")
 
-    rows = documents.select("id", "class", "n")
+    released(lists, sets, members, *done)
+    rows = documents.select("id", "body", "class", "n")
     classes = rows.filter("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("first"))
-    roots = members.join(linked.withColumnRenamed("node", "id"), "id").select("class", "root")
-    classes = classes.join(roots, "class", "left").select("class", "first", F.coalesce("root", "first").alias("root"))
+    classes = classes.join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = classes.join(least, "root").select("class", "component_id")
-    found = rows.join(classes, "class", "left")
-    component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return found.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    found = rows.join(classes.join(least, "root").select("class", "root", "component_id"), "class", "left")
+    inside = (F.col("n") > 0) & F.col("id").isNotNull()
+    return found.select("id", "body", "n", F.when(inside, F.col("root")).alias("root"), F.when(inside, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def jaccard_components(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per row of ``df``: its id, n_shingles and component_id (the smallest id reachable by links)."""
+    return _grouped(df, id_column, text_column).select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each_group(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``df`` without the documents that are linked, directly or over others, with one of smaller id.
+    """``df`` without the documents that are linked, directly or over others, with one that comes before, by id (and by a
+    hash of the text where ids are the same).
 
-    Of rows that repeat an id one stays; rows without an id stay.
+    Of rows that repeat id and text one stays; rows without an id stay.
     """
-    found = jaccard_components(df, id_column, text_column)
-    firsts = found.filter(F.col("component_id") == F.col(id_column)).select(id_column).distinct()
-    kept = df.join(firsts, id_column, "left_semi").dropDuplicates([id_column])
-    return kept.unionByName(df.filter(F.col(id_column).isNull()))
+    found = _grouped(df, id_column, text_column).filter("id is not null")
+    firsts = found.filter("root is not null").groupBy("root").agg(F.min(F.struct("id", "body")).alias("m")).select("m.*")
+    alone = found.filter("root is null").select("id", "body").distinct()
+    body = f"b{uuid.uuid4().hex}"  # a name that no column of df has
+    kept = firsts.unionByName(alone).withColumnsRenamed({"id": id_column, "body": body})
+    rows = df.withColumn(body, F.xxhash64(F.col(f"`{text_column}`")))
+    whole = rows.join(kept, [id_column, body], "left_semi").dropDuplicates([id_column, body])
+    return whole.unionByName(rows.filter(F.col(f"`{id_column}`").isNull())).drop(body)

@@ -104,3 +104,16 @@ def test_copies_without_id_come_first(spark):
     found = sorted(((r[0], r[1], r[2]) for r in jaccard_components(df).collect()), key=str)
     assert found == sorted([(None, 56, None), (None, 56, None), (1, 56, 1), (2, 56, 1), (3, 56, 1)], key=str)
     assert sorted((r[0] for r in one_of_each_group(df).collect()), key=str) == [1, None, None]
+
+
+def test_one_id_of_different_texts(spark):
+    text = lambda k, n=40: " ".join(f"w{k}x{j}" for j in range(n))
+    a, b, c = text(1), text(2), text(2) + " more"
+    long = text(9, 150_000)
+    rows = [(5, a), (5, b), (5, b), (3, c), (8, long), (9, long + " end"), (10, ""), (10, ""), (11, None), (None, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 id", "2 body", "3 root", "4 `class`", "5 n").repartition(3)
+    kept = one_of_each_group(df)
+    assert kept.columns == df.columns
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert found == sorted([(5, a), (3, c), (8, long), (10, ""), (11, None), (None, a), (None, a)], key=str)
+    assert one_of_each_group(df.limit(0)).count() == 0
