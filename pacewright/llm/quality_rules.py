@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pacewright.llm.shared import only, written
+from pacewright.llm.shared import only, released, written
 
 LEAST_WORDS, LINE_DOCUMENTS = 50, 100
 _SPACE = r"\\x20\\x09-\\x0D"
@@ -63,28 +63,30 @@ def _host(host: Column) -> Column:
     return F.when(host.isNull(), "").otherwise(F.concat(F.lit("="), host.cast("string")))
 
 
-def _judged(df: DataFrame, id_column: str, text_column: str, host_column: str, documents: int) -> DataFrame:
-    """(id, host, body, measures, n_removed_words, kept, gone) of each document. Texts are read once: their measures and
+def _judged(df: DataFrame, id_column: str, text_column: str, host_column: str, documents: int) -> tuple[DataFrame, DataFrame]:
+    """(id, host, body, measures, n_removed_words, kept, gone) of each document, and the table they are read from. Texts are read once: their measures and
     the hashes of their lines are written, and lines are counted from there."""
     given = only(df, id=id_column, text=text_column, host=host_column)
     given = given.withColumn("host", _host(F.col("host"))).withColumn("body", F.xxhash64("text"))
     told = written(_measured(given).drop("text"), "lines")
     found = told.join(_gone(told, documents), F.expr("id <=> g_id and body = g_body and host = g_host"), "left").drop("each")
     found = found.withColumn("n_removed_words", F.coalesce("lost", F.lit(0).cast("long")))
-    return found.withColumn("kept", F.expr("not base_failed and 2 * n_removed_words <= n_words"))
+    return found.withColumn("kept", F.expr("not base_failed and 2 * n_removed_words <= n_words")), told
 
 
 def quality_report(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", line_documents: int = LINE_DOCUMENTS) -> DataFrame:
     """One row per row of ``df``: its id, the measures of the base rules, base_failed, n_removed_words and kept."""
-    found = _judged(df, id_column, text_column, host_column, line_documents)
+    found, _ = _judged(df, id_column, text_column, host_column, line_documents)
     return found.select(F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
 
 
 def quality_filtered(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", line_documents: int = LINE_DOCUMENTS) -> DataFrame:
     """The rows of ``df`` that the rules keep, their texts without frequent lines; other columns as they were."""
-    verdicts = _judged(df, id_column, text_column, host_column, line_documents).groupBy("id", "host", "body")
+    judged, told = _judged(df, id_column, text_column, host_column, line_documents)
+    verdicts = judged.groupBy("id", "host", "body")
     # written first: a filter on what the rules measure would otherwise be pushed into the measuring and repeat it
     verdicts = written(verdicts.agg(F.first("kept").alias("kept"), F.first("gone").alias("gone")), "verdicts").filter("kept")
+    released(told)
     own = f"v{uuid.uuid4().hex}_"  # names that no column of df has
     verdicts = verdicts.select(*[F.col(c).alias(own + c) for c in ("id", "host", "body", "gone")])
     text, gone = F.col(f"`{text_column}`"), F.col(f"{own}gone")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacewright.llm.components import components
-from pacewright.llm.shared import in_python, only, written
+from pacewright.llm.shared import in_python, only, released, written
 from pacewright.llm.textgrid import mixed
 
 #: The chance that a pair right at the threshold shares no bucket, on which the number of tables depends.
@@ -225,6 +225,7 @@ def linked_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str
     edges = written(_near(stars, vectors, least), "edges")
     open_members = _unsettled(members, components(edges))
     linked = components(edges.unionByName(_by_group(open_members.join(vectors, "cid"), links_of, "a long, b long")))
+    released(members, edges)
 
     sizes = linked.groupBy("root").agg(F.count("*").alias("size"))
     members = linked.withColumnRenamed("node", "cid").join(sizes, "root")
