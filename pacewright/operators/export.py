@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pacewright.functions import text as T
@@ -41,8 +41,15 @@ def sector_gpx(points: DataFrame, sectors: DataFrame, factor: int = 1) -> DataFr
     return d.select(*SECTOR, F.concat(F.lit(head), name, F.lit("<trk><trkseg>"), F.array_join("ps.xml", ""), F.lit("</trkseg></trk></gpx>")).alias("gpx"))
 
 
-def write_gpx(documents: DataFrame, path: str) -> None:
-    documents.select("gpx").write.text(path)
+def write_texts(documents: DataFrame, column: str, path: str) -> None:
+    """One text file for each sector, in a folder named after it; all of a track are written by one task."""
+    d = documents.select(*SECTOR, F.col(column).alias("value")).repartition("track_id")
+    d.sortWithinPartitions(*SECTOR).write.partitionBy(*SECTOR).text(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(track_id, sector_id, value) of what ``write_texts`` wrote."""
+    return spark.read.option("wholetext", True).text(path).select(*SECTOR, F.regexp_replace("value", "\n$", "").alias("value"))
 
 
 #: The rows of a report: (group, label, metric, kind).

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +26,12 @@ def split_by_waypoint(waypoints: DataFrame, tracks: DataFrame, spacing: float =
 
 
 def grade_class(points: DataFrame, half: float = 25.0, limit: float = 0.025) -> DataFrame:
-    """Adds ``cls``: 1 climbing, -1 descending, 0 flat, by the slope over the points within 25 m either side."""
+    """Adds ``cls``: 1 climbing, -1 descending, 0 flat, by the slope over the points within 25 m either side; tracks without
+    elevation at every point are left out."""
     w = Window.partitionBy("track_id").orderBy("cum_dist").rangeBetween(-int(half), int(half))
     low, high = F.struct("cum_dist", "seq", "ele"), F.struct("cum_dist", "seq", "ele")
-    d = points.withColumns({"_a": F.min(low).over(w), "_b": F.max(high).over(w)})
+    d = points.withColumn("_all", F.bool_and(F.col("ele").isNotNull()).over(Window.partitionBy("track_id"))).filter("_all").drop("_all")
+    d = d.withColumns({"_a": F.min(low).over(w), "_b": F.max(high).over(w)})
     span = F.col("_b.cum_dist") - F.col("_a.cum_dist")
     grade = F.when((span >= half), (F.col("_b.ele") - F.col("_a.ele")) / span)
     return d.withColumn("cls", F.coalesce(F.when(grade > limit, 1).when(grade < -limit, -1), F.lit(0))).drop("_a", "_b")
@@ -40,8 +44,45 @@ def grade_runs(classed: DataFrame) -> DataFrame:
     return d.groupBy("track_id", "run").agg(F.first("cls").alias("cls"), F.min("cum_dist").alias("start_m"), F.max("cum_dist").alias("end_m"))
 
 
+def merged_runs(starts: list[float], ends: list[float], classes: list[int], least: float) -> list[tuple[float, float]]:
+    """Stretches left when the shortest run (the first of those) always joins its longer neighbour, or the one before it if
+    both are as long, and neighbours of one class become one run. A heap has the shortest run, links its neighbours."""
+    n = len(classes)
+    start, end, cls = list(starts), list(ends), list(classes)
+    before, after = [k - 1 for k in range(n)], [*range(1, n), -1]
+    alive, left = [True] * n, n
+    heap = [(end[k] - start[k], start[k], k) for k in range(n)]
+    heapify(heap)
+
+    def absorb(k: int, gone: int) -> None:
+        """Run k takes its neighbour's stretch."""
+        nonlocal left
+        start[k], end[k] = min(start[k], start[gone]), max(end[k], end[gone])
+        a, b = before[gone], after[gone]
+        if a >= 0:
+            after[a] = b
+        if b >= 0:
+            before[b] = a
+        alive[gone], left = False, left - 1
+
+    while left > 1:
+        length, at, k = heappop(heap)
+        if not alive[k] or (length, at) != (end[k] - start[k], start[k]):
+            continue
+        if length >= least:
+            break
+        sizes = [end[j] - start[j] if j >= 0 else -1.0 for j in (before[k], after[k])]
+        winner = before[k] if sizes[0] >= sizes[1] else after[k]
+        absorb(winner, k)
+        for j in (before[winner], after[winner]):
+            if j >= 0 and cls[j] == cls[winner]:
+                absorb(winner, j)
+        heappush(heap, (end[winner] - start[winner], start[winner], winner))
+    return sorted((start[k], end[k]) for k in range(n) if alive[k])
+
+
 def split_by_grade(classed: DataFrame, least: float = 400.0) -> DataFrame:
-    """Sectors of one slope class each: the shortest run goes to its longer neighbour until all are long enough.
+    """Sectors of one slope class each, at least ``least`` metres long where the track is.
 
     The order of merges matters, so the short list of a track's runs is worked in Python, track by track.
     """
@@ -49,31 +90,8 @@ def split_by_grade(classed: DataFrame, least: float = 400.0) -> DataFrame:
 
     def merged(runs: pd.DataFrame) -> pd.DataFrame:
         runs = runs.sort_values("run")
-        todo = [list(r) for r in runs[["start_m", "end_m", "cls"]].itertuples(index=False)]
-
-        def joined(rows):
-            out = []
-            for r in rows:
-                if out and out[-1][2] == r[2]:
-                    out[-1][1] = r[1]
-                else:
-                    out.append(r)
-            return out
-
-        todo = joined(todo)
-        while len(todo) > 1:
-            sizes = [b - a for a, b, _ in todo]
-            k = sizes.index(min(sizes))
-            if sizes[k] >= least:
-                break
-            back = k > 0 and (k == len(todo) - 1 or sizes[k - 1] >= sizes[k + 1])
-            if back:
-                todo[k - 1][1] = todo[k][1]
-            else:
-                todo[k + 1][0] = todo[k][0]
-            del todo[k]
-            todo = joined(todo)
-        return pd.DataFrame({"track_id": runs["track_id"].iloc[0], "sector_id": range(len(todo)), "start_m": [r[0] for r in todo], "end_m": [r[1] for r in todo]})
+        found = merged_runs(runs["start_m"].tolist(), runs["end_m"].tolist(), runs["cls"].tolist(), least)
+        return pd.DataFrame({"track_id": runs["track_id"].iloc[0], "sector_id": range(len(found)), "start_m": [a for a, _ in found], "end_m": [b for _, b in found]})
 
     kind = classed.schema["track_id"].dataType.simpleString()
     return grade_runs(classed).groupBy("track_id").applyInPandas(merged, f"track_id {kind}, sector_id int, start_m double, end_m double")

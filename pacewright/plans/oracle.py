@@ -239,8 +239,8 @@ CHAIN = {
     "ev1": "SELECT *, coalesce((us - before) / 1e6, 0) AS dt, before IS NOT NULL AND abs(x - last_x) / ((us - before) / 1e6) >= 0.5 / 3.6 AS moving FROM ev",
     "ev2": "SELECT *, sum(CAST(moving AS INT)) OVER (PARTITION BY track_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS island FROM ev1",
     "eg0": "SELECT track_id, list({'us': us, 'e': ele, 'r': CAST(0 AS DOUBLE), 'g': CAST(0 AS DOUBLE), 'l': CAST(0 AS DOUBLE), 'up': CAST(0 AS DOUBLE), 'down': CAST(0 AS DOUBLE), 'n': CAST(1 AS BIGINT)} ORDER BY us) AS steps FROM ev GROUP BY 1",
-    "eg": """SELECT track_id, list_reduce(steps, lambda s, x: {'us': x.us, 'e': x.e, 'r': CASE WHEN abs(s.r + x.e - s.e) > 3 THEN 0.0 ELSE s.r + x.e - s.e END, 'g': s.g + CASE WHEN s.r + x.e - s.e > 3 THEN s.r + x.e - s.e ELSE 0.0 END, 'l': s.l - CASE WHEN s.r + x.e - s.e < -3 THEN s.r + x.e - s.e ELSE 0.0 END,
-        'up': s.up + CASE WHEN s.r + x.e - s.e > 0 THEN (x.us - s.us) / 1e6 ELSE 0.0 END, 'down': s.down + CASE WHEN s.r + x.e - s.e < 0 THEN (x.us - s.us) / 1e6 ELSE 0.0 END, 'n': s.n + 1}) AS f FROM eg0""",
+    "eg": """SELECT track_id, list_reduce(steps, lambda s, x: {'us': x.us, 'e': x.e, 'r': CASE WHEN abs(s.r + (x.e - s.e)) > 3 THEN 0.0 ELSE s.r + (x.e - s.e) END, 'g': s.g + CASE WHEN s.r + (x.e - s.e) > 3 THEN s.r + (x.e - s.e) ELSE 0.0 END, 'l': s.l - CASE WHEN s.r + (x.e - s.e) < -3 THEN s.r + (x.e - s.e) ELSE 0.0 END,
+        'up': s.up + CASE WHEN s.r + (x.e - s.e) > 0 THEN (x.us - s.us) / 1e6 ELSE 0.0 END, 'down': s.down + CASE WHEN s.r + (x.e - s.e) < 0 THEN (x.us - s.us) / 1e6 ELSE 0.0 END, 'n': s.n + 1}) AS f FROM eg0""",
 }
 
 X12, Y12 = "((lon + 180) - 360 * floor((lon + 180) / 360)) / 360 * 4096", "(1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / 3.141592653589793) / 2 * 4096"
@@ -372,7 +372,7 @@ FINAL: dict[str, str] = {
     "ele_fill": "SELECT track_id, seq, coalesce(ele, dem_ele) AS ele, ele AS ele_original FROM ds",
     "ele_replace": "SELECT track_id, seq, coalesce(dem_ele, ele) AS ele, ele AS ele_original FROM ds",
     "ele_restore": "SELECT track_id, seq, ele FROM ds",
-    "ele_apply": "SELECT *, CASE WHEN candidates = 0 THEN 'nothing-to-fill' WHEN applied = 0 THEN 'failed-all' ELSE 'applied' END AS status FROM (SELECT track_id, sum(CASE WHEN ele IS NULL THEN 1 ELSE 0 END) AS candidates, sum(CASE WHEN ele IS NULL AND dem_ele IS NOT NULL THEN 1 ELSE 0 END) AS applied, sum(CASE WHEN ele IS NULL AND dem_ele IS NULL THEN 1 ELSE 0 END) AS failed FROM ds GROUP BY 1)",
+    "ele_apply": "SELECT *, CASE WHEN candidates = 0 THEN 'nothing-to-fill' WHEN applied = 0 THEN 'failed-all' ELSE 'applied' END AS status FROM (SELECT track_id, sum(CASE WHEN ele IS NULL THEN 1 ELSE 0 END) AS candidates, sum(CASE WHEN ele IS NULL AND dem_ele IS NOT NULL THEN 1 ELSE 0 END) AS applied, sum(CASE WHEN ele IS NULL AND dem_ele IS NULL THEN 1 ELSE 0 END) AS failed, bool_and(coalesce(ele, dem_ele) IS NOT NULL) AS has_elevation, CASE WHEN bool_and(coalesce(ele, dem_ele) IS NOT NULL) THEN min(coalesce(ele, dem_ele)) END AS ele_min, CASE WHEN bool_and(coalesce(ele, dem_ele) IS NOT NULL) THEN max(coalesce(ele, dem_ele)) END AS ele_max FROM ds GROUP BY 1)",
     "sector_walk": "SELECT track_id, sector_id, step, to_dist, to_ele, to_ms, seg_h, d_ele, dt FROM wk WHERE step > 0",
     "pause_spans": "SELECT track_id, sector_id, min(from_ms) AS t0, max(to_ms) AS t1 FROM wk WHERE paused GROUP BY track_id, sector_id, island",
     "pause_mask": "SELECT track_id, sector_id, vseq, paused FROM wk WHERE kind = 'point'",

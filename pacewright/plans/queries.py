@@ -408,6 +408,11 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
         export.write_metrics_csv(long(), path)
         return b.spark.read.option("quote", '"').option("escape", '"').option("lineSep", "\r\n").schema("label string, value string").csv(path).groupBy("label", "value").agg(F.count("*").alias("n"))
 
+    def texts(documents: DataFrame, column: str) -> DataFrame:
+        path = b.folder(column)
+        export.write_texts(documents, column, path)
+        return export.read_texts(b.spark, path).withColumnRenamed("value", column)
+
     def parquet() -> DataFrame:
         path = b.folder("table")
         export.write_parquet(b.tracks.select("track_id", "point_count", "total_distance"), path, 8)
@@ -437,11 +442,11 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "scan_kmz": lambda: activity.scan_kmz(zipped(kml_documents(b.points))).select(F.replace("doc", F.lit(".kmz"), F.lit("")).alias("doc"), "seq", "lat", "lon", "ele"),
         "scan_device_records": lambda: activity.scan_device_records(b.device).select("doc", "seq", "lat", "lon", "ele", "hr", "cad", "speed"),
         "ingest_errors": errors,
-        "sink_sector_gpx": lambda: export.sector_gpx(b.points, b.sectors),
+        "sink_sector_gpx": lambda: texts(export.sector_gpx(b.points, b.sectors), "gpx"),
         "sink_metrics_long": long,
         "sink_metrics_csv": csv,
-        "sink_metrics_txt": lambda: export.metrics_text(long()),
-        "sink_metrics_md": lambda: export.metrics_markdown(long()),
+        "sink_metrics_txt": lambda: texts(export.metrics_text(long()), "text"),
+        "sink_metrics_md": lambda: texts(export.metrics_markdown(long()), "text"),
         "sink_parquet": parquet,
         "stream_pauses": lambda: live.pause_totals(stream(live.stream_pauses)),
         "stream_gain": lambda: live.gain_totals(stream(live.stream_gain)),
@@ -488,7 +493,7 @@ NAMES = {
 
 
 #: Decimals compared where it is not three: terrain is steep against the rounding of pixel places.
-DIGITS = {name: 1 for name in ("dem_sample", "ele_fill", "ele_replace", "ele_restore", "landmarks_near_track")}
+DIGITS = {name: 1 for name in ("dem_sample", "ele_fill", "ele_replace", "ele_restore", "ele_apply", "landmarks_near_track")}
 
 
 def build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

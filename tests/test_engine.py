@@ -279,3 +279,33 @@ def test_nearest_place_of_far_probes(spark):
     near = {0: 10.5 * STEP, 1: 20 * STEP, 2: 30.1 * STEP, 3: 49 * STEP}
     assert set(found) == set(near) and all(found[k][0] == pytest.approx(d, abs=0.5) for k, d in near.items())
     assert found[2][1] == pytest.approx(3000 * STEP, rel=1e-3)
+
+
+def test_merged_runs_against_rescans():
+    import random
+
+    def rescanned(starts, ends, classes, least):
+        todo = [[a, b, c] for a, b, c in zip(starts, ends, classes, strict=True)]
+        while len(todo) > 1:
+            k = min(range(len(todo)), key=lambda j: (todo[j][1] - todo[j][0], j))
+            if todo[k][1] - todo[k][0] >= least:
+                break
+            back, ahead = (todo[j][1] - todo[j][0] if 0 <= j < len(todo) else -1 for j in (k - 1, k + 1))
+            other = todo[k - 1] if back >= ahead else todo[k + 1]
+            other[:2] = min(other[0], todo[k][0]), max(other[1], todo[k][1])
+            del todo[k]
+            for j in range(len(todo) - 1, 0, -1):
+                if todo[j][2] == todo[j - 1][2]:
+                    todo[j - 1][1] = todo[j][1]
+                    del todo[j]
+        return [(a, b) for a, b, _ in todo]
+
+    rng = random.Random(3)
+    for _ in range(300):
+        at, starts, ends, classes = 0.0, [], [], []
+        for _ in range(rng.randint(1, 25)):
+            classes.append(rng.choice([c for c in (-1, 0, 1) if not classes or c != classes[-1]]))
+            starts.append(at)
+            ends.append(at + rng.choice([0.0, 10.0, 50.0, 100.0, 450.0]))
+            at = ends[-1] + 10
+        assert splits.merged_runs(starts, ends, classes, 400.0) == rescanned(starts, ends, classes, 400.0)
