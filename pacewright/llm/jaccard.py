@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pacewright.llm.components import components, joined_components
-from pacewright.llm.shared import in_python, only, released, written
+from pacewright.llm.shared import hand_back, in_python, only, released, written
 from pacewright.llm.textgrid import mixed, set_hash, shingle_sets
 
 FLUSH, SEEN = 1 << 20, 200_000
@@ -235,14 +235,18 @@ def _grouped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     del repeated, common
     documents = written(_documents(given, tables, boundary), "documents")
     tables.destroy()
+    del tables
+    hand_back()  # the driver held some copies of the tables
 
     keyed = documents.filter("keys is not null and id is not null")
     members = written(keyed.groupBy("class").agg(F.min(F.struct("id", "body")).alias("m")).select("class", "m.id", "m.body"), "members")
     # from here on a class stands for its members, under the name ``id``
-    lists = keyed.join(members, ["class", "id", "body"], "left_semi").dropDuplicates(["class"]).select(F.col("class").alias("id"), "n", F.inline(F.arrays_zip("keys", "places"))).withColumnsRenamed({"keys": "key", "places": "p"})
+    lists = keyed.join(members, ["class", "id", "body"], "left_semi").dropDuplicates(["class"]).select(F.col("class").alias("id"), F.col("id").alias("first"), "n", F.inline(F.arrays_zip("keys", "places"))).withColumnsRenamed({"keys": "key", "places": "p"})
     lists = written(lists, "lists")
 
-    leaders = lists.groupBy("key").agg(F.min(F.struct("id", "n", "p")).alias("m"), F.max("id").alias("last")).filter("m.id <> last")
+    # the document of least id leads: what others were copied from mostly comes before them
+    lead = F.min(F.struct("first", "id", "n", "p"))
+    leaders = lists.groupBy("key").agg(lead.alias("m"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
     leaders = leaders.select("key", F.col("m.id").alias("other"), F.col("m.n").alias("nb"), F.col("m.p").alias("pb"))
     candidates = lists.join(leaders, "key").filter("id <> other").withColumnsRenamed({"n": "na", "p": "pa"}).filter(_POSSIBLE)
     candidates = written(candidates.selectExpr(*_PAIR).distinct(), "candidates")
@@ -259,7 +263,7 @@ def _grouped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
     compared = written(_compared(candidates, sets), "compared")
     linked = components(compared.filter(_LINKED))
-    first = leaders.select("key", "other")
+    to_leader = leaders.select("key", "other")
     open_lists, done = lists, [candidates, compared]
     for turn in range(STAR_ROUNDS + 1):
         # members of lists of at least three that are not all in one component, without the leader they were compared with
@@ -272,7 +276,7 @@ def _grouped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
             break
         known = compared.select("a", "b")
         if turn < STAR_ROUNDS:
-            smallest = rest.groupBy("key", "root").agg(F.count("*").alias("m"), F.min(F.struct("id", "n", "p")).alias("of"))
+            smallest = rest.groupBy("key", "root").agg(F.count("*").alias("m"), lead.alias("of"))
             smallest = smallest.groupBy("key").agg(F.min(F.struct("m", "of", "root")).alias("s"), F.count("*").alias("roots")).filter("roots > 1")
             leaders = smallest.select("key", F.col("s.of.id").alias("other"), F.col("s.of.n").alias("nb"), F.col("s.of.p").alias("pb"), F.col("s.root").alias("other_root"))
             pairs = rest.join(leaders, "key").filter("root <> other_root").withColumnsRenamed({"n": "na", "p": "pa"}).filter(_POSSIBLE)
@@ -280,7 +284,7 @@ def _grouped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
             done.append(leaders)
         else:
             to_first = compared.withColumn("d", 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
-            near = rest.join(first, "key").selectExpr("key", "id", "n", "p", "root", *_PAIR).join(to_first.select("a", "b", "d"), ["a", "b"], "left")
+            near = rest.join(to_leader, "key").selectExpr("key", "id", "n", "p", "root", *_PAIR).join(to_first.select("a", "b", "d"), ["a", "b"], "left")
             one = near.select("key", "id", F.col("n").alias("na"), F.col("p").alias("pa"), F.col("root").alias("ra"), F.col("d").alias("da"))
             two = near.select("key", F.col("id").alias("other"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("root").alias("rb"), F.col("d").alias("db"))
             pairs = one.join(two, "key").filter("id < other and ra <> rb and (da is null or db is null or abs(da - db) <= 0.2500001)").filter(_POSSIBLE)
@@ -289,7 +293,7 @@ def _grouped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
         done.append(more)
         compared = compared.unionByName(more)
         linked = joined_components(linked, more.filter(_LINKED).select("a", "b"))
-        open_lists = rest.select("id", "n", "key", "p")
+        open_lists = rest.select("id", "first", "n", "key", "p")
 
     released(lists, sets, members, *done)
     rows = documents.select("id", "body", "class", "n")
