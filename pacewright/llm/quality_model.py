@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pacewright.llm.shared import bounded_batches, in_python, lean, only
+from pacewright.llm.shared import bounded_batches, hand_back, in_python, lean, only
 from pacewright.llm.textgrid import text_slices
 
 SAMPLE, TEXT_CHARS, TEXT_BYTES = 2000, 1 << 16, 8 << 20
@@ -115,7 +115,10 @@ def quality_model(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
     so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy("o", "id"))
     texts = texts.withColumn("bytes", so_far).filter(F.col("bytes") <= text_bytes)
     rows = texts.select("text", "label", F.pmod("o", F.lit(2)).alias("half"), "o", "id").orderBy("o", "id").collect()  # bounded by the sample
-    return fitted([(r["text"], r["label"], r["half"]) for r in rows])
+    model = fitted([(r["text"], r["label"], r["half"]) for r in rows])
+    del rows
+    hand_back()
+    return model
 
 
 def quality_scores(df: DataFrame, model: QualityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

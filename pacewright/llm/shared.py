@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 from pacewright.sources.scratch import removed, shared_folder
 from pacewright.sources.scratch import stored as written
 
-__all__ = ["bounded_batches", "in_python", "lean", "only", "released", "shared_folder", "table", "written"]
+__all__ = ["bounded_batches", "hand_back", "in_python", "lean", "only", "released", "shared_folder", "table", "written"]
 
 #: Bytes of a batch of rows on its way to Python, in the executor's JVM and in its worker.
 BATCH_BYTES = 4 << 20
 
 
+def hand_back() -> None:
+    """Gives memory that was freed back to the system; Arrow and the C library would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def lean(step: Callable) -> Callable:
     """A step over batches whose worker hands freed memory back when it ends: workers are used again for other steps,
     and what one of them once held would stay with it."""
@@ -27,9 +34,7 @@ def lean(step: Callable) -> Callable:
     @functools.wraps(step)
     def run(batches: Iterator) -> Iterator:
         yield from step(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        hand_back()
 
     return run
 
