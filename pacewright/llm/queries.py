@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pacewright.llm.chat import formatted_digests
 from pacewright.llm.jaccard import jaccard_components
+from pacewright.llm.manifest import merkle_manifest
 from pacewright.llm.ordering import training_order
 from pacewright.llm.packing import packed
 from pacewright.llm.pieces import piece_round_trip
@@ -66,6 +68,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("id").cast("string")) % 7 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_training_order": op8_training_order,
         "op9_token_counts": op9_token_counts,
         "op10_jaccard_join": op10_jaccard_join,
+        "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": pipeline,
     }
 
@@ -101,5 +108,45 @@ GROUP BY k
 """
 
 
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+
+
+#: crc32 goes byte by byte through its table; paths are lists of siblings, each marked with its side.
+OP13_SQL = f"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT *, row_number() OVER () AS k, n_chars + CASE WHEN xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]))) % 7 = 0 THEN 1 ELSE 0 END AS told FROM documents, crc),
+leaves AS (
+  SELECT k, doc_id, lang, sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} || {_field("text")}) AS leaf,
+    sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("told")} || {_field("text")}) AS changed,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS slot, count(*) OVER (PARTITION BY lang) AS n FROM d),
+tree AS (
+  SELECT 0 AS lvl, lang, slot, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lvl + 1, lang, slot // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY slot)) FROM tree WHERE n > 1 GROUP BY lvl, lang, slot // 2, (n + 1) // 2),
+subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS slot, count(*) OVER () AS n FROM tree WHERE n = 1),
+over AS (
+  SELECT 0 AS lvl, slot, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, slot // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY slot)) FROM over WHERE n > 1 GROUP BY lvl, slot // 2, (n + 1) // 2),
+steps AS (
+  SELECT l.k, t.lvl, CASE WHEN s.h IS NULL THEN 'N' WHEN s.slot < t.slot THEN 'L' || s.h ELSE 'R' || s.h END AS step
+  FROM (SELECT k, lang, unnest(range(0, 63)) AS lvl, slot >> unnest(range(0, 63)) AS at FROM leaves) l
+  JOIN tree t ON t.lang IS NOT DISTINCT FROM l.lang AND t.lvl = l.lvl AND t.slot = l.at AND t.n > 1
+  LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM l.lang AND s.lvl = l.lvl AND s.slot = xor(l.at, 1)
+  UNION ALL
+  SELECT l.k, 100 + t.lvl, CASE WHEN s.h IS NULL THEN 'N' WHEN s.slot < t.slot THEN 'L' || s.h ELSE 'R' || s.h END
+  FROM (SELECT k, unnest(range(0, 63)) AS lvl, r.slot >> unnest(range(0, 63)) AS at FROM leaves JOIN subroots r ON r.lang IS NOT DISTINCT FROM leaves.lang) l
+  JOIN over t ON t.lvl = l.lvl AND t.slot = l.at AND t.n > 1
+  LEFT JOIN over s ON s.lvl = l.lvl AND s.slot = xor(l.at, 1)),
+paths AS (SELECT k, list(step ORDER BY lvl) AS path FROM steps GROUP BY k),
+found AS (
+  SELECT l.doc_id, l.leaf, r.subroot, (SELECT h FROM over WHERE n = 1) AS root, sha256(coalesce(array_to_string(list_transform(path, lambda s: s[2:]), ''), '')) AS proof_sha256,
+    list_reduce(list_concat([l.changed], coalesce(path, [])), lambda h, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || h ELSE h || s[2:] END)) AS folded_root
+  FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang LEFT JOIN paths p USING (k))
+SELECT *, folded_root = root AS verified FROM found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL}
+    return {"op2_url_filters": OP2_SQL, "op13_merkle_manifest": OP13_SQL}
