@@ -15,6 +15,7 @@ from pacewright.llm.packing import packed
 from pacewright.llm.pieces import piece_round_trip
 from pacewright.llm.quality_model import quality_model, quality_scores
 from pacewright.llm.quality_rules import quality_report
+from pacewright.llm.search import ranked_documents
 from pacewright.llm.shared import table
 from pacewright.llm.token_counts import token_counts
 from pacewright.llm.url_rules import judged_urls
@@ -68,6 +69,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("id").cast("string")) % 7 == 0)
 
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_training_order": op8_training_order,
         "op9_token_counts": op9_token_counts,
         "op10_jaccard_join": op10_jaccard_join,
+        "op12_ranked_search": op12_ranked_search,
         "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": pipeline,
     }
@@ -108,6 +114,19 @@ GROUP BY k
 """
 
 
+OP12_SQL = r"""
+WITH i AS (SELECT row_number() OVER () AS k, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark),
+d AS (SELECT row_number() OVER () AS j, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+total AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS length FROM d WHERE len(terms) > 0),
+tf AS (SELECT j, doc_id, n, term, count(*) AS tf FROM (SELECT j, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, docs),
+share AS (SELECT j, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length))) AS s FROM tf JOIN weight USING (term), total),
+score AS (SELECT k, item_id, j, doc_id, sum(s)::BIGINT AS score FROM (SELECT k, item_id, unnest(terms) AS term FROM i) JOIN share USING (term) GROUP BY ALL HAVING sum(s) > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS r FROM score)
+SELECT item_id, r::INTEGER AS rank, doc_id, score FROM ranked WHERE r <= 20
+"""
+
+
 def _field(c: str) -> str:
     return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
 
@@ -149,4 +168,4 @@ SELECT *, folded_root = root AS verified FROM found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op2_url_filters": OP2_SQL, "op12_ranked_search": OP12_SQL, "op13_merkle_manifest": OP13_SQL}

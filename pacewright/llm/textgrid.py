@@ -45,14 +45,15 @@ def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of consecutive texts, and where each text's words begin and end.
 
     ``bounds`` holds n+1 byte offsets into ``data``; the result's second array holds n+1 word offsets.
+    ``between`` marks the bytes that no word holds.
     """
     n = len(data)
     inside = np.empty(n + 1, dtype=bool)
-    np.logical_not(_SPACE[data], out=inside[:n])
+    np.logical_not(between[data], out=inside[:n])
     inside[n] = False
     first = np.zeros(n + 1, dtype=bool)
     first[bounds] = True
