@@ -15,6 +15,7 @@ from pacewright.llm.packing import packed
 from pacewright.llm.pieces import piece_round_trip
 from pacewright.llm.quality_model import quality_model, quality_scores
 from pacewright.llm.quality_rules import quality_report
+from pacewright.llm.secrets import BASE_RULES, MORE_RULES, Rule, secret_report
 from pacewright.llm.search import ranked_documents
 from pacewright.llm.shared import table
 from pacewright.llm.token_counts import token_counts
@@ -69,6 +70,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -95,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_training_order": op8_training_order,
         "op9_token_counts": op9_token_counts,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_secret_scans": op11_secret_scans,
         "op12_ranked_search": op12_ranked_search,
         "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": pipeline,
@@ -114,6 +120,37 @@ GROUP BY k
 """
 
 
+def _spans_sql(place: int, rule: Rule) -> str:
+    """Spans of a rule: its matches are put between two marks, so pieces of the text tell where they are."""
+    pattern = "".join(f"[{c.upper()}{c}]" if c.islower() and inside == 0 else c for c, inside in _outside_classes(rule.pattern)) if rule.any_case else rule.pattern
+    quoted = pattern.replace("'", "''")
+    return f"""
+SELECT k, {place} AS place, '{rule.kind}' AS kind, begun AS s, begun + length(hit) AS e FROM (
+  SELECT k, i, split_part(piece, chr(2), 1) AS hit, sum(length(piece)) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - (i - 2) AS begun
+  FROM (SELECT k, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM (SELECT k, string_split(regexp_replace(text, '({quoted})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS pieces FROM d)))
+WHERE i > 1 AND length(regexp_extract(hit, '{quoted}', {rule.group})) >= {rule.least}"""
+
+
+def _outside_classes(pattern: str) -> list[tuple[str, int]]:
+    """Each character of a pattern with 1 where it stands in a class or belongs to a hexadecimal escape."""
+    found, inside = [], 0
+    for i, c in enumerate(pattern):
+        inside = 1 if c == "[" else inside
+        found.append((c, int(inside or "\\x" in pattern[max(0, i - 3) : i + 1])))
+        inside = 0 if c == "]" else inside
+    return found
+
+
+#: The two marks are put out of the texts first, by a character that no rule asks for.
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, translate(text, chr(1) || chr(2), chr(9731) || chr(9731)) AS text FROM documents),
+spans AS ({" UNION ALL ".join(_spans_sql(k, r) for k, r in enumerate([*BASE_RULES, *MORE_RULES]))}),
+joined AS (SELECT k, count_if(place = 0) AS n_assign, count_if(place = 1) AS n_access, count_if(place = 2) AS n_hex,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (place < {len(BASE_RULES)}) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans FROM spans GROUP BY k)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN joined USING (k)
+"""
+
 OP12_SQL = r"""
 WITH i AS (SELECT row_number() OVER () AS k, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark),
 d AS (SELECT row_number() OVER () AS j, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
@@ -168,4 +205,4 @@ SELECT *, folded_root = root AS verified FROM found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL, "op12_ranked_search": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op2_url_filters": OP2_SQL, "op11_secret_scans": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
