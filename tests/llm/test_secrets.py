@@ -63,10 +63,13 @@ def holds(condition, text):
 @pytest.mark.parametrize("pattern", [*[r.pattern for r in (*BASE_RULES, *MORE_RULES)], "(ab)+c", "(?:foo)?bar", "a.bcd", "x[a-c]{2,}yz", "(?:key|to(?:ken)?)s?=[0-9]{4}", "^é?日abc$", r"\bSecret\b(?!x)", "(?:ab|cd){3}ef", "[^a]bcd", "a*"])
 def test_every_match_meets_its_condition(pattern):
     condition, rng = trigram_condition(pattern), random.Random(7)
-    alphabet = [*PARTS, *"abcdefxyzks=", "foo", "bar", "ab", "cd", "ef", "bcd", "key", "token", "1234", "日abc", *["x", "bc", "yz"] * 8]
+    alphabet = [*PARTS, *"abcdefxyzks=", "foo", "bar", "ab", "cd", "ef", "bcd", "key", "token", "1234", "日abc", "yz", "eyJ", "." , "a1B2c3D4e5F6g7H8i9J0"]
+    near = [s for s in alphabet if {*s.lower()} <= {*pattern.lower(), *"0123456789abcdefhijkl"}]
     compiled, hits = re.compile(pattern, re.ASCII | re.IGNORECASE), 0
-    for _ in range(20_000):
-        m = compiled.search("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 8))))
+    for _ in range(30_000):
+        some = rng.choice([near, alphabet])
+        few = rng.sample(some, min(5, len(some)))
+        m = compiled.search("".join(rng.choice(few) for _ in range(rng.randint(1, 8))))
         if m:
             hits += 1
             assert holds(condition, folded(m.string)), m
