@@ -9,7 +9,7 @@ from pacewright.functions import text as T
 from pacewright.operators.sector import SECTOR
 from pacewright.operators.zones import zone_display_range, zone_share_pct
 
-UNAVAILABLE = "Unavailable"
+UNAVAILABLE, NO_HR, NO_TIME = "Unavailable", "No heart rate data", "No timestamp data"
 
 
 def xml_escape(c: Column) -> Column:
@@ -49,10 +49,10 @@ def write_texts(documents: DataFrame, column: str, path: str) -> None:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(track_id, sector_id, value) of what ``write_texts`` wrote."""
-    return spark.read.option("wholetext", True).text(path).select(*SECTOR, F.regexp_replace("value", "\n$", "").alias("value"))
+    return spark.read.text(path, wholetext=True).select(*SECTOR, F.regexp_replace("value", "\n$", "").alias("value"))
 
 
-#: The rows of a report: (group, label, metric, kind).
+#: The rows of a report, in its order (group, label, metric, kind).
 CATALOGUE = [
     ("Summary", "Distance", "horizontal_m", "distance"),
     ("Summary", "Distance 3D", "distance_3d", "distance"),
@@ -111,20 +111,31 @@ def _shown(v: Column, imperial: bool) -> dict[str, Column]:
     }
 
 
-def metrics_long(metrics: DataFrame, zone_times: DataFrame | None = None, zones: DataFrame | None = None, imperial: bool = False) -> DataFrame:
+def metrics_long(metrics: DataFrame, zone_times: DataFrame | None = None, zones: DataFrame | None = None, tracks: DataFrame | None = None, imperial: bool = False) -> DataFrame:
     """(track_id, sector_id, place, group, label, value): the rows of a report, null metrics as unavailable; with the
-    times in zones (see zones.py) also a row for each zone: range, share and duration."""
+    times in zones (see zones.py) also a row for each zone: range, share and duration.
+
+    ``zones`` are one setting for all or kept by track, as in ``classify_hr_zone``. Where a sector has no times in zones,
+    their rows say why: no heart rate, or, by the flags of ``tracks`` if given, no time.
+    """
     rows = [F.struct(F.lit(k + 1).alias("place"), F.lit(g).alias("group"), F.lit(n).alias("label"), F.coalesce(_shown(F.col(m).cast("double"), imperial)[kind], F.lit(UNAVAILABLE)).alias("value")) for k, (g, n, m, kind) in enumerate(CATALOGUE)]
     long = metrics.select(*SECTOR, F.inline(F.array(*rows)))
     if zone_times is None:
         return long
-    shown = zone_display_range(zones).collect()  # five rows
+    keys = [c for c in zones.columns if c not in ("zone", "lo", "hi")]
+    five = [F.max(F.when(F.col("zone") == k, F.struct("shown_lo", "shown_hi"))).alias(f"shown_{k}") for k in range(1, 6)]
+    shown = zone_display_range(zones).groupBy(*keys).agg(*five)
     d = zone_share_pct(metrics.select(*SECTOR).join(zone_times, list(SECTOR), "left"))
+    # one setting for all is one row
+    d = d.join(shown, keys, "left") if keys else d.join(F.broadcast(shown))
+    why = F.lit(NO_HR)
+    if tracks is not None:
+        d = d.join(tracks.select("track_id", "has_hr", "has_time"), "track_id", "left")
+        why = F.when(F.col("has_hr") & ~F.col("has_time"), NO_TIME).otherwise(NO_HR)
     rows = []
-    for z in shown:
-        k = z["zone"]
-        parts = F.concat_ws(", ", T.format_bpm_range(F.lit(z["shown_lo"]), F.lit(z["shown_hi"]).cast("double")), T.format_percent(F.col(f"z{k}_pct")), T.format_duration(F.col(f"z{k}_s")))
-        rows.append(F.struct(F.lit(len(CATALOGUE) + k).alias("place"), F.lit(ZONES).alias("group"), F.lit(f"Zone {k}").alias("label"), F.when(F.col("moving_s").isNull(), UNAVAILABLE).otherwise(parts).alias("value")))
+    for k in range(1, 6):
+        parts = F.concat_ws(", ", T.format_bpm_range(F.col(f"shown_{k}.shown_lo"), F.col(f"shown_{k}.shown_hi").cast("double")), T.format_percent(F.col(f"z{k}_pct")), T.format_duration(F.col(f"z{k}_s")))
+        rows.append(F.struct(F.lit(len(CATALOGUE) + k).alias("place"), F.lit(ZONES).alias("group"), F.lit(f"Zone {k}").alias("label"), F.when(F.col("moving_s").isNull(), why).when(F.col(f"shown_{k}").isNull(), UNAVAILABLE).otherwise(parts).alias("value")))
     return long.unionByName(d.select(*SECTOR, F.inline(F.array(*rows))))
 
 
@@ -144,12 +155,15 @@ def metrics_markdown(long: DataFrame) -> DataFrame:
 
 
 def write_metrics_csv(long: DataFrame, path: str) -> None:
-    """Label and value, in order, quoted by RFC 4180, lines ended by CR LF, without a header."""
+    """The sector's key, label and value, in order, quoted by RFC 4180, lines ended by CR LF, without a header.
+
+    A file holds the reports of many sectors, all of a track in one file; the first two columns tell them apart.
+    """
     ordered = long.repartition("track_id").sortWithinPartitions(*SECTOR, "place")
-    ordered.select("label", "value").write.option("quote", '"').option("escape", '"').option("lineSep", "\r\n").csv(path)
+    ordered.select(*SECTOR, "label", "value").write.option("quote", '"').option("escape", '"').option("lineSep", "\r\n").csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, buckets: int = 64) -> None:
-    """A table for reading by track: one folder per bucket of tracks, sorted inside."""
-    d = df.withColumn("track_bucket", F.pmod(F.xxhash64("track_id"), F.lit(buckets)).cast("int"))
-    d.repartition("track_bucket").sortWithinPartitions("track_bucket", "track_id").write.partitionBy("track_bucket").parquet(path)
+def read_metrics_csv(spark: SparkSession, path: str, key: str = "long") -> DataFrame:
+    """(track_id, sector_id, label, value) of what ``write_metrics_csv`` wrote."""
+    rows = spark.read.option("quote", '"').option("escape", '"').option("lineSep", "\r\n")
+    return rows.schema(f"track_id {key}, sector_id int, label string, value string").csv(path)

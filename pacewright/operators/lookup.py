@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacewright.functions.geo import EARTH_RADIUS_M, TILE_PIXELS, haversine, speed_to_pace, terrarium, tile_x, tile_y
-from pacewright.operators.sector import point_at_distance
+from pacewright.operators.sector import SECTOR, point_at_distance
 from pacewright.operators.track import ordered
 from pacewright.operators.zones import classify_hr_zone
 from pacewright.sources.scratch import stored
 
 
-def _nearest(q: DataFrame, p: DataFrame, cell: float | None) -> DataFrame:
+def _nearest(q: DataFrame, p: DataFrame, cell: float | Column | None) -> DataFrame:
     """Each probe (track_id, q, qx, qy) with ``v``, its nearest vertex, and ``d2``: among those of the nine cells around it
     (null if there are none), or of its whole track without a cell size."""
     keys = ["track_id"]
-    if cell:
+    if cell is not None:
         at = lambda c, by: F.floor(F.col(c) / cell) + by
         around = F.array(*[F.struct(at("qx", i).alias("gx"), at("qy", j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         q, p, keys = q.select("*", F.inline(around)), p.withColumns({"gx": at("x", 0), "gy": at("y", 0)}), ["track_id", "gx", "gy"]
@@ -28,23 +28,32 @@ def _nearest(q: DataFrame, p: DataFrame, cell: float | None) -> DataFrame:
     return d.groupBy("track_id", "q", "qx", "qy").agg(best.alias("v"), F.min("d2").alias("d2"))
 
 
-def nearest_on_track(probes: DataFrame, points: DataFrame, cells: tuple[float, ...] = (256.0, 8192.0)) -> DataFrame:
+def nearest_on_track(probes: DataFrame, points: DataFrame, within: float | None = None, cells: tuple[float, ...] = (256.0, 8192.0)) -> DataFrame:
     """Adds to each probe (track_id, wp_seq, lat, lon, ...) its nearest vertex's best adjoining place:
     ``dist`` along the track and ``off_track`` metres. Vertices first, so not always the nearest segment.
 
-    Probes look into the cells around them. A vertex found within one cell's width is the nearest of all; probes
-    without one go on to larger cells, and those still without one are compared with their whole track.
+    Probes look into the cells around them. With ``within`` only probes that are no further off their track are
+    given out, and one pass finds them: a place within that distance has an end of its segment within that and half
+    a segment, so cells of each track are as wide as that for its longest segment. Without it, a vertex found within
+    one cell's width is the nearest of all; probes without one go on to larger cells, and those still without one are
+    compared with their whole track.
     """
     w = ordered()
     metre = EARTH_RADIUS_M * 3.141592653589793 / 180
-    scale = points.groupBy("track_id").agg((metre * F.cos(F.radians((F.min("lat") + F.max("lat")) / 2))).alias("sx"))
+    cos = lambda lat: F.cos(F.radians(lat))
+    low, high, longest = F.min("lat"), F.max("lat"), F.max("seg_m")
+    middle = cos((low + high) / 2)
+    # metres east are taken at the middle of the track; where it is nearer a pole they come out larger
+    stretch = F.greatest(F.lit(1.0), middle / cos(low), middle / cos(high)) * 1.001
+    sized = [(stretch * (within + longest / 2)).alias("cell")] if within is not None else []
+    scale = points.groupBy("track_id").agg((metre * middle).alias("sx"), *sized)
     place = F.struct(F.col("lon").alias("lon"), F.col("lat").alias("lat"), F.col("cum_dist").alias("d"))
     p = points.select("track_id", "seq", place.alias("p"), F.lag(place).over(w).alias("before"), F.lead(place).over(w).alias("after"))
     p = p.join(scale, "track_id").withColumns({"x": F.col("p.lon") * F.col("sx"), "y": F.col("p.lat") * metre})
     names = [c for c in probes.columns if c != "track_id"]
-    rest = probes.select("track_id", F.struct(*names).alias("q")).join(scale, "track_id").select("track_id", "q", (F.col("q.lon") * F.col("sx")).alias("qx"), (F.col("q.lat") * metre).alias("qy"))
-    found = []
-    for cell in cells:
+    rest = probes.select("track_id", F.struct(*names).alias("q")).join(scale, "track_id").select("track_id", "q", (F.col("q.lon") * F.col("sx")).alias("qx"), (F.col("q.lat") * metre).alias("qy"), *scale.columns[2:])
+    found = [_nearest(rest, p, F.col("cell")).filter("d2 is not null")] if within is not None else []
+    for cell in cells if within is None else ():
         near = stored(_nearest(rest, p, cell), "nearest")
         done = F.coalesce(F.col("d2") <= cell * cell, F.lit(False))
         found.append(near.filter(done))
@@ -52,7 +61,8 @@ def nearest_on_track(probes: DataFrame, points: DataFrame, cells: tuple[float, .
         if rest.isEmpty():
             break
     else:
-        found.append(_nearest(rest, p, None))
+        if within is None:
+            found.append(_nearest(rest, p, None))
     d = reduce(DataFrame.unionByName, found)
 
     def onto(a: str, b: str):
@@ -68,11 +78,12 @@ def nearest_on_track(probes: DataFrame, points: DataFrame, cells: tuple[float, .
     d = d.withColumns({"_b": F.when(F.col("v.before").isNotNull(), onto("v.before", "v.p")), "_a": F.when(F.col("v.after").isNotNull(), onto("v.p", "v.after"))})
     first = F.col("_b").isNotNull() & (F.col("_a").isNull() | (F.col("_b.d2") <= F.col("_a.d2")))
     d = d.withColumn("_r", F.when(first, F.col("_b")).otherwise(F.col("_a")))
-    return d.select("track_id", *[F.col(f"q.{c}").alias(c) for c in names], F.col("_r.dist").alias("dist"), haversine(F.col("q.lat"), F.col("q.lon"), F.col("_r.lat"), F.col("_r.lon")).alias("off_track"))
+    d = d.select("track_id", *[F.col(f"q.{c}").alias(c) for c in names], F.col("_r.dist").alias("dist"), haversine(F.col("q.lat"), F.col("q.lon"), F.col("_r.lat"), F.col("_r.lon")).alias("off_track"))
+    return d if within is None else d.filter(F.col("off_track") <= within)
 
 
 def resolve_waypoints(waypoints: DataFrame, points: DataFrame, most: float = 50.0) -> DataFrame:
-    return nearest_on_track(waypoints, points).filter(F.col("off_track") <= most)
+    return nearest_on_track(waypoints, points, most)
 
 
 def _corners(points: DataFrame) -> DataFrame:
@@ -141,7 +152,14 @@ def time_to_dist(points: DataFrame, requests: DataFrame, at: str = "ms") -> Data
 
 
 def pause_overlap(readings: DataFrame, spans: DataFrame) -> DataFrame:
-    """Readings (track_id, sector_id, ms, ...) that lie in no pause: after its first moment up to its end."""
-    r, s = readings.alias("r"), spans.alias("s")
-    inside = (F.col("r.track_id") == F.col("s.track_id")) & (F.col("r.sector_id") == F.col("s.sector_id")) & (F.col("r.ms") > F.col("s.t0")) & (F.col("r.ms") <= F.col("s.t1"))
-    return r.join(s, inside, "left_anti")
+    """Readings (track_id, sector_id, ms, ...) that lie in no pause: after its first moment up to its end.
+
+    A sweep: readings and the beginnings of pauses in one order of time, with the furthest end of all pauses begun so
+    far; a reading at the moment when a pause begins comes before it. Readings without time lie in no pause.
+    """
+    names = [c for c in readings.columns if c not in SECTOR]
+    r = readings.select(*SECTOR, F.col("ms").alias("_at"), F.lit(0).alias("_begins"), F.struct(*names).alias("_r"))
+    s = spans.select(*SECTOR, F.col("t0").alias("_at"), F.lit(1).alias("_begins"), F.col("t1").alias("_end"))
+    sweep = Window.partitionBy(*SECTOR).orderBy("_at", "_begins").rowsBetween(Window.unboundedPreceding, 0)
+    d = r.unionByName(s, allowMissingColumns=True).withColumn("_open", F.max("_end").over(sweep))
+    return d.filter(F.expr("_begins = 0 and not coalesce(_at <= _open, false)")).select(*SECTOR, *[F.col(f"_r.{c}").alias(c) for c in names])

@@ -19,15 +19,22 @@ BLOCK = 128  # points that a sector meets together
 _PLACE = ("lat", "lon", "ele", "time_ms")
 
 
+def length_sectors(length: float, tail: str) -> Column:
+    """The sectors of ``split_by_length`` of a row with ``total_distance``, as an array."""
+    total = F.col("total_distance")
+    n = F.greatest(F.lit(1), F.ceil((total - 200) / length)).cast("int")
+
+    def one(k: Column) -> Column:
+        end = F.least(k * length + length, total)
+        end = F.when(k == n - 1, total).otherwise(end) if tail == "fold" else end
+        return F.struct(k.alias("sector_id"), (k * length).alias("start_m"), end.alias("end_m"))
+
+    return F.transform(F.sequence(F.lit(0), n - 1), one)
+
+
 def split_by_length(tracks: DataFrame, length: float = 1000.0, tail: str = "drop") -> DataFrame:
     """Sectors of a fixed length; a rest of up to 200 m is left out or folded into the last one (``tail``)."""
-    n = F.greatest(F.lit(1), F.ceil((F.col("total_distance") - 200) / length)).cast("int")
-    d = tracks.select("track_id", "total_distance", n.alias("n")).withColumn("sector_id", F.explode(F.expr("sequence(0, n - 1)")))
-    start = F.col("sector_id") * length
-    end = F.least(start + length, F.col("total_distance"))
-    if tail == "fold":
-        end = F.when(F.col("sector_id") == F.col("n") - 1, F.col("total_distance")).otherwise(end)
-    return d.select("track_id", "sector_id", start.alias("start_m"), end.alias("end_m"))
+    return tracks.select("track_id", F.inline(length_sectors(length, tail)))
 
 
 def normalize_sector(sectors: DataFrame, tracks: DataFrame, least: float = 5.0) -> DataFrame:
@@ -92,11 +99,12 @@ def sector_walk(points: DataFrame, sectors: DataFrame) -> DataFrame:
     """The steps of each sector: from its interpolated start over its points to its interpolated end.
 
     Row 0 stands for the point at or before the start; each later row closes a step (``seg_h``, ``d_ele``,
-    ``dt`` in seconds). Rows of points carry their readings; the last row is the sector's end and has none.
+    ``dt`` in seconds). Rows of points carry their readings (and zones, where points have them); the last row is the
+    sector's end and has none.
     ``moving`` marks timed steps of 0.5 km/h or more, ``paused`` those in a stop of ten seconds or more.
     """
     p = with_next(points)
-    cols = ["hr", "cad", "power", "temp", "speed", "recorded", "dd", "dt", "dz"]
+    cols = ["hr", "cad", "power", "temp", "speed", "recorded", "dd", "dt", "dz", *[c for c in ("next_hr", "zone", "next_zone") if c in p.columns]]
     p = p.select("track_id", F.col("seq").alias("vseq"), "cum_dist", F.col("ele").alias("v_ele"), F.col("time_ms").cast("double").alias("v_ms"), *[F.col(c).alias(f"v_{c}") for c in cols])
     s = located(points, sectors).withColumn("block", F.explode(F.expr(f"sequence(a.i div {BLOCK}, b.i div {BLOCK})")))
     d = s.join(p.withColumn("block", F.expr(f"vseq div {BLOCK}")), ["track_id", "block"]).filter("vseq between a.i and b.i")
@@ -323,9 +331,11 @@ def fastest_slowest_km(walk: DataFrame, window: float = 1000.0) -> DataFrame:
     """
     w = running(SECTOR, "step")
     d = walk.withColumn("_p", F.sum(F.when(F.col("paused"), F.col("to_ms") - F.col("from_ms")).otherwise(F.lit(0.0))).over(w))
-    here = d.select(*SECTOR, F.col("to_dist").alias("x"), F.col("step").alias("k"), F.struct(F.col("to_dist").alias("d"), F.col("to_ms").alias("t"), F.col("_p").alias("p"), "paused").alias("at"))
-    starts = d.select(*SECTOR, (F.col("to_dist") + window).alias("x"), F.lit(-1).alias("k"), F.struct(F.col("to_dist").alias("d"), F.col("to_ms").alias("t"), F.col("_p").alias("p"), "step").alias("begin"))
-    both = here.unionByName(starts, allowMissingColumns=True)
+    place = F.struct(F.col("to_dist").alias("d"), F.col("to_ms").alias("t"), F.col("_p").alias("p"), "paused", "step")
+    row = lambda x, k, at, begin: F.struct(x.alias("x"), k.alias("k"), at.alias("at"), begin.alias("begin"))
+    both = d.select(*SECTOR, "to_dist", "step", place.alias("place")).withColumn("no", F.when(F.lit(False), F.col("place")))
+    here = row(F.col("to_dist"), F.col("step"), F.col("place"), F.col("no"))
+    both = both.select(*SECTOR, F.inline(F.array(here, row(F.col("to_dist") + window, F.lit(-1), F.col("no"), F.col("place")))))
     before = Window.partitionBy(*SECTOR).orderBy("x", "k").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*SECTOR).orderBy(F.col("x").desc(), F.col("k").desc()).rowsBetween(Window.unboundedPreceding, -1)
     both = both.withColumn("lo", F.last("at", True).over(before)).withColumn("hi", F.last("at", True).over(after))
@@ -346,13 +356,23 @@ def effort_and_grade(horizontal: str = "horizontal_m") -> dict:
     return {"effort_distance": h + gain * 10, "avg_grade": F.when((h > 0) & ~((gain == 0) & (loss > 0)), gain / h)}
 
 
+def effort_distance(walk: DataFrame) -> DataFrame:
+    """Metres with climb, and the average grade."""
+    return aggregated(walk, _distance(), _fold()).withColumns(effort_and_grade()).select(*SECTOR, "effort_distance", "avg_grade")
+
+
+def sector_kind(walk: DataFrame) -> DataFrame:
+    """flat, climb, descent or mixed."""
+    return aggregated(walk, _fold(), _elevation()).select(*SECTOR, segment_type(F.col("gain"), F.col("loss"), F.col("net")).alias("kind"))
+
+
 def sector_metrics(points: DataFrame, sectors: DataFrame) -> DataFrame:
-    """All metrics of each sector, one row each.
+    """All metrics of each sector, one row each."""
+    return walk_metrics(stored(sector_walk(points, sectors), "walk"))
 
-    The walk is written to the shared folder once; aggregates and folds, cleaned series, and kilometres then each
-    read it in one pass.
-    """
-    walk = stored(sector_walk(points, sectors), "walk")
+
+def walk_metrics(walk: DataFrame) -> DataFrame:
+    """All metrics of each sector of a walk that is stored: aggregates and folds, cleaned series, and kilometres each read it in one pass."""
     found = aggregated(walk, _distance(), _fold(), _elevation(), _moving(), _times(), _temperature())
     for part in (_clean_stats(walk, "speed", "gap", "top", "hr", "cad", "power"), fastest_slowest_km(walk)):
         found = found.join(part, list(SECTOR), "left")

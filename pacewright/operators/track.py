@@ -30,10 +30,12 @@ def cum_distance(points: DataFrame, digits: int | None = None) -> DataFrame:
 
 
 def with_next(points: DataFrame) -> DataFrame:
-    """Adds the distance and seconds to the next point (``dd``, ``dt``; null at the end) and ``recorded`` for the track."""
+    """Adds the distance and seconds to the next point (``dd``, ``dt``; null at the end), its reading and zone where points
+    have them (``next_hr``, ``next_zone``), and ``recorded`` for the track."""
     w = ordered()
     d = points.withColumn("dd", F.lead("seg_m").over(w)).withColumn("dt", (F.lead("time_ms").over(w) - F.col("time_ms")) / 1000.0)
     d = d.withColumn("dz", F.lead("ele").over(w) - F.col("ele"))
+    d = d.withColumns({f"next_{c}": F.lead(c).over(w) for c in ("hr", "zone") if c in points.columns})
     return d.withColumn("recorded", F.max(F.coalesce(F.col("speed") >= 0, F.lit(False))).over(Window.partitionBy("track_id")))
 
 
@@ -129,26 +131,18 @@ def gap_speed_series(df: DataFrame) -> DataFrame:
 def grade_series(points: DataFrame) -> DataFrame:
     """(track_id, seq, grade) per point: rise over run of the open window, once it is 20 m long; it restarts at 50 m.
 
-    The restart depends on all points before, so this is a fold; it runs per track over arrays in Python.
+    Where windows restart depends on all points before, so that is a fold over a track's ordered points, inside the
+    JVM; it keeps nothing but the restarts. The points of each window then take their grade from the point at its base.
     """
-    import pandas as pd
-
-    def fold(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("seq")
-        grades, run, base = [], 0.0, None
-        for seg, ele in zip(track["seg_m"].to_numpy(), track["ele"].to_numpy(), strict=True):
-            if base is None:
-                base = ele
-                grades.append(None)
-                continue
-            run += seg
-            grades.append((ele - base) / run if run >= 20 else None)
-            if run >= 50:
-                run, base = 0.0, ele
-        return pd.DataFrame({"track_id": track["track_id"], "seq": track["seq"], "grade": pd.array(grades, dtype="float64")})
-
-    kind = points.schema["track_id"].dataType.simpleString()
-    return points.select("track_id", "seq", "seg_m", "ele").groupBy("track_id").applyInPandas(fold, f"track_id {kind}, seq int, grade double")
+    d = points.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("cum_dist").alias("x"), "ele"))).alias("ps"))
+    # the place in ``ps`` of each window's base: the first point, then every restart
+    zero = "named_struct('i', 0, 'base', ps[0].x, 'at', array(0))"
+    step = "(s, p) -> named_struct('i', s.i + 1, 'base', if(p.x - s.base >= 50, p.x, s.base), 'at', if(p.x - s.base >= 50, array_append(s.at, s.i + 1), s.at))"
+    d = d.select("track_id", "ps", F.expr(f"aggregate(slice(ps, 2, size(ps)), {zero}, {step}).at").alias("at"))
+    window = "slice(ps, at[k] + 2, coalesce(get(at, k + 1), size(ps) - 1) - at[k])"
+    grade = "if(p.x - ps[at[k]].x >= 20, (p.ele - ps[at[k]].ele) / (p.x - ps[at[k]].x), null)"
+    each = f"flatten(transform(sequence(0, size(at) - 1), k -> transform({window}, p -> named_struct('seq', p.seq, 'grade', {grade}))))"
+    return d.select("track_id", F.inline(F.expr(f"concat(array(named_struct('seq', ps[0].seq, 'grade', cast(null as double))), {each})")))
 
 
 def grade_reading(series: DataFrame) -> DataFrame:

@@ -70,11 +70,29 @@ def migrate_hr_settings(old: DataFrame) -> DataFrame:
     return d.withColumns({f"{c}_bounds": F.when(F.col("error").isNull(), F.col(f"{c}_bounds")).otherwise(F.array(*map(F.lit, b))) for c, b in DEFAULT_BOUNDS.items()})
 
 
+def _keys(zones: DataFrame) -> list[str]:
+    """What settings are kept by: all columns but those of a zone."""
+    return [c for c in zones.columns if c not in ("zone", "lo", "hi")]
+
+
+def _in_bounds(bounds: str, value: str) -> str:
+    """SQL of the zone of ``value`` among ``bounds`` (lo, hi, zone) in rising order: the last that begins at or below it."""
+    last = f"try_element_at({bounds}, greatest(1, size(filter({bounds}, b -> b.lo <= {value}))))"
+    return f"if({value} is null or {bounds} is null, null, if({last}.lo <= {value} and ({last}.hi is null or {value} < {last}.hi), {last}.zone, 0))"
+
+
 def classify_hr_zone(readings: DataFrame, zones: DataFrame, hr: str = "hr") -> DataFrame:
     """Adds ``zone``: 1 to 5, 0 below the first, null without a reading.
 
-    A setting has five zones; their bounds become one expression. More than five rows are an error.
+    A range join by key: zones have the columns of a zone (zone, lo, hi) and those that settings are kept by (the
+    track, the athlete), which readings have too. The zones of a key become one sorted array, which meets the readings
+    of that key in an equi-join and is searched there. Readings whose key has no settings have no zone. Zones without a
+    key are one setting for all: five rows, more are an error.
     """
+    keys = _keys(zones)
+    if keys:
+        each = zones.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "zone"))).alias("_bounds"))
+        return readings.join(each, keys, "left").withColumn("zone", F.expr(_in_bounds("_bounds", f"`{hr}`"))).drop("_bounds")
     rows = zones.select("zone", "lo", "hi").limit(6).collect()
     if len(rows) > 5:
         raise ValueError("zones of one setting are five rows at most")
@@ -82,24 +100,21 @@ def classify_hr_zone(readings: DataFrame, zones: DataFrame, hr: str = "hr") -> D
     return readings.withColumn("zone", F.when(F.col(hr).isNotNull(), F.coalesce(*found, F.lit(0))))
 
 
-def hr_zone_time(walk: DataFrame, zones: DataFrame) -> DataFrame:
-    """Seconds of each sector by the zone of a step's end point; outside pauses. A sector without readings gives no row."""
-    nearest = F.when(F.col("kind") != "end", F.col("v_hr")).when(F.col("end_t") < 0.5, F.col("v_hr")).otherwise(F.col("next_hr"))
-    d = walk.withColumn("hr", nearest).filter("timed")
+def hr_zone_time(walk: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    """Seconds of each sector by the zone of a step's end point; outside pauses. A sector without readings gives no row.
+
+    Where the walk's points were classified before, their zones are taken; else ``zones`` classify the walk.
+    """
+    nearest = lambda own, ahead: F.when((F.col("kind") != "end") | (F.col("end_t") < 0.5), F.col(own)).otherwise(F.col(ahead))
+    d = walk.withColumn("hr", nearest("v_hr", "v_next_hr")).filter("timed")
     d = d.withColumn("had", F.max(F.col("hr").isNotNull()).over(Window.partitionBy(*SECTOR))).filter("had")
-    d = classify_hr_zone(d, zones)
+    d = classify_hr_zone(d, zones) if zones is not None else d.withColumn("zone", nearest("v_zone", "v_next_zone"))
     out = F.when(~F.col("paused"), F.col("dt"))
     sums = {"moving_s": out, "paused_s": F.when(F.col("paused"), F.col("dt")), "no_hr_s": F.when(F.col("hr").isNull(), out), "below_s": F.when(F.col("zone") == 0, out)}
     sums |= {f"z{k}_s": F.when(F.col("zone") == k, out) for k in range(1, 6)}
     return d.groupBy(*SECTOR).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in sums.items()])
 
 
-def with_next_hr(walk: DataFrame, points: DataFrame) -> DataFrame:
-    """Adds ``next_hr``, the reading of the point after each row's."""
-    following = points.select("track_id", (F.col("seq") - 1).alias("vseq"), F.col("hr").alias("next_hr"))
-    return walk.join(following, ["track_id", "vseq"], "left")
-
-
 def zone_share_pct(times: DataFrame) -> DataFrame:
     counted = F.col("moving_s") - F.col("below_s")
     return times.withColumns({f"z{k}_pct": F.when(counted > 0, F.round(F.col(f"z{k}_s") / counted * 100)).otherwise(F.lit(0.0)).cast("int") for k in range(1, 6)})

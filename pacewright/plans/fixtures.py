@@ -52,8 +52,9 @@ def terrain(points: DataFrame) -> DataFrame:
     return pixels.select("gx", "gy", (code / 256).cast("int").alias("r"), (code % 256).cast("int").alias("g"), F.lit(0).alias("b"))
 
 
-def zones(spark: SparkSession, bounds: list[float] = ZONE_BOUNDS) -> DataFrame:
-    """(zone, lo, hi) of five lower bounds; the last zone is open."""
+def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(track_id, zone, lo, hi): each track's own zones, four settings in turn; the last zone is open."""
     from pacewright.operators.zones import zone_bounds
 
-    return zone_bounds(spark.createDataFrame([(bounds,)], "bounds array<double>"))
+    tracks = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("track_id")).distinct()
+    return zone_bounds(tracks.select("track_id", F.array(*[F.lit(b) + F.col("track_id") % 4 * 7 for b in ZONE_BOUNDS]).alias("bounds")))

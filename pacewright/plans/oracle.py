@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pacewright.operators.dual import PARTNERS
-from pacewright.operators.export import CATALOGUE, UNAVAILABLE, ZONES
+from pacewright.operators.export import CATALOGUE, NO_HR, UNAVAILABLE, ZONES
 from pacewright.operators.landmarks import GATES, POI_CLASSES, TILE_CLASSES
 from pacewright.plans.fixtures import TRACK_POINTS_SQL, ZONE_BOUNDS
 from pacewright.plans.queries import DIGITS, places
@@ -199,8 +199,8 @@ CHAIN = {
     "req": "SELECT track_id, k, f * total_distance AS d FROM tr, (VALUES (0, -1.0), (1, 0.0), (2, 0.123), (3, 0.5), (4, 0.777), (5, 1.0), (6, 2.0)) v(k, f)",
     "reqs": located("req", "k"),
     "gappy": "SELECT * REPLACE (CASE WHEN seq < 3 OR seq % 41 IN (7, 8, 9) OR seq > 520 THEN NULL ELSE ele END AS ele) FROM p",
-    "zn": "SELECT k AS zone, lo, lead(lo) OVER (ORDER BY k) AS hi FROM (VALUES " + ", ".join(f"({k + 1}, {b})" for k, b in enumerate(ZONE_BOUNDS)) + ") v(k, lo)",
-    "zt": "SELECT track_id, sector_id, dt, paused, h AS hr, (SELECT coalesce(max(zone), 0) FROM zn WHERE lo <= h) AS zone, max(h IS NOT NULL) OVER (PARTITION BY track_id, sector_id) AS had FROM (SELECT *, CASE WHEN kind <> 'end' OR end_t < 0.5 THEN v_hr ELSE next_hr END AS h FROM wk WHERE timed)",
+    "zn": "SELECT track_id, k AS zone, lo + track_id % 4 * 7 AS lo FROM tr, (VALUES " + ", ".join(f"({k + 1}, {b})" for k, b in enumerate(ZONE_BOUNDS)) + ") v(k, lo)",
+    "zt": "SELECT track_id, sector_id, dt, paused, h AS hr, (SELECT coalesce(max(zone), 0) FROM zn WHERE lo <= h AND zn.track_id = z.track_id) AS zone, max(h IS NOT NULL) OVER (PARTITION BY track_id, sector_id) AS had FROM (SELECT *, CASE WHEN kind <> 'end' OR end_t < 0.5 THEN v_hr ELSE next_hr END AS h FROM wk WHERE timed) z",
     "ztime": "SELECT track_id, sector_id, coalesce(sum(CASE WHEN NOT paused THEN dt END), 0) AS moving_s, coalesce(sum(CASE WHEN paused THEN dt END), 0) AS paused_s, coalesce(sum(CASE WHEN NOT paused AND hr IS NULL THEN dt END), 0) AS no_hr_s, coalesce(sum(CASE WHEN NOT paused AND hr IS NOT NULL AND zone = 0 THEN dt END), 0) AS below_s, " + ", ".join(f"coalesce(sum(CASE WHEN NOT paused AND hr IS NOT NULL AND zone = {k} THEN dt END), 0) AS z{k}_s" for k in range(1, 6)) + " FROM zt WHERE had GROUP BY 1, 2",
     "sp": speeds("pn", "PARTITION BY track_id", "seq"),
     "gw0": "SELECT track_id, sector_id, list({'h': seg_h, 'e': to_ele, 'v': vseq, 'acc': 0.0, 'we': 0.0, 'o': [{'v': CAST(-1 AS BIGINT), 'g': 0.0}]} ORDER BY step) FILTER (WHERE step > 0) AS steps, max(CASE WHEN step = 0 THEN to_ele END) AS e0 FROM wk GROUP BY 1, 2",
@@ -261,7 +261,7 @@ METRICS = f"""SELECT {KEYS}, horizontal_m, distance_3d, gain, loss, max_grade, m
 
 PAIRS = ", ".join(f"('{x}', '{y}')" for x, ys in PARTNERS.items() for y in ys)
 SHARES = ", ".join(f"CASE WHEN moving_s - below_s > 0 THEN CAST(round(z{k}_s / (moving_s - below_s) * 100) AS BIGINT) ELSE 0 END AS z{k}_pct" for k in range(1, 6))
-ZONE_ROWS = ", ".join(f"{{'place': {len(CATALOGUE) + k}, 'group': '{ZONES}', 'label': 'Zone {k}', 'value': CASE WHEN z.moving_s IS NULL THEN '{UNAVAILABLE}' ELSE '{int(lo)}" + (f"–{int(ZONE_BOUNDS[k]) - 1}" if k < 5 else "+") + f" bpm, ' || CASE WHEN z.moving_s - z.below_s > 0 THEN CAST(round(z.z{k}_s / (z.moving_s - z.below_s) * 100) AS BIGINT) ELSE 0 END || '%, ' || {clock(f'z.z{k}_s')} END}}" for k, lo in enumerate(ZONE_BOUNDS, 1))
+ZONE_ROWS = ", ".join(f"{{'place': {len(CATALOGUE) + k}, 'group': '{ZONES}', 'label': 'Zone {k}', 'value': CASE WHEN z.moving_s IS NULL THEN '{NO_HR}' ELSE {int(lo)} + m.track_id % 4 * 7 || '" + (f"–' || {int(ZONE_BOUNDS[k]) - 1} + m.track_id % 4 * 7 || '" if k < 5 else "+") + f" bpm, ' || CASE WHEN z.moving_s - z.below_s > 0 THEN CAST(round(z.z{k}_s / (z.moving_s - z.below_s) * 100) AS BIGINT) ELSE 0 END || '%, ' || {clock(f'z.z{k}_s')} END}}" for k, lo in enumerate(ZONE_BOUNDS, 1))
 METRIC_ROWS = ", ".join(f"{{'place': {k + 1}, 'group': '{g}', 'label': '{n}', 'value': coalesce({shown(kind, 'm.' + c)}, '{UNAVAILABLE}')}}" for k, (g, n, c, kind) in enumerate(CATALOGUE))
 LONG = f"SELECT track_id, sector_id, r.place AS place, r.group AS \"group\", r.label AS label, r.value AS value FROM (SELECT m.track_id, m.sector_id, unnest([{METRIC_ROWS}, {ZONE_ROWS}]) AS r FROM ({METRICS}) m LEFT JOIN ztime z ON z.track_id = m.track_id AND z.sector_id = m.sector_id)"
 FORMATS = {"distance": ("distance", "floor(cum_dist) + 0.26"), "far": ("distance", "(floor(cum_dist) + 0.26) * 40"), "elevation": ("elevation", "floor(ele) + 0.26"), "signed": ("signed", "floor(ele) + 0.26 - 1000"), "speed": ("speed", "CAST(seq AS DOUBLE) / 32 + 0.013"), "pace": ("pace", "floor(cad) * 5.0 + 0.26"), "vam": ("vam", "cad * 11 + 0.26"), "temp": ("temp", "temp + 0.26"), "grade": ("grade", "CAST(seq - 300 AS DOUBLE) / 1000 + 0.00013"), "bpm": ("bpm", "hr"), "power": ("power", "power")}
@@ -341,7 +341,7 @@ FINAL: dict[str, str] = {
     "scan_detect_format": "SELECT 'f' || track_id || '-' || seq || CASE WHEN seq % 60 >= 30 THEN '.TCX' ELSE '' END AS path, CASE WHEN seq % 60 >= 30 THEN 'tcx' ELSE ['gpx', 'kmz', 'kml', 'tcx', 'fit', 'unsupported'][seq % 6 + 1] END AS format FROM p",
     "scan_device_records": f"SELECT CAST(track_id AS VARCHAR) AS doc, seq, lat, lon, fixed AS ele, hr, cad, v AS speed FROM ({interpolated('(SELECT * REPLACE (CASE WHEN seq % 8 <> 1 THEN ele END AS ele), coalesce(speed, 1.25 + seq % 3 * 0.1) AS v FROM p WHERE seq % 29 <> 3)', 'PARTITION BY track_id', 'seq', 'ele')})",
     "sink_metrics_long": LONG,
-    "sink_metrics_csv": f"SELECT label, value, count(*) AS n FROM ({LONG}) GROUP BY 1, 2",
+    "sink_metrics_csv": f"SELECT track_id, sector_id, label, value FROM ({LONG})",
     "sink_metrics_txt": f"SELECT track_id, sector_id, string_agg(label || chr(9) || value, chr(10) ORDER BY place) AS text FROM ({LONG}) GROUP BY 1, 2",
     "sink_metrics_md": f"""SELECT track_id, sector_id, string_agg('## ' || g || chr(10) || chr(10) || '| Metric | Value |' || chr(10) || '| --- | --- |' || chr(10) || rows, chr(10) || chr(10) ORDER BY place) AS text FROM (SELECT track_id, sector_id, "group" AS g, min(place) AS place, string_agg('| ' || label || ' | ' || value || ' |', chr(10) ORDER BY place) AS rows FROM ({LONG}) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
     "stream_pauses": "SELECT track_id, min(before) AS t0_us, max(us) AS t1_us, sum(dt) AS seconds FROM ev2 WHERE before IS NOT NULL AND NOT moving GROUP BY track_id, island HAVING sum(dt) >= 10",
@@ -363,9 +363,9 @@ FINAL: dict[str, str] = {
     "thin_stride": "SELECT track_id, seq FROM (SELECT track_id, seq, count(*) OVER (PARTITION BY track_id) AS n FROM p) WHERE seq % CAST(ceil(n / 100.0) AS BIGINT) = 0 OR seq = n - 1",
     "concat_segments": "SELECT CAST(track_id AS VARCHAR) AS doc, 3 - seq // 200 AS part, seq AS place, row_number() OVER (PARTITION BY track_id ORDER BY 3 - seq // 200, seq) - 1 AS seq, ele FROM p",
     "point_at_distance": "SELECT track_id, k, d, i, t, lat, lon, ele, time_ms, dist FROM reqs",
-    "probe_reading": f"SELECT q.track_id, k, q.ele, n.hr, CASE WHEN n.hr IS NOT NULL THEN (SELECT coalesce(max(zone), 0) FROM zn WHERE lo <= n.hr) END AS zone, n.cad, n.power, n.temp, n.clean_speed AS speed, CASE WHEN n.clean_speed > 0 THEN 1000 / n.clean_speed END AS pace, CASE WHEN n.dd > 0 AND n.clean_speed > 0 THEN 1000 / (n.clean_speed / {minetti('(n.dz / n.dd)')}) END AS gap, g.reading AS grade FROM reqs q LEFT JOIN sp n ON n.track_id = q.track_id AND n.seq = q.i + CASE WHEN q.t < 0.5 THEN 0 ELSE 1 END LEFT JOIN gr g ON g.track_id = n.track_id AND g.seq = n.seq",
+    "probe_reading": f"SELECT q.track_id, k, q.ele, n.hr, CASE WHEN n.hr IS NOT NULL THEN (SELECT coalesce(max(zone), 0) FROM zn WHERE lo <= n.hr AND zn.track_id = q.track_id) END AS zone, n.cad, n.power, n.temp, n.clean_speed AS speed, CASE WHEN n.clean_speed > 0 THEN 1000 / n.clean_speed END AS pace, CASE WHEN n.dd > 0 AND n.clean_speed > 0 THEN 1000 / (n.clean_speed / {minetti('(n.dz / n.dd)')}) END AS gap, g.reading AS grade FROM reqs q LEFT JOIN sp n ON n.track_id = q.track_id AND n.seq = q.i + CASE WHEN q.t < 0.5 THEN 0 ELSE 1 END LEFT JOIN gr g ON g.track_id = n.track_id AND g.seq = n.seq",
     "dist_to_time": "SELECT track_id, k, time_ms FROM reqs",
-    "classify_hr_zone": "SELECT track_id, seq, CASE WHEN hr IS NOT NULL THEN (SELECT coalesce(max(zone), 0) FROM zn WHERE lo <= hr) END AS zone FROM p",
+    "classify_hr_zone": "SELECT track_id, seq, CASE WHEN hr IS NOT NULL THEN (SELECT coalesce(max(zone), 0) FROM zn WHERE lo <= hr AND zn.track_id = p.track_id) END AS zone FROM p",
     "pair_filter": f"SELECT * FROM (SELECT track_id, seq, {QUANT}[seq // 9 % 9 + 1] AS x_name, {QUANT}[seq % 9 + 1] AS y_name FROM p) WHERE (x_name, y_name) IN ({PAIRS})",
     "dem_sample": "SELECT track_id, seq, dem_ele FROM ds",
     "dem_tiles_needed": "SELECT DISTINCT gx // 512 AS tx, gy // 512 AS ty FROM corner",

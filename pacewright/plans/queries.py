@@ -13,6 +13,7 @@ from pacewright.functions import geo, text
 from pacewright.operators import dual, elevation, export, landmarks, lookup, sector, splits, track, zones
 from pacewright.plans import fixtures
 from pacewright.sources import activity
+from pacewright.sources.layout import laid_by_track, write_by_track
 from pacewright.sources.scratch import shared_folder, stored
 from pacewright.streaming import live
 
@@ -52,14 +53,30 @@ class Base:
 
     @cached_property
     def sectors(self) -> DataFrame:
+        """Kilometres, two parts by share, and a short one, of each track."""
         parts = [(1001, 0.10, 0.37), (1002, 0.37, 0.81), (1003, 0.50, 0.502)]
-        off = [self.tracks.select("track_id", F.lit(k).alias("sector_id"), (F.col("total_distance") * a).alias("start_m"), (F.col("total_distance") * b).alias("end_m")) for k, a, b in parts]
-        return sector.split_by_length(self.tracks, tail="fold").unionByName(off[0]).unionByName(off[1]).unionByName(off[2])
+        more = [F.struct(F.lit(k).alias("sector_id"), (F.col("total_distance") * a).alias("start_m"), (F.col("total_distance") * b).alias("end_m")) for k, a, b in parts]
+        return self.tracks.select("track_id", F.inline(F.concat(sector.length_sectors(1000.0, "fold"), F.array(*more))))
+
+    def lay(self) -> Base:
+        """From here on points are read from a table laid out by track."""
+        self.points = laid_by_track(self.points, "points")
+        return self
 
     @cached_property
     def walk(self) -> DataFrame:
+        self.lay()
         return sector.sector_walk(self.points, self.sectors)
 
+    @cached_property
+    def stored_walk(self) -> DataFrame:
+        return stored(self.walk, "walk")
+
+    @cached_property
+    def zoned_walk(self) -> DataFrame:
+        self.lay()
+        return sector.sector_walk(zones.classify_hr_zone(self.points, self.zones), self.sectors)
+
     @cached_property
     def requests(self) -> DataFrame:
         return self.tracks.select("track_id", F.inline(F.expr("transform(array(-1D, 0D, 0.123D, 0.5D, 0.777D, 1D, 2D), (f, k) -> named_struct('k', k, 'd', f * total_distance))")))
@@ -74,7 +91,7 @@ class Base:
 
     @cached_property
     def zones(self) -> DataFrame:
-        return fixtures.zones(self.spark)
+        return fixtures.zones(self.spark, self.sf_dir)
 
     @cached_property
     def gaps(self) -> DataFrame:
@@ -322,20 +339,20 @@ def _tracks(b: Base) -> dict[str, Callable[[], DataFrame]]:
 def _sectors(b: Base) -> dict[str, Callable[[], DataFrame]]:
     m = F.col
     shared = [c for c in ("track_id", "sector_id")]
-    metrics = lambda: sector.sector_metrics(b.points, b.sectors)
-    hr_walk = lambda: zones.with_next_hr(b.walk, b.points)
-    spans = lambda: sector.pause_spans(b.walk)
+    metrics = lambda: sector.walk_metrics(b.stored_walk)
+    spans = lambda: sector.pause_spans(b.stored_walk)
 
     def segments() -> DataFrame:
-        parts = stored(splits.split_by_waypoint(b.resolved, b.tracks), "segments")
-        times = zones.hr_zone_time(zones.with_next_hr(sector.sector_walk(b.points, parts), b.points), b.zones)
-        return sector.sector_metrics(b.points, parts).join(times.drop("moving_s"), shared, "left")
+        b.lay()
+        parts = splits.split_by_waypoint(b.resolved, b.tracks)
+        walk = stored(sector.sector_walk(zones.classify_hr_zone(b.points, b.zones), parts), "walk")
+        return sector.walk_metrics(walk).join(zones.hr_zone_time(walk).drop("moving_s"), shared, "left")
 
     return {
         "sector_walk": lambda: b.walk.filter("step > 0").select(*shared, "step", "to_dist", "to_ele", "to_ms", "seg_h", "d_ele", "dt"),
-        "pause_spans": spans,
+        "pause_spans": lambda: sector.pause_spans(b.walk),
         "pause_mask": lambda: b.walk.filter("kind = 'point'").select(*shared, "vseq", "paused"),
-        "pause_overlap": lambda: lookup.pause_overlap(b.walk.filter("kind <> 'end'").select(*shared, "vseq", F.when(m("kind") == "point", m("to_ms")).otherwise(-1.0).alias("ms")), spans()).select(*shared, "vseq"),
+        "pause_overlap": lambda: lookup.pause_overlap(b.stored_walk.filter("kind <> 'end'").select(*shared, "vseq", F.when(m("kind") == "point", m("to_ms")).otherwise(-1.0).alias("ms")), spans()).select(*shared, "vseq"),
         "sector_distance": lambda: sector.sector_distance(b.walk),
         "sector_gain_loss": lambda: sector.sector_gain_loss(b.walk),
         "sector_elevation": lambda: sector.sector_elevation(b.walk),
@@ -348,13 +365,13 @@ def _sectors(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "fitness_stats": lambda: sector.fitness_stats(b.walk),
         "temp_stats": lambda: sector.temp_stats(b.walk),
         "fastest_slowest_km": lambda: sector.fastest_slowest_km(b.walk),
-        "effort_distance": lambda: sector.sector_distance(b.walk).join(sector.sector_gain_loss(b.walk), shared).withColumns(sector.effort_and_grade()).select(*shared, "effort_distance", "avg_grade"),
-        "segment_type": lambda: sector.sector_gain_loss(b.walk).join(sector.sector_elevation(b.walk), shared).select(*shared, geo.segment_type(m("gain"), m("loss"), m("net")).alias("kind")),
+        "effort_distance": lambda: sector.effort_distance(b.walk),
+        "segment_type": lambda: sector.sector_kind(b.walk),
         "sector_metrics": metrics,
         "track_stats": lambda: sector.track_stats(b.points, b.tracks),
         "sector_leaderboard": lambda: sector.sector_leaderboard(metrics()),
-        "hr_zone_time": lambda: zones.hr_zone_time(hr_walk(), b.zones),
-        "zone_share_pct": lambda: zones.zone_share_pct(zones.hr_zone_time(hr_walk(), b.zones)).select(*shared, *[f"z{k}_pct" for k in range(1, 6)]),
+        "hr_zone_time": lambda: zones.hr_zone_time(b.zoned_walk),
+        "zone_share_pct": lambda: zones.zone_share_pct(zones.hr_zone_time(b.zoned_walk)).select(*shared, *[f"z{k}_pct" for k in range(1, 6)]),
         "split_by_length": lambda: sector.split_by_length(b.tracks),
         "split_by_length_drop": lambda: sector.split_by_length(b.tracks, tail="drop"),
         "split_by_length_fold": lambda: sector.split_by_length(b.tracks, tail="fold"),
@@ -385,7 +402,7 @@ def _elevation(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "dedup_landmarks": lambda: landmarks.dedup_landmarks(b.marks.withColumn("pos", F.col("response_id") * 10000 + F.col("pos"))).select("key", "pos"),
         "merge_landmarks": lambda: landmarks.merge_landmarks(*[landmarks.dedup_landmarks(b.marks.withColumn("pos", F.col("response_id") * 10000 + F.col("pos")).filter(f"response_id % 2 = {k}")).select("key", "class", "pos") for k in (0, 1)]),
         "landmark_features": lambda: landmarks.landmark_features(b.shown),
-        "landmarks_near_track": lambda: lookup.nearest_on_track(b.marks.select(F.col("response_id").alias("track_id"), F.col("pos").alias("wp_seq"), "class", "lat", "lon"), b.points).filter("off_track <= 250").select("track_id", "wp_seq", "class", "dist", "off_track"),
+        "landmarks_near_track": lambda: lookup.nearest_on_track(b.marks.select(F.col("response_id").alias("track_id"), F.col("pos").alias("wp_seq"), "class", "lat", "lon"), b.points, 250.0).select("track_id", "wp_seq", "class", "dist", "off_track"),
     }
 
 
@@ -395,8 +412,9 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
     own = lambda d: d.withColumn("doc", F.regexp_extract("doc", "file_key=([0-9]+)", 1))
 
     def long() -> DataFrame:
-        walk = sector.sector_walk(b.points, b.whole)
-        return export.metrics_long(sector.sector_metrics(b.points, b.whole), zones.hr_zone_time(zones.with_next_hr(walk, b.points), b.zones), b.zones)
+        b.lay()
+        walk = stored(sector.sector_walk(zones.classify_hr_zone(b.points, b.zones), b.whole), "walk")
+        return export.metrics_long(sector.walk_metrics(walk), zones.hr_zone_time(walk), b.zones, b.tracks)
 
 
     def mixed_files() -> DataFrame:
@@ -406,7 +424,7 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
     def csv() -> DataFrame:
         path = b.folder("csv")
         export.write_metrics_csv(long(), path)
-        return b.spark.read.option("quote", '"').option("escape", '"').option("lineSep", "\r\n").schema("label string, value string").csv(path).groupBy("label", "value").agg(F.count("*").alias("n"))
+        return export.read_metrics_csv(b.spark, path)
 
     def texts(documents: DataFrame, column: str) -> DataFrame:
         path = b.folder(column)
@@ -415,8 +433,7 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
 
     def parquet() -> DataFrame:
         path = b.folder("table")
-        export.write_parquet(b.tracks.select("track_id", "point_count", "total_distance"), path, 8)
-        return b.spark.read.parquet(path).select("track_id", "point_count", "total_distance")
+        return write_by_track(b.tracks.select("track_id", "point_count", "total_distance"), path.rsplit("/", 1)[1].replace("-", "_"), path, 8)
 
     def errors() -> DataFrame:
         """Files of six kinds: whole, unsupported, broken XML, one point, an archive without KML, a broken archive."""
