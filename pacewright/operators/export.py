@@ -118,8 +118,10 @@ def metrics_long(metrics: DataFrame, zone_times: DataFrame | None = None, zones:
     ``zones`` are one setting for all or kept by track, as in ``classify_hr_zone``. Where a sector has no times in zones,
     their rows say why: no heart rate, or, by the flags of ``tracks`` if given, no time.
     """
-    rows = [F.struct(F.lit(k + 1).alias("place"), F.lit(g).alias("group"), F.lit(n).alias("label"), F.coalesce(_shown(F.col(m).cast("double"), imperial)[kind], F.lit(UNAVAILABLE)).alias("value")) for k, (g, n, m, kind) in enumerate(CATALOGUE)]
-    long = metrics.select(*SECTOR, F.inline(F.array(*rows)))
+    rows = [F.struct(F.lit(k + 1).alias("place"), F.lit(g).alias("group"), F.lit(n).alias("label"), F.lit(kind).alias("kind"), F.col(m).cast("double").alias("v")) for k, (g, n, m, kind) in enumerate(CATALOGUE)]
+    # one row each first, so that a kind's format stands in the plan once
+    shown = F.coalesce(*[F.when(F.col("kind") == kind, c) for kind, c in _shown(F.col("v"), imperial).items()], F.lit(UNAVAILABLE))
+    long = metrics.select(*SECTOR, F.inline(F.array(*rows))).select(*SECTOR, "place", "group", "label", shown.alias("value"))
     if zone_times is None:
         return long
     keys = [c for c in zones.columns if c not in ("zone", "lo", "hi")]

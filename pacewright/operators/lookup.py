@@ -65,19 +65,13 @@ def nearest_on_track(probes: DataFrame, points: DataFrame, within: float | None
             found.append(_nearest(rest, p, None))
     d = reduce(DataFrame.unionByName, found)
 
-    def onto(a: str, b: str):
-        ax, ay = F.col(f"{a}.lon") * F.col("v.sx"), F.col(f"{a}.lat") * metre
-        vx, vy = F.col(f"{b}.lon") * F.col("v.sx") - ax, F.col(f"{b}.lat") * metre - ay
-        px, py = F.col("q.lon") * F.col("v.sx") - ax, F.col("q.lat") * metre - ay
-        length = vx * vx + vy * vy
-        t = F.when(length > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (px * vx + py * vy) / length))).otherwise(F.lit(0.0))
-        ex, ey = px - t * vx, py - t * vy
-        lat, lon = (F.col(f"{a}.{c}") + t * (F.col(f"{b}.{c}") - F.col(f"{a}.{c}")) for c in ("lat", "lon"))
-        return F.struct((ex * ex + ey * ey).alias("d2"), (F.col(f"{a}.d") + t * (F.col(f"{b}.d") - F.col(f"{a}.d"))).alias("dist"), lat.alias("lat"), lon.alias("lon"))
-
-    d = d.withColumns({"_b": F.when(F.col("v.before").isNotNull(), onto("v.before", "v.p")), "_a": F.when(F.col("v.after").isNotNull(), onto("v.p", "v.after"))})
-    first = F.col("_b").isNotNull() & (F.col("_a").isNull() | (F.col("_b.d2") <= F.col("_a.d2")))
-    d = d.withColumn("_r", F.when(first, F.col("_b")).otherwise(F.col("_a")))
+    # of the two segments at the vertex the nearer one, the one before it first; positions in metres from the segment's beginning
+    segments = "filter(array(named_struct('k', 0, 'a', v.before, 'b', v.p), named_struct('k', 1, 'a', v.p, 'b', v.after)), s -> s.a is not null and s.b is not null)"
+    flat = f"transform({segments}, s -> named_struct('k', s.k, 'a', s.a, 'b', s.b, 'vx', (s.b.lon - s.a.lon) * v.sx, 'vy', (s.b.lat - s.a.lat) * {metre}D, 'px', (q.lon - s.a.lon) * v.sx, 'py', (q.lat - s.a.lat) * {metre}D))"
+    share = f"transform({flat}, s -> named_struct('s', s, 't', if(s.vx * s.vx + s.vy * s.vy > 0, least(1D, greatest(0D, (s.px * s.vx + s.py * s.vy) / (s.vx * s.vx + s.vy * s.vy))), 0D)))"
+    off = "(x.s.px - x.t * x.s.vx) * (x.s.px - x.t * x.s.vx) + (x.s.py - x.t * x.s.vy) * (x.s.py - x.t * x.s.vy)"
+    at = ", ".join(f"'{name}', x.s.a.{c} + x.t * (x.s.b.{c} - x.s.a.{c})" for name, c in (("dist", "d"), ("lat", "lat"), ("lon", "lon")))
+    d = d.withColumn("_r", F.expr(f"array_min(transform({share}, x -> named_struct('d2', {off}, 'k', x.s.k, {at})))"))
     d = d.select("track_id", *[F.col(f"q.{c}").alias(c) for c in names], F.col("_r.dist").alias("dist"), haversine(F.col("q.lat"), F.col("q.lon"), F.col("_r.lat"), F.col("_r.lon")).alias("off_track"))
     return d if within is None else d.filter(F.col("off_track") <= within)
 
