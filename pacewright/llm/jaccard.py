@@ -23,8 +23,12 @@ shared key decides.
 
 Lists are not expanded into pairs. Each member is compared with one leader of its list; lists whose
 members are then all in one component are done. Others get a leader out of their smallest component,
-some times over; pairs still open then are listed, without those that the distances to the list's
-first leader rule out (Jaccard distance is a metric). Every comparison counts the shared shingles.
+some times over. What is still open then (texts of one template, say, that share much and yet not enough) is
+compared by sketches: a set's sketch has a bit for each of 4096 ranges of hashes, and every bit that one sketch
+has more than the other stands for an element that is not shared, so two sketches bound what two sets can share. Members
+are dealt into blocks of about 256, each pair of blocks is a group of its own, and only pairs that the bound
+leaves are handed on. Lists that overlap are taken together where that makes fewer pairs than one by one. Every
+comparison of the pairs handed on counts the shared shingles.
 
 Ids are whole numbers (others fail as Spark's cast does). Null ids link with nothing (component null); texts without
 words have an empty set and link with nothing. Documents are told apart by their sets, not their ids, so rows that
@@ -49,6 +53,7 @@ from pacewright.llm.textgrid import mixed, set_hash, shingle_sets
 FLUSH, SEEN = 1 << 20, 200_000
 REPEATED_BITS, COMMON_BITS, COMMON_FROM, WANTED_BITS, MOST_GROUP_BITS = 26, 21, 64, 24, 20
 STAR_ROUNDS = 1
+SKETCH_BITS, BLOCK = 12, 256
 
 
 def _frequencies(given: DataFrame, bucket_bits: int) -> DataFrame:
@@ -174,8 +179,15 @@ def _slot() -> Column:
     return F.pmod(F.xxhash64("id", "body"), F.lit(1 << WANTED_BITS))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """One bit for each range of hashes that the set has an element in."""
+    bits = np.zeros(1 << SKETCH_BITS, dtype=bool)
+    bits[s >> np.uint64(64 - SKETCH_BITS)] = True
+    return np.packbits(bits).tobytes()
+
+
 def _sets(given: DataFrame, send: Broadcast) -> DataFrame:
-    """(id, body, class, elements) of the documents whose slot is wanted."""
+    """(id, body, class, elements, sketch) of the documents whose slot is wanted."""
     slots = given.withColumn("slot", _slot())
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,23 +195,65 @@ def _sets(given: DataFrame, send: Broadcast) -> DataFrame:
         for batch in batches:
             slot = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
             batch = batch.filter(pa.array(((table[slot >> 5] >> (slot & 31)) & 1).astype(bool)))
-            held, kinds, elements, row = 0, [], [], 0
+            held, kinds, elements, sketches, row = 0, [], [], [], 0
 
             def flushed(batch=batch) -> pa.RecordBatch:
                 own = [batch.column(k).slice(row, len(elements)) for k in (0, 2)]
-                return pa.RecordBatch.from_arrays([*own, pa.array(kinds, pa.int64()), pa.array(elements, pa.list_(pa.int64()))], names=["id", "body", "class", "elements"])
+                return pa.RecordBatch.from_arrays([*own, pa.array(kinds, pa.int64()), pa.array(elements, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "body", "class", "elements", "sketch"])
 
             for s in shingle_sets(batch.column(1)):
                 kinds.append(set_hash(s))
+                sketches.append(sketch(s))
                 elements.append(s.view(np.int64))
                 held += len(s)
                 if held > FLUSH:
                     yield flushed()
                     row += len(elements)
-                    held, kinds, elements = 0, [], []
+                    held, kinds, elements, sketches = 0, [], [], []
             yield flushed()
 
-    return in_python(slots, chosen, "id long, body long, class long, elements array<long>")
+    return in_python(slots, chosen, "id long, body long, class long, elements array<long>, sketch binary")
+
+
+def open_pairs(rest: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): of the members (key, id, n, p, root) of open lists the pairs of different components that sizes, places and
+    sketches leave; ``leaders`` (key, other) ties members of a list together.
+
+    A unit of work is a list, or all lists that hang together if comparing their members once makes fewer pairs;
+    then places say nothing, since they belong to a key.
+    """
+    tied = components(rest.join(leaders, "key").select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnsRenamed({"node": "id", "root": "tie"})
+    rest = written(rest.select("key", "id", "n", "p", "root").join(tied, "id"), "open")
+    per_list = rest.groupBy("key", "tie").agg((F.count("*") * F.count("*")).alias("pairs"))
+    together = per_list.groupBy("tie").agg(F.sum("pairs").alias("apart")).join(rest.groupBy("tie").agg(F.countDistinct("id").alias("m")), "tie").filter("m * m <= apart").select("tie")
+    whole = rest.join(together, "tie", "left_semi").groupBy("tie", "id").agg(F.first("n").alias("n"), F.first("root").alias("root"))
+    whole = whole.select(F.lit(True).alias("tied"), F.col("tie").alias("unit"), "id", "n", F.lit(0).alias("p"), "root")
+    members = whole.unionByName(rest.join(together, "tie", "left_anti").select(F.lit(False).alias("tied"), F.col("key").alias("unit"), "id", "n", "p", "root"))
+    members = written(members.join(sets.select("id", "sketch"), "id"), "members")
+    sizes = members.groupBy("tied", "unit").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = members.join(sizes, ["tied", "unit"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("own", "with"), "hi": F.greatest("own", "with")})
+
+    def left(rows: pa.Table) -> pa.Table:
+        ids, n, p, root, own = (rows.column(c).to_numpy() for c in ("id", "n", "p", "root", "own"))
+        words = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
+        bits = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+        one, two = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        found: list[np.ndarray] = []
+        for i in one.tolist():
+            other = two[ids[two] > ids[i]] if lo == hi else two
+            other = other[root[other] != root[i]]
+            both = n[other] + n[i]
+            other = other[7 * np.minimum(n[other] - p[other], n[i] - p[i]) >= 3 * both]
+            common = np.bitwise_count(words[other] & words[i]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(n[i] - (bits[i] - common), n[other] - (bits[other] - common))
+            other = other[7 * most >= 3 * (n[other] + n[i])]
+            found.append(np.stack([np.full(len(other), ids[i]), ids[other]]))
+        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.groupBy("tied", "unit", "lo", "hi").applyInArrow(left, "a long, b long").distinct()
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -258,7 +312,7 @@ def _grouped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
         wanted[row["w"]] = row["bits"]
     chosen = spark.sparkContext.broadcast(wanted)
     sets = _sets(given, chosen).join(members, ["class", "id", "body"], "left_semi").dropDuplicates(["class"])
-    sets = written(sets.select(F.col("class").alias("id"), "elements"), "sets")
+    sets = written(sets.select(F.col("class").alias("id"), "elements", "sketch"), "sets")
     chosen.destroy()
 
     compared = written(_compared(candidates, sets), "compared")
@@ -283,11 +337,7 @@ def _grouped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
             leaders = written(leaders, "leaders")
             done.append(leaders)
         else:
-            to_first = compared.withColumn("d", 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
-            near = rest.join(to_leader, "key").selectExpr("key", "id", "n", "p", "root", *_PAIR).join(to_first.select("a", "b", "d"), ["a", "b"], "left")
-            one = near.select("key", "id", F.col("n").alias("na"), F.col("p").alias("pa"), F.col("root").alias("ra"), F.col("d").alias("da"))
-            two = near.select("key", F.col("id").alias("other"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("root").alias("rb"), F.col("d").alias("db"))
-            pairs = one.join(two, "key").filter("id < other and ra <> rb and (da is null or db is null or abs(da - db) <= 0.2500001)").filter(_POSSIBLE)
+            pairs = open_pairs(rest, to_leader, sets).withColumnsRenamed({"a": "id", "b": "other"})
         pairs = pairs.selectExpr(*_PAIR).distinct().join(known, ["a", "b"], "left_anti")
         more = written(_compared(pairs, sets), "compared")
         done.append(more)

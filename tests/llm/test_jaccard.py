@@ -6,6 +6,7 @@ import string
 
 import pytest
 
+from pacewright.llm import jaccard
 from pacewright.llm.components import components
 from pacewright.llm.jaccard import jaccard_components, one_of_each_group
 
@@ -117,3 +118,49 @@ def test_one_id_of_different_texts(spark):
     found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
     assert found == sorted([(5, a), (3, c), (8, long), (10, ""), (11, None), (None, a), (None, a)], key=str)
     assert one_of_each_group(df.limit(0)).count() == 0
+
+
+def template_texts(n, rng, words=400, changed=11):
+    template = [f"t{j}" for j in range(words)]
+    out = []
+    for k in range(n):
+        text = list(template)
+        for j, at in enumerate(rng.sample(range(words), changed)):
+            text[at] = f"own{k}x{j}"
+        out.append((k, " ".join(text)))
+    return out
+
+
+def test_texts_of_one_template_give_few_pairs(spark, monkeypatch):
+    rows = template_texts(1000, random.Random(21))
+    rows += [(2000 + k, rows[k][1].replace("t7 ", "other7 ")) for k in range(0, 1000, 100)]  # near copies among them
+    counted = []
+    compared = jaccard._compared
+
+    def counting(pairs, sets):
+        pairs = pairs.checkpoint()
+        counted.append(pairs.count())
+        return compared(pairs, sets)
+
+    monkeypatch.setattr(jaccard, "_compared", counting)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_components(df).collect()}
+    assert found == {k: k - 2000 if k >= 2000 else k for k, _ in rows}
+    assert sum(counted) < 10 * len(rows), counted
+
+
+@pytest.mark.parametrize("overlap", [0.70, 0.76, 0.9])
+def test_open_pairs_keep_every_link(spark, overlap):
+    """Sketches bound what two sets share: no pair that links is left out."""
+    import numpy as np
+
+    rng = np.random.default_rng(17)
+    core = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    sets = {k: np.unique(np.concatenate([core[rng.random(300) < (2 * overlap / (1 + overlap)) ** 0.5], rng.integers(0, 1 << 64, rng.integers(0, 60), dtype=np.uint64)])) for k in range(700)}
+    rest = spark.createDataFrame([(key, k, len(s), 0, k) for k, s in sets.items() for key in ((1, 2) if k % 2 else (1,))], "key long, id long, n long, p int, root long")
+    sketches = spark.createDataFrame([(k, jaccard.sketch(s)) for k, s in sets.items()], "id long, sketch binary")
+    leaders = spark.createDataFrame([(1, 900), (2, 900)], "key long, other long")
+    found = {(r["a"], r["b"]) for r in jaccard.open_pairs(rest, leaders, sketches).collect()}
+    held = {k: set(s.tolist()) for k, s in sets.items()}
+    links = {(a, b) for a in range(700) for b in range(a + 1, 700) if 7 * len(held[a] & held[b]) >= 3 * (len(held[a]) + len(held[b]))}
+    assert links <= found and len(found) < 700 * 699 / 2
