@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from pacewright.functions.geo import haversine, minetti_factor, speed_implausible
+from pacewright.functions.geo import EARTH_RADIUS_M, haversine, minetti_factor, speed_implausible
+from pacewright.sources.scratch import stored
 
 BY_TRACK = ("track_id",)
 
@@ -186,43 +187,62 @@ def thin_stride(points: DataFrame, most: int = 12000) -> DataFrame:
 
 
 def simplify_dp(points: DataFrame, tolerance: float = 1.5, most: int = 12000) -> DataFrame:
-    """(track_id, seq) of the points that Douglas-Peucker keeps; the tolerance doubles, eight times at most, until they are few enough."""
-    import numpy as np
-    import pandas as pd
-
-    def kept(x, y, limit: float):
-        keep = np.zeros(len(x), dtype=bool)
-        keep[[0, -1]] = True
-        spans = [(0, len(x) - 1)]
-        while spans:
-            a, b = spans.pop()
-            if b - a < 2:
-                continue
-            px, py, dx, dy = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a], x[b] - x[a], y[b] - y[a]
-            length = dx * dx + dy * dy
-            t = np.clip((px * dx + py * dy) / length, 0, 1) if length > 0 else np.zeros(b - a - 1)
-            off = np.hypot(px - t * dx, py - t * dy)
-            k = int(off.argmax())
-            if off[k] > limit:
-                keep[a + 1 + k] = True
-                spans += [(a, a + 1 + k), (a + 1 + k, b)]
-        return keep
-
-    def fold(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("seq")
-        lat, lon = track["lat"].to_numpy(), track["lon"].to_numpy()
-        metre = np.pi / 180 * 6371008.8
-        x, y = lon * metre * np.cos(np.radians(lat.mean())), lat * metre
-        keep, limit = kept(x, y, tolerance), tolerance
-        for _ in range(8):
-            if keep.sum() <= most:
-                break
-            limit *= 2
-            keep = kept(x, y, limit)
-        return track.loc[keep, ["track_id", "seq"]]
-
-    kind = points.schema["track_id"].dataType.simpleString()
-    return points.select("track_id", "seq", "lat", "lon").groupBy("track_id").applyInPandas(fold, f"track_id {kind}, seq int")
+    """(track_id, seq) of the points that Douglas-Peucker keeps; the tolerance doubles, eight times at most, until they are few enough.
+
+    Level by level for all tracks at once: every open span between two kept points finds its farthest point; where that
+    is beyond the tolerance the span splits there, else its points are done. The points of a span are never in one
+    place: each task finds its own farthest, and the few that split are joined back. A wider tolerance cuts the
+    same tree higher up, so each kept point remembers the least distance on its way down, and nothing is done twice.
+    """
+    metre = EARTH_RADIUS_M * 3.141592653589793 / 180
+    tracks = points.groupBy("track_id").agg(F.cos(F.radians(F.avg("lat"))).alias("_c"), F.min(F.struct("seq", "lon", "lat")).alias("_a"), F.max(F.struct("seq", "lon", "lat")).alias("_b"))
+    tracks = stored(tracks, "ends")
+    x, y = (lambda lon: lon * metre * F.col("_c")), (lambda lat: lat * metre)
+    end = lambda e: F.struct(F.col(f"{e}.seq").alias("seq"), x(F.col(f"{e}.lon")).alias("x"), y(F.col(f"{e}.lat")).alias("y"))
+    inner = points.join(tracks, "track_id").filter("seq > _a.seq and seq < _b.seq")
+    inner = stored(inner.select("track_id", "seq", x(F.col("lon")).alias("x"), y(F.col("lat")).alias("y"), end("_a").alias("a"), end("_b").alias("b"), F.lit(float("inf")).alias("reach")), "spans")
+    share = "if(w > 0, least(1D, greatest(0D, ((x - a.x) * (b.x - a.x) + (y - a.y) * (b.y - a.y)) / w)), 0D)"
+    levels: list[DataFrame] = []
+    while True:
+        d = inner.withColumn("w", F.expr("(b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)")).withColumn("t", F.expr(share))
+        d = d.withColumn("off", F.expr("sqrt(pow(x - a.x - t * (b.x - a.x), 2) + pow(y - a.y - t * (b.y - a.y), 2))"))
+        far = d.groupBy("track_id", F.col("a.seq").alias("from")).agg(F.max(F.struct("off", (-F.col("seq")).alias("_n"), F.struct("seq", "x", "y").alias("at"))).alias("m"), F.first("reach").alias("reach"))
+        far = far.filter(F.col("m.off") > tolerance).select("track_id", "from", F.col("m.at").alias("at"), F.least("reach", "m.off").alias("least"))
+        # the points of the spans that split: those at which they split, and the rest in their new spans
+        d = inner.withColumn("from", F.col("a.seq")).join(far, ["track_id", "from"])
+        before = F.col("seq") < F.col("at.seq")
+        levels.append(stored(d.select("track_id", "seq", "x", "y", F.when(before, F.col("a")).otherwise(F.col("at")).alias("a"), F.when(before, F.col("at")).otherwise(F.col("b")).alias("b"), F.col("least").alias("reach"), (F.col("seq") == F.col("at.seq")).alias("kept")), "spans"))
+        if levels[-1].isEmpty():
+            break
+        inner = levels[-1].filter("not kept").drop("kept")
+    kept = tracks.select("track_id", F.explode(F.array_distinct(F.array("_a.seq", "_b.seq"))).alias("seq"), F.lit(float("inf")).alias("reach"))
+    for level in levels[:-1]:
+        kept = kept.unionByName(level.filter("kept").select("track_id", "seq", "reach"))
+    limits = [tolerance * 2**k for k in range(9)]
+    few = kept.groupBy("track_id").agg(*[F.count_if(F.col("reach") > limit).alias(f"n{k}") for k, limit in enumerate(limits)])
+    limit = F.coalesce(*[F.when(F.col(f"n{k}") <= most, F.lit(limit)) for k, limit in enumerate(limits)], F.lit(limits[-1]))
+    return kept.join(few.select("track_id", limit.alias("limit")), "track_id").filter("reach > limit").select("track_id", "seq")
+
+
+def cum_distance_by_blocks(points: DataFrame, digits: int | None = None, block: int = 65536) -> DataFrame:
+    """``cum_distance`` for tracks of any length: a track is worked in blocks of points by many tasks.
+
+    Two levels: distances and running sums inside each block, then the sums of the blocks before it, of which a track has
+    one for each block. A block's first point is measured from the last one of the block before.
+    """
+    cut = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
+    p = points.withColumn("_block", F.expr(f"seq div {block}"))
+    lasts = p.groupBy("track_id", "_block").agg(F.max_by(F.struct("lat", "lon"), "seq").alias("_last"))
+    over = ordered(by="_block")
+    lasts = lasts.select("track_id", "_block", F.lag("_last").over(over).alias("_before"))
+    w = ordered(("track_id", "_block"))
+    d = p.join(lasts, ["track_id", "_block"])
+    lat, lon = (F.coalesce(F.lag(c).over(w), F.col(f"_before.{c}")) for c in ("lat", "lon"))
+    d = d.withColumn("seg_m", cut(F.coalesce(haversine(lat, lon, F.col("lat"), F.col("lon")), F.lit(0.0)))).drop("_before")
+    d = stored(d.withColumn("cum_dist", F.sum("seg_m").over(running(("track_id", "_block")))), "blocks")
+    sums = d.groupBy("track_id", "_block").agg(F.max("cum_dist").alias("_sum"))
+    sums = sums.select("track_id", "_block", F.coalesce(F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_earlier"))
+    return d.join(sums, ["track_id", "_block"]).withColumn("cum_dist", cut(F.col("_earlier") + F.col("cum_dist"))).select(*points.columns, "seg_m", "cum_dist")
 
 
 def cadence_convention(records: DataFrame) -> DataFrame:

@@ -228,6 +228,20 @@ CHAIN = {
     "el": """SELECT *, coalesce(water, nat) AS class, coalesce(name_en, nullif(name, '')) AS shown_name, coalesce(CASE WHEN pos % 20 IN (0, 1, 13) THEN CAST(e AS DOUBLE) WHEN pos % 20 = 3 THEN (e + 0.5) * 0.3048 WHEN pos % 20 = 6 THEN CAST('0.' || e AS DOUBLE) * 0.3048 END,
         CASE WHEN pos % 40 = 10 THEN 3 * e * 0.3048 WHEN pos % 40 = 30 THEN NULL WHEN pos % 40 = 13 THEN 7 * 0.3048 WHEN pos % 5 = 0 THEN 2 * e * 0.3048 END) AS metres FROM el0""",
     "marks": f"SELECT *, class || ':' || printf('%.5f,%.5f', lon, lat) AS key, response_id * 10000 + pos AS place FROM el WHERE type = 'node' AND class IN ({', '.join(repr(n) for n in POI_CLASSES)})",
+    "xy": f"SELECT track_id, seq, (lon + sin(CAST(seq AS DOUBLE) / 9) / 4000) * {METRE} * cos(radians(avg(lat) OVER (PARTITION BY track_id))) AS x, lat * {METRE} AS y FROM p",
+    # spans between kept points, each with the point that it came from and the least distance on the way there
+    "dp": """SELECT track_id, min(seq) AS a, max(seq) AS b, CAST(NULL AS BIGINT) AS mid, CAST('inf' AS DOUBLE) AS reach FROM xy GROUP BY 1
+      UNION ALL
+      SELECT track_id, unnest([a, m.seq]), unnest([m.seq, b]), m.seq, least(reach, m.off)
+      FROM (SELECT s.track_id, s.a, s.b, any_value(reach) AS reach, max({'off': off, 'n': -q.seq, 'seq': q.seq}) AS m
+        FROM dp s JOIN xy e ON e.track_id = s.track_id AND e.seq = s.a JOIN xy f ON f.track_id = s.track_id AND f.seq = s.b JOIN xy q ON q.track_id = s.track_id AND q.seq > s.a AND q.seq < s.b,
+          LATERAL (SELECT pow(f.x - e.x, 2) + pow(f.y - e.y, 2) AS w) l1,
+          LATERAL (SELECT CASE WHEN w > 0 THEN least(1.0, greatest(0.0, ((q.x - e.x) * (f.x - e.x) + (q.y - e.y) * (f.y - e.y)) / w)) ELSE 0.0 END AS t) l2,
+          LATERAL (SELECT sqrt(pow(q.x - e.x - t * (f.x - e.x), 2) + pow(q.y - e.y - t * (f.y - e.y), 2)) AS off) l3
+        GROUP BY 1, 2, 3)
+      WHERE m.off > 1.5""",
+    "dpk": "SELECT DISTINCT track_id, mid AS seq, reach FROM dp WHERE mid IS NOT NULL UNION SELECT track_id, unnest([min(seq), max(seq)]), CAST('inf' AS DOUBLE) FROM xy GROUP BY 1",
+    "dpn": "SELECT track_id, coalesce(min(lim) FILTER (n <= 40), 384.0) AS lim FROM (SELECT track_id, lim, count(*) FILTER (reach > lim) AS n FROM dpk, (SELECT 1.5 * pow(2, k) AS lim FROM range(9) t(k)) GROUP BY 1, 2) GROUP BY 1",
     "tiles0": "SELECT track_id * 10000 + seq AS pos, ['peak', 'saddle', 'volcano', 'cliff'][seq % 4 + 1] AS class, seq % 90 AS way, 45 + CAST(seq % 300 AS DOUBLE) / 1000 AS lat, 7 + CAST(track_id % 7 AS DOUBLE) / 1000 AS lon, CASE WHEN seq % 7 IN (0, 6) THEN 5 ELSE seq % 7 END AS rank, 'Top ' || seq % 300 AS name, CAST(seq AS DOUBLE) AS metres FROM p",
     "tiles": f"SELECT * FROM (SELECT *, class || ':' || printf('%.5f,%.5f', lon, lat) AS key, row_number() OVER (PARTITION BY class || ':' || printf('%.5f,%.5f', lon, lat) ORDER BY pos) AS k FROM tiles0 WHERE way <> 0 AND class IN ({', '.join(repr(n) for n in TILE_CLASSES)})) WHERE k = 1",
     "dedup": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY place) AS k FROM marks) WHERE k = 1",
@@ -398,6 +412,8 @@ FINAL: dict[str, str] = {
     "split_by_length": SPLIT_DROP,
     "grade_class": "SELECT track_id, seq, cls FROM cls",
     "grade_runs": "SELECT * FROM runs",
+    "simplify_dp": "SELECT track_id, seq FROM dpk JOIN dpn USING (track_id) WHERE reach > lim",
+    "cum_distance_by_blocks": "SELECT track_id, seq, seg_m, cum_dist FROM p",
     "sector_grade_windows": "SELECT * FROM gw",
     "analysis_samples": "SELECT * FROM samples",
     "metric_availability": "SELECT track_id, sector_id, " + ", ".join(f"count({q}) > 0 AS has_{q}" for q in QUANT) + " FROM samples GROUP BY 1, 2",
@@ -438,7 +454,7 @@ def oracle_sql() -> dict[str, str]:
     con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, value DOUBLE)")
     for name, query in FINAL.items():
         digits = DIGITS.get(name, 3)
-        sql = f"WITH {_chain(query, INSTEAD.get(name, {}))}\n{query}" if not query.startswith("WITH ") else f"WITH {_chain(query, {})},\n{query[5:]}"
+        sql = f"WITH RECURSIVE {_chain(query, INSTEAD.get(name, {}))}\n{query}" if not query.startswith("WITH ") else f"WITH RECURSIVE {_chain(query, {})},\n{query[5:]}"
         kinds = con.execute(f"DESCRIBE {sql}").fetchall()
         real = lambda t: t in ("DOUBLE", "FLOAT") or t.startswith("DECIMAL")
         shown_as = [f'round(CAST("{c}" AS DOUBLE) + 1e-7, {places(c, digits)}) + CAST(0 AS DOUBLE) AS "{c}"' if real(t) else f'CAST("{c}" AS BIGINT) AS "{c}"' if "INT" in t else f'"{c}"' for c, t, *_ in kinds]

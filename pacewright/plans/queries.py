@@ -320,7 +320,8 @@ def _tracks(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "series_range": lambda: track.series_range(track.series_extremes(speed(), ["ele", "hr", "cad", "clean_speed"])).select("track_id", "series", "y_min", "y_max"),
         "overlay_availability": lambda: track.overlay_availability(b.tracks),
         "thin_stride": lambda: track.thin_stride(b.points, 100).select("track_id", "seq"),
-        "simplify_dp": lambda: track.simplify_dp(b.points.withColumn("lon", m("lon") + F.sin(m("seq") / 9.0) / 4000)),
+        "simplify_dp": lambda: track.simplify_dp(b.points.withColumn("lon", m("lon") + F.sin(m("seq") / 9.0) / 4000), most=40),
+        "cum_distance_by_blocks": lambda: track.cum_distance_by_blocks(b.points.drop("seg_m", "cum_dist"), 6, 128).select("track_id", "seq", "seg_m", "cum_dist"),
         "concat_segments": lambda: activity.concat_segments(b.points.selectExpr("cast(track_id as string) doc", "3 - seq div 200 part", "seq place", "ele")).select("doc", "part", "place", "seq", "ele"),
         "point_at_distance": lambda: sector.point_at_distance(b.points, b.requests),
         "nearest_on_track": lambda: lookup.nearest_on_track(b.waypoints, b.points).select("track_id", "wp_seq", "dist", "off_track"),
@@ -481,7 +482,7 @@ NAMES = {
         normalize_sector is_entire_track sector_context_window
     """.split(),
     "_tracks": """
-        track_points cum_distance track_summary fill_ele_gaps cadence_convention speed_series
+        track_points cum_distance cum_distance_by_blocks track_summary fill_ele_gaps cadence_convention speed_series
         smooth5 sigma_repair sigma_filter gap_speed_series grade_series grade_reading
         elapsed_axis series_extremes series_range overlay_availability thin_stride simplify_dp
         concat_segments point_at_distance nearest_on_track resolve_waypoints dem_sample dem_tiles_needed
