@@ -249,9 +249,10 @@ CHAIN = {
     "hs": "SELECT track_id, track_id % 3 AS md, 190 + track_id % 90 AS max_hr, 40 + track_id % 20 AS rest_hr, 165 + track_id % 40 AS lthr FROM tr",
     "hb": "SELECT *, CASE md WHEN 0 THEN CASE WHEN track_id % 11 = 5 THEN [114, 114, 114, 114, 114] ELSE [95, 114, 133, 152, 171] END WHEN 1 THEN [125, 138, 151, 164, CASE WHEN track_id % 13 = 3 THEN 261 ELSE 177 END] ELSE CASE WHEN track_id % 17 = 4 THEN [102, 119, 136, lthr] ELSE [102, 119, 136, 153, lthr] END END AS bounds FROM hs",
     "hz": "SELECT track_id, md, max_hr, rest_hr, lthr, k AS zone, CAST(bounds[k] AS DOUBLE) AS lo, CAST(bounds[k + 1] AS DOUBLE) AS hi FROM hb, range(1, 6) t(k) WHERE k <= len(bounds)",
-    "ev": "SELECT user_id AS track_id, epoch_us(ts) AS us, value AS x, value % 50 AS ele, 90 + value % 100 AS hr, lag(epoch_us(ts)) OVER w AS before, lag(value) OVER w AS last_x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)",
+    "mark": "SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 AS now FROM events",
+    "ev": "SELECT user_id AS track_id, epoch_us(ts) AS us, value AS x, value % 50 AS ele, 90 + value % 100 AS hr, lag(epoch_us(ts)) OVER w AS before, lag(value) OVER w AS last_x FROM events, mark WHERE epoch_us(ts) <= now WINDOW w AS (PARTITION BY user_id ORDER BY ts)",
     "ev1": "SELECT *, coalesce((us - before) / 1e6, 0) AS dt, before IS NOT NULL AND abs(x - last_x) / ((us - before) / 1e6) >= 0.5 / 3.6 AS moving FROM ev",
-    "ev2": "SELECT *, sum(CAST(moving AS INT)) OVER (PARTITION BY track_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS island FROM ev1",
+    "ev2": "SELECT *, sum(CAST(moving OR dt > 86400 AS INT)) OVER (PARTITION BY track_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS island FROM ev1",
     "eg0": "SELECT track_id, list({'us': us, 'e': ele, 'r': CAST(0 AS DOUBLE), 'g': CAST(0 AS DOUBLE), 'l': CAST(0 AS DOUBLE), 'up': CAST(0 AS DOUBLE), 'down': CAST(0 AS DOUBLE), 'n': CAST(1 AS BIGINT)} ORDER BY us) AS steps FROM ev GROUP BY 1",
     "eg": """SELECT track_id, list_reduce(steps, lambda s, x: {'us': x.us, 'e': x.e, 'r': CASE WHEN abs(s.r + (x.e - s.e)) > 3 THEN 0.0 ELSE s.r + (x.e - s.e) END, 'g': s.g + CASE WHEN s.r + (x.e - s.e) > 3 THEN s.r + (x.e - s.e) ELSE 0.0 END, 'l': s.l - CASE WHEN s.r + (x.e - s.e) < -3 THEN s.r + (x.e - s.e) ELSE 0.0 END,
         'up': s.up + CASE WHEN s.r + (x.e - s.e) > 0 THEN (x.us - s.us) / 1e6 ELSE 0.0 END, 'down': s.down + CASE WHEN s.r + (x.e - s.e) < 0 THEN (x.us - s.us) / 1e6 ELSE 0.0 END, 'n': s.n + 1}) AS f FROM eg0""",
@@ -358,7 +359,7 @@ FINAL: dict[str, str] = {
     "sink_metrics_csv": f"SELECT track_id, sector_id, label, value FROM ({LONG})",
     "sink_metrics_txt": f"SELECT track_id, sector_id, string_agg(label || chr(9) || value, chr(10) ORDER BY place) AS text FROM ({LONG}) GROUP BY 1, 2",
     "sink_metrics_md": f"""SELECT track_id, sector_id, string_agg('## ' || g || chr(10) || chr(10) || '| Metric | Value |' || chr(10) || '| --- | --- |' || chr(10) || rows, chr(10) || chr(10) ORDER BY place) AS text FROM (SELECT track_id, sector_id, "group" AS g, min(place) AS place, string_agg('| ' || label || ' | ' || value || ' |', chr(10) ORDER BY place) AS rows FROM ({LONG}) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
-    "stream_pauses": "SELECT track_id, min(before) AS t0_us, max(us) AS t1_us, sum(dt) AS seconds FROM ev2 WHERE before IS NOT NULL AND NOT moving GROUP BY track_id, island HAVING sum(dt) >= 10",
+    "stream_pauses": "SELECT track_id, min(before) AS t0_us, max(us) AS t1_us, sum(dt) AS seconds FROM (SELECT *, max(island) OVER (PARTITION BY track_id) AS latest FROM ev2), mark WHERE before IS NOT NULL AND NOT moving AND dt <= 86400 GROUP BY track_id, island, latest, now HAVING sum(dt) >= 10 AND (island < latest OR max(us) + 86400000000 <= now)",
     "stream_gain": f"SELECT track_id, f.n AS n, f.g AS gain, f.l AS loss, {RATE.format(s='f.up', m='f.g', n='vam')}, {RATE.format(s='f.down', m='f.l', n='vdm')} FROM eg",
     "stream_zone_time": f"SELECT track_id, us // 3600000000 * 3600000000 AS start_us, {' + '.join(f'CAST(hr >= {b} AS INT)' for b in ZONE_BOUNDS)} AS zone, sum(dt) AS seconds, count(*) AS readings FROM ev1 GROUP BY 1, 2, 3",
     "track_points": "SELECT track_id, seq, lat, lon, ele, time_ms, hr, cad, power, temp, speed FROM p",

@@ -466,7 +466,7 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "sink_metrics_txt": lambda: texts(export.metrics_text(long()), "text"),
         "sink_metrics_md": lambda: texts(export.metrics_markdown(long()), "text"),
         "sink_parquet": parquet,
-        "stream_pauses": lambda: live.pause_totals(stream(live.stream_pauses)),
+        "stream_pauses": lambda: stream(lambda s: live.stream_pauses(s, "1 day")),
         "stream_gain": lambda: live.gain_totals(stream(live.stream_gain)),
         "stream_zone_time": lambda: live.zone_totals(stream(lambda s: live.stream_zone_time(s, fixtures.ZONE_BOUNDS, "1 hour"))).select("track_id", F.unix_micros("start").alias("start_us"), "zone", "seconds", "readings"),
     }

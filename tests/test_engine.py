@@ -103,23 +103,28 @@ def in_batches(step, empty, rows, cuts):
 
 
 def test_live_pauses_do_not_depend_on_batches():
+    import functools
+
     import pandas as pd
 
-    from pacewright.streaming.live import NEVER, pause_step
+    from pacewright.streaming.live import NEVER, pause_ending, pause_step
 
+    step = functools.partial(pause_step, idle=3600 * 10**6)
     empty = (NEVER, 0.0, NEVER, 0.0)
     x = [float(i if i < 15 else max(14, i - 10)) for i in range(40)] + [30.0] * 8
     rows = pd.DataFrame({"us": [i * 2_000_000 for i in range(48)], "x": x})
-    state, once = pause_step(empty, rows)
-    assert [(f[0], f[1], f[2], f[3]) for f in once] == [(28_000_000, 48_000_000, 20.0, False), (80_000_000, 94_000_000, 14.0, True)]
+    state, once = step(empty, rows)
+    assert once == [(28_000_000, 48_000_000, 20.0)]
     for cuts in ([0, 7, 14, 21, 28, 35, 42, 48], [0, 20, 21, 48]):
-        again, found = in_batches(pause_step, empty, rows, cuts)
-        ends = {}
-        for t0, t1, seconds, _ in found:
-            ends[t0] = max(ends.get(t0, (0, 0)), (t1, seconds))
-        assert again == state and ends == {f[0]: (f[1], f[2]) for f in once}
-    late = pd.concat([rows.iloc[:20], rows.iloc[5:10], pd.DataFrame({"us": [39_000_000], "x": [None]}), rows.iloc[20:]])
-    assert pause_step(empty, late) == (state, once)  # what comes late, or without a place, adds nothing
+        assert in_batches(step, empty, rows, cuts) == (state, once)
+    late = pd.concat([rows.iloc[:20], rows.iloc[5:10], pd.DataFrame({"us": [39_000_000], "x": [float("nan")]}), rows.iloc[20:]])
+    assert step(empty, late) == (state, once)  # what comes late, or without a place, adds nothing
+    # the last stop is over when the device has been silent for long enough
+    assert pause_ending(state, 94_000_000 + 3599 * 10**6, 3600 * 10**6) == (state, [])
+    assert pause_ending(state, 94_000_000 + 3600 * 10**6, 3600 * 10**6)[1] == [(80_000_000, 94_000_000, 14.0)]
+    # and a silence belongs to no stop
+    gap = pd.DataFrame({"us": [0, 12_000_000, 12_000_000 + 3601 * 10**6, 12_000_000 + 3612 * 10**6], "x": [0.0] * 4})
+    assert step(empty, gap)[1] == [(0, 12_000_000, 12.0)]
 
 
 def test_live_gain():
@@ -136,31 +141,6 @@ def test_live_gain():
     assert again == state and found[-1] == once[-1]
 
 
-def test_live_zone_time_is_whole(spark, tmp_path):
-    from pacewright.streaming.live import run_available, stream_zone_time, zone_totals
-
-    at = [0, 7, 20, 59, 61, 100, 300, 301, 4000]
-    hr = [100.0, 100.0, 120.0, None, 120.0, 90.0, 120.0, 120.0, 160.0]
-    rows = [(d, t + d, float(t), 0.0, h) for d in (1, 2) for t, h in zip(at, hr, strict=True)]
-    want = {}
-    for d in (1, 2):
-        last = None
-        for t, h in zip(at, hr, strict=True):
-            k = (d, (t + d) // 60 * 60, None if h is None else sum(h >= b for b in (95, 114)))
-            seconds, n = want.get(k, (0, 0))
-            want[k] = (seconds + (0 if last is None else t - last), n + 1)
-            last = t
-    for name, cuts in (("once", [0, 9]), ("parts", [0, 3, 4, 9])):
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            part = [r for d in (0, 1) for r in rows[9 * d + a : 9 * d + b]]
-            df = spark.createDataFrame(part, "track_id long, s long, x double, ele double, hr double").selectExpr("track_id", "timestamp_seconds(s) ts", "x", "ele", "hr")
-            df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
-        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
-        found = zone_totals(run_available(stream_zone_time(stream, [95.0, 114.0]), f"{tmp_path}/{name}-out"))
-        found = found.selectExpr("track_id", "unix_seconds(start)", "zone", "seconds", "readings").collect()
-        assert {tuple(r)[:3]: tuple(r)[3:] for r in found} == want and len(found) == len(want)
-
-
 def test_queries_take_every_point(spark):
     from pacewright.plans.queries import Base, build
 
