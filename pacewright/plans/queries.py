@@ -283,9 +283,9 @@ def _scalars(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "cadence_display": lambda: b.points.select("track_id", "seq", text.cadence_display(m("cad"), m("track_id") % 2 + 1).alias("cad")),
         "tile_fraction": lambda: b.points.select("track_id", "seq", (geo.tile_x(m("lon") + m("seq") * 3)).alias("x"), (geo.tile_y(m("lat") + m("seq") % 50)).alias("y")),
         "terrarium_decode": lambda: b.points.select("track_id", "seq", (geo.terrarium(m("cad") + m("seq") % 150, m("seq") % 256, m("track_id") % 256)).alias("e")),
-        "parse_elevation_tag": lambda: b.elements.select("response_id", "pos", (landmarks.parse_elevation_tag(m("tags"))).alias("metres")),
+        "parse_elevation_tag": lambda: b.elements.select("response_id", "pos", landmarks.parse_elevation_tag().alias("metres")),
         "localized_name": lambda: b.elements.select("response_id", "pos", landmarks.localized_name(m("tags")).alias("name")),
-        "landmark_label": lambda: b.elements.select("response_id", "pos", landmarks.landmark_label(m("tags")).alias("label")),
+        "landmark_label": lambda: b.elements.select("response_id", "pos", landmarks.landmark_label().alias("label")),
         "landmark_gate": lambda: b.shown.withColumns(landmarks.landmark_gate()).select("key", "gate", "icon_zoom", "text_zoom"),
         "zone_bounds": lambda: zones.zone_bounds(zones.active_bounds(hr_rows()).select("track_id", "bounds")),
         "zone_display_range": lambda: zones.zone_display_range(zones.zone_bounds(zones.active_bounds(hr_rows()).select("track_id", "bounds")).withColumn("lo", m("lo") + 0.5)).select("track_id", "zone", "shown_lo", "shown_hi"),

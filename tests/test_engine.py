@@ -227,9 +227,9 @@ def test_settings(spark):
 def test_elevation_tags(spark):
     from pacewright.operators.landmarks import parse_elevation_tag
 
-    cases = [({"ele": "1234"}, 1234), ({"ele": " 1234.5 m "}, 1234.5), ({"ele": "+5"}, 5), ({"ele": ".5"}, 0.5), ({"ele": "-3 metres"}, -3), ({"ele": "100 Foot"}, 30.48), ({"ele": "100'"}, 30.48), ({"ele": "1,5"}, None), ({"ele": "1234 miles"}, None), ({"ele": ""}, None), ({"ele": "x", "ele:ft": "100"}, 30.48), ({"ele:ft": "100 ft"}, None), ({"ele:ft": "bad", "ele_ft": "100"}, None), ({"ele_ft": "100"}, 30.48), ({"ele": "10", "ele:ft": "100"}, 10), ({}, None)]
+    cases = [({"ele": "1234"}, 1234), ({"ele": " 1234.5 m "}, 1234.5), ({"ele": "+5"}, 5), ({"ele": ".5"}, 0.5), ({"ele": "5."}, None), ({"ele": "."}, None), ({"ele": "--5"}, None), ({"ele": "1-2"}, None), ({"ele": "1e3"}, None), ({"ele": "7\tft"}, 2.1336), ({"ele": "1d"}, None), ({"ele": "m"}, None), ({"ele": "1.2.3"}, None), ({"ele": "NaN"}, None), ({"ele": "-3 metres"}, -3), ({"ele": "100 Foot"}, 30.48), ({"ele": "100'"}, 30.48), ({"ele": "1,5"}, None), ({"ele": "1234 miles"}, None), ({"ele": ""}, None), ({"ele": "x", "ele:ft": "100"}, 30.48), ({"ele:ft": "100 ft"}, None), ({"ele:ft": "bad", "ele_ft": "100"}, None), ({"ele_ft": "100"}, 30.48), ({"ele": "10", "ele:ft": "100"}, 10), ({}, None)]
     df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, tags map<string,string>")
-    found = {r[0]: r[1] for r in df.select("k", parse_elevation_tag(F.col("tags"))).collect()}
+    found = {r[0]: r[1] for r in df.select("k", parse_elevation_tag()).collect()}
     assert found == {k: (None if v is None else pytest.approx(v)) for k, (_, v) in enumerate(cases)}
 
 
