@@ -14,6 +14,9 @@ from pacewright.operators.zones import classify_hr_zone
 from pacewright.sources.scratch import stored
 
 
+TERRAIN_BLOCK = 32  # pixels a side
+
+
 def _nearest(q: DataFrame, p: DataFrame, cell: float | Column | None) -> DataFrame:
     """Each probe (track_id, q, qx, qy) with ``v``, its nearest vertex, and ``d2``: among those of the nine cells around it
     (null if there are none), or of its whole track without a cell size."""
@@ -85,20 +88,47 @@ def _corners(points: DataFrame) -> DataFrame:
     return points.withColumns({"_fx": x, "_fy": y}).withColumns({"_gx": F.floor("_fx"), "_gy": F.floor("_fy")})
 
 
-def dem_sample(points: DataFrame, dem: DataFrame) -> DataFrame:
+def terrain_blocks(dem: DataFrame) -> DataFrame:
+    """(tx, ty, bx, by, rows) of coded pixels (gx, gy, r, g, b): elevations of square blocks as arrays by row, with one more row
+    and column from the blocks beyond, so that all four neighbours of a place lie in one block. A pixel that is missing is null."""
+    side = TERRAIN_BLOCK
+    pixels = dem.select("gx", "gy", terrarium(F.col("r"), F.col("g"), F.col("b")).alias("e"))
+    own, edge = "array({0} div {1})", "array({0} div {1}, {0} div {1} - 1)"
+    for g, b in (("gx", "bx"), ("gy", "by")):
+        held = f"if({g} % {side} = 0, {edge.format(g, side)}, {own.format(g, side)})"
+        pixels = pixels.withColumn(b, F.explode(F.expr(held)))
+    cells = pixels.select("bx", "by", (F.col("gy") - F.col("by") * side).cast("int").alias("y"), (F.col("gx") - F.col("bx") * side).cast("int").alias("x"), "e")
+    lines = cells.groupBy("bx", "by", "y").agg(F.map_from_entries(F.collect_list(F.struct("x", "e"))).alias("m"))
+    lines = lines.select("bx", "by", "y", F.expr(f"transform(sequence(0, {side}), x -> m[x])").alias("line"))
+    blocks = lines.groupBy("bx", "by").agg(F.map_from_entries(F.collect_list(F.struct("y", "line"))).alias("rows"))
+    tile = f"{{}} div {TILE_PIXELS // side}"
+    return blocks.select(F.expr(tile.format("bx")).alias("tx"), F.expr(tile.format("by")).alias("ty"), "bx", "by", "rows")
+
+
+def write_terrain(dem: DataFrame, path: str) -> DataFrame:
+    """``terrain_blocks`` in a folder for each tile, so that sampling reads the tiles that it needs."""
+    blocks = terrain_blocks(dem)
+    blocks.repartition("tx", "ty").write.partitionBy("tx", "ty").parquet(path)
+    return dem.sparkSession.read.schema(blocks.schema).parquet(path)
+
+
+def dem_sample(points: DataFrame, terrain: DataFrame) -> DataFrame:
     """Adds ``dem_ele``: terrain at each point, bilinear over four pixels; a missing neighbour takes the value it lies next to.
 
-    Pixels have global numbers, so a neighbour across a tile's edge is an ordinary row. Each point meets
-    its four pixels in one equi-join and is put together again by its key.
+    ``terrain`` are blocks (``write_terrain``). A point meets the one block that holds its four pixels. The tiles that points
+    lie in are found first; while they are few enough to be sent to all tasks, Spark leaves out the folders of all others.
     """
-    d = _corners(points.select("track_id", "seq", "lat", "lon")).filter("_gx is not null and _gy is not null")
-    wanted = d.select("track_id", "seq", (F.col("_fx") - F.col("_gx")).alias("dx"), (F.col("_fy") - F.col("_gy")).alias("dy"), F.inline(F.expr("array(named_struct('c', 'p00', 'gx', _gx, 'gy', _gy), named_struct('c', 'p10', 'gx', _gx + 1, 'gy', _gy), named_struct('c', 'p01', 'gx', _gx, 'gy', _gy + 1), named_struct('c', 'p11', 'gx', _gx + 1, 'gy', _gy + 1))")))
-    pixels = dem.select("gx", "gy", terrarium(F.col("r"), F.col("g"), F.col("b")).alias("e"))
-    found = wanted.join(pixels, ["gx", "gy"], "left").groupBy("track_id", "seq", "dx", "dy").agg(*[F.max(F.when(F.col("c") == c, F.col("e"))).alias(c) for c in ("p00", "p10", "p01", "p11")])
-    found = found.withColumns({"p10": F.coalesce("p10", "p00"), "p01": F.coalesce("p01", "p00")}).withColumn("p11", F.coalesce("p11", "p10"))
-    top, low = (F.col(a) + (F.col(b) - F.col(a)) * F.col("dx") for a, b in (("p00", "p10"), ("p01", "p11")))
-    found = found.select("track_id", "seq", F.when(F.col("p00").isNotNull(), top + (low - top) * F.col("dy")).alias("dem_ele"))
-    return points.join(found, ["track_id", "seq"], "left")
+    side = TERRAIN_BLOCK
+    needed = stored(dem_tiles_needed(points), "tiles").filter("tx >= 0 and ty >= 0")
+    d = _corners(points).withColumns({"_bx": F.expr(f"_gx div {side}"), "_by": F.expr(f"_gy div {side}"), "_tx": F.expr(f"_gx div {TILE_PIXELS}"), "_ty": F.expr(f"_gy div {TILE_PIXELS}")})
+    t = terrain.join(needed, ["tx", "ty"], "left_semi").select(*[F.col(c).alias(f"_t_{c}") for c in ("tx", "ty", "bx", "by", "rows")])
+    d = d.join(t, F.expr("_tx = _t_tx and _ty = _t_ty and _bx = _t_bx and _by = _t_by"), "left")
+    pixel = lambda dx, dy: F.expr(f"get(_t_rows[cast(_gy - _by * {side} + {dy} as int)], cast(_gx - _bx * {side} + {dx} as int))")
+    d = d.withColumns({"_00": pixel(0, 0), "_10": pixel(1, 0), "_01": pixel(0, 1), "_11": pixel(1, 1)})
+    d = d.withColumns({"_10": F.coalesce("_10", "_00"), "_01": F.coalesce("_01", "_00")}).withColumn("_11", F.coalesce("_11", "_10"))
+    dx, dy = F.col("_fx") - F.col("_gx"), F.col("_fy") - F.col("_gy")
+    top, low = (F.col(a) + (F.col(b) - F.col(a)) * dx for a, b in (("_00", "_10"), ("_01", "_11")))
+    return d.select(*points.columns, F.when(F.col("_00").isNotNull(), top + (low - top) * dy).alias("dem_ele"))
 
 
 def dem_tiles_needed(points: DataFrame) -> DataFrame:

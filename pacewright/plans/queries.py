@@ -108,7 +108,7 @@ class Base:
 
     @cached_property
     def terrain(self) -> DataFrame:
-        return fixtures.terrain(self.points)
+        return lookup.write_terrain(fixtures.terrain(self.points), self.folder("terrain"))
 
     @cached_property
     def dem(self) -> DataFrame:

@@ -144,3 +144,37 @@ def test_places_within_a_radius(spark):
     for most in (20.0, 50.0, 1000.0):
         near = {r["wp_seq"]: (round(r["dist"], 6), round(r["off_track"], 6)) for r in lookup.nearest_on_track(probes, p, most).collect()}
         assert near == {k: v for k, v in every.items() if v[1] <= most}
+
+
+def test_terrain_by_blocks(spark, tmp_path):
+    """Places near the edges of blocks and tiles, missing pixels and tiles; only the needed tiles are read."""
+    rng, px = random.Random(1), 512 * 4096 / 360
+    far = [(200_000 + x, 900_000 + y) for x in range(3) for y in range(3)]
+    pixels = {(1_100_000 // 512 * 512 + x, 1_000_000 // 32 * 32 + y): rng.randint(0, 3000) for x in range(-3, 40) for y in range(-3, 40) if rng.random() > 0.1}
+    rows = [(x, y, (e + 32768) // 256, (e + 32768) % 256, 0) for (x, y), e in {**pixels, **{p: 5 for p in far}}.items()]
+    terrain = lookup.write_terrain(spark.createDataFrame(rows, "gx long, gy long, r int, g int, b int"), str(tmp_path / "terrain"))
+    x0, y0 = min(x for x, _ in pixels), min(y for _, y in pixels)
+    points = []
+    for k in range(300):
+        fx, fy = x0 + rng.uniform(-1, 44), y0 + rng.uniform(-1, 44)
+        lat = np.degrees(np.arctan(np.sinh(np.pi * (1 - 2 * fy / 512 / 4096))))
+        points.append((1, k, float(lat), fx / px - 180))
+    points.append((1, 300, None, 7.0))
+    df = spark.createDataFrame(points, "track_id long, seq int, lat double, lon double")
+    found = lookup.dem_sample(df, terrain)
+    assert "dynamicpruning" in plan(found)
+    for r in found.collect():
+        if r["lat"] is None:
+            assert r["dem_ele"] is None
+            continue
+        fx = (r["lon"] + 180) * px
+        fy = (1 - np.log(np.tan(np.radians(r["lat"])) + 1 / np.cos(np.radians(r["lat"]))) / np.pi) / 2 * 4096 * 512
+        x, y = int(np.floor(fx)), int(np.floor(fy))
+        a = pixels.get((x, y))
+        if a is None:
+            assert r["dem_ele"] is None
+            continue
+        b, c = pixels.get((x + 1, y), a), pixels.get((x, y + 1), a)
+        d = pixels.get((x + 1, y + 1), b)
+        top, low = a + (b - a) * (fx - x), c + (d - c) * (fx - x)
+        assert r["dem_ele"] == pytest.approx(top + (low - top) * (fy - y), abs=0.01)
