@@ -2,12 +2,14 @@
 
 import random
 import re
+import tempfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pacewright.operators import export, lookup, sector, track, zones
+from pacewright.operators import dual, export, lookup, sector, track, zones
 from pacewright.plans.queries import Base
 from pacewright.sources.layout import laid_by_track
 
@@ -178,3 +180,21 @@ def test_terrain_by_blocks(spark, tmp_path):
         d = pixels.get((x + 1, y + 1), b)
         top, low = a + (b - a) * (fx - x), c + (d - c) * (fx - x)
         assert r["dem_ele"] == pytest.approx(top + (low - top) * (fy - y), abs=0.01)
+
+
+def test_ends_from_sketches(spark):
+    """A sketch's values have ranks within 0.1 % of the asked ones; sorted input, ties and skewed values too."""
+    rng = np.random.default_rng(6)
+    values = {0: np.sort(rng.normal(0, 1, 200_000)), 1: np.floor(rng.pareto(1.5, 200_000) * 50), 2: rng.random(900)}
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/pairs.parquet"
+    pd.DataFrame({"track_id": np.repeat(list(values), [len(v) for v in values.values()]), "sector_id": 0, "x": np.concatenate([*values.values()])}).to_parquet(path)
+    pairs = spark.read.parquet(path).selectExpr("*", "-x as y", "0L vseq").repartition(16)
+    for r in dual.sketched_ends(pairs).collect():
+        v = np.sort(values[r["track_id"]])
+        assert r["n"] == len(v)
+        for value, share in ((r["x0"], 0.002), (r["x1"], 0.998), (-r["y1"], 0.002), (-r["y0"], 0.998)):
+            low, high = np.searchsorted(v, value), np.searchsorted(v, value, side="right")
+            assert low - 0.001 * len(v) - 1 <= share * len(v) <= high + 0.001 * len(v) + 1
+    exact, near = ({r["track_id"]: r for r in dual.robust_domain(pairs, s).collect()} for s in (False, True))
+    assert near[0]["x1"] == pytest.approx(exact[0]["x1"], abs=0.5) and near[2]["n"] == exact[2]["n"]
+    assert dual.density_2d(pairs, sketched=True).count() > 100 and "Window" not in plan(dual.robust_domain(pairs, True))
