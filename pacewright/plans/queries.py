@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -14,7 +13,7 @@ from pacewright.operators import dual, elevation, export, landmarks, lookup, sec
 from pacewright.plans import fixtures
 from pacewright.sources import activity
 from pacewright.sources.layout import laid_by_track, write_by_track
-from pacewright.sources.scratch import shared_folder, stored
+from pacewright.sources.scratch import own_folder, stored
 from pacewright.streaming import live
 
 
@@ -164,7 +163,7 @@ class Base:
         return self.tracks.select("track_id", F.lit(0).alias("sector_id"), F.lit(0.0).alias("start_m"), F.col("total_distance").alias("end_m"))
 
     def folder(self, name: str) -> str:
-        return f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        return own_folder(self.spark, name)
 
     def lines(self, documents: DataFrame, name: str) -> str:
         """The folder of documents (key, text), one file each."""

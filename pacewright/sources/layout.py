@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from pacewright.sources.scratch import shared_folder
+from pacewright.sources.scratch import own_folder
 
 BY = "track_id"
 
@@ -25,4 +25,4 @@ def write_by_track(df: DataFrame, table: str, path: str, buckets: int, order: tu
 def laid_by_track(df: DataFrame, name: str, buckets: int | None = None) -> DataFrame:
     """``df`` laid out in the shared folder for the queries of this session."""
     spark, own = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    return write_by_track(df, own, f"{shared_folder(spark)}/{own}", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return write_by_track(df, own, own_folder(spark, name, own), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -31,8 +31,30 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The folders that this process has written and not deleted, with the tables of the catalogue that lie in them.
+_WRITTEN: dict[str, str | None] = {}
+
+
+def own_folder(spark: SparkSession, name: str, table: str | None = None) -> str:
+    """A new folder for ``name``, which ``clear`` deletes."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = table
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all tables between steps that were written so far; call it when the results that read them are done with."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path, table = _WRITTEN.popitem()
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        removed(spark, path)
+    return n
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again, for what is read more than once."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = own_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,5 +1,6 @@
 """Plans, sinks and lookups against plain versions: settings kept by track, tables laid out by track, sweeps, levels and blocks."""
 
+import os
 import random
 import re
 import tempfile
@@ -198,3 +199,15 @@ def test_ends_from_sketches(spark):
     exact, near = ({r["track_id"]: r for r in dual.robust_domain(pairs, s).collect()} for s in (False, True))
     assert near[0]["x1"] == pytest.approx(exact[0]["x1"], abs=0.5) and near[2]["n"] == exact[2]["n"]
     assert dual.density_2d(pairs, sketched=True).count() > 100 and "Window" not in plan(dual.robust_domain(pairs, True))
+
+
+def test_tables_between_steps_can_be_cleared(spark):
+    from pacewright.sources import scratch
+
+    kept = scratch.stored(spark.range(3), "kept")
+    files, before = kept.inputFiles(), len(spark.catalog.listTables())
+    laid_by_track(spark.range(5).selectExpr("id as track_id"), "side")
+    assert len(spark.catalog.listTables()) == before + 1
+    assert scratch.clear(spark) >= 2 and scratch.clear(spark) == 0
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert len(spark.catalog.listTables()) <= before
