@@ -22,6 +22,8 @@ from pacewright.llm.token_counts import token_counts
 from pacewright.llm.url_rules import judged_urls
 from pacewright.llm.vectors import linked_vectors
 
+#: Documents of one host that may hold a line: the whole table of a small corpus has few lines in 100.
+LINE_DOCUMENTS = 20
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
@@ -47,7 +49,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(table(spark, sf_dir, "documents"))
+    return quality_report(table(spark, sf_dir, "documents"), line_documents=LINE_DOCUMENTS)
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
