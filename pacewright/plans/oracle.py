@@ -287,13 +287,22 @@ def formats(imperial: bool) -> str:
     return f"SELECT track_id, seq, {columns}, CAST(cad AS INT) || CASE WHEN track_id % 2 = 1 THEN ' spm' ELSE ' rpm' END AS cadence FROM p"
 
 
-def sector_ends(imperial: bool) -> str:
-    a, b, turn = "floor(start_m) + 0.26", "floor(end_m) + 0.26", 1609.344 if imperial else 1000
+def sector_ends(imperial: bool, a: str = "floor(start_m) + 0.26", b: str = "floor(end_m) + 0.26") -> str:
+    turn = 1609.344 if imperial else 1000
     short = lambda v: num(f"({v}) / 0.3048") + " || ' ft'" if imperial else num(v) + " || ' m'"
     long = lambda v: num(f"({v}) / {turn}", 2) + (" || ' mi'" if imperial else " || ' km'")
     return f"CASE WHEN {b} - ({a}) < {turn} THEN {short(a)} || ' – ' || {short(b)} ELSE {long(a)} || ' – ' || {long(b)} END"
 
 
+def tagged(tag: str, v: str) -> str:
+    return f"coalesce('<{tag}>' || {v} || '</{tag}>', '')"
+
+
+SENSORS = " || ".join(tagged(f"gpxtpx:{t}", c) for t, c in (("hr", "hr"), ("cad", "cad"), ("atemp", "temp"), ("speed", "speed")))
+INSIDE = tagged("power", "power") + f" || CASE WHEN {SENSORS} <> '' THEN '<gpxtpx:TrackPointExtension>' || {SENSORS} || '</gpxtpx:TrackPointExtension>' ELSE '' END"
+GPX = f"""SELECT track_id, sector_id, '<gpx version="1.1" creator="pacewright" xmlns="http://www.topografix.com/GPX/1/1" xmlns:gpxtpx="http://www.garmin.com/xmlschemas/TrackPointExtension/v2"><metadata><name>' || track_id || '</name><desc>' || {sector_ends(False, 'start_m', 'end_m')} || '</desc></metadata><trk><trkseg>' || string_agg(xml, '' ORDER BY seq) || '</trkseg></trk></gpx>' AS gpx
+  FROM sec JOIN (SELECT track_id, seq, cum_dist, '<trkpt lat="' || lat || '" lon="' || lon || '">' || {tagged('ele', 'ele')} || '<time>' || strftime(make_timestamp(time_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z</time>' || CASE WHEN {INSIDE} <> '' THEN '<extensions>' || {INSIDE} || '</extensions>' ELSE '' END || '</trkpt>' AS xml FROM p) USING (track_id)
+  WHERE cum_dist BETWEEN start_m - 1e-6 AND end_m + 1e-6 GROUP BY track_id, sector_id, start_m, end_m"""
 WHOLE = {"sec": "SELECT track_id, 0 AS sector_id, CAST(0 AS DOUBLE) AS start_m, total_distance AS end_m FROM tr"}
 #: Tables of the chain that a query has otherwise.
 INSTEAD = {
@@ -355,6 +364,7 @@ FINAL: dict[str, str] = {
     "split_by_length_fold": SPLIT,
     "scan_detect_format": "SELECT 'f' || track_id || '-' || seq || CASE WHEN seq % 60 >= 30 THEN '.TCX' ELSE '' END AS path, CASE WHEN seq % 60 >= 30 THEN 'tcx' ELSE ['gpx', 'kmz', 'kml', 'tcx', 'fit', 'unsupported'][seq % 6 + 1] END AS format FROM p",
     "scan_device_records": f"SELECT CAST(track_id AS VARCHAR) AS doc, seq, lat, lon, fixed AS ele, hr, cad, v AS speed FROM ({interpolated('(SELECT * REPLACE (CASE WHEN seq % 8 <> 1 THEN ele END AS ele), coalesce(speed, 1.25 + seq % 3 * 0.1) AS v FROM p WHERE seq % 29 <> 3)', 'PARTITION BY track_id', 'seq', 'ele')})",
+    "sink_sector_gpx": GPX,
     "sink_metrics_long": LONG,
     "sink_metrics_csv": f"SELECT track_id, sector_id, label, value FROM ({LONG})",
     "sink_metrics_txt": f"SELECT track_id, sector_id, string_agg(label || chr(9) || value, chr(10) ORDER BY place) AS text FROM ({LONG}) GROUP BY 1, 2",
