@@ -41,14 +41,25 @@ def sector_gpx(points: DataFrame, sectors: DataFrame, factor: int = 1) -> DataFr
     return d.select(*SECTOR, F.concat(F.lit(head), name, F.lit("<trk><trkseg>"), F.array_join("ps.xml", ""), F.lit("</trkseg></trk></gpx>")).alias("gpx"))
 
 
-def write_texts(documents: DataFrame, column: str, path: str) -> None:
-    """One text file for each sector, in a folder named after it; all of a track are written by one task."""
-    d = documents.select(*SECTOR, F.col(column).alias("value")).repartition("track_id")
-    d.sortWithinPartitions(*SECTOR).write.partitionBy(*SECTOR).text(path)
+def write_texts(documents: DataFrame, column: str, path: str, files: bool = False) -> None:
+    """Documents of sectors, packed: as many files as tasks, whatever the number of sectors.
+
+    A file holds its documents whole, sorted by track and sector in groups of about 4 MB, and the range of keys of each
+    group, so one document is read without the others. Tasks commit their files when they end; one that fails
+    leaves none. With ``files`` every document becomes a text file in a folder named after its sector, for
+    tools that want files; that is for as many sectors as a file system can hold.
+    """
+    d = documents.select(*SECTOR, F.col(column).alias("value")).repartition("track_id").sortWithinPartitions(*SECTOR)
+    if files:
+        d.write.partitionBy(*SECTOR).text(path)
+    else:
+        d.write.option("parquet.block.size", 4 << 20).parquet(path)
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(track_id, sector_id, value) of what ``write_texts`` wrote."""
+def read_texts(spark: SparkSession, path: str, files: bool = False) -> DataFrame:
+    """(track_id, sector_id, value) of what ``write_texts`` wrote; filters on the keys reach the files."""
+    if not files:
+        return spark.read.parquet(path)
     return spark.read.text(path, wholetext=True).select(*SECTOR, F.regexp_replace("value", "\n$", "").alias("value"))
 
 

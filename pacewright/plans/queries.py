@@ -426,10 +426,10 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
         export.write_metrics_csv(long(), path)
         return export.read_metrics_csv(b.spark, path)
 
-    def texts(documents: DataFrame, column: str) -> DataFrame:
+    def texts(documents: DataFrame, column: str, files: bool = False) -> DataFrame:
         path = b.folder(column)
-        export.write_texts(documents, column, path)
-        return export.read_texts(b.spark, path).withColumnRenamed("value", column)
+        export.write_texts(documents, column, path, files)
+        return export.read_texts(b.spark, path, files).withColumnRenamed("value", column)
 
     def parquet() -> DataFrame:
         path = b.folder("table")
@@ -462,7 +462,7 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "sink_sector_gpx": lambda: texts(export.sector_gpx(b.points, b.sectors), "gpx"),
         "sink_metrics_long": long,
         "sink_metrics_csv": csv,
-        "sink_metrics_txt": lambda: texts(export.metrics_text(long()), "text"),
+        "sink_metrics_txt": lambda: texts(export.metrics_text(long()), "text", files=True),
         "sink_metrics_md": lambda: texts(export.metrics_markdown(long()), "text"),
         "sink_parquet": parquet,
         "stream_pauses": lambda: stream(lambda s: live.stream_pauses(s, "1 day")),

@@ -48,8 +48,14 @@ def test_sectors_read_points_once_and_stay_by_track(spark):
 
 def test_documents_of_several_lines_come_back_whole(spark, tmp_path):
     rows = [(t, s, f"first {t}\nsecond {s}\n\n  last") for t in range(3) for s in range(2)]
-    export.write_texts(spark.createDataFrame(rows, "track_id long, sector_id int, text string"), "text", str(tmp_path / "texts"))
-    assert sorted(map(tuple, export.read_texts(spark, str(tmp_path / "texts")).collect())) == rows
+    documents = spark.createDataFrame(rows, "track_id long, sector_id int, text string")
+    export.write_texts(documents, "text", str(tmp_path / "texts"), files=True)
+    assert sorted(map(tuple, export.read_texts(spark, str(tmp_path / "texts"), files=True).collect())) == rows
+    many = spark.range(3000).selectExpr("id % 50 track_id", "cast(id div 50 as int) sector_id", "concat('line ', id, '\nmore') text")
+    export.write_texts(many, "text", str(tmp_path / "packed"))
+    assert len([f for f in os.listdir(tmp_path / "packed") if f.endswith(".parquet")]) <= 8
+    one = export.read_texts(spark, str(tmp_path / "packed")).filter("track_id = 7 and sector_id = 3")
+    assert [r["value"] for r in one.collect()] == ["line 157\nmore"] and "EqualTo(sector_id,3)" in plan(one)
     long = spark.createDataFrame([(t, 0, k, f"label {k}", v) for t in (1, 2) for k, v in enumerate(['a "quoted", one', "two\nlines", "", f"of {t}"])], "track_id long, sector_id int, place int, label string, value string")
     export.write_metrics_csv(long, str(tmp_path / "csv"))
     found = {(r["track_id"], r["label"]): r["value"] for r in export.read_metrics_csv(spark, str(tmp_path / "csv")).collect()}
