@@ -10,7 +10,8 @@ can occur there; reading back takes one backslash off again.
 
 Turns are ordered by (turn, role, text), nulls first; rows that come twice are turns that come twice; null
 roles and texts are empty; rows without conversation id form one conversation with a null id. A
-conversation is one row and is rendered in one task; other rows of the table do not share it.
+conversation is one row and is rendered in one task; other rows of the table do not share it. Texts are rendered
+whole, further columns are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations

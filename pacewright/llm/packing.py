@@ -8,7 +8,8 @@ in one bounded task. Only what is open at the end of a group is emitted short an
 length is a power of two.
 
 A null text counts as empty (its only id is the end id); an empty table gives no piece; repeated rows
-are packed as often as they come; a document of any length is cut into as many windows as it needs.
+are packed as often as they come; a document of any length is cut into as many windows as it needs. Null ids are
+kept as they are: their pieces are known by sequence and offset. Further columns are ignored.
 """
 
 from __future__ import annotations

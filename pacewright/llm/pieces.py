@@ -11,7 +11,8 @@ merging gives, not the largest sum of scores; the forward state is therefore the
 stand beside the last piece of the prefix before it (see ``merges``). Characters outside the vocabulary are
 written as their UTF-8 bytes.
 
-Null and empty texts have no ids. Rows are independent of each other.
+Null and empty texts have no ids. Rows are independent of each other: repeated rows, null ids and further columns
+change nothing. Texts are taken whole, in slices at edges of words; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Copies must not make each other's lines frequent: documents are told apart by th
 text, so exact copies count as one document and different texts never do.
 
 A null text has no words and fails the base rules; a null host is a host of its own. Repeated rows get
-the same verdict each. Rows without id keep no line for being first. An empty table gives no rows.
+the same verdict each. Rows without id keep no line for being first. Texts are measured whole; further columns are
+ignored by the report and kept by the filter. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ sums over words, and how far a text can go within a budget is read from the sums
 of the word at which the budget ends, without encoding anything again.
 
 Null and empty texts have no bytes and no tokens. Rows are independent of each other: repeated rows,
-null ids and further columns change nothing.
+null ids and further columns change nothing. Texts are counted whole, in slices at edges of words; an empty table gives
+no rows.
 """
 
 from __future__ import annotations

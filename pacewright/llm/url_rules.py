@@ -12,7 +12,8 @@ rules, so no host, however common, gathers in one task.
 
 A null URL or one without ``://`` has an empty host and path. A URL without a rule, or with a null one
 (rules with a null host, path or verdict are ignored), gets ``default``. Of rules with the same host and
-path the verdict that sorts last holds. Repeated rows are kept; an empty table of pages or rules is fine.
+path the verdict that sorts last holds. Repeated rows are kept; an empty table of pages or rules is fine. URLs of any
+length are judged whole; further columns are ignored.
 """
 
 from __future__ import annotations

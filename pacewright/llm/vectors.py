@@ -12,7 +12,8 @@ these links are compared once more in full, block against block, so each link in
 counted exactly once; that is the part that grows with the square of a component, at one product of vectors a pair.
 
 Vectors that are null, zero, or hold null or non-finite numbers link with nothing, as do rows without id and
-vectors of other lengths. Rows that repeat a vector are linked with each other. An empty table gives no rows.
+vectors of other lengths. Rows that repeat a vector are linked with each other, those that repeat an id too: every row
+is a vector of its own. Vectors are told apart by 64-bit hashes. Further columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
