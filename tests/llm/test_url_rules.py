@@ -27,6 +27,7 @@ def test_against_brute_force(spark):
     rules = [(h, p, v) for (h, p), v in rules.items()]
     urls = [None, "", "nothing", "://", "http://", "x://COM", "http://a.com?x#y", "a://b://com/a"]
     urls += ["h://" + ".".join(rng.choice(labels).upper() for _ in range(rng.randint(1, 5))) + "".join(rng.choice([*parts, "?", "#"]) for _ in range(rng.randint(0, 6))) for _ in range(500)]
+    urls += ["h://" + "a." * 60 + "com/" + "/a" * 100_000, "h://b.com/" + "x" * 300_000 + "?y"]  # very long ones
     rows = [(k, u) for k, u in enumerate(urls)] + [(1, ""), (None, "x://com/"), (9, urls[9])]
     df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'x' host", "0 slice")
     found = judged_urls(df, spark.createDataFrame([*rules, (None, "/", "block"), ("com", None, "block")], "host string, path string, verdict string")).collect()

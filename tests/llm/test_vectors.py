@@ -64,3 +64,11 @@ def test_one_large_group(spark):
     want = np.concatenate([(unit[k : k + 500] @ unit.T >= 0.95).sum(axis=1) for k in range(0, len(x), 500)]) - 1
     found = {r["vec_id"]: r["n_links"] for r in linked_vectors(df).collect()}
     assert sum(found.values()) >= 0.99 * want.sum() and all(found[k] <= n for k, n in enumerate(want.tolist()))
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    """Two rows of one id: the same vector again, and another vector."""
+    a, b = [1.0] + [0.0] * 15, [0.0, 1.0] + [0.0] * 14
+    df = spark.createDataFrame([(1, a), (1, a), (1, b), (2, a), (3, b), (4, [0.0] * 16)], "vec_id long, embedding array<double>")
+    found = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in linked_vectors(df).collect())
+    assert found == [(1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 0, 4)]
