@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from heapq import heapify, heappop, heappush
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,54 +42,31 @@ def grade_runs(classed: DataFrame) -> DataFrame:
     return d.groupBy("track_id", "run").agg(F.first("cls").alias("cls"), F.min("cum_dist").alias("start_m"), F.max("cum_dist").alias("end_m"))
 
 
-def merged_runs(starts: list[float], ends: list[float], classes: list[int], least: float) -> list[tuple[float, float]]:
-    """Stretches left when the shortest run (the first of those) always joins its longer neighbour, or the one before it if
-    both are as long, and neighbours of one class become one run. A heap has the shortest run, links its neighbours."""
-    n = len(classes)
-    start, end, cls = list(starts), list(ends), list(classes)
-    before, after = [k - 1 for k in range(n)], [*range(1, n), -1]
-    alive, left = [True] * n, n
-    heap = [(end[k] - start[k], start[k], k) for k in range(n)]
-    heapify(heap)
-
-    def absorb(k: int, gone: int) -> None:
-        """Run k takes its neighbour's stretch."""
-        nonlocal left
-        start[k], end[k] = min(start[k], start[gone]), max(end[k], end[gone])
-        a, b = before[gone], after[gone]
-        if a >= 0:
-            after[a] = b
-        if b >= 0:
-            before[b] = a
-        alive[gone], left = False, left - 1
-
-    while left > 1:
-        length, at, k = heappop(heap)
-        if not alive[k] or (length, at) != (end[k] - start[k], start[k]):
-            continue
-        if length >= least:
-            break
-        sizes = [end[j] - start[j] if j >= 0 else -1.0 for j in (before[k], after[k])]
-        winner = before[k] if sizes[0] >= sizes[1] else after[k]
-        absorb(winner, k)
-        for j in (before[winner], after[winner]):
-            if j >= 0 and cls[j] == cls[winner]:
-                absorb(winner, j)
-        heappush(heap, (end[winner] - start[winner], start[winner], winner))
-    return sorted((start[k], end[k]) for k in range(n) if alive[k])
+#: A round of merges over ``a.s``, the runs (b, e, c, n: begin, end, class, length) of a track that are left. A run shorter than
+#: the least length goes now if none within two places comes before it in order of (length, place). Merges of shorter runs
+#: farther off then change neither its neighbours nor which of them it joins, so all such runs go at once and the result
+#: is that of one after another. ``l`` and ``r``: it joins the run to its left, to its right, or both if they are of one class.
+_BEFORE, _AFTER = (lambda k: f"coalesce(get(a.s, i - {k}).n > x.n, true)"), (lambda k: f"coalesce(get(a.s, i + {k}).n >= x.n, true)")
+_GOES = f"x.n < {{least}} and {_BEFORE(2)} and {_BEFORE(1)} and {_AFTER(1)} and {_AFTER(2)}"
+_LEFT, _RIGHT = "get(a.s, i - 1)", "get(a.s, i + 1)"
+_JOINS = f"""transform(a.s, (x, i) -> named_struct('b', x.b, 'e', x.e, 'c', x.c,
+    'l', {_GOES} and {_LEFT} is not null and ({_RIGHT} is null or {_LEFT}.c = {_RIGHT}.c or {_LEFT}.n >= {_RIGHT}.n),
+    'r', {_GOES} and {_RIGHT} is not null and ({_LEFT} is null or {_LEFT}.c = {_RIGHT}.c or {_LEFT}.n < {_RIGHT}.n)))"""
+_JOINED = "coalesce(get(t, i + {0}).r or get(t, i + {0} + 1).l, false)".format
+_ENDS = f"""filter(transform(t, (x, i) -> named_struct('b', x.b, 'c', if(x.r, get(t, i + 1).c, x.c), 'gone', {_JOINED(-1)},
+    'e', case when not {_JOINED(0)} then x.e when {_JOINED(1)} then get(t, i + 2).e else get(t, i + 1).e end)), x -> not x.gone)"""
+_ROUND = f"transform(array({_JOINS}), t -> transform({_ENDS}, x -> named_struct('b', x.b, 'e', x.e, 'c', x.c, 'n', x.e - x.b)))[0]"
 
 
 def split_by_grade(classed: DataFrame, least: float = 400.0) -> DataFrame:
     """Sectors of one slope class each, at least ``least`` metres long where the track is.
 
-    The order of merges matters, so the short list of a track's runs is worked in Python, track by track.
+    The shortest run always joins its longer neighbour (the one before it if both are as long), and neighbours of one class become
+    one. All that can go at once goes in one round: few rounds for most tracks, as many as runs where lengths only
+    grow along the track. The rounds are a fold over a track's short list of runs, inside the JVM.
     """
-    import pandas as pd
-
-    def merged(runs: pd.DataFrame) -> pd.DataFrame:
-        runs = runs.sort_values("run")
-        found = merged_runs(runs["start_m"].tolist(), runs["end_m"].tolist(), runs["cls"].tolist(), least)
-        return pd.DataFrame({"track_id": runs["track_id"].iloc[0], "sector_id": range(len(found)), "start_m": [a for a, _ in found], "end_m": [b for _, b in found]})
-
-    kind = classed.schema["track_id"].dataType.simpleString()
-    return grade_runs(classed).groupBy("track_id").applyInPandas(merged, f"track_id {kind}, sector_id int, start_m double, end_m double")
+    runs = grade_runs(classed).groupBy("track_id").agg(F.expr("transform(array_sort(collect_list(struct(run, start_m, end_m, cls))), x -> named_struct('b', x.start_m, 'e', x.end_m, 'c', x.cls, 'n', x.end_m - x.start_m))").alias("s"))
+    more = f"size(s) > 1 and exists(s, x -> x.n < {least})"
+    step = f"transform(array({_ROUND.format(least=least)}), s -> named_struct('s', s, 'more', {more}))[0]"
+    left = f"aggregate(sequence(1, size(s)), named_struct('s', s, 'more', {more}), (a, k) -> if(a.more, {step}, a), a -> a.s)"
+    return runs.select("track_id", F.posexplode(F.expr(left)).alias("sector_id", "x")).select("track_id", "sector_id", F.col("x.b").alias("start_m"), F.col("x.e").alias("end_m"))

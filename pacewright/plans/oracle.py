@@ -217,6 +217,8 @@ CHAIN = {
     "cls0": "SELECT *, min({'c': cum_dist, 's': seq, 'e': ele}) OVER w AS a, max({'c': cum_dist, 's': seq, 'e': ele}) OVER w AS b FROM p WINDOW w AS (PARTITION BY track_id ORDER BY cum_dist RANGE BETWEEN 25 PRECEDING AND 25 FOLLOWING)",
     "cls": "SELECT track_id, seq, cum_dist, CASE WHEN b.c - a.c >= 25 AND (b.e - a.e) / (b.c - a.c) > 0.025 THEN 1 WHEN b.c - a.c >= 25 AND (b.e - a.e) / (b.c - a.c) < -0.025 THEN -1 ELSE 0 END AS cls FROM cls0",
     "runs": f"SELECT track_id, run, any_value(cls) AS cls, min(cum_dist) AS start_m, max(cum_dist) AS end_m FROM (SELECT *, sum(new) OVER {RUN} AS run FROM (SELECT *, CASE WHEN cls <> lag(cls) OVER {W} THEN 1 ELSE 0 END AS new FROM cls)) GROUP BY 1, 2",
+    # one merge of each track a step: the shortest run, k, joins the longer of its neighbours
+    "merging": "SELECT track_id, list({'b': start_m, 'e': end_m, 'c': cls} ORDER BY run) AS s FROM runs GROUP BY 1 UNION ALL SELECT track_id, s[:lo - 1] || [{'b': s[lo].b, 'e': s[hi].e, 'c': s[joined].c}] || s[hi + 1:] FROM (SELECT *, CASE WHEN joined < k OR one THEN k - 1 ELSE k END AS lo, CASE WHEN joined > k OR one THEN k + 1 ELSE k END AS hi FROM (SELECT *, CASE WHEN k = 1 THEN 2 WHEN k = len(s) OR n[k - 1] >= n[k + 1] THEN k - 1 ELSE k + 1 END AS joined, k > 1 AND k < len(s) AND s[k - 1].c = s[k + 1].c AS one FROM (SELECT *, list_position(n, list_min(n)) AS k FROM (SELECT *, list_transform(s, lambda x: x.e - x.b) AS n FROM merging WHERE len(s) > 1)) WHERE n[k] < 400))",
     "tms": "SELECT track_id, sector_id, max(CASE WHEN kind = 'start' THEN to_ms END) AS start_ms, max(CASE WHEN kind = 'end' THEN to_ms END) AS end_ms FROM wk GROUP BY 1, 2",
     "gs0": "SELECT track_id, list({'s': CAST(seq AS BIGINT), 'h': seg_m, 'e': ele, 'run': CAST(0 AS DOUBLE), 'base': ele, 'o': [{'s': CAST(seq AS BIGINT), 'g': CAST(NULL AS DOUBLE)}]} ORDER BY seq) AS steps FROM p GROUP BY 1",
     "gs1": """SELECT track_id, (list_reduce(steps, lambda s, x: {'s': x.s, 'h': x.h, 'e': x.e, 'run': CASE WHEN s.run + x.h >= 50 THEN 0.0 ELSE s.run + x.h END, 'base': CASE WHEN s.run + x.h >= 50 THEN x.e ELSE s.base END,
@@ -423,6 +425,7 @@ FINAL: dict[str, str] = {
     "split_by_length": SPLIT_DROP,
     "grade_class": "SELECT track_id, seq, cls FROM cls",
     "grade_runs": "SELECT * FROM runs",
+    "split_by_grade": "SELECT track_id, unnest(range(len(s))) AS sector_id, unnest(s).b AS start_m, unnest(s).e AS end_m FROM merging WHERE len(s) = 1 OR list_min(list_transform(s, lambda x: x.e - x.b)) >= 400",
     "simplify_dp": "SELECT track_id, seq FROM dpk JOIN dpn USING (track_id) WHERE reach > lim",
     "cum_distance_by_blocks": "SELECT track_id, seq, seg_m, cum_dist FROM p",
     "sector_grade_windows": "SELECT * FROM gw",
@@ -445,7 +448,7 @@ FINAL: dict[str, str] = {
 
 
 #: Queries whose chain refers to itself; elsewhere tables that are read twice are to be made once.
-RECURSIVE = {"simplify_dp"}
+RECURSIVE = {"simplify_dp", "split_by_grade"}
 
 
 def _chain(query: str, instead: dict[str, str]) -> str:

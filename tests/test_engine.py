@@ -261,7 +261,7 @@ def test_nearest_place_of_far_probes(spark):
     assert found[2][1] == pytest.approx(3000 * STEP, rel=1e-3)
 
 
-def test_merged_runs_against_rescans():
+def test_split_by_grade_against_rescans(spark):
     import random
 
     def rescanned(starts, ends, classes, least):
@@ -281,11 +281,21 @@ def test_merged_runs_against_rescans():
         return [(a, b) for a, b, _ in todo]
 
     rng = random.Random(3)
-    for _ in range(300):
+    points, wanted = [], {}
+    for t in range(400):
         at, starts, ends, classes = 0.0, [], [], []
-        for _ in range(rng.randint(1, 25)):
+        for k in range(rng.randint(1, 60)):
             classes.append(rng.choice([c for c in (-1, 0, 1) if not classes or c != classes[-1]]))
             starts.append(at)
-            ends.append(at + rng.choice([0.0, 10.0, 50.0, 100.0, 450.0]))
+            lengths = (0.0, 10.0, 50.0, 100.0, 450.0) if t % 3 else (10.0 * k + 5, 300.0 - 10 * k)  # ties, or ever longer and shorter ones
+            ends.append(at + max(0.0, rng.choice(lengths) if t % 3 else lengths[t % 2]))
             at = ends[-1] + 10
-        assert splits.merged_runs(starts, ends, classes, 400.0) == rescanned(starts, ends, classes, 400.0)
+        places = [(d, c) for a, b, c in zip(starts, ends, classes, strict=True) for d in (a, b)]
+        points += [(t, k, d, c) for k, (d, c) in enumerate(places)]
+        wanted[t] = rescanned(starts, ends, classes, 400.0)
+    classed = spark.createDataFrame(points, "track_id long, seq int, cum_dist double, cls int")
+    df, found = splits.split_by_grade(classed), {}
+    for r in df.orderBy("track_id", "sector_id").collect():
+        found.setdefault(r["track_id"], []).append((r["start_m"], r["end_m"]))
+    assert found == wanted and "InPandas" not in df._jdf.queryExecution().toString()
+    assert splits.split_by_grade(classed.limit(0)).isEmpty()
