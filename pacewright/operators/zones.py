@@ -109,10 +109,12 @@ def hr_zone_time(walk: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     d = walk.withColumn("hr", nearest("v_hr", "v_next_hr")).filter("timed")
     d = d.withColumn("had", F.max(F.col("hr").isNotNull()).over(Window.partitionBy(*SECTOR))).filter("had")
     d = classify_hr_zone(d, zones) if zones is not None else d.withColumn("zone", nearest("v_zone", "v_next_zone"))
-    out = F.when(~F.col("paused"), F.col("dt"))
-    sums = {"moving_s": out, "paused_s": F.when(F.col("paused"), F.col("dt")), "no_hr_s": F.when(F.col("hr").isNull(), out), "below_s": F.when(F.col("zone") == 0, out)}
+    # milliseconds of a step are a difference of places on one grid, so their sums are exact in any order
+    step = F.col("to_ms") - F.col("from_ms")
+    out = F.when(~F.col("paused"), step)
+    sums = {"moving_s": out, "paused_s": F.when(F.col("paused"), step), "no_hr_s": F.when(F.col("hr").isNull(), out), "below_s": F.when(F.col("zone") == 0, out)}
     sums |= {f"z{k}_s": F.when(F.col("zone") == k, out) for k in range(1, 6)}
-    return d.groupBy(*SECTOR).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in sums.items()])
+    return d.groupBy(*SECTOR).agg(*[F.coalesce(F.sum(c) / 1000, F.lit(0.0)).alias(n) for n, c in sums.items()])
 
 
 def zone_share_pct(times: DataFrame) -> DataFrame:
