@@ -15,6 +15,7 @@ from pacewright.sources.scratch import stored
 
 
 TERRAIN_BLOCK = 32  # pixels a side
+METRE = EARTH_RADIUS_M * 3.141592653589793 / 180  # of a degree north
 
 
 def _nearest(q: DataFrame, p: DataFrame, cell: float | Column | None) -> DataFrame:
@@ -25,7 +26,8 @@ def _nearest(q: DataFrame, p: DataFrame, cell: float | Column | None) -> DataFra
         at = lambda c, by: F.floor(F.col(c) / cell) + by
         around = F.array(*[F.struct(at("qx", i).alias("gx"), at("qy", j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         q, p, keys = q.select("*", F.inline(around)), p.withColumns({"gx": at("x", 0), "gy": at("y", 0)}), ["track_id", "gx", "gy"]
-    dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
+    # degrees first: of two vertices as far on either side, differences of metres would take one by their rounding
+    dx, dy = (F.col("p.lon") - F.col("q.lon")) * F.col("sx"), (F.col("p.lat") - F.col("q.lat")) * METRE
     d = q.join(p, keys, "left").withColumn("d2", dx * dx + dy * dy)
     best = F.min_by(F.struct("p", "before", "after", "sx"), F.when(F.col("d2").isNotNull(), F.struct("d2", "seq")))
     return d.groupBy("track_id", "q", "qx", "qy").agg(best.alias("v"), F.min("d2").alias("d2"))
@@ -42,7 +44,7 @@ def nearest_on_track(probes: DataFrame, points: DataFrame, within: float | None
     compared with their whole track.
     """
     w = ordered()
-    metre = EARTH_RADIUS_M * 3.141592653589793 / 180
+    metre = METRE
     cos = lambda lat: F.cos(F.radians(lat))
     low, high, longest = F.min("lat"), F.max("lat"), F.max("seg_m")
     middle = cos((low + high) / 2)
