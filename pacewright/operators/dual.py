@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pacewright.functions.geo import minetti_factor, speed_to_pace
-from pacewright.operators.sector import SECTOR, fitness_series, sector_speed_series
+from pacewright.operators.sector import SECTOR, fitness_readings, sector_speed_series
 
 QUANTITIES = ["hr", "power", "cad", "temp", "grade", "ele", "speed", "pace", "gap"]
 X_BINS, Y_BINS, LEAST_PAIRS = 96, 64, 10
@@ -54,14 +54,15 @@ def sector_grade_windows(walk: DataFrame) -> DataFrame:
 
 
 def analysis_samples(walk: DataFrame) -> DataFrame:
-    """One row per point of each sector with the nine quantities, null where there is none."""
-    rows = walk.filter("kind <> 'end'").select(*SECTOR, "vseq", F.col("v_temp").alias("temp"), F.col("v_ele").alias("ele"))
-    fit = fitness_series(walk).groupBy(*SECTOR, "vseq").pivot("metric", ["hr", "power", "cad"]).agg(F.first("value"))
-    speed = sector_speed_series(walk)
+    """One row per point of each sector with the nine quantities, null where there is none.
+
+    All but the grades are windows over the sector's own rows, so they stay in one row from the walk on.
+    """
+    d = sector_speed_series(fitness_readings(walk), "v_temp", "v_ele", "hr", "cad", "power")
     effort = F.when((F.col("v_dd") > 0) & F.col("v_dz").isNotNull(), F.col("clean_speed") / minetti_factor(F.try_divide(F.col("v_dz"), F.col("v_dd"))))
-    speed = speed.select(*SECTOR, "vseq", F.col("clean_speed").alias("speed"), speed_to_pace(F.col("clean_speed")).alias("pace"), speed_to_pace(effort).alias("gap"))
     keys = [*SECTOR, "vseq"]
-    d = rows.join(fit, keys, "left").join(speed, keys, "left").join(sector_grade_windows(walk), keys, "left")
+    d = d.select(*keys, F.col("v_temp").alias("temp"), F.col("v_ele").alias("ele"), "hr", "cad", "power", F.col("clean_speed").alias("speed"), speed_to_pace(effort).alias("gap"))
+    d = d.join(sector_grade_windows(walk), keys, "left").withColumn("pace", speed_to_pace(F.col("speed")))
     return d.select(*keys, *QUANTITIES)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pacewright.functions.geo import MOVING_MPS, PAUSE_MIN_S, lerp, minetti_factor, segment_3d, segment_type, speed_implausible
 from pacewright.operators.track import ordered, running, speed_series, with_next
-from pacewright.sources.scratch import stored
+from pacewright.sources.layout import laid_by_track
 
 SECTOR = ("track_id", "sector_id")
 BLOCK = 128  # points that a sector meets together
@@ -88,11 +88,26 @@ def point_at_distance(points: DataFrame, requests: DataFrame, at: str = "d") ->
 
 
 def located(points: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Sectors with the points at their ends as structs ``a`` and ``b``."""
-    ends = sectors.select("track_id", "sector_id", F.inline(F.array(F.struct(F.lit("a").alias("end"), F.col("start_m").alias("d")), F.struct(F.lit("b").alias("end"), F.greatest("start_m", "end_m").alias("d")))))
-    found = point_at_distance(points, ends)
-    place = F.struct("i", "t", "dist", *_PLACE)
-    return found.groupBy(*SECTOR).agg(*[F.max(F.when(F.col("end") == e, place)).alias(e) for e in ("a", "b")])
+    """Sectors with the points before their ends as ``a`` and ``b``, structs of number ``i`` and distance ``x``.
+
+    The as-of join of ``point_at_distance``, with nothing of a point but its number.
+    """
+    ends = sectors.select("track_id", F.inline(F.array(*[F.struct(F.struct("sector_id", F.lit(e).alias("end")).alias("_r"), x.alias("_x")) for e, x in (("a", F.col("start_m")), ("b", F.greatest("start_m", "end_m")))])))
+    r = ends.select("track_id", F.greatest("_x", F.lit(0.0)).alias("_x"), F.lit(1 << 30).alias("_k"), "_r")
+    both = points.select("track_id", F.col("cum_dist").alias("_x"), F.col("seq").alias("_k")).unionByName(r, allowMissingColumns=True)
+    order = Window.partitionBy("track_id").orderBy("_x", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.col("_r").isNull(), F.col("_k"))
+    d = both.withColumns({"_first": F.first(own, True).over(order), "_last": F.last(own, True).over(order)}).filter("_r is not null")
+    d = d.select("track_id", "_r.*", F.struct(F.when(F.col("_x") <= 0, F.col("_first")).otherwise(F.col("_last")).alias("i"), F.col("_x").alias("x")).alias("p"))
+    return d.groupBy(*SECTOR).agg(*[F.max(F.when(F.col("end") == e, F.col("p"))).alias(e) for e in ("a", "b")])
+
+
+def _place_at(end: str) -> dict[str, Column]:
+    """The place of a sector's end on the step from its point to the next, as ``point_at_distance`` has it."""
+    x, cum, ahead = F.col(f"{end}.x"), F.col("cum_dist"), F.col("n_cum")
+    t = F.when((x > 0) & (ahead - cum > 0), F.least(F.lit(1.0), (x - cum) / (ahead - cum))).otherwise(F.lit(0.0))
+    at = lambda own, after: F.when(ahead.isNull(), F.col(own)).otherwise(lerp(F.col(own), F.col(after), t))
+    return {"t": t, "dist": F.when(ahead.isNull(), cum).otherwise(x), "ele": at("v_ele", "n_ele"), "ms": at("v_ms", "n_ms")}
 
 
 def sector_walk(points: DataFrame, sectors: DataFrame) -> DataFrame:
@@ -103,21 +118,30 @@ def sector_walk(points: DataFrame, sectors: DataFrame) -> DataFrame:
     sector's end and has none.
     ``moving`` marks timed steps of 0.5 km/h or more, ``paused`` those in a stop of ten seconds or more.
     """
-    p = with_next(points)
+    p, w = with_next(points), ordered()
     cols = ["hr", "cad", "power", "temp", "speed", "recorded", "dd", "dt", "dz", *[c for c in ("next_hr", "zone", "next_zone") if c in p.columns]]
-    p = p.select("track_id", F.col("seq").alias("vseq"), "cum_dist", F.col("ele").alias("v_ele"), F.col("time_ms").cast("double").alias("v_ms"), *[F.col(c).alias(f"v_{c}") for c in cols])
+    ahead = {"n_cum": F.lead("cum_dist").over(w), "n_ele": F.lead("ele").over(w), "n_ms": F.lead("time_ms").over(w).cast("double")}
+    # what follows from a point and the next one is made behind the join
+    moved = [c for c in cols if c not in ("dt", "dz")]
+    p = p.withColumns(ahead).select("track_id", F.col("seq").alias("vseq"), "cum_dist", F.col("ele").cast("double").alias("v_ele"), F.col("time_ms").cast("double").alias("v_ms"), *ahead, *[F.col(c).alias(f"v_{c}") for c in moved])
     s = located(points, sectors).withColumn("block", F.explode(F.expr(f"sequence(a.i div {BLOCK}, b.i div {BLOCK})")))
     d = s.join(p.withColumn("block", F.expr(f"vseq div {BLOCK}")), ["track_id", "block"]).filter("vseq between a.i and b.i")
+    d = d.withColumns({"v_dt": (F.col("n_ms") - F.col("v_ms")) / 1000.0, "v_dz": F.col("n_ele") - F.col("v_ele")})
+    a, b = _place_at("a"), _place_at("b")
     row = lambda kind, step, dist, ele, ms: F.struct(F.lit(kind).alias("kind"), step.cast("int").alias("step"), dist.alias("to_dist"), ele.alias("to_ele"), ms.alias("to_ms"))
-    first = F.when(F.col("vseq") == F.col("a.i"), row("start", F.lit(0), F.col("a.dist"), F.col("a.ele"), F.col("a.time_ms")))
+    first = F.when(F.col("vseq") == F.col("a.i"), row("start", F.lit(0), a["dist"], a["ele"], a["ms"]))
     inner = F.when(F.col("vseq") > F.col("a.i"), row("point", F.col("vseq") - F.col("a.i"), F.col("cum_dist"), F.col("v_ele"), F.col("v_ms")))
-    last = F.when(F.col("vseq") == F.col("b.i"), row("end", F.col("vseq") - F.col("a.i") + 1, F.col("b.dist"), F.col("b.ele"), F.col("b.time_ms")))
+    last = F.when(F.col("vseq") == F.col("b.i"), row("end", F.col("vseq") - F.col("a.i") + 1, b["dist"], b["ele"], b["ms"]))
     d = d.withColumns({"_1": first, "_2": inner, "_3": last}).withColumn("_r", F.explode(F.expr("filter(array(_1, _2, _3), r -> r is not null)")))
-    d = d.select(*SECTOR, "vseq", "v_ele", *[f"v_{c}" for c in cols], F.col("b.t").alias("end_t"), (F.col("vseq") == F.col("b.i")).alias("last"), "_r.*")
+    # between the ends these follow from the step's own columns, so they are not moved
+    own = {c: F.when((F.col("_r.kind") != "point") | rest, F.col(c)).alias(c) for c, rest in (("v_ele", F.lit(False)), ("v_dt", F.col("vseq") == F.col("b.i")), ("v_dz", F.col("vseq") == F.col("b.i")))}
+    d = d.select(*SECTOR, "vseq", own["v_ele"], *[own.get(f"v_{c}", F.col(f"v_{c}")) for c in cols], F.when(F.col("_r.kind") == "end", b["t"]).alias("end_t"), (F.col("vseq") == F.col("b.i")).alias("last"), "_r.*")
     w = ordered(SECTOR, "step")
     d = d.withColumn("seg_h", F.greatest(F.lit(0.0), F.col("to_dist") - F.lag("to_dist").over(w)))
     d = d.withColumn("d_ele", F.col("to_ele") - F.lag("to_ele").over(w)).withColumn("from_ms", F.lag("to_ms").over(w)).withColumn("from_dist", F.lag("to_dist").over(w))
     d = d.withColumn("dt", (F.col("to_ms") - F.col("from_ms")) / 1000)
+    inner, w = (F.col("kind") == "point"), ordered(SECTOR, "step")
+    d = d.withColumns({c: F.when(inner & ~F.col("last"), F.lead(n).over(w)).otherwise(F.col(c)) for c, n in (("v_dt", "dt"), ("v_dz", "d_ele"))} | {"v_ele": F.when(inner, F.col("to_ele")).otherwise(F.col("v_ele"))})
     timed = F.coalesce(F.col("dt") > 0, F.lit(False))
     d = d.withColumn("timed", timed).withColumn("moving", timed & (F.try_divide(F.col("seg_h"), F.col("dt")) >= MOVING_MPS))
     d = d.withColumn("moving", F.coalesce("moving", F.lit(False))).withColumn("island", F.sum(F.col("moving").cast("int")).over(running(SECTOR, "step")))
@@ -125,6 +149,11 @@ def sector_walk(points: DataFrame, sectors: DataFrame) -> DataFrame:
     return d.withColumn("paused", F.col("timed") & ~F.col("moving") & F.coalesce(stop >= PAUSE_MIN_S, F.lit(False)))
 
 
+def laid_walk(walk: DataFrame) -> DataFrame:
+    """A walk written by sector, for what reads it more than once: every reader takes its sectors where they lie."""
+    return laid_by_track(walk, "walk", by=SECTOR, order=("step",), dealt=True)
+
+
 def pause_spans(walk: DataFrame) -> DataFrame:
     """(track_id, sector_id, t0, t1) of the confirmed pauses."""
     spans = walk.filter("paused").groupBy(*SECTOR, "island").agg(F.min("from_ms").alias("t0"), F.max("to_ms").alias("t1"))
@@ -312,14 +341,23 @@ def fitness_series(walk: DataFrame) -> DataFrame:
     return cleaned(walk, "hr", "cad", "power").select(*SECTOR, "vseq", "metric", F.col("smooth").alias("value"))
 
 
+def fitness_readings(walk: DataFrame) -> DataFrame:
+    """The walk with ``hr``, ``cad`` and ``power`` as ``fitness_series`` has them, in the rows that they belong to."""
+    d, series = walk, _series()
+    for c in ("hr", "cad", "power"):
+        d = d.withColumn("_v", series[c]).withColumn("_has", F.col("_v").isNotNull())
+        d = d.withColumn(c, F.when(F.col("_has"), F.avg("_v").over(ordered((*SECTOR, "_has"), "step").rowsBetween(-2, 2))))
+    return d.drop("_v", "_has")
+
+
 def fitness_stats(walk: DataFrame) -> DataFrame:
     return _clean_stats(walk, "hr", "cad", "power")
 
 
-def sector_speed_series(walk: DataFrame) -> DataFrame:
-    """(track_id, sector_id, vseq, clean_speed, v_dd, v_dz) of the sector's points, cleaned within the sector."""
-    rows = walk.filter("kind <> 'end'").select(*SECTOR, "vseq", F.col("v_speed").alias("speed"), F.col("v_recorded").alias("recorded"), F.col("v_dd").alias("dd"), F.col("v_dt").alias("dt"), "v_dd", "v_dz")
-    return speed_series(rows, SECTOR, "vseq").select(*SECTOR, "vseq", "clean_speed", "v_dd", "v_dz")
+def sector_speed_series(walk: DataFrame, *more: str) -> DataFrame:
+    """(track_id, sector_id, vseq, clean_speed, v_dd, v_dz, more columns of the walk) of the sector's points, cleaned within the sector."""
+    rows = walk.filter("kind <> 'end'").select(*SECTOR, "vseq", F.col("v_speed").alias("speed"), F.col("v_recorded").alias("recorded"), F.col("v_dd").alias("dd"), F.col("v_dt").alias("dt"), "v_dd", "v_dz", *more)
+    return speed_series(rows, SECTOR, "vseq").select(*SECTOR, "vseq", "clean_speed", "v_dd", "v_dz", *more)
 
 
 def fastest_slowest_km(walk: DataFrame, window: float = 1000.0) -> DataFrame:
@@ -368,7 +406,7 @@ def sector_kind(walk: DataFrame) -> DataFrame:
 
 def sector_metrics(points: DataFrame, sectors: DataFrame) -> DataFrame:
     """All metrics of each sector, one row each."""
-    return walk_metrics(stored(sector_walk(points, sectors), "walk"))
+    return walk_metrics(laid_walk(sector_walk(points, sectors)))
 
 
 def walk_metrics(walk: DataFrame) -> DataFrame:

@@ -35,7 +35,14 @@ ZONE_BOUNDS = [95.0, 114.0, 133.0, 152.0, 171.0]
 
 
 def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TRACK_POINTS_SQL, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    # the key has its later name from the start: Spark takes a renamed one for another, and would deal all rows out again
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumnRenamed("l_suppkey", "track_id")
+    return spark.sql(TRACK_POINTS_SQL.replace("l_suppkey AS track_id", "track_id").replace("l_suppkey", "track_id"), lineitem=d)
+
+
+def point_count(spark: SparkSession, sf_dir: str) -> int:
+    """From the ends of the files, without reading a row."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
 
 
 def waypoints(points: DataFrame) -> DataFrame:

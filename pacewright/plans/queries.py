@@ -12,8 +12,8 @@ from pacewright.functions import geo, text
 from pacewright.operators import dual, elevation, export, landmarks, lookup, sector, splits, track, zones
 from pacewright.plans import fixtures
 from pacewright.sources import activity
-from pacewright.sources.layout import laid_by_track, write_by_track
-from pacewright.sources.scratch import own_folder, stored
+from pacewright.sources.layout import laid_by_track, sized, write_by_track
+from pacewright.sources.scratch import own_folder
 from pacewright.streaming import live
 
 
@@ -40,6 +40,7 @@ class Base:
 
     @cached_property
     def points(self) -> DataFrame:
+        sized(self.spark, fixtures.point_count(self.spark, self.sf_dir))
         return track.cum_distance(fixtures.track_points(self.spark, self.sf_dir), 6)
 
     @cached_property
@@ -59,7 +60,7 @@ class Base:
 
     def lay(self) -> Base:
         """From here on points are read from a table laid out by track."""
-        self.points = laid_by_track(self.points, "points")
+        self.points = laid_by_track(self.points, "points", dealt=True)
         return self
 
     @cached_property
@@ -69,7 +70,7 @@ class Base:
 
     @cached_property
     def stored_walk(self) -> DataFrame:
-        return stored(self.walk, "walk")
+        return sector.laid_walk(self.walk)
 
     @cached_property
     def zoned_walk(self) -> DataFrame:
@@ -345,7 +346,7 @@ def _sectors(b: Base) -> dict[str, Callable[[], DataFrame]]:
     def segments() -> DataFrame:
         b.lay()
         parts = splits.split_by_waypoint(b.resolved, b.tracks)
-        walk = stored(sector.sector_walk(zones.classify_hr_zone(b.points, b.zones), parts), "walk")
+        walk = sector.laid_walk(sector.sector_walk(zones.classify_hr_zone(b.points, b.zones), parts))
         return sector.walk_metrics(walk).join(zones.hr_zone_time(walk).drop("moving_s"), shared, "left")
 
     return {
@@ -368,7 +369,7 @@ def _sectors(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "effort_distance": lambda: sector.effort_distance(b.walk),
         "segment_type": lambda: sector.sector_kind(b.walk),
         "sector_metrics": metrics,
-        "track_stats": lambda: sector.track_stats(b.points, b.tracks),
+        "track_stats": lambda: sector.track_stats(b.lay().points, b.tracks),
         "sector_leaderboard": lambda: sector.sector_leaderboard(metrics()),
         "hr_zone_time": lambda: zones.hr_zone_time(b.zoned_walk),
         "zone_share_pct": lambda: zones.zone_share_pct(zones.hr_zone_time(b.zoned_walk)).select(*shared, *[f"z{k}_pct" for k in range(1, 6)]),
@@ -413,7 +414,7 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
 
     def long() -> DataFrame:
         b.lay()
-        walk = stored(sector.sector_walk(zones.classify_hr_zone(b.points, b.zones), b.whole), "walk")
+        walk = sector.laid_walk(sector.sector_walk(zones.classify_hr_zone(b.points, b.zones), b.whole))
         return export.metrics_long(sector.walk_metrics(walk), zones.hr_zone_time(walk), b.zones, b.tracks)
 
 
