@@ -166,10 +166,10 @@ class Base:
     def folder(self, name: str) -> str:
         return own_folder(self.spark, name)
 
-    def lines(self, documents: DataFrame, name: str) -> str:
-        """The folder of documents (key, text), one file each."""
+    def lines(self, documents: DataFrame, name: str, packed: bool = True) -> str:
+        """The folder of documents (key, text), one file each, compressed if ``packed``: a document is one row, whichever task has it."""
         path = self.folder(name)
-        documents.toDF("file_key", "value").repartition("file_key").write.partitionBy("file_key").text(path)
+        documents.toDF("file_key", "value").write.partitionBy("file_key").option("compression", "gzip" if packed else "none").text(path)
         return path
 
     def files(self, documents: DataFrame) -> DataFrame:
@@ -196,7 +196,8 @@ def _tagged(tag: str, column: str) -> Column:
 
 def _documents(points: DataFrame, point: Column, head: str, tail: str) -> DataFrame:
     body = F.array_join(F.array_sort(F.collect_list(F.struct("seq", point.alias("x"))))["x"], "")
-    return points.groupBy(F.col("track_id").cast("string").alias("doc")).agg(body.alias("b")).select("doc", F.concat(F.lit(head.split("{doc}")[0]), "doc", F.lit(head.split("{doc}")[1]), "b", F.lit(tail)).alias("x"))
+    # by the key that points lie by, so that texts are made where the points are
+    return points.groupBy("track_id").agg(body.alias("b")).withColumn("doc", F.col("track_id").cast("string")).select("doc", F.concat(F.lit(head.split("{doc}")[0]), "doc", F.lit(head.split("{doc}")[1]), "b", F.lit(tail)).alias("x"))
 
 
 def tcx_documents(points: DataFrame) -> DataFrame:
@@ -442,7 +443,7 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
         d = _documents(b.points.filter("track_id % 6 <> 3 or seq = 0"), point, '<gpx version="1.1"><metadata><name>{doc}</name></metadata><trk><trkseg>', "</trkseg></trk></gpx>")
         kind = F.col("doc").cast("int") % 6
         d = d.withColumn("x", F.when(kind == 1, "what").when(kind == 2, F.replace("x", F.lit("</trk>"), F.lit(""))).otherwise(F.col("x")))
-        path = b.lines(d.filter(kind < 4), "mixed")
+        path = b.lines(d.filter(kind < 4), "mixed", packed=False)
         files = b.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
         archives = zipped(d.filter(kind == 4), "readme.txt").unionByName(d.filter(kind == 5).select(F.concat("doc", F.lit(".kmz")).alias("path"), F.lit("PK no archive").cast("binary").alias("content")))
         archives = archives.withColumn("path", F.concat(F.lit("file_key="), "path"))
