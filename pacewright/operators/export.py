@@ -41,15 +41,17 @@ def sector_gpx(points: DataFrame, sectors: DataFrame, factor: int = 1) -> DataFr
     return d.select(*SECTOR, F.concat(F.lit(head), name, F.lit("<trk><trkseg>"), F.array_join("ps.xml", ""), F.lit("</trkseg></trk></gpx>")).alias("gpx"))
 
 
-def write_texts(documents: DataFrame, column: str, path: str, files: bool = False) -> None:
+def write_texts(documents: DataFrame, column: str, path: str, files: bool = False, dealt: bool = False) -> None:
     """Documents of sectors, packed: as many files as tasks, whatever the number of sectors.
 
     A file holds its documents whole, sorted by track and sector in groups of about 4 MB, and the range of keys of each
     group, so one document is read without the others. Tasks commit their files when they end; one that fails
     leaves none. With ``files`` every document becomes a text file in a folder named after its sector, for
-    tools that want files; that is for as many sectors as a file system can hold.
+    tools that want files; that is for as many sectors as a file system can hold. ``dealt`` says that the documents
+    come by track already, as those of ``sector_gpx`` do.
     """
-    d = documents.select(*SECTOR, F.col(column).alias("value")).repartition("track_id").sortWithinPartitions(*SECTOR)
+    d = documents.select(*SECTOR, F.col(column).alias("value"))
+    d = (d if dealt else d.repartition("track_id")).sortWithinPartitions(*SECTOR)
     if files:
         d.write.partitionBy(*SECTOR).text(path)
     else:

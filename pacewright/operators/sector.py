@@ -136,7 +136,8 @@ def sector_walk(points: DataFrame, sectors: DataFrame) -> DataFrame:
     # between the ends these follow from the step's own columns, so they are not moved
     own = {c: F.when((F.col("_r.kind") != "point") | rest, F.col(c)).alias(c) for c, rest in (("v_ele", F.lit(False)), ("v_dt", F.col("vseq") == F.col("b.i")), ("v_dz", F.col("vseq") == F.col("b.i")))}
     d = d.select(*SECTOR, "vseq", own["v_ele"], *[own.get(f"v_{c}", F.col(f"v_{c}")) for c in cols], F.when(F.col("_r.kind") == "end", b["t"]).alias("end_t"), (F.col("vseq") == F.col("b.i")).alias("last"), "_r.*")
-    w = ordered(SECTOR, "step")
+    # points met their sectors where they lie, by track; from here on the sectors of one track are dealt out
+    d, w = d.repartition(*SECTOR), ordered(SECTOR, "step")
     d = d.withColumn("seg_h", F.greatest(F.lit(0.0), F.col("to_dist") - F.lag("to_dist").over(w)))
     d = d.withColumn("d_ele", F.col("to_ele") - F.lag("to_ele").over(w)).withColumn("from_ms", F.lag("to_ms").over(w)).withColumn("from_dist", F.lag("to_dist").over(w))
     d = d.withColumn("dt", (F.col("to_ms") - F.col("from_ms")) / 1000)

@@ -428,9 +428,9 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
         export.write_metrics_csv(long(), path)
         return export.read_metrics_csv(b.spark, path)
 
-    def texts(documents: DataFrame, column: str, files: bool = False) -> DataFrame:
+    def texts(documents: DataFrame, column: str, files: bool = False, dealt: bool = False) -> DataFrame:
         path = b.folder(column)
-        export.write_texts(documents, column, path, files)
+        export.write_texts(documents, column, path, files, dealt)
         return export.read_texts(b.spark, path, files).withColumnRenamed("value", column)
 
     def parquet() -> DataFrame:
@@ -461,7 +461,7 @@ def _files(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "scan_kmz": lambda: activity.scan_kmz(zipped(kml_documents(b.points))).select(F.replace("doc", F.lit(".kmz"), F.lit("")).alias("doc"), "seq", "lat", "lon", "ele"),
         "scan_device_records": lambda: activity.scan_device_records(b.device).select("doc", "seq", "lat", "lon", "ele", "hr", "cad", "speed"),
         "ingest_errors": errors,
-        "sink_sector_gpx": lambda: texts(export.sector_gpx(b.points, b.sectors), "gpx"),
+        "sink_sector_gpx": lambda: texts(export.sector_gpx(b.lay().points, b.sectors), "gpx", dealt=True),
         "sink_metrics_long": long,
         "sink_metrics_csv": csv,
         "sink_metrics_txt": lambda: texts(export.metrics_text(long()), "text", files=True),

@@ -17,12 +17,14 @@ def sized(spark: SparkSession, points: int) -> int:
     """Partitions of the session's shuffles and buckets, so many at least that a task's share does not grow with the input.
 
     Adaptive execution puts small partitions together up to ``READ_AT_ONCE`` and no further. Larger numbers
-    that the session has already stay.
+    that the session has already stay. Rows that lie by track stay there in joins by track and more columns
+    (blocks, places); what is to be dealt out by more columns says so.
     """
     need, has = -(-points // POINTS_A_TASK), int(spark.conf.get("spark.sql.shuffle.partitions"))
     if need > has:
         spark.conf.set("spark.sql.shuffle.partitions", need)
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", READ_AT_ONCE)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return max(need, has)
 
 
