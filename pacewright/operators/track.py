@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pacewright.functions.geo import EARTH_RADIUS_M, haversine, minetti_factor, speed_implausible
+from pacewright.sources.layout import laid_by_track
 from pacewright.sources.scratch import stored
 
 BY_TRACK = ("track_id",)
+SPAN_BLOCK = 128  # points that a span of ``simplify_dp`` meets together
 
 
 def ordered(keys: tuple[str, ...] = BY_TRACK, by: str = "seq") -> WindowSpec:
@@ -190,34 +192,38 @@ def simplify_dp(points: DataFrame, tolerance: float = 1.5, most: int = 12000) ->
     """(track_id, seq) of the points that Douglas-Peucker keeps; the tolerance doubles, eight times at most, until they are few enough.
 
     Level by level for all tracks at once: every open span between two kept points finds its farthest point; where that
-    is beyond the tolerance the span splits there, else its points are done. The points of a span are never in one
-    place: each task finds its own farthest, and the few that split are joined back. A wider tolerance cuts the
-    same tree higher up, so each kept point remembers the least distance on its way down, and nothing is done twice.
+    is beyond the tolerance the span splits there, else its points are done. Points are laid out once, by track and
+    block of ``SPAN_BLOCK`` points, and never again: a level moves its open spans to the blocks that they reach into, each
+    task finds its own farthest, and only those meet. A wider tolerance cuts the same tree higher up, so each kept point
+    remembers the least distance on its way down, and nothing is done twice.
     """
     metre = EARTH_RADIUS_M * 3.141592653589793 / 180
+    block = lambda seq: F.expr(f"({seq}) div {SPAN_BLOCK}")
+    points = laid_by_track(points.select("track_id", block("seq").alias("block"), "seq", "lon", "lat"), "spans", by=("track_id", "block"))
     tracks = points.groupBy("track_id").agg(F.cos(F.radians(F.avg("lat"))).alias("_c"), F.min(F.struct("seq", "lon", "lat")).alias("_a"), F.max(F.struct("seq", "lon", "lat")).alias("_b"))
     tracks = stored(tracks, "ends")
     x, y = (lambda lon: lon * metre * F.col("_c")), (lambda lat: lat * metre)
     end = lambda e: F.struct(F.col(f"{e}.seq").alias("seq"), x(F.col(f"{e}.lon")).alias("x"), y(F.col(f"{e}.lat")).alias("y"))
-    inner = points.join(tracks, "track_id").filter("seq > _a.seq and seq < _b.seq")
-    inner = stored(inner.select("track_id", "seq", x(F.col("lon")).alias("x"), y(F.col("lat")).alias("y"), end("_a").alias("a"), end("_b").alias("b"), F.lit(float("inf")).alias("reach")), "spans")
+    spans = tracks.select("track_id", "_c", end("_a").alias("a"), end("_b").alias("b"), F.lit(float("inf")).alias("reach"))
     share = "if(w > 0, least(1D, greatest(0D, ((x - a.x) * (b.x - a.x) + (y - a.y) * (b.y - a.y)) / w)), 0D)"
     levels: list[DataFrame] = []
     while True:
-        d = inner.withColumn("w", F.expr("(b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)")).withColumn("t", F.expr(share))
+        spans = spans.filter("b.seq - a.seq > 1")
+        marks = spans.select("track_id", "_c", "a", "b", F.explode(F.sequence(block("a.seq + 1"), block("b.seq - 1"))).alias("block"))
+        d = points.join(marks, ["track_id", "block"]).filter("seq > a.seq and seq < b.seq").withColumns({"x": x(F.col("lon")), "y": y(F.col("lat"))})
+        d = d.withColumn("w", F.expr("(b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)")).withColumn("t", F.expr(share))
         d = d.withColumn("off", F.expr("sqrt(pow(x - a.x - t * (b.x - a.x), 2) + pow(y - a.y - t * (b.y - a.y), 2))"))
-        far = d.groupBy("track_id", F.col("a.seq").alias("from")).agg(F.max(F.struct("off", (-F.col("seq")).alias("_n"), F.struct("seq", "x", "y").alias("at"))).alias("m"), F.first("reach").alias("reach"))
-        far = far.filter(F.col("m.off") > tolerance).select("track_id", "from", F.col("m.at").alias("at"), F.least("reach", "m.off").alias("least"))
-        # the points of the spans that split: those at which they split, and the rest in their new spans
-        d = inner.withColumn("from", F.col("a.seq")).join(far, ["track_id", "from"])
-        before = F.col("seq") < F.col("at.seq")
-        levels.append(stored(d.select("track_id", "seq", "x", "y", F.when(before, F.col("a")).otherwise(F.col("at")).alias("a"), F.when(before, F.col("at")).otherwise(F.col("b")).alias("b"), F.col("least").alias("reach"), (F.col("seq") == F.col("at.seq")).alias("kept")), "spans"))
+        far = d.groupBy("track_id", F.col("a.seq").alias("from")).agg(F.max(F.struct("off", (-F.col("seq")).alias("_n"), F.struct("seq", "x", "y").alias("at"))).alias("m"))
+        far = far.filter(F.col("m.off") > tolerance)
+        d = spans.withColumn("from", F.col("a.seq")).join(far, ["track_id", "from"])
+        levels.append(stored(d.select("track_id", "_c", "a", "b", F.col("m.at").alias("at"), F.least("reach", "m.off").alias("reach")), "splits"))
         if levels[-1].isEmpty():
             break
-        inner = levels[-1].filter("not kept").drop("kept")
+        halves = F.array(*[F.struct(F.col(p).alias("a"), F.col(q).alias("b")) for p, q in (("a", "at"), ("at", "b"))])
+        spans = levels[-1].select("track_id", "_c", F.inline(halves), "reach")
     kept = tracks.select("track_id", F.explode(F.array_distinct(F.array("_a.seq", "_b.seq"))).alias("seq"), F.lit(float("inf")).alias("reach"))
     for level in levels[:-1]:
-        kept = kept.unionByName(level.filter("kept").select("track_id", "seq", "reach"))
+        kept = kept.unionByName(level.select("track_id", F.col("at.seq").alias("seq"), "reach"))
     limits = [tolerance * 2**k for k in range(9)]
     few = kept.groupBy("track_id").agg(*[F.count_if(F.col("reach") > limit).alias(f"n{k}") for k, limit in enumerate(limits)])
     limit = F.coalesce(*[F.when(F.col(f"n{k}") <= most, F.lit(limit)) for k, limit in enumerate(limits)], F.lit(limits[-1]))
