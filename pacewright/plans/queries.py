@@ -100,7 +100,7 @@ class Base:
 
     @cached_property
     def samples(self) -> DataFrame:
-        return dual.analysis_samples(self.walk)
+        return dual.analysis_samples(self.stored_walk)
 
     @cached_property
     def pairs(self) -> DataFrame:
