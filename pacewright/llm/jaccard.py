@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 from pacewright.llm.components import components, joined_components
 from pacewright.llm.shared import hand_back, in_python, only, released, written
 from pacewright.llm.textgrid import mixed, set_hash, shingle_sets
+from pacewright.sources.layout import laid_by_track
 
 FLUSH, SEEN = 1 << 20, 200_000
 REPEATED_BITS, COMMON_BITS, COMMON_FROM, WANTED_BITS, MOST_GROUP_BITS = 26, 21, 64, 24, 20
@@ -296,7 +297,7 @@ def _grouped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     members = written(keyed.groupBy("class").agg(F.min(F.struct("id", "body")).alias("m")).select("class", "m.id", "m.body"), "members")
     # from here on a class stands for its members, under the name ``id``
     lists = keyed.join(members, ["class", "id", "body"], "left_semi").dropDuplicates(["class"]).select(F.col("class").alias("id"), F.col("id").alias("first"), "n", F.inline(F.arrays_zip("keys", "places"))).withColumnsRenamed({"keys": "key", "places": "p"})
-    lists = written(lists, "lists")
+    lists = laid_by_track(lists, "lists", by=("key",), order=("id",))  # leaders and lists meet where they lie
 
     # the document of least id leads: what others were copied from mostly comes before them
     lead = F.min(F.struct("first", "id", "n", "p"))
@@ -311,8 +312,11 @@ def _grouped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     for row in bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         wanted[row["w"]] = row["bits"]
     chosen = spark.sparkContext.broadcast(wanted)
-    sets = _sets(given, chosen).join(members, ["class", "id", "body"], "left_semi").dropDuplicates(["class"])
-    sets = written(sets.select(F.col("class").alias("id"), "elements", "sketch"), "sets")
+    own = members.select("class", F.struct("id", "body").alias("own"))
+    # elements are moved once, to the class they belong to, and every comparison reads them there; an equation would be
+    # one more key of the join, and they would be moved by that and then by the class
+    sets = _sets(given, chosen).join(own, "class").filter("own <= struct(id, body) and own >= struct(id, body)").dropDuplicates(["class"])
+    sets = laid_by_track(sets.select(F.col("class").alias("id"), "elements", "sketch"), "sets", by=("id",), dealt=True)
     chosen.destroy()
 
     compared = written(_compared(candidates, sets), "compared")

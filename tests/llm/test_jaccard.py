@@ -164,3 +164,25 @@ def test_open_pairs_keep_every_link(spark, overlap):
     held = {k: set(s.tolist()) for k, s in sets.items()}
     links = {(a, b) for a in range(700) for b in range(a + 1, 700) if 7 * len(held[a] & held[b]) >= 3 * (len(held[a]) + len(held[b]))}
     assert links <= found and len(found) < 700 * 699 / 2
+
+
+def test_elements_stay_where_they_lie(spark, monkeypatch):
+    """A comparison moves pairs, and one side's elements with them, but neither table of elements."""
+    plans, compared = [], jaccard._compared
+    has = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def seen(pairs, sets):
+        found = compared(pairs, sets)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(jaccard, "_compared", seen)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([*words[:i], f"x{i}", *words[i:]])) for i in range(6)] + [(9, "nothing like the others at all")]
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", has)
+    assert found == {**dict.fromkeys(range(6), 0), 9: 9}
+    assert plans[0].count("Exchange hashpartitioning") == 2
