@@ -51,12 +51,24 @@ from pacewright.llm.shared import hand_back, in_python, only, released, written
 from pacewright.llm.textgrid import mixed, set_hash, shingle_sets
 from pacewright.sources.layout import laid_by_track
 
-FLUSH, SEEN = 1 << 20, 200_000
+FLUSH, SEEN, COUNTED_BITS = 1 << 20, 200_000, 40
 REPEATED_BITS, COMMON_BITS, COMMON_FROM, WANTED_BITS, MOST_GROUP_BITS = 26, 21, 64, 24, 20
 STAR_ROUNDS = 1
 SKETCH_BITS, BLOCK = 12, 256
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Rising numbers below 2^40 as the bytes of their steps, all lowest ones first: the highest ones are zeros side by side,
+    which compress to nothing, so a million hashes take about three bytes each."""
+    return np.diff(numbers, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    steps = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    steps[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(5, -1).T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _frequencies(given: DataFrame, bucket_bits: int) -> DataFrame:
     """For each range of hashes: which slots hold elements of two documents or more, how common they are,
     and the sums of counts and of their squares over elements that are not common."""
@@ -69,9 +81,9 @@ def _frequencies(given: DataFrame, bucket_bits: int) -> DataFrame:
             different, counts = np.unique(np.concatenate(held), return_counts=True)
             bucket = (different >> np.uint64(64 - bucket_bits)).astype(np.int64)
             at = np.searchsorted(bucket, np.arange((1 << bucket_bits) + 1)).tolist()
-            rest = ((different << np.uint64(bucket_bits)) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
+            rest = (different << np.uint64(bucket_bits)) >> np.uint64(bucket_bits + 64 - COUNTED_BITS)
             counts = np.minimum(counts, 65535).astype("<u2")
-            rows = [(k, rest[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+            rows = [(k, _packed(rest[a:b]), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "hashes", "counts"])
 
         for batch in batches:
@@ -86,10 +98,7 @@ def _frequencies(given: DataFrame, bucket_bits: int) -> DataFrame:
             yield flushed()
 
     def summed(rows: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(rows.column("hashes").to_pylist()), dtype=np.uint8).reshape(-1, 5)
-        hashes = np.zeros((len(raw), 8), dtype=np.uint8)
-        hashes[:, :5] = raw
-        hashes = hashes.view("<u8").ravel()
+        hashes = np.concatenate([_unpacked(x) for x in rows.column("hashes").to_pylist()])
         counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), dtype="<u2").astype(np.int64)
         order = np.argsort(hashes, kind="stable")
         hashes, counts = hashes[order], counts[order]
@@ -97,14 +106,14 @@ def _frequencies(given: DataFrame, bucket_bits: int) -> DataFrame:
         total = np.add.reduceat(counts, first)
         hashes, total = hashes[first][total > 1], total[total > 1]
         repeated = np.zeros(1 << (REPEATED_BITS - bucket_bits), dtype=bool)
-        repeated[hashes >> np.uint64(40 - REPEATED_BITS + bucket_bits)] = True
+        repeated[hashes >> np.uint64(COUNTED_BITS - REPEATED_BITS)] = True
         common = np.zeros(1 << (COMMON_BITS - bucket_bits), dtype=np.uint8)
         many = total >= COMMON_FROM
         most = max(1, len(common) // 4)
         if many.sum() > most:
             many &= total > np.partition(total, -most - 1)[-most - 1]
         level = 1 + np.floor(np.log2(total[many] / COMMON_FROM)).astype(np.uint8)
-        np.maximum.at(common, hashes[many] >> np.uint64(40 - COMMON_BITS + bucket_bits), level)
+        np.maximum.at(common, hashes[many] >> np.uint64(COUNTED_BITS - COMMON_BITS), level)
         few = total[~many].astype(np.float64)
         one = [rows.column("bucket")[0].as_py(), np.packbits(repeated).tobytes(), common.tobytes(), float(few.sum()), float((few * few).sum())]
         return pa.Table.from_arrays([pa.array([x], pa.int32() if k == 0 else None) for k, x in enumerate(one)], names=["bucket", "repeated", "common", "total", "squares"])
@@ -280,7 +289,8 @@ def _grouped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     repeated = np.zeros((1 << bucket_bits, 1 << (REPEATED_BITS - bucket_bits - 3)), dtype=np.uint8)
     common = np.zeros((1 << bucket_bits, 1 << (COMMON_BITS - bucket_bits)), dtype=np.uint8)
     total, squares = 0.0, 0.0
-    for row in _frequencies(given, bucket_bits).toLocalIterator():
+    # ten megabytes at every size, so one job brings them; one by one they would be a job for each partition
+    for row in _frequencies(given, bucket_bits).toArrow().to_pylist():
         repeated[row["bucket"]] = np.frombuffer(row["repeated"], dtype=np.uint8)
         common[row["bucket"]] = np.frombuffer(row["common"], dtype=np.uint8)
         total, squares = total + row["total"], squares + row["squares"]
@@ -294,9 +304,11 @@ def _grouped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     hand_back()  # the driver held some copies of the tables
 
     keyed = documents.filter("keys is not null and id is not null")
-    members = written(keyed.groupBy("class").agg(F.min(F.struct("id", "body")).alias("m")).select("class", "m.id", "m.body"), "members")
+    # keys are moved once, to the class they belong to
+    one = F.min_by(F.struct("id", "body", "n", "keys", "places"), F.struct("id", "body")).alias("m")
+    members = written(keyed.groupBy("class").agg(one).select("class", "m.*"), "members")
     # from here on a class stands for its members, under the name ``id``
-    lists = keyed.join(members, ["class", "id", "body"], "left_semi").dropDuplicates(["class"]).select(F.col("class").alias("id"), F.col("id").alias("first"), "n", F.inline(F.arrays_zip("keys", "places"))).withColumnsRenamed({"keys": "key", "places": "p"})
+    lists = members.select(F.col("class").alias("id"), F.col("id").alias("first"), "n", F.inline(F.arrays_zip("keys", "places"))).withColumnsRenamed({"keys": "key", "places": "p"})
     lists = laid_by_track(lists, "lists", by=("key",), order=("id",))  # leaders and lists meet where they lie
 
     # the document of least id leads: what others were copied from mostly comes before them
@@ -309,8 +321,8 @@ def _grouped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     wanted = np.zeros(1 << (WANTED_BITS - 5), dtype=np.int64)
     slots = members.withColumn("slot", _slot())
     bits = slots.selectExpr("cast(slot div 32 as int) w", "shiftleft(1L, cast(slot % 32 as int)) bit")
-    for row in bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        wanted[row["w"]] = row["bits"]
+    found = bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^19 rows at most
+    wanted[found["w"].to_numpy()] = found["bits"].to_numpy()
     chosen = spark.sparkContext.broadcast(wanted)
     own = members.select("class", F.struct("id", "body").alias("own"))
     # elements are moved once, to the class they belong to, and every comparison reads them there; an equation would be

@@ -186,3 +186,31 @@ def test_elements_stay_where_they_lie(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", has)
     assert found == {**dict.fromkeys(range(6), 0), 9: 9}
     assert plans[0].count("Exchange hashpartitioning") == 2
+
+
+def test_jobs_do_not_grow_with_partitions(spark):
+    """Counts and wanted rows come in one job each, not in one for each partition."""
+    df = spark.createDataFrame([(k, f"text {k} of its own words x{k} y{k} z{k}") for k in range(20)], "doc_id long, text string")
+    has = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.sparkContext.setJobGroup("jaccard_jobs", "")
+        assert jaccard.jaccard_components(df).count() == 20
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("jaccard_jobs"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in has.items():
+            spark.conf.set(k, v)
+    assert jobs < 60, jobs
+
+
+def test_hashes_are_packed_to_three_bytes():
+    import zlib
+
+    import numpy as np
+
+    numbers = np.sort(np.random.default_rng(5).integers(0, 1 << 40, 1 << 20, dtype=np.uint64))
+    for some in (numbers, numbers[:1], numbers[:0], np.array([0, 0, 7, (1 << 40) - 1], dtype=np.uint64)):
+        assert (jaccard._unpacked(jaccard._packed(some)) == some).all()
+    assert len(zlib.compress(jaccard._packed(numbers), 1)) < 3.1 * len(numbers)
