@@ -102,6 +102,7 @@ def classify_hr_zone(readings: DataFrame, zones: DataFrame, hr: str = "hr") -> D
 
 def hr_zone_time(walk: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     """Seconds of each sector by the zone of a step's end point; outside pauses. A sector without readings gives no row.
+    ``counted_s`` are those that shares are of: all outside pauses but those below the first zone.
 
     Where the walk's points were classified before, their zones are taken; else ``zones`` classify the walk.
     """
@@ -114,9 +115,11 @@ def hr_zone_time(walk: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     out = F.when(~F.col("paused"), step)
     sums = {"moving_s": out, "paused_s": F.when(F.col("paused"), step), "no_hr_s": F.when(F.col("hr").isNull(), out), "below_s": F.when(F.col("zone") == 0, out)}
     sums |= {f"z{k}_s": F.when(F.col("zone") == k, out) for k in range(1, 6)}
+    # a sum of its own: the difference of seconds moving and below would keep the rounding of both
+    sums["counted_s"] = F.when(F.coalesce(F.col("zone") != 0, F.lit(True)), out)
     return d.groupBy(*SECTOR).agg(*[F.coalesce(F.sum(c) / 1000, F.lit(0.0)).alias(n) for n, c in sums.items()])
 
 
 def zone_share_pct(times: DataFrame) -> DataFrame:
-    counted = F.col("moving_s") - F.col("below_s")
+    counted = F.col("counted_s")
     return times.withColumns({f"z{k}_pct": F.when(counted > 0, F.round(F.col(f"z{k}_s") / counted * 100)).otherwise(F.lit(0.0)).cast("int") for k in range(1, 6)})

@@ -348,7 +348,7 @@ def _sectors(b: Base) -> dict[str, Callable[[], DataFrame]]:
         b.lay()
         parts = splits.split_by_waypoint(b.resolved, b.tracks)
         walk = sector.laid_walk(sector.sector_walk(zones.classify_hr_zone(b.points, b.zones), parts))
-        return sector.walk_metrics(walk).join(zones.hr_zone_time(walk).drop("moving_s"), shared, "left")
+        return sector.walk_metrics(walk).join(zones.hr_zone_time(walk).drop("moving_s", "counted_s"), shared, "left")
 
     return {
         "sector_walk": lambda: b.walk.filter("step > 0").select(*shared, "step", "to_dist", "to_ele", "to_ms", "seg_h", "d_ele", "dt"),
@@ -372,7 +372,7 @@ def _sectors(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "sector_metrics": metrics,
         "track_stats": lambda: sector.track_stats(b.lay().points, b.tracks),
         "sector_leaderboard": lambda: sector.sector_leaderboard(metrics()),
-        "hr_zone_time": lambda: zones.hr_zone_time(b.zoned_walk),
+        "hr_zone_time": lambda: zones.hr_zone_time(b.zoned_walk).drop("counted_s"),
         "zone_share_pct": lambda: zones.zone_share_pct(zones.hr_zone_time(b.zoned_walk)).select(*shared, *[f"z{k}_pct" for k in range(1, 6)]),
         "split_by_length": lambda: sector.split_by_length(b.tracks),
         "split_by_length_drop": lambda: sector.split_by_length(b.tracks, tail="drop"),
