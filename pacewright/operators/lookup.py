@@ -15,33 +15,40 @@ from pacewright.sources.scratch import stored
 
 
 TERRAIN_BLOCK = 32  # pixels a side
+NEAR_BLOCK = 128  # vertices that a place meets together
 METRE = EARTH_RADIUS_M * 3.141592653589793 / 180  # of a degree north
 
 
 def _nearest(q: DataFrame, p: DataFrame, cell: float | Column | None) -> DataFrame:
-    """Each probe (track_id, q, qx, qy) with ``v``, its nearest vertex, and ``d2``: among those of the nine cells around it
-    (null if there are none), or of its whole track without a cell size."""
+    """Each place (track_id, lat, lon, qx, qy, sx) with ``v``, its nearest vertex, and ``d2``: among those of the nine cells
+    around it (null if there are none), or of its whole track without a cell size.
+
+    Vertices come as arrays, ``NEAR_BLOCK`` of a cell at most, and an array is searched in the row in which it meets a
+    place: no row is made, sorted or moved for a pair of place and vertex.
+    """
     keys = ["track_id"]
     if cell is not None:
         at = lambda c, by: F.floor(F.col(c) / cell) + by
         around = F.array(*[F.struct(at("qx", i).alias("gx"), at("qy", j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         q, p, keys = q.select("*", F.inline(around)), p.withColumns({"gx": at("x", 0), "gy": at("y", 0)}), ["track_id", "gx", "gy"]
+    arrays = p.filter("x is not null and y is not null").groupBy(*keys, F.expr(f"seq div {NEAR_BLOCK}").alias("_block"))
+    arrays = arrays.agg(F.collect_list(F.struct("seq", "lon", "lat", "d", "before", "after")).alias("ps"))
     # degrees first: of two vertices as far on either side, differences of metres would take one by their rounding
-    dx, dy = (F.col("p.lon") - F.col("q.lon")) * F.col("sx"), (F.col("p.lat") - F.col("q.lat")) * METRE
-    d = q.join(p, keys, "left").withColumn("d2", dx * dx + dy * dy)
-    best = F.min_by(F.struct("p", "before", "after", "sx"), F.when(F.col("d2").isNotNull(), F.struct("d2", "seq")))
-    return d.groupBy("track_id", "q", "qx", "qy").agg(best.alias("v"), F.min("d2").alias("d2"))
+    dx, dy = "((v.lon - lon) * sx)", f"((v.lat - lat) * {METRE}D)"
+    best = F.expr(f"array_min(transform(ps, v -> named_struct('d2', {dx} * {dx} + {dy} * {dy}, 'seq', v.seq, 'v', v)))")
+    d = q.join(arrays, keys, "left").groupBy("track_id", "lat", "lon", "qx", "qy", "sx").agg(F.min(best).alias("b"))
+    return d.select("track_id", "lat", "lon", "qx", "qy", "sx", "b.v", "b.d2")
 
 
 def nearest_on_track(probes: DataFrame, points: DataFrame, within: float | None = None, cells: tuple[float, ...] = (256.0, 8192.0)) -> DataFrame:
     """Adds to each probe (track_id, wp_seq, lat, lon, ...) its nearest vertex's best adjoining place:
     ``dist`` along the track and ``off_track`` metres. Vertices first, so not always the nearest segment.
 
-    Probes look into the cells around them. With ``within`` only probes that are no further off their track are
-    given out, and one pass finds them: a place within that distance has an end of its segment within that and half
-    a segment, so cells of each track are as wide as that for its longest segment. Without it, a vertex found within
-    one cell's width is the nearest of all; probes without one go on to larger cells, and those still without one are
-    compared with their whole track.
+    Places are looked up, each once for a track however many probes it has. They look into the cells around them. With
+    ``within`` only probes that are no further off their track are given out, and one pass finds them: a place within
+    that distance has an end of its segment within that and half a segment, so cells of each track are as wide as that
+    for its longest segment. Without it, a vertex found within one cell's width is the nearest of all; places without
+    one go on to larger cells, and those still without one are compared with their whole track.
     """
     w = ordered()
     metre = METRE
@@ -52,17 +59,18 @@ def nearest_on_track(probes: DataFrame, points: DataFrame, within: float | None
     stretch = F.greatest(F.lit(1.0), middle / cos(low), middle / cos(high)) * 1.001
     sized = [(stretch * (within + longest / 2)).alias("cell")] if within is not None else []
     scale = points.groupBy("track_id").agg((metre * middle).alias("sx"), *sized)
-    place = F.struct(F.col("lon").alias("lon"), F.col("lat").alias("lat"), F.col("cum_dist").alias("d"))
-    p = points.select("track_id", "seq", place.alias("p"), F.lag(place).over(w).alias("before"), F.lead(place).over(w).alias("after"))
-    p = p.join(scale, "track_id").withColumns({"x": F.col("p.lon") * F.col("sx"), "y": F.col("p.lat") * metre})
+    place = F.struct("lon", "lat", F.col("cum_dist").alias("d"))
+    p = points.select("track_id", "seq", "lon", "lat", F.col("cum_dist").alias("d"), F.lag(place).over(w).alias("before"), F.lead(place).over(w).alias("after"))
+    p = p.join(scale, "track_id").withColumns({"x": F.col("lon") * F.col("sx"), "y": F.col("lat") * metre})
     names = [c for c in probes.columns if c != "track_id"]
-    rest = probes.select("track_id", F.struct(*names).alias("q")).join(scale, "track_id").select("track_id", "q", (F.col("q.lon") * F.col("sx")).alias("qx"), (F.col("q.lat") * metre).alias("qy"), *scale.columns[2:])
+    rest = probes.filter("lat is not null and lon is not null").select("track_id", "lat", "lon").distinct().join(scale, "track_id")
+    rest = rest.select("track_id", "lat", "lon", (F.col("lon") * F.col("sx")).alias("qx"), (F.col("lat") * metre).alias("qy"), *scale.columns[1:])
     found = [_nearest(rest, p, F.col("cell")).filter("d2 is not null")] if within is not None else []
     for cell in cells if within is None else ():
         near = stored(_nearest(rest, p, cell), "nearest")
         done = F.coalesce(F.col("d2") <= cell * cell, F.lit(False))
         found.append(near.filter(done))
-        rest = near.filter(~done).select("track_id", "q", "qx", "qy")
+        rest = near.filter(~done).select("track_id", "lat", "lon", "qx", "qy", "sx")
         if rest.isEmpty():
             break
     else:
@@ -71,14 +79,20 @@ def nearest_on_track(probes: DataFrame, points: DataFrame, within: float | None
     d = reduce(DataFrame.unionByName, found)
 
     # of the two segments at the vertex the nearer one, the one before it first; positions in metres from the segment's beginning
-    segments = "filter(array(named_struct('k', 0, 'a', v.before, 'b', v.p), named_struct('k', 1, 'a', v.p, 'b', v.after)), s -> s.a is not null and s.b is not null)"
-    flat = f"transform({segments}, s -> named_struct('k', s.k, 'a', s.a, 'b', s.b, 'vx', (s.b.lon - s.a.lon) * v.sx, 'vy', (s.b.lat - s.a.lat) * {metre}D, 'px', (q.lon - s.a.lon) * v.sx, 'py', (q.lat - s.a.lat) * {metre}D))"
+    here = "named_struct('lon', v.lon, 'lat', v.lat, 'd', v.d)"
+    segments = f"filter(array(named_struct('k', 0, 'a', v.before, 'b', {here}), named_struct('k', 1, 'a', {here}, 'b', v.after)), s -> s.a is not null and s.b is not null)"
+    flat = f"transform({segments}, s -> named_struct('k', s.k, 'a', s.a, 'b', s.b, 'vx', (s.b.lon - s.a.lon) * sx, 'vy', (s.b.lat - s.a.lat) * {metre}D, 'px', (lon - s.a.lon) * sx, 'py', (lat - s.a.lat) * {metre}D))"
     share = f"transform({flat}, s -> named_struct('s', s, 't', if(s.vx * s.vx + s.vy * s.vy > 0, least(1D, greatest(0D, (s.px * s.vx + s.py * s.vy) / (s.vx * s.vx + s.vy * s.vy))), 0D)))"
     off = "(x.s.px - x.t * x.s.vx) * (x.s.px - x.t * x.s.vx) + (x.s.py - x.t * x.s.vy) * (x.s.py - x.t * x.s.vy)"
     at = ", ".join(f"'{name}', x.s.a.{c} + x.t * (x.s.b.{c} - x.s.a.{c})" for name, c in (("dist", "d"), ("lat", "lat"), ("lon", "lon")))
     d = d.withColumn("_r", F.expr(f"array_min(transform({share}, x -> named_struct('d2', {off}, 'k', x.s.k, {at})))"))
-    d = d.select("track_id", *[F.col(f"q.{c}").alias(c) for c in names], F.col("_r.dist").alias("dist"), haversine(F.col("q.lat"), F.col("q.lon"), F.col("_r.lat"), F.col("_r.lon")).alias("off_track"))
-    return d if within is None else d.filter(F.col("off_track") <= within)
+    d = d.select("track_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("_r.dist").alias("_dist"), haversine(F.col("lat"), F.col("lon"), F.col("_r.lat"), F.col("_r.lon")).alias("_off"))
+    q = probes.select("track_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.struct(*names).alias("q"))
+    if within is None:
+        d = q.join(scale, "track_id", "left_semi").join(d, ["track_id", "_lat", "_lon"], "left")
+    else:
+        d = q.join(d.filter(F.col("_off") <= within), ["track_id", "_lat", "_lon"])
+    return d.select("track_id", *[F.col(f"q.{c}").alias(c) for c in names], F.col("_dist").alias("dist"), F.col("_off").alias("off_track"))
 
 
 def resolve_waypoints(waypoints: DataFrame, points: DataFrame, most: float = 50.0) -> DataFrame:

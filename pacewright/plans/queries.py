@@ -394,6 +394,11 @@ def _sectors(b: Base) -> dict[str, Callable[[], DataFrame]]:
 
 
 def _elevation(b: Base) -> dict[str, Callable[[], DataFrame]]:
+    def near() -> DataFrame:
+        points = b.lay().points
+        marks = b.marks.select(F.col("response_id").alias("track_id"), F.col("pos").alias("wp_seq"), "class", "lat", "lon")
+        return lookup.nearest_on_track(marks, points, 250.0).select("track_id", "wp_seq", "class", "dist", "off_track")
+
     return {
         "ele_fill": lambda: elevation.ele_fill(b.dem).select("track_id", "seq", "ele", "ele_original"),
         "ele_replace": lambda: elevation.ele_replace(b.dem).select("track_id", "seq", "ele", "ele_original"),
@@ -404,7 +409,7 @@ def _elevation(b: Base) -> dict[str, Callable[[], DataFrame]]:
         "dedup_landmarks": lambda: landmarks.dedup_landmarks(b.marks.withColumn("pos", F.col("response_id") * 10000 + F.col("pos"))).select("key", "pos"),
         "merge_landmarks": lambda: landmarks.merge_landmarks(*[landmarks.dedup_landmarks(b.marks.withColumn("pos", F.col("response_id") * 10000 + F.col("pos")).filter(f"response_id % 2 = {k}")).select("key", "class", "pos") for k in (0, 1)]),
         "landmark_features": lambda: landmarks.landmark_features(b.shown),
-        "landmarks_near_track": lambda: lookup.nearest_on_track(b.marks.select(F.col("response_id").alias("track_id"), F.col("pos").alias("wp_seq"), "class", "lat", "lon"), b.points, 250.0).select("track_id", "wp_seq", "class", "dist", "off_track"),
+        "landmarks_near_track": near,
     }
 
 
