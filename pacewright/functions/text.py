@@ -12,7 +12,15 @@ MILE, MPH = 1609.344, 2.2369362920544
 
 def parse_number(c: Column) -> Column:
     """A finite number, or null for blank and other texts."""
-    v = F.nullif(F.trim(c), F.lit("")).try_cast("double")
+    return finite(as_number(c))
+
+
+def as_number(c: Column) -> Column:
+    """The number that a text stands for, or null."""
+    return F.nullif(F.trim(c), F.lit("")).try_cast("double")
+
+
+def finite(v: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 

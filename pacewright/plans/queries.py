@@ -169,7 +169,9 @@ class Base:
     def lines(self, documents: DataFrame, name: str, packed: bool = True) -> str:
         """The folder of documents (key, text), one file each, compressed if ``packed``: a document is one row, whichever task has it."""
         path = self.folder(name)
-        documents.toDF("file_key", "value").write.partitionBy("file_key").option("compression", "gzip" if packed else "none").text(path)
+        writer = documents.toDF("file_key", "value").write.partitionBy("file_key").option("compression", "gzip" if packed else "none")
+        # tasks put their files in place, not the driver one after another
+        writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
         return path
 
     def files(self, documents: DataFrame) -> DataFrame:

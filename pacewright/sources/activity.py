@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pacewright.functions.text import parse_iso_time, parse_number
+from pacewright.functions.text import as_number, finite, parse_iso_time, parse_number
 from pacewright.operators.track import interpolated_gaps
 
 POINT = ["lat", "lon", "ele", "time_ms", "hr", "cad", "power", "temp", "speed"]
@@ -58,18 +58,34 @@ def _numbered(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy("doc").orderBy(*order)) - 1).select("doc", "seq", *POINT)
 
 
-def _inside(xml: Column, *names: str) -> Column:
-    """The text of the first element of that local name, at any depth; of several names the first that occurs."""
-    found = [F.regexp_extract(xml, rf"<(?:[\w.-]+:)?{n}(?:\s[^>]*)?>([^<]*)</", 1) for n in names]
-    held = [F.regexp_like(xml, F.lit(rf"<(?:[\w.-]+:)?{n}[\s/>]")) for n in names]
-    return F.coalesce(*[F.when(h, f) for h, f in zip(held, found, strict=True)])
+def _inside(xml: Column, *names: str, otherwise: Column | None = None) -> Column:
+    """The text of the first element of that local name, at any depth; of several names the first that occurs, and where
+    none does ``otherwise``. What has no text is blank or null.
+
+    Patterns are tried only on texts that hold the name; whether an empty element occurs matters only before another choice.
+    """
+    parts = []
+    for k, n in enumerate(names):
+        found, held = F.regexp_extract(xml, rf"<(?:[\w.-]+:)?{n}(?:\s[^>]*)?>([^<]*)</", 1), F.contains(xml, F.lit(n))
+        if k + 1 < len(names) or otherwise is not None:
+            held = held & F.regexp_like(xml, F.lit(rf"<(?:[\w.-]+:)?{n}[\s/>]"))
+        parts.append(F.when(held, found))
+    return F.coalesce(*parts, *([] if otherwise is None else [otherwise]))
+
+
+def _parsed(d: DataFrame, columns: dict[str, Column], time: str, *more: Column) -> DataFrame:
+    """(doc, _at, ...) with the finite numbers of texts, and the time. Texts, numbers and what is finite are projections of
+    their own: each refers to the one before several times, and in one they would be searched and parsed again each time."""
+    d = d.select("doc", "_at", F.col(time).alias("_time"), *[c.alias(n) for n, c in columns.items()], *more)
+    kept = d.columns[3 + len(columns) :]
+    d = d.select("doc", "_at", parse_iso_time(F.col("_time")).alias("time_ms"), *[as_number(F.col(n)).alias(n) for n in columns], *kept)
+    return d.select("doc", "_at", *[finite(F.col(n)).alias(n) for n in columns], "time_ms", *kept)
 
 
 def _gpx_points(spark: SparkSession, path: str, tag: str) -> DataFrame:
     x = F.col("extensions")
-    columns = {"lat": F.col("_lat"), "lon": F.col("_lon"), "ele": F.col("ele"), "hr": _inside(x, "hr"), "cad": _inside(x, "cad"), "power": _inside(x, "power", "PowerInWatts", "Watts"), "temp": _inside(x, "atemp"), "speed": F.coalesce(_inside(x, "speed"), F.col("speed"))}
-    d = _read(spark, path, tag, GPX_POINT)
-    return d.select("doc", "_at", *[parse_number(c).alias(n) for n, c in columns.items()], parse_iso_time(F.col("time")).alias("time_ms"), F.nullif(F.trim("name"), F.lit("")).alias("name"))
+    columns = {"lat": F.col("_lat"), "lon": F.col("_lon"), "ele": F.col("ele"), "hr": _inside(x, "hr"), "cad": _inside(x, "cad"), "power": _inside(x, "power", "PowerInWatts", "Watts"), "temp": _inside(x, "atemp"), "speed": _inside(x, "speed", otherwise=F.col("speed"))}
+    return _parsed(_read(spark, path, tag, GPX_POINT), columns, "time", F.nullif(F.trim("name"), F.lit("")).alias("name"))
 
 
 def scan_gpx(spark: SparkSession, path: str) -> DataFrame:
@@ -92,7 +108,7 @@ def scan_tcx(spark: SparkSession, path: str) -> DataFrame:
     """Track points of all laps in document order; gaps of elevation filled."""
     d, x = _read(spark, path, "Trackpoint", TCX_POINT), F.col("Extensions")
     columns = {"lat": F.col("Position.LatitudeDegrees"), "lon": F.col("Position.LongitudeDegrees"), "ele": F.col("AltitudeMeters"), "hr": F.col("HeartRateBpm.Value"), "cad": F.coalesce("Cadence", _inside(x, "RunCadence")), "power": _inside(x, "Watts"), "temp": F.lit(None).cast("string"), "speed": _inside(x, "Speed")}
-    points = d.select("doc", "_at", *[parse_number(c).alias(n) for n, c in columns.items()], parse_iso_time(F.col("Time")).alias("time_ms"))
+    points = _parsed(d, columns, "Time")
     return interpolated_gaps(_numbered(points, "_at"), "ele", "ele", ("doc",))
 
 

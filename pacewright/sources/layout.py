@@ -25,6 +25,8 @@ def sized(spark: SparkSession, points: int) -> int:
         spark.conf.set("spark.sql.shuffle.partitions", need)
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", READ_AT_ONCE)
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # folders are listed by as many tasks, not by one for each folder
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", max(need, has))
     return max(need, has)
 
 
